@@ -47,7 +47,9 @@ def round_doubles(df: DataFrame, places: int = PLACES) -> DataFrame:
     cols = []
     for f in df.schema.fields:
         if isinstance(f.dataType, (T.DoubleType, T.FloatType)):
-            cols.append(F.round(F.col(f"`{f.name}`"), places).alias(f.name))
+            # round(x * 10^p) / 10^p: the same double arithmetic as the oracle's round()
+            m = F.lit(float(10 ** places))
+            cols.append((F.round(F.col(f"`{f.name}`") * m) / m).alias(f.name))
         else:
             cols.append(F.col(f"`{f.name}`"))
     return df.select(*cols)
@@ -84,3 +86,7 @@ def register(name, fn, body=None, ctes=(), doubles=(), extra=None):
     REGISTRY[name] = Query(fn, body, tuple(ctes), tuple(doubles), extra or {})
 
 
+
+
+def table(spark, sf, name):
+    return fx_src.table(spark, sf, name)

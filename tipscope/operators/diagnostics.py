@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
 from tipscope.functions.distributions import norm_ppf
 from tipscope.operators.regression import OlsFit, Terms, with_fit
@@ -56,7 +57,7 @@ def top_influential(infl: DataFrame, key: Sequence[str], k: int = 10) -> DataFra
     return union_distinct(a, b, c)
 
 
-@pandas_udf("double")
+@pandas_udf(DoubleType())
 def _qnorm(p: pd.Series) -> pd.Series:
     return p.map(norm_ppf)
 

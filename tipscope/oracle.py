@@ -10,6 +10,27 @@ from __future__ import annotations
 # Fixed values shared with tipscope.sources.fixtures / tipscope.registry
 SELECTED_BOROUGHS = ("AFRICA", "AMERICA", "ASIA")
 
+_FEATURES = """
+  SELECT *,
+         CAST(month(tpep_pickup_datetime) AS INTEGER) AS month,
+         CASE WHEN month(tpep_pickup_datetime) IN (7, 10, 11, 12) THEN '1' ELSE '0' END
+           AS tourist_season,
+         tpep_pickup_datetime AS pickup_time, tpep_dropoff_datetime AS dropoff_time,
+         CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
+         CAST(hour(tpep_dropoff_datetime) AS INTEGER) AS dropoff_hour,
+         CAST(tpep_pickup_datetime AS DATE) AS pickup_date,
+         CAST(tpep_dropoff_datetime AS DATE) AS dropoff_date,
+         CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_weekday_num,
+         CAST(dayofweek(tpep_dropoff_datetime) + 1 AS INTEGER) AS dropoff_weekday_num,
+         strftime(tpep_pickup_datetime, '%a') AS pickup_weekday_name,
+         strftime(tpep_dropoff_datetime, '%a') AS dropoff_weekday_name,
+         (epoch_us(tpep_dropoff_datetime) - epoch_us(tpep_pickup_datetime)) / 6.0e7
+           AS trip_minutes,
+         60 * trip_distance / nullif((epoch_us(tpep_dropoff_datetime)
+           - epoch_us(tpep_pickup_datetime)) / 6.0e7, 0) AS trip_speed_mph,
+         tip_amount / nullif(fare_amount, 0) * 100.0 AS tip_pct
+  FROM {src}"""
+
 _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "tbase": ((), """
   SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, l.l_quantity,
@@ -59,41 +80,9 @@ _CTES: dict[str, tuple[tuple[str, ...], str]] = {
     AND payment_type = 1 AND fare_amount > 0
     AND tpep_pickup_datetime <> tpep_dropoff_datetime
     AND passenger_count = 1 AND airport_fee = 0 AND total_amount > 0"""),
-    "feat": (("sel",), """
-  SELECT *,
-         CAST(month(tpep_pickup_datetime) AS INTEGER) AS month,
-         CASE WHEN month(tpep_pickup_datetime) IN (7, 10, 11, 12) THEN '1' ELSE '0' END
-           AS tourist_season,
-         tpep_pickup_datetime AS pickup_time, tpep_dropoff_datetime AS dropoff_time,
-         CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
-         CAST(hour(tpep_dropoff_datetime) AS INTEGER) AS dropoff_hour,
-         CAST(tpep_pickup_datetime AS DATE) AS pickup_date,
-         CAST(tpep_dropoff_datetime AS DATE) AS dropoff_date,
-         CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_weekday_num,
-         CAST(dayofweek(tpep_dropoff_datetime) + 1 AS INTEGER) AS dropoff_weekday_num,
-         strftime(tpep_pickup_datetime, '%a') AS pickup_weekday_name,
-         strftime(tpep_dropoff_datetime, '%a') AS dropoff_weekday_name,
-         (epoch_us(tpep_dropoff_datetime) - epoch_us(tpep_pickup_datetime)) / 6.0e7
-           AS trip_minutes,
-         60 * trip_distance / nullif((epoch_us(tpep_dropoff_datetime)
-           - epoch_us(tpep_pickup_datetime)) / 6.0e7, 0) AS trip_speed_mph,
-         tip_amount / nullif(fare_amount, 0) * 100.0 AS tip_pct
-  FROM sel"""),
+    "feat": (("sel",), _FEATURES.format(src="sel")),
     # features over every trip (no filters)
-    "tfeat": (("trips",), """
-  SELECT *,
-         CAST(month(tpep_pickup_datetime) AS INTEGER) AS month,
-         CASE WHEN month(tpep_pickup_datetime) IN (7, 10, 11, 12) THEN '1' ELSE '0' END
-           AS tourist_season,
-         CAST(hour(tpep_pickup_datetime) AS INTEGER) AS pickup_hour,
-         CAST(dayofweek(tpep_pickup_datetime) + 1 AS INTEGER) AS pickup_weekday_num,
-         strftime(tpep_pickup_datetime, '%a') AS pickup_weekday_name,
-         (epoch_us(tpep_dropoff_datetime) - epoch_us(tpep_pickup_datetime)) / 6.0e7
-           AS trip_minutes,
-         60 * trip_distance / nullif((epoch_us(tpep_dropoff_datetime)
-           - epoch_us(tpep_pickup_datetime)) / 6.0e7, 0) AS trip_speed_mph,
-         tip_amount / nullif(fare_amount, 0) * 100.0 AS tip_pct
-  FROM trips"""),
+    "tfeat": (("trips",), _FEATURES.format(src="trips")),
     # model-cleaning filter: tip > 0, tip < p99 over the input (T2), distance, minutes
     "mclean": (("feat",), """
   SELECT f.* FROM feat f,

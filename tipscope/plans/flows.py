@@ -10,7 +10,7 @@ outliers: diagnostics of the full log model -> three top-10 lists -> rows
 from __future__ import annotations
 
 from dataclasses import dataclass
-from typing import Sequence
+from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -88,14 +88,21 @@ def terms_interact():
 class ModelSpec:
     name: str
     log_response: bool
-    terms: list
+    terms_fn: Callable[[], list]
+
+    @property
+    def terms(self) -> list:
+        return self.terms_fn()
 
 
 MODELS = {
-    "raw": ModelSpec("raw", False, terms_raw()),          # tip ~ fare + fare² + distance + extra + minutes
-    "log_full": ModelSpec("log_full", True, terms_raw()),  # log(tip) ~ same (diagnostics model)
-    "log_final": ModelSpec("log_final", True, terms_final()),  # chosen model
-    "log_interact": ModelSpec("log_interact", True, terms_interact()),
+    # tip ~ fare + fare² + distance + extra + minutes
+    "raw": ModelSpec("raw", False, terms_raw),
+    # log(tip) ~ same terms (the model the influence diagnostics run on)
+    "log_full": ModelSpec("log_full", True, terms_raw),
+    # log(tip) ~ fare + fare² + extra: the chosen model
+    "log_final": ModelSpec("log_final", True, terms_final),
+    "log_interact": ModelSpec("log_interact", True, terms_interact),
 }
 
 
