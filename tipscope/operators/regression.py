@@ -135,7 +135,10 @@ def fit(df: DataFrame, y: Column, terms: Terms) -> OlsFit:
     sxy = np.array([(m[f"cy_{i}"] or 0.0) * n for i in range(p)])
     syy = (m["vyy"] or 0.0) * n
     xbar = np.array([m[f"m_{i}"] or 0.0 for i in range(p)])
-    sxx_inv = np.linalg.pinv(sxx) if p else np.zeros((0, 0))
+    # solve on the unit-diagonal (correlation-scaled) matrix for conditioning
+    scale = np.sqrt(np.where(np.diag(sxx) > 0, np.diag(sxx), 1.0)) if p else np.zeros(0)
+    sxx_inv = (np.linalg.pinv(sxx / np.outer(scale, scale)) / np.outer(scale, scale)
+               if p else np.zeros((0, 0)))
     beta = sxx_inv @ sxy if p else np.zeros(0)
     rss = max(syy - float(beta @ sxy), 0.0)
     intercept = float(m["ybar"]) - float(beta @ xbar)
