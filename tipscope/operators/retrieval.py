@@ -62,23 +62,31 @@ def embed_letters(df: DataFrame, text_col: str = "chunk", out: str = "embedding"
     return df.withColumn(out, tx.letter_vector(text_col))
 
 
-def embed_hashing(df: DataFrame, text_col: str = "chunk", out: str = "embedding",
-                  num_features: int = 256) -> DataFrame:
-    """Token hashing + IDF vectors with Spark ML (vec_embed_local, method='hashing').
-
-    The IDF weights are fitted with one distributed pass over the texts."""
+def hashing_model(corpus: DataFrame, text_col: str = "chunk", num_features: int = 256):
+    """Token hashing + IDF fitted on the stored texts with Spark ML
+    (vec_embed_local, method='hashing'); one distributed pass for the
+    document frequencies. Apply it to questions with ``embed_with``."""
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import IDF, HashingTF, RegexTokenizer
-    from pyspark.ml.functions import vector_to_array
 
     tok = RegexTokenizer(inputCol=text_col, outputCol="_tok", pattern=r"\W+", minTokenLength=1)
     tf = HashingTF(inputCol="_tok", outputCol="_tf", numFeatures=num_features)
     idf = IDF(inputCol="_tf", outputCol="_idf")
-    model = Pipeline(stages=[tok, tf, idf]).fit(df)
+    return Pipeline(stages=[tok, tf, idf]).fit(corpus)
+
+
+def embed_with(model, df: DataFrame, out: str = "embedding") -> DataFrame:
+    from pyspark.ml.functions import vector_to_array
     return (model.transform(df).withColumn(out, vector_to_array("_idf", "float64"))
                  .drop("_tok", "_tf", "_idf"))
 
 
+def embed_hashing(df: DataFrame, text_col: str = "chunk", out: str = "embedding",
+                  num_features: int = 256) -> DataFrame:
+    """Hashing/IDF vectors fitted on and applied to the same texts."""
+    return embed_with(hashing_model(df, text_col, num_features), df, out)
+
+
 def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "chunk_id",
                vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "query_vec",
                zero: float | None = 0.0, score_places: int | None = 9) -> DataFrame:
@@ -98,7 +106,8 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
     s = j.select("*", F.explode("_qs").alias("_q")).drop("_qs")
     score = tx.cosine(F.col("_q.qv"), F.col(vec_col), zero)
     if score_places is not None:
-        score = F.round(score, score_places)
+        m = F.lit(float(10 ** score_places))
+        score = F.round(score * m) / m
     s = s.withColumn("score", score).withColumn(q_id, F.col("_q.qid")).drop("_q")
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
     return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
@@ -110,10 +119,10 @@ def topk_one(store: DataFrame, query_vec: DataFrame, k: int = 3, **kw) -> DataFr
 
 
 def sources_table(hits: DataFrame, text_col: str = "chunk", id_col: str = "chunk_id",
-                  source_col: str = "source") -> DataFrame:
+                  source_col: str = "source", keep: Sequence[str] = ()) -> DataFrame:
     """Result table: id, source, score to 4 places, 250-character preview (rag_sources)."""
-    return hits.select(F.col(id_col).alias("chunk_id"), F.col(source_col).alias("source"),
-                       F.round("score", 4).alias("score"),
+    return hits.select(*keep, F.col(id_col).alias("chunk_id"), F.col(source_col).alias("source"),
+                       (F.round(F.col("score") * 1e4) / 1e4).alias("score"),
                        tx.truncate(text_col).alias("preview"))
 
 

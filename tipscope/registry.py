@@ -8,7 +8,7 @@ from typing import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tipscope.catalog.base import REGISTRY, round_doubles
-from tipscope.catalog import aggregates, basics, charts, models  # noqa: F401  (registers queries)
+from tipscope.catalog import aggregates, basics, charts, models, text  # noqa: F401  (registers queries)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
