@@ -19,6 +19,7 @@ from tipscope import oracle
 from tipscope.operators import aggregates as agg
 from tipscope.operators import filters as flt
 from tipscope.plans.features import add_features
+from tipscope.sources import files
 from tipscope.sources import fixtures as fx_src
 
 PLACES = 6
@@ -57,7 +58,8 @@ def round_doubles(df: DataFrame, places: int = PLACES) -> DataFrame:
 
 # ---------------------------------------------------------------- shared sets
 def trips(spark, sf):
-    return fx_src.trips(spark, sf)
+    """The trip table, derived once per application and kept as parquet."""
+    return files.materialized(spark, f"trips:{sf}", lambda: fx_src.trips(spark, sf))
 
 
 def zones(spark, sf):
@@ -71,12 +73,14 @@ def selected(spark, sf):
 
 
 def analysis(spark, sf):
-    """Feature table over the selected trips (the reference's df_final, unsampled)."""
-    return add_features(selected(spark, sf))
+    """Feature table over the selected trips (the reference's df_final,
+    unsampled), materialised once like the notebook's data frame."""
+    return files.materialized(spark, f"analysis:{sf}", lambda: add_features(selected(spark, sf)))
 
 
 def all_features(spark, sf):
-    return add_features(trips(spark, sf))
+    return files.materialized(spark, f"all_features:{sf}",
+                              lambda: add_features(trips(spark, sf)))
 
 
 REGISTRY: dict[str, Query] = {}

@@ -97,3 +97,25 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     """A folder under the session's shared checkpoint location."""
     from tipscope.session import checkpoint_dir
     return os.path.join(checkpoint_dir(spark), "tables", name)
+
+
+_MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+_RUN_ID = os.urandom(6).hex()
+
+
+def materialized(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """Write a derived table once per application to the shared checkpoint
+    folder as parquet and serve later uses from the files.
+
+    This is how a shared intermediate (the trip table, the feature table)
+    is reused by many statistics: later plans scan columnar files with
+    pruning and pushdown instead of re-running the joins, and the lineage is
+    cut, so a lost executor re-reads files rather than recomputing joins.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    if key not in _MATERIALIZED:
+        safe = "".join(ch if ch.isalnum() else "_" for ch in name)
+        path = scratch_path(spark, f"{safe}-{_RUN_ID}")
+        build().write.mode("overwrite").parquet(path)
+        _MATERIALIZED[key] = spark.read.parquet(path)
+    return _MATERIALIZED[key]
