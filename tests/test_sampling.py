@@ -25,3 +25,19 @@ def test_group_limit_planned_before_shuffle(spark):
 
 def test_per_stratum_quota():
     assert smp.per_stratum(10_000, 12) == 834
+
+
+def test_exact_quantiles_bracket_matches_map(spark):
+    import random
+    from tipscope.operators.quantiles import exact_quantiles
+    random.seed(3)
+    rows = [("hot" if random.random() < 0.6 else random.choice("ab"), random.random() * 50)
+            for _ in range(5000)] + [("one", 2.0), ("two", 1.0), ("two", 4.0)]
+    df = spark.createDataFrame(rows, "g string, x double")
+    probs = [0.0, 0.01, 0.25, 0.5, 0.75, 0.99, 1.0]
+    got = {r.g: r for r in exact_quantiles(df, "x", probs, ["g"]).collect()}
+    ref = df.groupBy("g").agg(*[F.percentile("x", F.lit(p)).alias(f"q{i}")
+                                for i, p in enumerate(probs)]).collect()
+    for r in ref:
+        for i in range(len(probs)):
+            assert abs(got[r.g][f"q{i}"] - r[f"q{i}"]) < 1e-9

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipscope.functions.sizing import broadcast_if_small
+from tipscope.operators.quantiles import exact_quantiles
 
 MAX_GROUPS_BROADCAST = 1_000_000
 
@@ -95,17 +96,25 @@ def hist_median_line(df: DataFrame, col: str, bins: int = 100,
     return hist_equal(df, col, bins, view).crossJoin(F.broadcast(med))
 
 
+def _quartiles(base: DataFrame, keys: list[str], probs, names, method: str) -> DataFrame:
+    if method == "bracket":
+        return exact_quantiles(base, "_x", probs, keys, names)
+    q = base.groupBy(*keys).agg(F.percentile("_x", F.array(*[F.lit(p) for p in probs])).alias("_q"))
+    return q.select(*keys, *[F.col("_q")[i].alias(n) for i, n in enumerate(names)])
+
+
 def box_stats(df: DataFrame, value: str, group: str | Sequence[str] | None = None,
-              coef: float = 1.5) -> DataFrame:
+              coef: float = 1.5, method: str = "bracket") -> DataFrame:
     """Box-plot statistics per group: quartiles, whisker ends (most extreme
-    values inside the 1.5 IQR fences), outlier count (box_stats)."""
+    values inside the 1.5 IQR fences), outlier count (box_stats).
+
+    method='bracket' (default) computes the exact quartiles with bounded
+    memory per group (see operators.quantiles); 'map' uses Spark's exact
+    percentile, which holds every distinct value of a group in one task."""
     keys = _groups(group)
     x = F.col(value).cast("double")
     base = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
-    q = (base.groupBy(*keys)
-             .agg(F.percentile("_x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("_q"))
-             .select(*keys, F.col("_q")[0].alias("q1"), F.col("_q")[1].alias("median"),
-                     F.col("_q")[2].alias("q3")))
+    q = _quartiles(base, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method)
     q = q.withColumn("lower_fence", F.col("q1") - coef * (F.col("q3") - F.col("q1"))) \
          .withColumn("upper_fence", F.col("q3") + coef * (F.col("q3") - F.col("q1")))
     j = _attach(base, q, keys)
@@ -118,14 +127,14 @@ def box_stats(df: DataFrame, value: str, group: str | Sequence[str] | None = Non
 
 
 def box_outliers(df: DataFrame, value: str, group: str | Sequence[str] | None = None,
-                 coef: float = 1.5) -> DataFrame:
+                 coef: float = 1.5, method: str = "bracket") -> DataFrame:
     """The rows outside the 1.5 IQR fences of their group (box_outliers)."""
     keys = _groups(group)
     x = F.col(value).cast("double")
-    q = (df.where(x.isNotNull()).groupBy(*keys)
-           .agg(F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))).alias("_q"))
-           .select(*keys, (F.col("_q")[0] - coef * (F.col("_q")[1] - F.col("_q")[0])).alias("_lf"),
-                   (F.col("_q")[1] + coef * (F.col("_q")[1] - F.col("_q")[0])).alias("_uf")))
+    base = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
+    q = _quartiles(base, keys, [0.25, 0.75], ["_q1", "_q3"], method)
+    q = q.select(*keys, (F.col("_q1") - coef * (F.col("_q3") - F.col("_q1"))).alias("_lf"),
+                 (F.col("_q3") + coef * (F.col("_q3") - F.col("_q1"))).alias("_uf"))
     return (_attach(df, q, keys).where((x < F.col("_lf")) | (x > F.col("_uf")))
               .drop("_lf", "_uf"))
 
