@@ -421,3 +421,18 @@ _reg_ft("ft_round", lambda: [F.round("tip_amount", 1).alias("tip_1dp"),
                      F.round("tip_pct", 4).alias("tip_pct_4dp")],
         "round(tip_amount, 1) AS tip_1dp, round(tip_pct, 4) AS tip_pct_4dp",
         ["tip_1dp", "tip_pct_4dp"])
+
+
+# ---------------------------------------------------------------- incremental ingest
+def _stream_ingest(s, d):
+    from tipscope.sources import fixtures as fx_src
+    from tipscope.streaming.ingest import run_ingest
+    src = files.materialized_path(s, f"trips:{d}", lambda: fx_src.trips(s, d))
+    out = _scratch(s, d, "stream_out_" + files._RUN_ID)
+    q = run_ingest(s, src, zones(s, d), SELECTED, out, name="ingest_" + files._RUN_ID
+                   + "_" + os.path.basename(d.rstrip("/")))
+    q.awaitTermination()
+    return s.read.parquet(out)
+
+
+register("stream_ingest", _stream_ingest, "SELECT * FROM feat", ["feat"], FEAT_DOUBLES)

@@ -100,6 +100,7 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 _MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
+_PATHS: dict[tuple[str, str], str] = {}
 _RUN_ID = os.urandom(6).hex()
 
 
@@ -118,4 +119,11 @@ def materialized(spark: SparkSession, name: str, build: Callable[[], DataFrame])
         path = scratch_path(spark, f"{safe}-{_RUN_ID}")
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = spark.read.parquet(path)
+        _PATHS[key] = path
     return _MATERIALIZED[key]
+
+
+def materialized_path(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> str:
+    """Folder holding the parquet files of ``materialized(spark, name, build)``."""
+    materialized(spark, name, build)
+    return _PATHS[(spark.sparkContext.applicationId, name)]

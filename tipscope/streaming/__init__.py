@@ -1,0 +1 @@
+"""Structured Streaming variant of the trip ingest (new files processed once)."""
