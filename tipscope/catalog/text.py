@@ -8,6 +8,7 @@ from tipscope.functions import text as tx
 from tipscope.functions.text import LETTERS
 from tipscope.operators import retrieval as rt
 from tipscope.plans import dashboard as dash
+from tipscope.sources import files
 
 
 def docs(s, d):
@@ -86,7 +87,9 @@ def _cos_sql(a, b):
 
 
 def letter_store(s, d):
-    return rt.embed_letters(store(s, d))
+    """The chunk store with letter vectors, built once per application and
+    kept as parquet (the reference keeps its store on disk and reuses it)."""
+    return files.materialized(s, f"letter_store:{d}", lambda: rt.embed_letters(store(s, d)))
 
 
 def questions(s, d):

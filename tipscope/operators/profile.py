@@ -65,47 +65,62 @@ def _long(wide: DataFrame, ids: list[tuple[str, str]], type_of: dict[str, str])
 
 
 def skim(df: DataFrame, exact: bool = True) -> DataFrame:
-    """skim-like profile: (skim_variable, skim_type, stat, value) (prof_skim)."""
+    """skim-like profile: (skim_variable, skim_type, stat, value) (prof_skim).
+
+    One wide aggregate holds every per-column statistic except the distinct
+    counts; each distinct count is its own small aggregation (distinct
+    values shuffled once, pre-aggregated map-side), so the wide pass is not
+    expanded once per distinct column."""
     fam = column_types(df)
     n = F.count(F.lit(1))
     aggs, ids, type_of = [], [], {}
 
-    def q(c, p):
-        return (F.percentile(c, F.lit(p)) if exact
-                else F.percentile_approx(c, F.lit(p), F.lit(10000)).cast("double"))
+    def qs(c, ps):
+        arr = F.array(*[F.lit(p) for p in ps])
+        return (F.percentile(c, arr) if exact
+                else F.percentile_approx(c, arr, F.lit(10000)).cast("array<double>"))
 
+    post = []  # (alias, expression over the wide row)
     for c in fam["numeric"]:
         x = F.col(c).cast("double")
         type_of[c] = "numeric"
-        st = {"n_missing": F.count_if(x.isNull()),
-              "complete_rate": F.count(x) / n,
-              "mean": F.avg(x), "sd": F.stddev_samp(x),
-              "p0": F.min(x), "p25": q(x, 0.25), "p50": q(x, 0.5), "p75": q(x, 0.75),
-              "p100": F.max(x)}
-        for s in SKIM_NUMERIC:
-            aggs.append(st[s].cast("double").alias(f"{c}__{s}"))
-            ids.append((c, s))
+        aggs += [F.count_if(x.isNull()).alias(f"{c}__n_missing"),
+                 (F.count(x) / n).alias(f"{c}__complete_rate"),
+                 F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd"),
+                 F.min(x).alias(f"{c}__p0"), qs(x, [0.25, 0.5, 0.75]).alias(f"_{c}_q"),
+                 F.max(x).alias(f"{c}__p100")]
+        post += [(f"{c}__p25", F.col(f"_{c}_q")[0]), (f"{c}__p50", F.col(f"_{c}_q")[1]),
+                 (f"{c}__p75", F.col(f"_{c}_q")[2])]
+        ids += [(c, st) for st in SKIM_NUMERIC]
+    distinct_cols = []
     for c in fam["string"]:
         x = F.col(c)
         type_of[c] = "character"
-        st = {"n_missing": F.count_if(x.isNull()), "complete_rate": F.count(x) / n,
-              "min": F.min(F.length(x)), "max": F.max(F.length(x)),
-              "empty": F.count_if(F.length(x) == 0),
-              "n_unique": F.count_distinct(x),
-              "whitespace": F.count_if(F.regexp_like(x, F.lit(r"^\s+$")))}
-        for s in SKIM_STRING:
-            aggs.append(st[s].cast("double").alias(f"{c}__{s}"))
-            ids.append((c, s))
+        aggs += [F.count_if(x.isNull()).alias(f"{c}__n_missing"),
+                 (F.count(x) / n).alias(f"{c}__complete_rate"),
+                 F.min(F.length(x)).alias(f"{c}__min"), F.max(F.length(x)).alias(f"{c}__max"),
+                 F.count_if(F.length(x) == 0).alias(f"{c}__empty"),
+                 F.count_if(F.regexp_like(x, F.lit(r"^\s+$"))).alias(f"{c}__whitespace")]
+        distinct_cols.append(c)
+        ids += [(c, st) for st in SKIM_STRING]
     for c in fam["time"]:
         x = _epoch_s(F.col(c))
         type_of[c] = "POSIXct"
-        st = {"n_missing": F.count_if(F.col(c).isNull()), "complete_rate": F.count(F.col(c)) / n,
-              "min": F.min(x), "max": F.max(x), "median": q(x, 0.5),
-              "n_unique": F.count_distinct(F.col(c))}
-        for s in SKIM_TIME:
-            aggs.append(st[s].cast("double").alias(f"{c}__{s}"))
-            ids.append((c, s))
-    return _long(df.agg(*aggs), ids, type_of)
+        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__n_missing"),
+                 (F.count(F.col(c)) / n).alias(f"{c}__complete_rate"),
+                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
+                 qs(x, [0.5]).alias(f"_{c}_q")]
+        post.append((f"{c}__median", F.col(f"_{c}_q")[0]))
+        distinct_cols.append(c)
+        ids += [(c, st) for st in SKIM_TIME]
+    wide = df.agg(*aggs)
+    for c in distinct_cols:
+        nu = df.select(c).where(F.col(c).isNotNull()).distinct().agg(
+            F.count(F.lit(1)).alias(f"{c}__n_unique"))
+        wide = wide.crossJoin(nu)
+    wide = wide.select("*", *[e.alias(a) for a, e in post])
+    cols = [F.col(f"{v}__{st}").cast("double").alias(f"{v}__{st}") for v, st in ids]
+    return _long(wide.select(*cols), ids, type_of)
 
 
 def skim_hist(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 8) -> DataFrame:

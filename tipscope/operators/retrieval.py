@@ -25,7 +25,7 @@ PROMPT_HEAD = ("Answer the question only using the context below.\n"
                "Keep the answer short and clear.\n")
 CHUNK_SEPARATOR = "\n\n---\n\n"
 CONTEXT_TITLE = "Current dashboard filters:"
-MAX_QUERIES = 100_000
+MAX_QUERIES = 10_000
 
 
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
@@ -87,30 +87,79 @@ def embed_hashing(df: DataFrame, text_col: str = "chunk", out: str = "embedding"
     return embed_with(hashing_model(df, text_col, num_features), df, out)
 
 
+def _round_half_away(v, places):
+    import numpy as np
+    m = float(10 ** places)
+    x = v * m
+    return np.where(x >= 0, np.floor(x + 0.5), np.ceil(x - 0.5)) / m
+
+
 def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "chunk_id",
                vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "query_vec",
                zero: float | None = 0.0, score_places: int | None = 9) -> DataFrame:
     """Top-k stored rows per query by cosine similarity (vec_topk_batch, vec_topk).
 
-    The query set must be small (checked against ``MAX_QUERIES``); it is
-    folded into one row and attached to every stored row, so the store is
-    scanned once and never shuffled before the per-partition top-k.
-    Scores are rounded to ``score_places`` before ranking so that float
-    noise cannot reorder ties; ties go to the lower id (T21).
+    The store is scanned once. The query set is small (size-checked against
+    ``MAX_QUERIES``) and shipped to the tasks as a broadcast matrix; each
+    store partition scores its Arrow batches against all queries with one
+    matrix product and keeps only its own k best rows per query, so at most
+    k x queries rows per partition reach the final shuffle, where
+    ``row_number`` picks the global k. Scores are rounded to
+    ``score_places`` before ranking so float noise cannot reorder ties;
+    ties go to the lower id (T21).
     """
+    import numpy as np
+    import pandas as pd
+    from pyspark.sql import types as T
+
     if not fits(queries, MAX_QUERIES):
         raise ValueError(f"query set exceeds {MAX_QUERIES} rows; split it into batches")
-    qrow = queries.agg(F.collect_list(F.struct(F.col(q_id).alias("qid"),
-                                               F.col(q_vec).alias("qv"))).alias("_qs"))
-    j = store.crossJoin(F.broadcast(qrow))
-    s = j.select("*", F.explode("_qs").alias("_q")).drop("_qs")
-    score = tx.cosine(F.col("_q.qv"), F.col(vec_col), zero)
-    if score_places is not None:
-        m = F.lit(float(10 ** score_places))
-        score = F.round(score * m) / m
-    s = s.withColumn("score", score).withColumn(q_id, F.col("_q.qid")).drop("_q")
+    qp = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv")).toPandas()
+    qids = qp["qid"].to_numpy()
+    qmat = (np.stack([np.asarray(v, dtype="float64") for v in qp["qv"]])
+            if len(qp) else np.zeros((0, 0)))
+    spark = store.sparkSession
+    bq = spark.sparkContext.broadcast((qids, qmat))
+    qid_type = queries.schema[q_id].dataType
+    out_schema = T.StructType(store.schema.fields + [T.StructField(q_id, qid_type),
+                                                     T.StructField("score", T.DoubleType())])
+
+    def score_partition(batches):
+        ids, Q = bq.value
+        qn = np.sqrt(np.einsum("ij,ij->i", Q, Q)) if len(Q) else np.zeros(0)
+        best = None
+        for pdf in batches:
+            if len(pdf) == 0 or len(ids) == 0:
+                continue
+            X = np.stack([np.zeros(Q.shape[1]) if v is None else np.asarray(v, dtype="float64")
+                          for v in pdf[vec_col]])
+            xn = np.sqrt(np.einsum("ij,ij->i", X, X))
+            dot = X @ Q.T
+            den = np.outer(xn, qn)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                sc = np.where(den > 0, dot / np.where(den > 0, den, 1.0),
+                              np.nan if zero is None else zero)
+            if score_places is not None:
+                sc = _round_half_away(sc, score_places)
+            rows = []
+            rid = pdf[id_col].to_numpy()
+            for j in range(len(ids)):
+                col = np.where(np.isnan(sc[:, j]), -np.inf, sc[:, j])
+                order = np.lexsort((rid, -col))[:k]
+                part = pdf.iloc[order].copy()
+                part[q_id] = ids[j]
+                part["score"] = sc[order, j]
+                rows.append(part)
+            cand = pd.concat(rows + ([best] if best is not None else []), ignore_index=True)
+            key = np.where(np.isnan(cand["score"].to_numpy()), -np.inf, cand["score"].to_numpy())
+            cand = cand.iloc[np.lexsort((cand[id_col].to_numpy(), -key))]
+            best = cand.groupby(q_id, sort=False).head(k).reset_index(drop=True)
+        if best is not None:
+            yield best[[f.name for f in out_schema.fields]]
+
+    scored = store.mapInPandas(score_partition, out_schema)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    return s.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
 def topk_one(store: DataFrame, query_vec: DataFrame, k: int = 3, **kw) -> DataFrame:
