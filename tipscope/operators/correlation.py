@@ -30,26 +30,21 @@ def pair_corr(a: str, b: str) -> Column:
 
 def matrix(df: DataFrame, cols: Sequence[str] = COR_VARS, upper: bool = False) -> DataFrame:
     """Full (or upper-triangle, i <= j) correlation matrix in long form
-    (cor_matrix, cor_upper)."""
+    (cor_matrix, cor_upper). One aggregate; its single row is exploded into
+    (var_x, var_y, r) entries, mirrored for the full matrix."""
     cols = list(cols)
-    aggs, keys = [], []
+    aggs, cells = [], []
     for i, a in enumerate(cols):
         for j in range(i, len(cols)):
             b = cols[j]
-            aggs.append(pair_corr(a, b).alias(f"{i}__{j}"))
-            keys.append((i, j))
-    wide = df.agg(*aggs)
-    lg = wide.unpivot([], [f"{i}__{j}" for i, j in keys], "key", "r")
-    names = F.array(*[F.lit(c) for c in cols])
-    i = F.split("key", "__").getItem(0).cast("int")
-    j = F.split("key", "__").getItem(1).cast("int")
-    out = lg.select(F.element_at(names, i + 1).alias("var_x"),
-                    F.element_at(names, j + 1).alias("var_y"), "r")
-    if upper:
-        return out
-    mirror = out.where(F.col("var_x") != F.col("var_y")).select(
-        F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"), "r")
-    return out.unionByName(mirror)
+            name = f"{i}__{j}"
+            aggs.append(pair_corr(a, b).alias(name))
+            cells.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
+                                  F.col(name).alias("r")))
+            if not upper and a != b:
+                cells.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"),
+                                      F.col(name).alias("r")))
+    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
 
 
 def with_dummies(df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence]) -> DataFrame:
