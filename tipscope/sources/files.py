@@ -71,7 +71,7 @@ def write_csv(df: DataFrame, path: str) -> None:
 
 def text_docs(spark: SparkSession, path: str) -> DataFrame:
     """Whole files -> one (source, text) row per file (src_text_docs)."""
-    return (spark.read.option("wholetext", "true").text(path)
+    return (spark.read.text(path, wholetext=True)
                  .select(F.col("_metadata.file_name").alias("source"),
                          F.col("value").alias("text")))
 
