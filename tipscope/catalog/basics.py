@@ -436,3 +436,15 @@ def _stream_ingest(s, d):
 
 
 register("stream_ingest", _stream_ingest, "SELECT * FROM feat", ["feat"], FEAT_DOUBLES)
+
+
+def _text_docs(s, d):
+    """Documents written one file per document (derived from the table), then
+    read back whole-file; file names are generated, so only the text is kept."""
+    path = _scratch(s, d, "doc_files_" + files._RUN_ID)
+    table(s, d, "documents").select("text").write.option("maxRecordsPerFile", 1) \
+        .mode("overwrite").text(path)
+    return files.text_docs(s, path).select("text")
+
+
+register("src_text_docs", _text_docs, "SELECT text || chr(10) AS text FROM documents")
