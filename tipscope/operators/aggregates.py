@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tipscope.functions import features as fx
+from tipscope.operators.quantiles import exact_quantiles
 
 # Labels of the season chart
 SEASON_WORDS = ("Tourist Season", "Non-Tourist Season")
@@ -46,11 +47,17 @@ def value_table(df: DataFrame, col: str) -> DataFrame:
 
 
 def tip_summary(df: DataFrame, exact: bool = True) -> DataFrame:
-    """Mean and median of tip and tip % in one pass (agg_tip_summary)."""
-    return df.agg(F.avg("tip_amount").alias("mean_tip"),
+    """Mean and median of tip and tip % (agg_tip_summary). The tip median
+    uses the value->count map (cent-quantised); the tip-share median is a
+    continuous column, so it is computed exactly with bounded memory."""
+    main = df.agg(F.avg("tip_amount").alias("mean_tip"),
                   _median("tip_amount", exact).alias("median_tip"),
-                  F.avg("tip_pct").alias("mean_tip_pct"),
-                  _median("tip_pct", exact).alias("median_tip_pct"))
+                  F.avg("tip_pct").alias("mean_tip_pct"))
+    if exact:
+        med = exact_quantiles(df, "tip_pct", [0.5], names=["median_tip_pct"])
+    else:
+        med = df.agg(_median("tip_pct", False).alias("median_tip_pct"))
+    return main.crossJoin(med).select("mean_tip", "median_tip", "mean_tip_pct", "median_tip_pct")
 
 
 def hourly(df: DataFrame, exact: bool = True) -> DataFrame:

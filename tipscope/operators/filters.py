@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from tipscope.functions.features import is_finite
 from tipscope.functions.sizing import broadcast_if_small
+from tipscope.operators.quantiles import quantile_row
 
 # Lookup is small by definition (one row per taxi zone)
 MAX_ZONE_ROWS = 100_000
@@ -78,21 +79,21 @@ def model_clean(df: DataFrame, tip: str = "tip_amount", q: float = 0.99,
 
 def band_trim(df: DataFrame, cols: Iterable[str], lo: float = 0.01, hi: float = 0.99,
               exact: bool = True) -> DataFrame:
-    """Keep rows with p_lo <= x <= p_hi on every column at once (flt_band_trim)."""
+    """Keep rows with p_lo <= x <= p_hi on every column at once (flt_band_trim).
+
+    The bands are exact quantiles computed with bounded memory for all
+    columns together (one one-row table, cross-joined back)."""
     cols = list(cols)
-    aggs = []
-    for c in cols:
-        if exact:
-            aggs.append(F.percentile(F.col(c), F.array(F.lit(lo), F.lit(hi))).alias(f"_b_{c}"))
-        else:
-            aggs.append(F.percentile_approx(F.col(c), F.array(F.lit(lo), F.lit(hi)),
-                                            F.lit(10000)).alias(f"_b_{c}"))
-    bands = df.agg(*aggs)
+    if exact:
+        bands = quantile_row(df, cols, [lo, hi])
+    else:
+        bands = df.agg(*[F.percentile_approx(F.col(c), F.lit(p), F.lit(10000)).cast("double")
+                         .alias(f"{c}__q{i}") for c in cols for i, p in enumerate((lo, hi))])
     cond = F.lit(True)
     for c in cols:
-        cond = cond & F.col(c).between(F.col(f"_b_{c}")[0], F.col(f"_b_{c}")[1])
+        cond = cond & F.col(c).between(F.col(f"{c}__q0"), F.col(f"{c}__q1"))
     return (df.crossJoin(F.broadcast(bands)).where(cond)
-              .drop(*[f"_b_{c}" for c in cols]))
+              .drop(*[f"{c}__q{i}" for c in cols for i in range(2)]))
 
 
 def outlier_or(df: DataFrame, fare_gt: float = 65, tip_gt: float = 20) -> DataFrame:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tipscope.operators.quantiles import multi_quantiles
+
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
@@ -77,8 +79,7 @@ def skim(df: DataFrame, exact: bool = True) -> DataFrame:
 
     def qs(c, ps):
         arr = F.array(*[F.lit(p) for p in ps])
-        return (F.percentile(c, arr) if exact
-                else F.percentile_approx(c, arr, F.lit(10000)).cast("array<double>"))
+        return F.percentile_approx(c, arr, F.lit(10000)).cast("array<double>")
 
     post = []  # (alias, expression over the wide row)
     for c in fam["numeric"]:
@@ -118,6 +119,28 @@ def skim(df: DataFrame, exact: bool = True) -> DataFrame:
         nu = df.select(c).where(F.col(c).isNotNull()).distinct().agg(
             F.count(F.lit(1)).alias(f"{c}__n_unique"))
         wide = wide.crossJoin(nu)
+    qnames = fam["numeric"] + fam["time"]
+    if exact and qnames:
+        # exact quantiles with bounded memory: all columns stacked, one bracket job
+        qstats = {a for a, _ in post}
+        ids_w = [(v, st) for v, st in ids if f"{v}__{st}" not in qstats]
+        cols = [F.col(f"{v}__{st}").cast("double").alias(f"{v}__{st}") for v, st in ids_w]
+        base = _long(wide.select(*cols), ids_w, type_of)
+        exprs = ([F.col(c).cast("double") for c in fam["numeric"]]
+                 + [_epoch_s(F.col(c)) for c in fam["time"]])
+        q = multi_quantiles(df, exprs, [0.25, 0.5, 0.75], var_names=qnames)
+        is_time = F.col("variable").isin(fam["time"]) if fam["time"] else F.lit(False)
+        cells = F.when(is_time, F.array(F.struct(F.lit("median").alias("stat"),
+                                                 F.col("q1").alias("value"))))
+        cells = cells.otherwise(F.array(*[F.struct(F.lit(st).alias("stat"),
+                                                   F.col(f"q{i}").alias("value"))
+                                          for i, st in enumerate(["p25", "p50", "p75"])]))
+        tmap = F.create_map(*[x for k, t in type_of.items() for x in (F.lit(k), F.lit(t))])
+        qrows = (q.select("variable", F.explode(cells).alias("c"))
+                  .select(F.col("variable").alias("skim_variable"),
+                          F.element_at(tmap, F.col("variable")).alias("skim_type"),
+                          "c.stat", F.col("c.value").cast("double").alias("value")))
+        return base.unionByName(qrows)
     wide = wide.select("*", *[e.alias(a) for a, e in post])
     cols = [F.col(f"{v}__{st}").cast("double").alias(f"{v}__{st}") for v, st in ids]
     return _long(wide.select(*cols), ids, type_of)
@@ -142,30 +165,36 @@ def skim_hist(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 8) -
 
 
 def summary(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Min, Q1, median, mean, Q3, max, NA count per numeric column (prof_summary)."""
+    """Min, Q1, median, mean, Q3, max, NA count per numeric column (prof_summary).
+
+    Quartiles are exact with bounded memory (all columns in one bracket job);
+    ``exact=False`` uses sketches."""
     cols = list(cols or column_types(df)["numeric"])
-    aggs, ids = [], []
+    aggs = []
     for c in cols:
         x = F.col(c).cast("double")
-        qs = (F.percentile(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))) if exact
-              else F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                                       F.lit(10000)))
-        aggs.append(qs.alias(f"_{c}_q"))
-        st = {"min": F.min(x), "mean": F.avg(x), "max": F.max(x), "nas": F.count_if(x.isNull())}
-        for s, e in st.items():
-            aggs.append(e.cast("double").alias(f"{c}__{s}"))
+        aggs += [F.min(x).alias(f"{c}__min"), F.avg(x).alias(f"{c}__mean"),
+                 F.max(x).alias(f"{c}__max"), F.count_if(x.isNull()).cast("double").alias(f"{c}__nas")]
+        if not exact:
+            aggs.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
+                                            F.lit(10000)).alias(f"_{c}_q"))
     wide = df.agg(*aggs)
-    sel = []
-    for c in cols:
-        for s in SUMMARY_STATS:
-            ids.append((c, s))
-            if s in ("q1", "median", "q3"):
-                i = {"q1": 0, "median": 1, "q3": 2}[s]
-                sel.append(F.col(f"_{c}_q")[i].cast("double").alias(f"{c}__{s}"))
-            else:
-                sel.append(F.col(f"{c}__{s}"))
-    out = _long(wide.select(*sel), ids, {c: "numeric" for c in cols})
-    return out.select(F.col("skim_variable").alias("variable"), "stat", "value")
+    plain = [(c, st) for c in cols for st in ("min", "mean", "max", "nas")]
+    out = _long(wide.select(*[F.col(f"{c}__{st}") for c, st in plain]), plain,
+                {c: "numeric" for c in cols}).select(F.col("skim_variable").alias("variable"),
+                                                     "stat", "value")
+    names = ["q1", "median", "q3"]
+    if exact:
+        q = multi_quantiles(df, [F.col(c) for c in cols], [0.25, 0.5, 0.75], var_names=cols)
+        qrows = q.select("variable", F.explode(F.array(*[
+            F.struct(F.lit(n).alias("stat"), F.col(f"q{i}").alias("value"))
+            for i, n in enumerate(names)])).alias("c")).select("variable", "c.stat", "c.value")
+    else:
+        qrows = wide.select(F.explode(F.array(*[
+            F.struct(F.lit(c).alias("variable"), F.lit(n).alias("stat"),
+                     F.col(f"_{c}_q")[i].cast("double").alias("value"))
+            for c in cols for i, n in enumerate(names)])).alias("c")).select("c.*")
+    return out.unionByName(qrows)
 
 
 def intro(df: DataFrame) -> DataFrame:

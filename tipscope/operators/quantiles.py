@@ -91,3 +91,25 @@ def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
         *[F.percentile("_x", F.lit(p)).alias(names[i]) for i, p in enumerate(probs)])
     good = res.where(~F.expr(missed)).select(*keys, *names)
     return good.unionByName(fix)
+
+
+def multi_quantiles(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
+                    keys: Sequence[str] = (), var_names: Sequence[str] | None = None,
+                    names: Sequence[str] | None = None) -> DataFrame:
+    """Exact quantiles of several columns at once: the columns are stacked
+    into (variable, value) rows on the map side and bracketed together, so
+    the cost is one sketch pass and one bracket pass for all of them.
+    Returns keys + ``variable`` + one column per probability."""
+    var_names = list(var_names or [c if isinstance(c, str) else f"v{i}" for i, c in enumerate(cols)])
+    exprs = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in cols]
+    stacked = df.select(*keys, F.explode(F.array(*[
+        F.struct(F.lit(v).alias("variable"), e.alias("_v")) for v, e in zip(var_names, exprs)]))
+        .alias("_s")).select(*keys, "_s.variable", "_s._v")
+    return exact_quantiles(stacked, "_v", probs, [*keys, "variable"], names)
+
+
+def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """One row with ``{col}__q{i}`` for every column and probability."""
+    q = multi_quantiles(df, cols, probs)
+    return q.agg(*[F.max(F.when(F.col("variable") == c, F.col(f"q{i}"))).alias(f"{c}__q{i}")
+                   for c in cols for i in range(len(probs))])
