@@ -94,7 +94,7 @@ def pct_share(counts: DataFrame, x: str, n: str = "n", name: str = "share") -> D
 
 
 def prefix_offsets(df: DataFrame, order_col: str, value_col: str,
-                   buckets: int = 64) -> DataFrame:
+                   buckets: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value_col`` in ``order_col`` order, computed
     without a single-task window over the whole table.
 
@@ -103,6 +103,8 @@ def prefix_offsets(df: DataFrame, order_col: str, value_col: str,
     a small prefix sum; each range then runs its own window. Returns the
     input plus ``_offset`` (sum of ``value_col`` over all earlier rows).
     """
+    if buckets is None:  # enough ranges to keep every task busy
+        buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "64")))
     bounds = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)],
                                           0.001)))
     if bounds:
