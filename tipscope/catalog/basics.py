@@ -9,6 +9,7 @@ from tipscope.catalog.base import (SELECTED, all_features, analysis, register, s
                                    trips, zones)
 from tipscope.functions import features as fx
 from tipscope.functions import text as tx
+from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators import filters as flt
 from tipscope.operators import joins
 from tipscope.operators import profile as prof
@@ -315,7 +316,8 @@ register(
 def _join_query_vector(s, d):
     e = table(s, d, "embeddings")
     q = e.where(F.col("vec_id") == 7).select(F.col("embedding").alias("_q"))
-    return e.crossJoin(F.broadcast(q)).select(
+    # the query side is a filter on an id; its size is probed before broadcasting
+    return e.crossJoin(broadcast_if_small(q, 1000)).select(
         "vec_id", tx.cosine(F.col("_q"), F.col("embedding")).alias("score"))
 
 

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from tipscope.catalog.base import analysis, register, selected, table, trips
 from tipscope.catalog.basics import FEAT_DOUBLES, KEY, RECODE_SQL, TRIP_DOUBLES, _recoded
 from tipscope.functions import text as tx
+from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators import binning as bn
 from tipscope.operators import sampling as smp
 from tipscope.operators import trends
@@ -209,7 +210,8 @@ register(
 def _vec7_scores(s, d):
     e = table(s, d, "embeddings")
     q = e.where(F.col("vec_id") == 7).select(F.col("embedding").alias("_q"))
-    return e.crossJoin(F.broadcast(q)).select(
+    # the query side is a filter on an id; its size is probed before broadcasting
+    return e.crossJoin(broadcast_if_small(q, 1000)).select(
         "vec_id", "label", tx.cosine(F.col("_q"), F.col("embedding")).alias("score"))
 
 

@@ -6,6 +6,7 @@ from tipscope.catalog.base import register, table
 from tipscope.catalog.basics import CHUNKS_CTE, DASH_DAYS, DASH_MONTHS, RECODE_SQL, _recoded
 from tipscope.functions import text as tx
 from tipscope.functions.text import LETTERS
+from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators import retrieval as rt
 from tipscope.plans import dashboard as dash
 from tipscope.sources import files
@@ -183,7 +184,7 @@ def _centroids(e):
 def _vec_cosine(s, d):
     e = table(s, d, "embeddings")
     c = _centroids(e)
-    return (e.join(F.broadcast(c), "label")
+    return (e.join(broadcast_if_small(c, 100_000), "label")
              .select("vec_id", "label", tx.cosine("embedding", "centroid").alias("cosine")))
 
 

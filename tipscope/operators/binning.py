@@ -156,8 +156,10 @@ def kde(df: DataFrame, value: str, group: str | Sequence[str] | None = None,
     vc = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
     st = base.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
-        F.percentile("_x", F.array(F.lit(0.25), F.lit(0.75))).alias("_q"),
         F.min("_x").alias("_min"), F.max("_x").alias("_max"))
+    quart = exact_quantiles(base, "_x", [0.25, 0.75], keys, ["_q1", "_q3"])
+    st = (st.join(quart, keys) if keys else st.crossJoin(quart)).withColumn(
+        "_q", F.array("_q1", "_q3")).drop("_q1", "_q3")
     if bw is None:
         iqr = (F.col("_q")[1] - F.col("_q")[0]) / 1.34
         bwc = 0.9 * F.least(F.col("_sd"), iqr) * F.pow(F.col("_n").cast("double"), F.lit(-0.2))

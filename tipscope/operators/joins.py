@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.functions.sizing import broadcast_if_small
+from tipscope.functions.sizing import broadcast_if_small, fits
 from tipscope.operators.filters import MAX_ZONE_ROWS, borough as _semi_borough
 
 
@@ -49,6 +49,8 @@ def semi_zone(trips: DataFrame, zones: DataFrame, boroughs) -> DataFrame:
 
 
 def scalar(df: DataFrame, stat: DataFrame) -> DataFrame:
-    """Attach a one-row statistic to every row (join_scalar). The aggregate
-    has exactly one row, so broadcasting it is bounded."""
+    """Attach a one-row statistic to every row (join_scalar). The statistic
+    is checked to hold one row before it is broadcast."""
+    if not fits(stat, 1):
+        raise ValueError("join_scalar expects a one-row statistic")
     return df.crossJoin(F.broadcast(stat))

@@ -58,10 +58,15 @@ def loess(points: DataFrame, x: str, y: str, group: str | Sequence[str] | None =
     get tricube weights (1 - (d/h)^3)^3 with h the q-th smallest distance;
     the weighted quadratic's value at x0 is solved in closed form from the
     weighted moment sums (Cramer's rule on the 3x3 normal equations).
+
+    Every fit uses ``span`` of its series, so the work per series is its
+    point count squared: pass an aggregated series (one point per distinct
+    x, e.g. 24 hourly medians per zone), whose length does not grow with
+    the number of trips; the number of series may be large.
     """
     keys = _keys(group)
     p = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    a = p.select(*keys, F.col("_x").alias("x0"))
+    a = p.select(*keys, F.col("_x").alias("x0")).distinct()
     j = a.join(p, keys) if keys else a.crossJoin(p)
     j = j.withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
     n_w = Window.partitionBy(*keys, "x0")
