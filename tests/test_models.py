@@ -67,3 +67,11 @@ def test_t_and_f_p_values_in_range(spark):
     for _, b, se, t, p in f.coefficients():
         assert 0 <= p <= 1
     assert 0 <= f.stats()["f_p_value"] <= 1
+
+
+def test_gvif_single_terms_equal_vif(spark):
+    f = flows.fit_model(_clean(spark), flows.MODELS["log_final"])
+    v = {r.term: r.vif for r in reg.vif(spark, f).collect()}
+    g = {r.term: r.gvif for r in reg.gvif(spark, f, {t: [t] for t in f.terms}).collect()}
+    for t in f.terms:
+        assert abs(v[t] - g[t]) < 1e-6 * v[t]

@@ -173,6 +173,25 @@ def _factors(s, d):
 
 register("mod_ols_factors", _factors)
 
+FACTOR_LEVELS = (("pickup_hour", list(range(24))),
+                 ("pickup_weekday_name", ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]),
+                 ("payment_type", [1, 2, 3, 4]), ("month", list(range(1, 13))))
+
+
+def _gvif(s, d):
+    c = clean(s, d)
+    terms = [reg.term(n) for n in ("fare_amount", "trip_distance", "trip_minutes", "extra")]
+    blocks = {n: [n] for n in ("fare_amount", "trip_distance", "trip_minutes", "extra")}
+    for col, levels in FACTOR_LEVELS:
+        names = [f"{col}_{lv}" for lv in levels[1:]]
+        terms += [reg.term(nm, (F.col(col) == F.lit(lv)).cast("double"))
+                  for nm, lv in zip(names, levels[1:])]
+        blocks[col] = names
+    return reg.gvif(s, reg.fit(c, F.col("tip_amount"), terms), blocks)
+
+
+register("mod_gvif", _gvif)
+
 
 def _summary(s, d):
     _, f = _fit(s, d, "log_final")

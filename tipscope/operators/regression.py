@@ -109,8 +109,41 @@ class OlsFit:
         return e
 
 
+WIDE_DESIGN = 12
+
+
+def _moments_wide(d: DataFrame, names: Sequence[str]) -> dict:
+    """Moments of a wide design (many dummy columns) with Spark ML: one pass
+    for counts, means and variances (Summarizer) and one tree-aggregated
+    correlation matrix over the assembled vectors, instead of p^2 separate
+    SQL aggregates."""
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.stat import Correlation, Summarizer
+
+    cols = ["_y", *names]
+    v = VectorAssembler(inputCols=cols, outputCol="_v").transform(d).select("_v")
+    st = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v"))
+                  .alias("s")).first()["s"]
+    n = int(st["count"])
+    mean = st["mean"].toArray()
+    var_s = st["variance"].toArray()          # sample variances
+    var_p = var_s * (n - 1) / n if n else var_s
+    corr = Correlation.corr(v, "_v").first()[0].toArray()
+    sd = np.sqrt(var_p)
+    cov = np.nan_to_num(corr) * np.outer(sd, sd)
+    out = {"n": n, "ybar": mean[0], "vyy": var_p[0]}
+    for i in range(len(names)):
+        out[f"m_{i}"] = mean[i + 1]
+        out[f"cy_{i}"] = cov[i + 1, 0]
+        for j in range(i, len(names)):
+            out[f"c_{i}_{j}"] = var_p[i + 1] if i == j else cov[i + 1, j + 1]
+    return out
+
+
 def moments(d: DataFrame, names: Sequence[str]) -> dict:
     """The single aggregate behind a fit (mod_gram, centred form)."""
+    if len(names) > WIDE_DESIGN:
+        return _moments_wide(d, names)
     aggs = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("ybar"),
             F.var_pop("_y").alias("vyy")]
     aggs += [F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)]
@@ -228,3 +261,31 @@ def gram_long(df: DataFrame, y: Column, terms: Terms) -> DataFrame:
                       "key", "value")
     return lg.select(F.regexp_extract("key", r"^(.*)__", 1).alias("row_term"),
                      F.substring_index("key", "__", -1).alias("col_term"), "value")
+
+
+def gvif(spark: SparkSession, f: OlsFit, blocks: dict[str, Sequence[str]]) -> DataFrame:
+    """Generalised variance inflation for term blocks (a factor's dummy
+    columns form one block): GVIF = det(R11) det(R22) / det(R), with R the
+    predictor correlation matrix, R11 the block and R22 the other terms;
+    also GVIF^(1/(2 df)) (mod_vif for factors). Terms that are constant in
+    the data are left out."""
+    d = np.sqrt(np.diag(f.sxx))
+    live = [i for i in range(f.p) if d[i] > 0]
+    R = f.sxx[np.ix_(live, live)] / np.outer(d[live], d[live])
+    names = [f.terms[i] for i in live]
+    det_all = np.linalg.det(R)
+    rows = []
+    for blk, terms in blocks.items():
+        idx = [names.index(t) for t in terms if t in names]
+        rest = [i for i in range(len(names)) if i not in idx]
+        if not idx:
+            continue
+        r11 = np.linalg.det(R[np.ix_(idx, idx)])
+        r22 = np.linalg.det(R[np.ix_(rest, rest)]) if rest else 1.0
+        g = float(r11 * r22 / det_all)
+        rows.append((blk, g, len(idx), float(g ** (1.0 / (2 * len(idx))))))
+    schema = T.StructType([T.StructField("term", T.StringType()),
+                           T.StructField("gvif", T.DoubleType()),
+                           T.StructField("df", T.LongType()),
+                           T.StructField("gvif_scaled", T.DoubleType())])
+    return spark.createDataFrame(rows, schema)
