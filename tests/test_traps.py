@@ -93,3 +93,47 @@ def test_dashboard_empty_selection(spark):
     df = spark.createDataFrame([("Jan", "Mon")], "month string, pickup_weekday_name string")
     assert flt.dashboard(df, [], ["Mon"]).count() == 0
     assert flt.dashboard(df, ["Jan"], ["Mon"]).count() == 1
+
+
+def test_month_overwritten_and_season_uses_new_month(spark):  # T7, T8
+    from tipscope.plans.features import add_features
+    df = spark.createDataFrame(
+        [(dt.datetime(2025, 7, 31, 23, 50), dt.datetime(2025, 8, 1, 0, 10), 1.0, 2.0, 10.0, "2025-08")],
+        "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, "
+        "tip_amount double, trip_distance double, fare_amount double, month string")
+    r = add_features(df).first()
+    assert r.month == 7 and r.tourist_season == "1" and abs(r.trip_minutes - 20.0) < 1e-12
+
+
+def test_two_season_definitions(spark):  # T9
+    from tipscope.operators.aggregates import month_season
+    df = spark.createDataFrame([(8, 1.0), (9, 2.0)], "month int, tip_amount double")
+    got = {r.month: r.tourist_season for r in month_season(df).collect()}
+    assert got == {"Aug": "Tourist Season", "Sep": "Non-Tourist Season"}
+    flags = [r[0] for r in df.select(fx.season_flag("month")).collect()]
+    assert flags == ["0", "0"]
+
+
+def test_weekday_levels_monday_first(spark):  # T12
+    df = spark.createDataFrame([("Mon",), ("Sun",)], "d string")
+    got = [r[0] for r in df.select(fx.level_rank("d", fx.WEEKDAY_ABBR_MON_FIRST)).collect()]
+    assert got == [1, 7]
+
+
+def test_rounding_half_up_vs_even(spark):  # T15
+    r = spark.range(1).select(F.round(F.lit(0.25), 1), F.bround(F.lit(0.25), 1)).first()
+    assert (r[0], r[1]) == (0.3, 0.2)
+
+
+def test_null_join_key_keeps_row_unmatched(spark):  # T18
+    from tipscope.operators import joins
+    trips = spark.createDataFrame([(1,), (None,)], "PULocationID int")
+    zones = spark.createDataFrame([(1, "A")], "LocationID int, Borough string")
+    got = sorted((r.PULocationID or -1, r.Borough or "") for r in joins.left_zone(trips, zones).collect())
+    assert got == [(-1, ""), (1, "A")]
+
+
+def test_final_model_excludes_total(spark):  # T22
+    from tipscope.plans import flows
+    names = [n for n, _ in flows.MODELS["log_final"].terms]
+    assert "total_amount" not in names and names == ["fare_amount", "fare_sq", "extra"]
