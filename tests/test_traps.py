@@ -137,3 +137,21 @@ def test_final_model_excludes_total(spark):  # T22
     from tipscope.plans import flows
     names = [n for n, _ in flows.MODELS["log_final"].terms]
     assert "total_amount" not in names and names == ["fare_amount", "fare_sq", "extra"]
+
+
+def test_durations_ignore_session_time_zone(spark):
+    """Zone-less timestamps across a daylight-saving gap: minutes, weekday and
+    month key must not depend on the session time zone."""
+    from tipscope.plans.features import add_features
+    old = spark.conf.get("spark.sql.session.timeZone")
+    try:
+        spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+        df = spark.createDataFrame(
+            [(dt.datetime(1995, 4, 2, 1, 50), dt.datetime(1995, 4, 2, 2, 20), 1.0, 1.0, 5.0)],
+            "tpep_pickup_datetime timestamp_ntz, tpep_dropoff_datetime timestamp_ntz, "
+            "tip_amount double, trip_distance double, fare_amount double")
+        r = add_features(df).select("trip_minutes", "pickup_weekday_name",
+                                    fx.year_month("tpep_pickup_datetime").alias("ym")).first()
+        assert r.trip_minutes == 30.0 and r.pickup_weekday_name == "Sun" and r.ym == "1995-04"
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", old)

@@ -346,7 +346,10 @@ def _reg_ft(name, cols, sql_cols, doubles=(), cte="tfeat", src=all_features):
 _reg_ft("ft_parse_ts",
         lambda: [F.col("tpep_pickup_datetime").cast("string").alias("pickup_text"),
          fx.parse_ts(F.col("tpep_pickup_datetime").cast("string")).alias("pickup_parsed"),
-         fx.parse_ts(F.date_format("tpep_pickup_datetime", "dd/MM/yyyy HH:mm:ss"),
+         fx.parse_ts(F.format_string("%02d/%02d/%04d %02d:%02d:%02d",
+                                     *[f("tpep_pickup_datetime") for f in (
+                                         F.dayofmonth, F.month, F.year, F.hour, F.minute,
+                                         F.second)]),
                      "dd/MM/yyyy HH:mm:ss").alias("pickup_parsed_fmt")],
         """CAST(tpep_pickup_datetime AS VARCHAR) AS pickup_text,
            TRY_CAST(CAST(tpep_pickup_datetime AS VARCHAR) AS TIMESTAMP) AS pickup_parsed,

@@ -27,13 +27,37 @@ def parse_ts(x, fmt: str | None = None) -> Column:
     """Text -> timestamp without zone; invalid text gives NULL (ft_parse_ts)."""
     c = _c(x)
     if fmt:
-        return F.try_to_timestamp(c, F.lit(fmt)).cast("timestamp_ntz")
+        # parse without a time zone (so no DST shift); NULL when the text does
+        # not match the pattern (try_to_timestamp tells which texts parse)
+        return F.when(F.try_to_timestamp(c, F.lit(fmt)).isNotNull(),
+                      F.to_timestamp_ntz(c, F.lit(fmt)))
     return c.try_cast("timestamp_ntz")
 
 
+def _day_micros(ts: Column) -> Column:
+    """Microseconds since midnight of a zone-less timestamp (no zone rules)."""
+    return ((F.hour(ts) * 3600 + F.minute(ts) * 60).cast("long") * 1_000_000
+            + (F.extract(F.lit("SECOND"), ts) * 1_000_000).cast("long"))
+
+
+def micros_between(start, end) -> Column:
+    """Exact microseconds from start to end of zone-less timestamps, computed
+    from calendar days and time of day, so the session time zone (and its
+    daylight-saving gaps) never enters."""
+    s, e = _c(start), _c(end)
+    return (F.datediff(F.to_date(e), F.to_date(s)).cast("long") * 86_400_000_000
+            + _day_micros(e) - _day_micros(s))
+
+
+def epoch_seconds(ts) -> Column:
+    """Seconds since 1970-01-01 00:00:00 of a zone-less timestamp."""
+    return micros_between(F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
+                          _c(ts).cast("timestamp_ntz")) / F.lit(1e6)
+
+
 def minutes_between(start, end) -> Column:
     """Fractional minutes from start to end; may be zero or negative (ft_minutes)."""
-    return F.timestamp_diff("MICROSECOND", _c(start), _c(end)) / F.lit(6.0e7)
+    return micros_between(start, end) / F.lit(6.0e7)
 
 
 def safe_div(num, den) -> Column:
@@ -87,8 +111,14 @@ def weekday_num(ts) -> Column:
 
 
 def weekday_name(ts) -> Column:
-    """Abbreviated English weekday name (ft_weekday_name)."""
-    return F.date_format(_c(ts), "E")
+    """Abbreviated English weekday name (ft_weekday_name), from the weekday
+    number so that no zone conversion is involved."""
+    return F.element_at(F.array(*[F.lit(d) for d in WEEKDAY_ABBR_SUN_FIRST]), F.dayofweek(_c(ts)))
+
+
+def year_month(ts) -> Column:
+    """'yyyy-MM' of a zone-less timestamp."""
+    return F.format_string("%04d-%02d", F.year(_c(ts)), F.month(_c(ts)))
 
 
 def level_rank(x, levels) -> Column:

@@ -161,8 +161,8 @@ def duration_quality(df: DataFrame, pickup: str = "tpep_pickup_datetime",
                      minutes: str = "trip_minutes") -> DataFrame:
     """Anomaly report: minutes <= 0, NULL minutes, NULL ends, exact-midnight
     ends, zero duration (qual_duration). One global aggregate."""
-    def midnight(c):
-        return F.date_trunc("day", F.col(c)) == F.col(c)
+    def midnight(c):  # time-zone free: the day start of a zone-less timestamp
+        return F.to_date(F.col(c)).cast("timestamp_ntz") == F.col(c)
     return df.agg(
         F.count_if(F.col(minutes) <= 0).alias("minutes_le_0"),
         F.count_if(F.col(minutes).isNull()).alias("minutes_null"),

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tipscope.functions.features import epoch_seconds
 from tipscope.operators.quantiles import multi_quantiles
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
@@ -49,9 +50,8 @@ def select_by_type(df: DataFrame, family: str = "numeric", exclude: Sequence[str
 
 
 def _epoch_s(c: Column) -> Column:
-    # unix_micros rejects timestamp_ntz (T19); a difference from the epoch works for both
-    return F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"),
-                            c.cast("timestamp_ntz")) / F.lit(1e6)
+    # unix_micros rejects timestamp_ntz (T19); calendar arithmetic is zone-free
+    return epoch_seconds(c)
 
 
 def _long(wide: DataFrame, ids: list[tuple[str, str]], type_of: dict[str, str]) -> DataFrame:

@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tipscope.functions.features import year_month
+
 # Fixed values of the fixture rules (must equal the oracle's CTEs).
 # zone id left out of the lookup so that unmatched zones occur
 MISSING_ZONE_ID = 24
@@ -65,7 +67,7 @@ def trips(spark: SparkSession, sf_dir: str) -> DataFrame:
         (fare + extra + tip + airport).alias("total_amount"),
         F.col("c_nationkey").alias("PULocationID"),
         F.col("s_nationkey").alias("DOLocationID"),
-        F.date_format(pickup, "yyyy-MM").alias("file_month"),
+        year_month(pickup).alias("file_month"),
     )
 
 
