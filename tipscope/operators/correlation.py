@@ -1,10 +1,9 @@
 """Pairwise-complete Pearson correlation.
 
-All p(p+1)/2 pairs come from ONE aggregate. Each pair uses only rows
-where both values are present, and is written in covariance form so a
-constant column yields NULL instead of the divide-by-zero error ``corr``
-raises under ANSI mode (trap T5). The one-row result is unpivoted to
-long form (var_x, var_y, r).
+Each pair uses only rows where both values are present, and is written in
+covariance form so a constant column yields NULL instead of the
+divide-by-zero error ``corr`` raises under ANSI mode (trap T5). Results are
+in long form (var_x, var_y, r).
 """
 
 from __future__ import annotations
@@ -30,21 +29,28 @@ def pair_corr(a: str, b: str) -> Column:
 
 def matrix(df: DataFrame, cols: Sequence[str] = COR_VARS, upper: bool = False) -> DataFrame:
     """Full (or upper-triangle, i <= j) correlation matrix in long form
-    (cor_matrix, cor_upper). One aggregate; its single row is exploded into
-    (var_x, var_y, r) entries, mirrored for the full matrix."""
+    (cor_matrix, cor_upper).
+
+    Each row is unfolded map-side into its p(p+1)/2 (pair, x, y) cells,
+    cells with a missing side are dropped (pairwise-complete), and one
+    grouped aggregate over the pairs gives r in covariance form. The map-side
+    partial aggregation leaves one row per pair per task to shuffle, and the
+    generated code stays small however many columns there are."""
     cols = list(cols)
-    aggs, cells = [], []
-    for i, a in enumerate(cols):
-        for j in range(i, len(cols)):
-            b = cols[j]
-            name = f"{i}__{j}"
-            aggs.append(pair_corr(a, b).alias(name))
-            cells.append(F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                                  F.col(name).alias("r")))
-            if not upper and a != b:
-                cells.append(F.struct(F.lit(b).alias("var_x"), F.lit(a).alias("var_y"),
-                                      F.col(name).alias("r")))
-    return df.agg(*aggs).select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    cells = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
+                               F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                      for i, a in enumerate(cols) for b in cols[i:]])
+    e = (df.select(F.explode(cells).alias("c")).select("c.*")
+           .where(F.col("x").isNotNull() & F.col("y").isNotNull()))
+    r = e.groupBy("var_x", "var_y").agg(
+        F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("r"))
+    if upper:
+        return r
+    both = F.array(F.struct("var_x", "var_y", "r"),
+                   F.struct(F.col("var_y").alias("var_x"), F.col("var_x").alias("var_y"), "r"))
+    return (r.select(F.explode(F.when(F.col("var_x") == F.col("var_y"),
+                                      F.array(F.struct("var_x", "var_y", "r")))
+                                .otherwise(both)).alias("c")).select("c.*"))
 
 
 def with_dummies(df: DataFrame, numeric: Sequence[str], categorical: dict[str, Sequence]) -> DataFrame:
