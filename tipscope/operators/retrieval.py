@@ -119,13 +119,18 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
     qmat = (np.stack([np.asarray(v, dtype="float64") for v in qp["qv"]])
             if len(qp) else np.zeros((0, 0)))
     spark = store.sparkSession
-    bq = spark.sparkContext.broadcast((qids, qmat))
+    try:  # ship the (bounded) query matrix once per executor
+        bq = spark.sparkContext.broadcast((qids, qmat))
+        get_q = lambda: bq.value
+    except Exception:  # noqa: BLE001 - no local context: travel with the task closure
+        payload = (qids, qmat)
+        get_q = lambda: payload
     qid_type = queries.schema[q_id].dataType
     out_schema = T.StructType(store.schema.fields + [T.StructField(q_id, qid_type),
                                                      T.StructField("score", T.DoubleType())])
 
     def score_partition(batches):
-        ids, Q = bq.value
+        ids, Q = get_q()
         qn = np.sqrt(np.einsum("ij,ij->i", Q, Q)) if len(Q) else np.zeros(0)
         best = None
         for pdf in batches:

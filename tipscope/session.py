@@ -48,11 +48,23 @@ def checkpoint_dir(spark: SparkSession) -> str:
     is unset (local tests) a fresh scratch folder is created and recorded.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
-    if not d:
-        d = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # noqa: BLE001 - sessions without a local context
+        sc = None
+    if not d and sc is not None:
+        d = sc.getCheckpointDir()
     if not d:
         d = tempfile.mkdtemp(prefix="tipscope-ckpt-", dir="/tmp")
-        spark.sparkContext.setCheckpointDir(d)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(d)
+        spark.conf.set("spark.checkpoint.dir", d) if sc is None else sc.setCheckpointDir(d)
+    elif sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(d)
     return d
+
+
+def app_id(spark: SparkSession) -> str:
+    """Identifier of the running application (keys per-application caches)."""
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:  # noqa: BLE001
+        return spark.conf.get("spark.app.id", "app")

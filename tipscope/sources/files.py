@@ -113,7 +113,8 @@ def materialized(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     pruning and pushdown instead of re-running the joins, and the lineage is
     cut, so a lost executor re-reads files rather than recomputing joins.
     """
-    key = (spark.sparkContext.applicationId, name)
+    from tipscope.session import app_id
+    key = (app_id(spark), name)
     if key not in _MATERIALIZED:
         safe = "".join(ch if ch.isalnum() else "_" for ch in name)
         path = scratch_path(spark, f"{safe}-{_RUN_ID}")
@@ -126,4 +127,5 @@ def materialized(spark: SparkSession, name: str, build: Callable[[], DataFrame])
 def materialized_path(spark: SparkSession, name: str, build: Callable[[], DataFrame]) -> str:
     """Folder holding the parquet files of ``materialized(spark, name, build)``."""
     materialized(spark, name, build)
-    return _PATHS[(spark.sparkContext.applicationId, name)]
+    from tipscope.session import app_id
+    return _PATHS[(app_id(spark), name)]
