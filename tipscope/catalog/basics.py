@@ -313,21 +313,28 @@ register(
     ["feat"], ["tip_amount", "tip_p99"])
 
 
-def _join_query_vector(s, d):
+def _query_vector_scores(s, d):
+    """Cosine of every stored vector with one query vector: the mean of all
+    vectors (a one-row aggregate)."""
     e = table(s, d, "embeddings")
-    q = e.where(F.col("vec_id") == 7).select(F.col("embedding").alias("_q"))
-    # the query side is a filter on an id; its size is probed before broadcasting
-    return e.crossJoin(broadcast_if_small(q, 1000)).select(
-        "vec_id", tx.cosine(F.col("_q"), F.col("embedding")).alias("score"))
+    q = rt.centroids(e).select(F.col("centroid").alias("_q"))
+    return e.crossJoin(broadcast_if_small(q, 1)).select(
+        "vec_id", "label", tx.cosine(F.col("_q"), F.col("embedding")).alias("score"))
 
 
-register(
-    "join_query_vector", _join_query_vector,
-    """SELECT e.vec_id,
-              coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
-                                              CAST(e.embedding AS DOUBLE[])), 0.0) AS score
-       FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q""",
-    (), ["score"])
+GCENT_CTE = {"gcent": """
+  SELECT list(v ORDER BY i) AS centroid FROM (
+    SELECT i, avg(CAST(v AS DOUBLE)) AS v FROM (
+      SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) x
+    GROUP BY i) y"""}
+QV_SQL = """SELECT e.vec_id, e.label,
+              coalesce(list_dot_product(q.centroid, CAST(e.embedding AS DOUBLE[]))
+                / nullif(sqrt(list_dot_product(q.centroid, q.centroid))
+                         * sqrt(list_dot_product(CAST(e.embedding AS DOUBLE[]),
+                                                 CAST(e.embedding AS DOUBLE[]))), 0), 0.0) AS score
+       FROM embeddings e, gcent q"""
+
+register("join_query_vector", _query_vector_scores, QV_SQL, (), ["score"], GCENT_CTE)
 
 # ---------------------------------------------------------------- §2.8 features
 
@@ -363,10 +370,10 @@ _reg_ft("ft_date", lambda: [F.to_date("tpep_pickup_datetime").alias("pickup_date
            CAST(tpep_dropoff_datetime AS DATE) AS dropoff_date""")
 _reg_ft("ft_month", lambda: ["month"], "month")
 _reg_ft("ft_file_month",
-        lambda: [fx.file_month(F.when(F.col("l_linenumber") % 2 == 0,
+        lambda: [fx.file_month(F.when(F.col("payment_type") == 1,
                               F.concat(F.lit("trips_"), F.col("file_month"), F.lit(".parquet")))
                        .otherwise(F.lit("trips.parquet"))).alias("month_from_name")],
-        r"""nullif(regexp_extract(CASE WHEN l_linenumber % 2 = 0
+        r"""nullif(regexp_extract(CASE WHEN payment_type = 1
                                       THEN 'trips_' || file_month || '.parquet'
                                       ELSE 'trips.parquet' END, '(\d{4}-\d{2})', 1), '')
               AS month_from_name""")

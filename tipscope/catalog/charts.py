@@ -4,7 +4,8 @@
 from pyspark.sql import functions as F
 
 from tipscope.catalog.base import analysis, register, selected, table, trips
-from tipscope.catalog.basics import FEAT_DOUBLES, KEY, RECODE_SQL, TRIP_DOUBLES, _recoded
+from tipscope.catalog.basics import (FEAT_DOUBLES, GCENT_CTE, KEY, QV_SQL, RECODE_SQL,
+                                     TRIP_DOUBLES, _recoded)
 from tipscope.functions import text as tx
 from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators import binning as bn
@@ -207,21 +208,18 @@ register(
        FROM feat GROUP BY 1, 2""", ["feat"], ["share"])
 
 
-def _vec7_scores(s, d):
-    e = table(s, d, "embeddings")
-    q = e.where(F.col("vec_id") == 7).select(F.col("embedding").alias("_q"))
-    # the query side is a filter on an id; its size is probed before broadcasting
-    return e.crossJoin(broadcast_if_small(q, 1000)).select(
-        "vec_id", "label", tx.cosine(F.col("_q"), F.col("embedding")).alias("score"))
+def _topk_scores(s, d):
+    from tipscope.catalog.basics import _query_vector_scores
+    sc = _query_vector_scores(s, d)
+    # rank on the score rounded to 9 places (as the oracle does) so float noise cannot reorder
+    return smp.topk(sc.withColumn("score", F.round(F.col("score") * 1e9) / 1e9), "score", 3,
+                    ["vec_id"])
 
 
 register(
-    "srt_topk_desc", lambda s, d: smp.topk(_vec7_scores(s, d), "score", 3, ["vec_id"]),
-    """SELECT e.vec_id, e.label,
-              coalesce(list_cosine_similarity(CAST(q.embedding AS DOUBLE[]),
-                                              CAST(e.embedding AS DOUBLE[])), 0.0) AS score
-       FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q
-       ORDER BY score DESC, vec_id LIMIT 3""", (), ["score"])
+    "srt_topk_desc", _topk_scores,
+    "SELECT vec_id, label, round(score, 9) AS score FROM (" + QV_SQL
+    + ") q ORDER BY round(score, 9) DESC, vec_id LIMIT 3", (), ["score"], GCENT_CTE)
 
 register("lim_head", lambda s, d: smp.head(trips(s, d), 10, TRIP_KEY),
          f"SELECT * FROM trips ORDER BY {KEY} LIMIT 10", ["trips"], TRIP_DOUBLES)

@@ -151,34 +151,39 @@ register("txt_prompt",
          PROMPT_SQL, (), (), LSTORE)
 
 
-def _vec7(s, d):
+def global_centroid(s, d):
+    """The mean of all stored vectors: the query of the single-query lookups."""
+    return rt.centroids(table(s, d, "embeddings"))
+
+
+GCENT_SQL = """
+  SELECT list(v ORDER BY i) AS centroid FROM (
+    SELECT i, avg(CAST(v AS DOUBLE)) AS v FROM (
+      SELECT unnest(embedding) AS v, unnest(range(len(embedding))) AS i FROM embeddings) x
+    GROUP BY i) y"""
+
+
+def _vec_one(s, d):
     e = table(s, d, "embeddings").select(F.col("vec_id").alias("chunk_id"), "label", "embedding")
-    q = e.where(F.col("chunk_id") == 7).select(F.col("chunk_id").alias("query_id"),
-                                               F.col("embedding").alias("query_vec"))
+    q = global_centroid(s, d).select(F.lit(0).cast("long").alias("query_id"),
+                                     F.col("centroid").alias("query_vec"))
     return rt.topk_one(e, q, 3).select("query_id", "chunk_id", "label", "score", "rank")
 
 
 register(
-    "vec_topk", _vec7,
+    "vec_topk", _vec_one,
     f"""SELECT * FROM (
-          SELECT 7 AS query_id, e.vec_id AS chunk_id, e.label,
-                 round({_cos_sql('CAST(q.embedding AS DOUBLE[])', 'CAST(e.embedding AS DOUBLE[])')}, 9)
-                   AS score,
-                 row_number() OVER (ORDER BY round({_cos_sql('CAST(q.embedding AS DOUBLE[])',
+          SELECT CAST(0 AS BIGINT) AS query_id, e.vec_id AS chunk_id, e.label,
+                 round({_cos_sql('q.centroid', 'CAST(e.embedding AS DOUBLE[])')}, 9) AS score,
+                 row_number() OVER (ORDER BY round({_cos_sql('q.centroid',
                                                              'CAST(e.embedding AS DOUBLE[])')}, 9)
                                     DESC, e.vec_id) AS rank
-          FROM embeddings e, (SELECT embedding FROM embeddings WHERE vec_id = 7) q) t
-        WHERE rank <= 3""", (), ["score"])
+          FROM embeddings e, gcent q) t
+        WHERE rank <= 3""", (), ["score"], {"gcent": GCENT_SQL})
 
 
 def _centroids(e):
-    """Mean vector per label: one grouped aggregate per (label, position), then
-    each label's dims (a fixed, small count) gathered in order."""
-    x = e.select("label", F.posexplode("embedding").alias("i", "v"))
-    m = x.groupBy("label", "i").agg(F.avg(F.col("v").cast("double")).alias("v"))
-    return m.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda t: t["v"])
-        .alias("centroid"))
+    return rt.centroids(e, "embedding", ["label"])
 
 
 def _vec_cosine(s, d):

@@ -167,6 +167,18 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
+def centroids(df: DataFrame, vec_col: str = "embedding", keys: Sequence[str] = ()) -> DataFrame:
+    """Mean vector per group (or of the whole table): one grouped average per
+    (group, position), then each group's positions (a fixed, small count)
+    gathered in order. Output: keys + ``centroid``."""
+    keys = list(keys)
+    x = df.select(*keys, F.posexplode(vec_col).alias("_i", "_v"))
+    m = x.groupBy(*keys, "_i").agg(F.avg(F.col("_v").cast("double")).alias("_v"))
+    g = m.groupBy(*keys) if keys else m.groupBy()
+    return g.agg(F.transform(F.array_sort(F.collect_list(F.struct("_i", "_v"))),
+                             lambda t: t["_v"]).alias("centroid"))
+
+
 def topk_one(store: DataFrame, query_vec: DataFrame, k: int = 3, **kw) -> DataFrame:
     """Top-k for a single query vector (vec_topk); ``query_vec`` has one row."""
     return topk_batch(store, query_vec, k, **kw)
