@@ -13,11 +13,11 @@ from tipscope.streaming.ingest import run_ingest
 
 def test_text_docs_whole_files(spark):
     d = tempfile.mkdtemp(prefix="docs-", dir="/tmp")
-    for name, text in (("a.Rmd", "line one\nline two\n"), ("b.txt", "other")):
+    for name, text in (("a.md", "line one\nline two\n"), ("b.txt", "other")):
         with open(os.path.join(d, name), "w") as fh:
             fh.write(text)
     got = {r.source: r.text for r in files.text_docs(spark, d).collect()}
-    assert got == {"a.Rmd": "line one\nline two\n", "b.txt": "other"}
+    assert got == {"a.md": "line one\nline two\n", "b.txt": "other"}
 
 
 def test_cached_table_reuse_and_rebuild(spark):
