@@ -32,7 +32,10 @@ MAX_GROUPS_BROADCAST = 1_000_000
 
 
 def _accuracy(n: int) -> int:
-    return int(min(max(8 * n // MAX_BRACKET, 10_000), 10_000_000))
+    """Sketch accuracy: brackets of about MAX_BRACKET values, with the sketch
+    itself capped (its size grows with the accuracy); past the cap the
+    bracket grows instead, ~8 n / 1e6 values (64 MB at a trillion rows)."""
+    return int(min(max(8 * n // MAX_BRACKET, 10_000), 1_000_000))
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
