@@ -226,17 +226,15 @@ register(
 
 
 def _rag_retrieve(s, d):
-    """Question + dashboard context -> top-3 chunks and the prompt, with
+    """Question + dashboard context -> top-3 sources and the prompt, with
     hashing/IDF vectors fitted on the chunk store (no model call)."""
     st = store(s, d)
     model = rt.hashing_model(st, "chunk")
     vecs = rt.embed_with(model, st)
     qs = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"),
-                                         F.col("text").alias("question"))
-    qv = rt.embed_with(model, qs.withColumnRenamed("question", "chunk"), "query_vec") \
-        .withColumnRenamed("chunk", "question")
-    hits = rt.topk_batch(vecs, qv, 3)
-    return rt.prompts(hits, qs, context=_context(s, d))
+                                         F.col("text").alias("chunk"))
+    qv = rt.embed_with(model, qs, "query_vec").withColumnRenamed("chunk", "question")
+    return rt.retrieve(vecs, qv, 3, context=_context(s, d))
 
 
 register("rag_retrieve", _rag_retrieve)

@@ -229,3 +229,19 @@ def prompts(hits: DataFrame, questions: DataFrame, q_id: str = "query_id",
                          F.coalesce(F.col("_ctx"), F.lit("")), F.lit(""), F.lit("Question:"),
                          F.col("question"))
     return j.select(q_id, "question", prompt.alias("prompt"))
+
+
+def retrieve(store: DataFrame, questions: DataFrame, k: int = 3, q_id: str = "query_id",
+             q_text: str = "question", q_vec: str = "query_vec",
+             context: DataFrame | None = None) -> DataFrame:
+    """Questions (with their vectors) -> top-k chunks as ``sources`` (rank
+    order: chunk_id, source, score to 4 places) and the assembled prompt
+    (rag_retrieve; the model call itself is not made)."""
+    hits = topk_batch(store, questions.select(q_id, q_vec), k, q_id=q_id, q_vec=q_vec)
+    src = (hits.groupBy(q_id)
+               .agg(F.array_sort(F.collect_list(F.struct(
+                   "rank", "chunk_id", "source",
+                   (F.round(F.col("score") * 1e4) / 1e4).alias("score")))).alias("_s"))
+               .select(q_id, F.transform("_s", lambda x: x.dropFields("rank")).alias("sources")))
+    p = prompts(hits, questions.select(q_id, q_text), q_id, q_text, context)
+    return p.join(src, q_id, "left")
