@@ -93,6 +93,16 @@ def pct_share(counts: DataFrame, x: str, n: str = "n", name: str = "share") -> D
     return counts.withColumn(name, F.col(n) / F.sum(n).over(Window.partitionBy(x)))
 
 
+def _range_index(x: Column, bounds: list, lo: int, hi: int) -> Column:
+    """Number of bounds <= x, as a balanced tree of comparisons (log2 of the
+    bound count per row, compiled with the rest of the stage)."""
+    if lo >= hi:
+        return F.lit(lo)
+    mid = (lo + hi) // 2
+    return F.when(x >= F.lit(bounds[mid]), _range_index(x, bounds, mid + 1, hi)) \
+            .otherwise(_range_index(x, bounds, lo, mid))
+
+
 def prefix_offsets(df: DataFrame, order_col: str, value_col: str,
                    buckets: int | None = None) -> DataFrame:
     """Exclusive running sum of ``value_col`` in ``order_col`` order, computed
@@ -107,11 +117,7 @@ def prefix_offsets(df: DataFrame, order_col: str, value_col: str,
         buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "64")))
     bounds = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)],
                                           0.001)))
-    if bounds:
-        arr = F.array(*[F.lit(b) for b in bounds])
-        bucket = F.size(F.filter(arr, lambda b: b <= F.col(order_col)))
-    else:
-        bucket = F.lit(0)
+    bucket = _range_index(F.col(order_col), bounds, 0, len(bounds))
     b = df.withColumn("_bucket", bucket)
     totals = b.groupBy("_bucket").agg(F.sum(value_col).alias("_btotal"))
     boff = totals.withColumn(
