@@ -56,3 +56,15 @@ def test_streaming_ingest_processes_new_files_once(spark):
     from tipscope.operators import filters as flt
     expect = flt.trip_quality(flt.borough(trips, zones, ["AFRICA", "AMERICA", "ASIA"])).count()
     assert 0 < n1 < n2 == expect
+
+
+def test_notebook_run_writes_every_table(spark):
+    from tipscope.plans import notebook
+    out = tempfile.mkdtemp(prefix="notebook-", dir="/tmp")
+    paths = notebook.run(spark, fx.trips(spark, SMALL), fx.zones(spark, SMALL),
+                         ["AFRICA", "AMERICA", "ASIA"], out, target_n=400)
+    for name, p in paths.items():
+        assert os.path.isdir(p), name
+    assert spark.read.parquet(paths["coefficients"]).count() == 4 + 6 + 6 + 5
+    counts = [r.n for r in spark.read.parquet(paths["sample_check"]).collect()]
+    assert counts and max(counts) <= 400
