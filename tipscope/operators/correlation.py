@@ -71,4 +71,4 @@ def rank_target(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
     return (lg.withColumn("abs_r", F.abs("r"))
               # one row per predictor: the window orders p rows, not the data
               .withColumn("rank", F.row_number().over(
-                  Window.orderBy(F.col("abs_r").desc_nulls_last(), "variable"))))
+                  Window.orderBy(F.col("abs_r").desc_nulls_last(), "variable")).cast("long")))

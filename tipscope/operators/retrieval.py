@@ -164,7 +164,8 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
 
     scored = store.mapInPandas(score_partition, out_schema)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (scored.withColumn("rank", F.row_number().over(w).cast("long"))
+                  .where(F.col("rank") <= k))
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", keys: Sequence[str] = ()) -> DataFrame:
