@@ -152,10 +152,15 @@ register(
     f"""SELECT {KEY}, PULocationID, z.Borough AS PUBorough
         FROM trips LEFT JOIN zones z ON PULocationID = z.LocationID""", ["trips", "zones"])
 
+# the numeric columns of the extract (trip key excluded), as the schema walk finds them
+NUMERIC_EXTRACT = ("fare_amount", "tip_amount", "trip_distance", "extra", "payment_type",
+                   "passenger_count", "airport_fee", "total_amount", "PULocationID",
+                   "DOLocationID", "month", "trip_minutes", "trip_speed_mph", "tip_pct")
 register(
     "proj_numeric_cols",
     lambda s, d: prof.select_by_type(extract_columns(analysis(s, d)), "numeric",
-                                     exclude=TRIP_KEY))
+                                     exclude=TRIP_KEY),
+    "SELECT " + ", ".join(NUMERIC_EXTRACT) + " FROM feat", ["feat"], FEAT_DOUBLES)
 
 register(
     "proj_cast_factor",
