@@ -308,6 +308,24 @@ register("prof_missing",
          lambda s, d: prof.missing(all_features(s, d).select(*INTRO_COLS)),
          _missing_sql(), ["tfeat"], ["pct_missing"])
 
+STRUCT_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+# column -> Spark type name of the trip table
+TRIP_TYPES = (("l_orderkey", "bigint"), ("l_linenumber", "int"), ("l_partkey", "bigint"),
+              ("l_suppkey", "bigint"), ("tpep_pickup_datetime", "timestamp_ntz"),
+              ("tpep_dropoff_datetime", "timestamp_ntz"), ("fare_amount", "double"),
+              ("tip_amount", "double"), ("trip_distance", "double"), ("extra", "double"),
+              ("payment_type", "int"), ("passenger_count", "int"), ("airport_fee", "double"),
+              ("total_amount", "double"), ("PULocationID", "int"), ("DOLocationID", "int"),
+              ("file_month", "string"))
+
+
+def _structure_sql():
+    key = ", ".join(STRUCT_KEY)
+    parts = [f"SELECT '{c}' AS variable, '{t}' AS type, string_agg(CAST({c} AS VARCHAR), ', '"
+             f" ORDER BY {key}) AS first_values FROM h" for c, t in TRIP_TYPES]
+    return "\nUNION ALL ".join(parts)
+
+
 register("prof_structure",
-         lambda s, d: prof.structure(trips(s, d).orderBy("l_orderkey", "l_linenumber",
-                                                         "l_partkey", "l_suppkey")))
+         lambda s, d: prof.structure(trips(s, d), 5, STRUCT_KEY), _structure_sql(), ["trips"], (),
+         {"h": f"SELECT * FROM trips ORDER BY {', '.join(STRUCT_KEY)} LIMIT 5"})

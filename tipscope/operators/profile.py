@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -232,12 +232,20 @@ def missing(df: DataFrame) -> DataFrame:
               .orderBy(F.col("n_missing").desc(), "variable"))
 
 
-def structure(df: DataFrame, n_values: int = 5) -> DataFrame:
+def structure(df: DataFrame, n_values: int = 5, order_by: Sequence[str] = ()) -> DataFrame:
     """Column name, type and the first values (prof_structure). Reads only
-    a bounded ``limit`` of rows."""
-    head = df.limit(n_values)
+    a bounded ``limit`` of rows (the first ones in ``order_by`` order when
+    given, which makes the output deterministic)."""
+    head = (df.orderBy(*order_by) if order_by else df).limit(n_values)
     cols = df.columns
-    w = head.agg(*[F.collect_list(F.col(c).cast("string")).alias(c) for c in cols])
+    if order_by:
+        # a window over the n_values limited rows only
+        head = head.withColumn("_pos", F.row_number().over(Window.orderBy(*order_by)))
+        w = head.agg(*[F.transform(F.array_sort(F.collect_list(F.struct(
+            "_pos", F.col(c).cast("string").alias("v")))), lambda t: t["v"]).alias(c)
+            for c in cols])
+    else:
+        w = head.agg(*[F.collect_list(F.col(c).cast("string")).alias(c) for c in cols])
     types = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     lg = w.unpivot([], cols, "variable", "values")
     tmap = F.create_map(*[x for k, t in types.items() for x in (F.lit(k), F.lit(t))])
