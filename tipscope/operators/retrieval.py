@@ -126,8 +126,9 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
         payload = (qids, qmat)
         get_q = lambda: payload
     qid_type = queries.schema[q_id].dataType
-    out_schema = T.StructType(store.schema.fields + [T.StructField(q_id, qid_type),
-                                                     T.StructField("score", T.DoubleType())])
+    slim = store.select(id_col, vec_col)      # only ids and vectors travel to Python
+    out_schema = T.StructType([store.schema[id_col], T.StructField(q_id, qid_type),
+                               T.StructField("score", T.DoubleType())])
 
     def score_partition(batches):
         ids, Q = get_q()
@@ -151,7 +152,7 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
             for j in range(len(ids)):
                 col = np.where(np.isnan(sc[:, j]), -np.inf, sc[:, j])
                 order = np.lexsort((rid, -col))[:k]
-                part = pdf.iloc[order].copy()
+                part = pdf.iloc[order][[id_col]].copy()
                 part[q_id] = ids[j]
                 part["score"] = sc[order, j]
                 rows.append(part)
@@ -162,10 +163,12 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
         if best is not None:
             yield best[[f.name for f in out_schema.fields]]
 
-    scored = store.mapInPandas(score_partition, out_schema)
+    scored = slim.mapInPandas(score_partition, out_schema)
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    return (scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    hits = (scored.withColumn("rank", F.row_number().over(w).cast("long"))
                   .where(F.col("rank") <= k))
+    # at most k rows per query (k x MAX_QUERIES rows at most): attach the stored columns by id
+    return store.join(F.broadcast(hits), id_col)
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", keys: Sequence[str] = ()) -> DataFrame:
