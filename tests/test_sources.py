@@ -68,3 +68,17 @@ def test_notebook_run_writes_every_table(spark):
     assert spark.read.parquet(paths["coefficients"]).count() == 4 + 6 + 6 + 5
     counts = [r.n for r in spark.read.parquet(paths["sample_check"]).collect()]
     assert counts and max(counts) <= 400
+
+
+def test_dashboard_load_recodes_once(spark):
+    from tipscope.catalog.base import analysis
+    from tipscope.plans import dashboard as dash
+    from tipscope.plans.features import extract_columns
+    ex = extract_columns(analysis(spark, SMALL))
+    path = tempfile.mkdtemp(prefix="extract-", dir="/tmp") + "/x"
+    files.write_csv(ex, path)
+    df = dash.load(spark, path, ex.schema, tempfile.mkdtemp(prefix="dash-", dir="/tmp") + "/r")
+    assert df.count() == ex.count()
+    assert set(r.month for r in df.select("month").distinct().collect()) <= set(dash.MONTH_LEVELS)
+    page = dash.table_page(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], None, 1, 5)
+    assert page.count() == min(5, ex.count())
