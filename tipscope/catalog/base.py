@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipscope import oracle
-from tipscope.operators import aggregates as agg
 from tipscope.operators import filters as flt
 from tipscope.plans.features import add_features
 from tipscope.sources import files

@@ -3,11 +3,9 @@
 
 from pyspark.sql import functions as F
 
-from tipscope.catalog.base import analysis, register, selected, table, trips
+from tipscope.catalog.base import analysis, register, selected, trips
 from tipscope.catalog.basics import (FEAT_DOUBLES, GCENT_CTE, KEY, QV_SQL, RECODE_SQL,
                                      TRIP_DOUBLES, _recoded)
-from tipscope.functions import text as tx
-from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators import binning as bn
 from tipscope.operators import sampling as smp
 from tipscope.operators import trends
