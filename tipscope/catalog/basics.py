@@ -445,9 +445,11 @@ def _stream_ingest(s, d):
     from tipscope.sources import fixtures as fx_src
     from tipscope.streaming.ingest import run_ingest
     src = files.materialized_path(s, f"trips:{d}", lambda: fx_src.trips(s, d))
-    out = _scratch(s, d, "stream_out_" + files._RUN_ID)
-    q = run_ingest(s, src, zones(s, d), SELECTED, out, name="ingest_" + files._RUN_ID
-                   + "_" + os.path.basename(d.rstrip("/")))
+    from tipscope.session import app_id
+    run = "".join(ch if ch.isalnum() else "_" for ch in f"{app_id(s)}_{files._RUN_ID}")
+    out = _scratch(s, d, "stream_out_" + run)
+    q = run_ingest(s, src, zones(s, d), SELECTED, out,
+                   name=f"ingest_{run}_{os.path.basename(d.rstrip('/'))}")
     q.awaitTermination()
     return s.read.parquet(out)
 

@@ -116,7 +116,7 @@ def materialized(spark: SparkSession, name: str, build: Callable[[], DataFrame])
     from tipscope.session import app_id
     key = (app_id(spark), name)
     if key not in _MATERIALIZED:
-        safe = "".join(ch if ch.isalnum() else "_" for ch in name)
+        safe = "".join(ch if ch.isalnum() else "_" for ch in f"{name}-{key[0]}")
         path = scratch_path(spark, f"{safe}-{_RUN_ID}")
         build().write.mode("overwrite").parquet(path)
         _MATERIALIZED[key] = spark.read.parquet(path)
