@@ -78,8 +78,9 @@ def analysis(spark, sf):
 
 
 def all_features(spark, sf):
-    return files.materialized(spark, f"all_features:{sf}",
-                              lambda: add_features(trips(spark, sf)))
+    """Features of every trip: projections over the stored trip table,
+    recomputed per query (cheaper than storing a second full-size table)."""
+    return add_features(trips(spark, sf))
 
 
 REGISTRY: dict[str, Query] = {}
