@@ -155,3 +155,13 @@ def test_durations_ignore_session_time_zone(spark):
         assert r.trip_minutes == 30.0 and r.pickup_weekday_name == "Sun" and r.ym == "1995-04"
     finally:
         spark.conf.set("spark.sql.session.timeZone", old)
+
+
+def test_scalar_join_requires_one_row(spark):
+    import pytest
+    from tipscope.operators import joins
+    df = spark.range(3)
+    one = spark.range(1).select(F.lit(5).alias("s"))
+    assert joins.scalar(df, one).count() == 3
+    with pytest.raises(ValueError):
+        joins.scalar(df, spark.range(2).select(F.lit(5).alias("s")))
