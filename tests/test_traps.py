@@ -165,3 +165,10 @@ def test_scalar_join_requires_one_row(spark):
     assert joins.scalar(df, one).count() == 3
     with pytest.raises(ValueError):
         joins.scalar(df, spark.range(2).select(F.lit(5).alias("s")))
+
+
+def test_tip_summary_on_empty_input_keeps_one_row(spark):
+    from tipscope.operators import aggregates as agg
+    e = spark.createDataFrame([], "tip_amount double, tip_pct double")
+    rows = agg.tip_summary(e).collect()
+    assert len(rows) == 1 and rows[0].median_tip_pct is None

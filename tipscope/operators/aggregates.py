@@ -57,7 +57,9 @@ def tip_summary(df: DataFrame, exact: bool = True) -> DataFrame:
         med = exact_quantiles(df, "tip_pct", [0.5], names=["median_tip_pct"])
     else:
         med = df.agg(_median("tip_pct", False).alias("median_tip_pct"))
-    return main.crossJoin(med).select("mean_tip", "median_tip", "mean_tip_pct", "median_tip_pct")
+    # left join on a constant: an input without any tip share still gives one row
+    return (main.join(F.broadcast(med), F.lit(True), "left")
+                .select("mean_tip", "median_tip", "mean_tip_pct", "median_tip_pct"))
 
 
 def hourly(df: DataFrame, exact: bool = True) -> DataFrame:
