@@ -172,3 +172,10 @@ def test_tip_summary_on_empty_input_keeps_one_row(spark):
     e = spark.createDataFrame([], "tip_amount double, tip_pct double")
     rows = agg.tip_summary(e).collect()
     assert len(rows) == 1 and rows[0].median_tip_pct is None
+
+
+def test_summary_all_null_column_gives_null_quartiles(spark):
+    from tipscope.operators import profile as prof
+    d = spark.createDataFrame([(1.0, None), (2.0, None), (3.0, None)], "a double, b double")
+    got = {(r.variable, r.stat): r.value for r in prof.summary(d).collect()}
+    assert got[("a", "median")] == 2.0 and got[("b", "median")] is None and got[("b", "nas")] == 3.0

@@ -108,7 +108,10 @@ def multi_quantiles(df: DataFrame, cols: Sequence[str | Column], probs: Sequence
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), e.alias("_v")) for v, e in zip(var_names, exprs)]))
         .alias("_s")).select(*keys, "_s.variable", "_s._v")
-    return exact_quantiles(stacked, "_v", probs, [*keys, "variable"], names)
+    q = exact_quantiles(stacked, "_v", probs, [*keys, "variable"], names)
+    # variables (per group) without any value still get a row, with NULL quantiles
+    present = stacked.select(*keys, "variable").distinct()
+    return present.join(q, [*keys, "variable"], "left")
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
