@@ -69,3 +69,12 @@ def test_truncate_and_letters(spark):
     assert len(r[0].p) == 250 and r[0].p.endswith("...")
     assert r[1].v[0] == 2.0 and r[1].v[1] == 1.0 and sum(r[1].v) == 4.0
     assert df.select(F.length(tx.truncate("t"))).collect()[1][0] == 4
+
+
+def test_topk_batch_refuses_oversized_query_sets(spark, monkeypatch):
+    import pytest
+    monkeypatch.setattr(rt, "MAX_QUERIES", 2)
+    s = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "query_id long, query_vec array<double>")
+    with pytest.raises(ValueError):
+        rt.topk_batch(s, q, 1)
