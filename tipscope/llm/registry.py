@@ -6,6 +6,11 @@ from __future__ import annotations
 from tipscope.llm.base import table
 
 
+def op3_ownership_scan(spark, sf_dir):
+    from tipscope.llm.secrets import digest, scan
+    return digest(scan(table(spark, sf_dir, "documents")))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     from tipscope.llm.ngram_join import jaccard_classes
     return jaccard_classes(table(spark, sf_dir, "documents")).select(
@@ -23,8 +28,18 @@ def op1_backoff_automaton(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"))
 
 
+def op10_containment_search(spark, sf_dir):
+    """Contaminated documents and the items that they hold."""
+    from tipscope.llm.base import HASH, ID
+    from tipscope.llm.decontaminate import contained
+    return contained(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop(
+        HASH).withColumnRenamed(ID, "doc_id")
+
+
 def queries():
-    return {f.__name__: f for f in (op1_backoff_automaton, op6_ngram_jaccard, op9_line_frequency)}
+    return {f.__name__: f for f in (
+        op1_backoff_automaton, op3_ownership_scan, op6_ngram_jaccard, op9_line_frequency,
+        op10_containment_search)}
 
 
 def oracle_sql():
