@@ -6,17 +6,37 @@ from __future__ import annotations
 from tipscope.llm.base import table
 
 
+def op2_patience_alignment(spark, sf_dir):
+    from tipscope.llm.line_dedup import report
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op3_ownership_scan(spark, sf_dir):
     from tipscope.llm.secrets import digest, scan
     return digest(scan(table(spark, sf_dir, "documents")))
 
 
+def op4_co_training(spark, sf_dir):
+    from tipscope.llm.cotrain import score
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op5_raking(spark, sf_dir):
+    from tipscope.llm.mixing import report
+    return report(table(spark, sf_dir, "documents"))
+
+
 def op6_ngram_jaccard(spark, sf_dir):
     from tipscope.llm.ngram_join import jaccard_classes
     return jaccard_classes(table(spark, sf_dir, "documents")).select(
         "id", "n_shingles", "component_id", "class_id").withColumnRenamed("id", "doc_id")
 
 
+def op7_nb_ngrams(spark, sf_dir):
+    from tipscope.llm.toxicity import score
+    return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op9_line_frequency(spark, sf_dir):
     from tipscope.llm.line_rules import quality_report
     return quality_report(table(spark, sf_dir, "documents")).drop("text_hash", "host").withColumnRenamed(
@@ -38,8 +58,8 @@ def op10_containment_search(spark, sf_dir):
 
 def queries():
     return {f.__name__: f for f in (
-        op1_backoff_automaton, op3_ownership_scan, op6_ngram_jaccard, op9_line_frequency,
-        op10_containment_search)}
+        op1_backoff_automaton, op2_patience_alignment, op3_ownership_scan, op4_co_training, op5_raking,
+        op6_ngram_jaccard, op7_nb_ngrams, op9_line_frequency, op10_containment_search)}
 
 
 def oracle_sql():
