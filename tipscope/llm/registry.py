@@ -37,6 +37,11 @@ def op7_nb_ngrams(spark, sf_dir):
     return score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op8_block_lstm(spark, sf_dir):
+    from tipscope.llm.html_text import main_text
+    return main_text(table(spark, sf_dir, "pages"))
+
+
 def op9_line_frequency(spark, sf_dir):
     from tipscope.llm.line_rules import quality_report
     return quality_report(table(spark, sf_dir, "documents")).drop("text_hash", "host").withColumnRenamed(
@@ -59,7 +64,7 @@ def op10_containment_search(spark, sf_dir):
 def queries():
     return {f.__name__: f for f in (
         op1_backoff_automaton, op2_patience_alignment, op3_ownership_scan, op4_co_training, op5_raking,
-        op6_ngram_jaccard, op7_nb_ngrams, op9_line_frequency, op10_containment_search)}
+        op6_ngram_jaccard, op7_nb_ngrams, op8_block_lstm, op9_line_frequency, op10_containment_search)}
 
 
 def oracle_sql():
