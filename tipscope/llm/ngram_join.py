@@ -354,3 +354,29 @@ def _semi(rows: DataFrame, side: DataFrame, *keep: str) -> DataFrame:
         side = F.broadcast(side)
     on = rows["id"].eqNullSafe(side["__rid"]) & rows["text_hash"].eqNullSafe(side["__rhash"])
     return rows.join(side, on).select("text", *keep)
+
+
+def clean(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, share: int = 75) -> DataFrame:
+    """``docs``, all columns, with one document of each component: the one with
+    its smallest id (of repeated rows, one; of documents without any id in their
+    component, each different text). Documents without shingles all stay."""
+    c = stored(jaccard_classes(docs, id_col, text_col, k, share), "near-classes").where("n_shingles > 0")
+    named = c.select("id", "text_hash", F.col("id").eqNullSafe(F.col("component_id")).alias("is_first"))
+    gone = named.where(~F.col("is_first")).select("id", "text_hash").distinct()
+    twice = (named.where("is_first").groupBy("id", "text_hash").agg(F.count("*").alias("rows")).where("rows > 1")
+             .select("id", "text_hash"))
+    d = docs.withColumns({"__id": F.col(f"`{id_col}`").cast("long"), "__hash": F.xxhash64(F.col(f"`{text_col}`"))})
+    columns = [F.col(f"`{x}`") for x in docs.columns]
+
+    def without(rows, side, how="left_anti"):
+        s = side.toDF("__sid", "__shash")
+        if s.limit(BROADCAST_ROWS + 1).count() <= BROADCAST_ROWS:
+            s = F.broadcast(s)
+        return rows.join(s, F.col("__id").eqNullSafe(F.col("__sid")) & (F.col("__hash") == F.col("__shash")), how)
+
+    out = without(d, gone)
+    twice = stored(twice, "repeated-rows")
+    if twice.isEmpty():
+        return out.select(*columns)
+    once = without(out, twice, "left_semi").dropDuplicates(["__id", "__hash"])
+    return without(out, twice).unionByName(once).select(*columns)
