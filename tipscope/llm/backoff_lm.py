@@ -72,7 +72,8 @@ def _blocks(batches):
         inner = np.ones(len(seq), bool)
         inner[ends] = False
         seq[inner], seq[ends] = codes[:-1], codes[-1]
-        row = (int(mix(vocab ^ np.uint64(len(seq))).sum(dtype=np.uint64).view(np.int64)),
+        chunk = mix(vocab[seq] + np.arange(len(seq), dtype=np.uint64)).sum(dtype=np.uint64)
+        row = (int(chunk.view(np.int64)),
                np.array([i or 0 for i in ids], np.int64).tobytes(),
                np.array([i is not None for i in ids]).tobytes(), n.tobytes(),
                np.array([held_out(i) for i in ids]).tobytes(), seq.tobytes(), vocab.tobytes())

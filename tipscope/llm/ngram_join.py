@@ -88,7 +88,8 @@ def _requests(k, buckets):
             bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low, block = keys.astype(np.uint32), int(keys[0].view(np.int64))
+            low = keys.astype(np.uint32)
+            block = int(mix(cls + np.arange(len(cls), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
             out = [(x, block, low[i].tobytes(),
                     np.bincount(owner[i], minlength=len(sets)).astype(np.uint32).tobytes())
                    for x in range(buckets) if len(i := order[bounds[x]:bounds[x + 1]])]
