@@ -58,6 +58,25 @@ def held_out(i) -> bool:
     return binascii.crc32(b"" if i is None else str(i).encode()) % FOLDS == HELD_OUT
 
 
+def halves(codes):
+    """Codes as their low and then their high 16 bits, which compresses better."""
+    return codes.astype(np.uint16).tobytes() + (codes >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def joined(raw):
+    low, high = np.frombuffer(raw, np.uint16).reshape(2, -1).astype(np.int64)
+    return low + (high << 16)
+
+
+def small(x):
+    """Counts in one byte each where all fit, else in eight."""
+    return x.astype(np.uint8 if not len(x) or x.max() < 256 else np.int64).tobytes()
+
+
+def counts_of(raw, n):
+    return np.frombuffer(raw, np.uint8 if len(raw) == n else np.int64)
+
+
 def _blocks(batches):
     """Blocks of documents: ids, tokens of each (without the start), and the
     tokens as codes into the block's sorted distinct word hashes."""
@@ -76,7 +95,7 @@ def _blocks(batches):
         row = (int(chunk.view(np.int64)),
                np.array([i or 0 for i in ids], np.int64).tobytes(),
                np.array([i is not None for i in ids]).tobytes(), n.tobytes(),
-               np.array([held_out(i) for i in ids]).tobytes(), seq.tobytes(), vocab.tobytes())
+               np.array([held_out(i) for i in ids]).tobytes(), halves(seq), vocab.tobytes())
         return pa.RecordBatch.from_arrays(
             [pa.array([x], pa.int64() if j == 0 else pa.binary()) for j, x in enumerate(row)],
             names=["chunk", "ids", "known_id", "counts", "held", "codes", "vocab"])
@@ -101,7 +120,7 @@ def ngrams(row, order):
     for each token, the place of the n-gram that ends there and of its history
     among those one shorter (-1 at order 1). An n-gram doesn't reach past the
     start of its text; one start token stands for all that come before."""
-    codes = np.frombuffer(row["codes"], np.uint32).astype(np.int64)
+    codes = joined(row["codes"])
     vocab = np.frombuffer(row["vocab"], np.uint64)
     n = np.frombuffer(row["counts"], np.int64)
     first = np.cumsum(n) - n
@@ -120,8 +139,9 @@ def ngrams(row, order):
 
 
 def _by_bucket(keys, buckets):
-    """Order of the keys by bucket, and where each bucket begins in it."""
-    bucket = ((keys >> np.uint64(20)) % np.uint64(buckets)).astype(np.int64)
+    """Order of the keys by bucket, and where each bucket begins in it. Within a
+    bucket a key is told by its low 48 bits."""
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
 
@@ -134,11 +154,12 @@ def _requests(order, buckets):
                 learn = np.repeat(~np.frombuffer(row["held"], bool), n)
                 out = []
                 for k, (keys, at, _) in enumerate(ngrams(row, order), 1):
-                    own = np.bincount(at[learn], minlength=len(keys)).astype(np.uint32)
+                    own = np.bincount(at[learn], minlength=len(keys))
+                    low, high = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
                     by, bounds = _by_bucket(keys, buckets)
                     for x in range(buckets):
                         if len(i := by[bounds[x]:bounds[x + 1]]):
-                            out.append((x, row["chunk"], k, keys[i].tobytes(), own[i].tobytes()))
+                            out.append((x, row["chunk"], k, low[i].tobytes() + high[i].tobytes(), small(own[i])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in out], t) for j, t in enumerate(
                         (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
@@ -151,16 +172,16 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     and the bucket's number of trained tokens and distinct ones."""
     out = []
     for k, g in group.groupby("k"):
-        keys = np.concatenate([np.frombuffer(x, np.uint64) for x in g["keys"]])
-        own = np.concatenate([np.frombuffer(x, np.uint32) for x in g["own"]])
+        n = [len(x) // 6 for x in g["keys"]]
+        keys = np.concatenate([np.frombuffer(x, np.uint32, c) + (
+            np.frombuffer(x, np.uint16, c, 4 * c).astype(np.uint64) << np.uint64(32)) for x, c in zip(g["keys"], n)])
+        own = np.concatenate([counts_of(x, c) for x, c in zip(g["own"], n)])
         distinct, at = np.unique(keys, return_inverse=True)
         total = np.bincount(at, weights=own, minlength=len(distinct)).astype(np.int64)
-        answer, ends = total[at], np.cumsum([len(x) // 8 for x in g["keys"]])
-        small = [answer[e - len(x) // 8:e] for e, x in zip(ends, g["keys"])]
+        answer, ends = total[at], np.cumsum(n)
         out.append(pd.DataFrame({
-            "chunk": g["chunk"], "k": k, "bucket": g["bucket"], "totals": [
-                (x.astype(np.uint32) if not len(x) or x.max() < 1 << 32 else x).tobytes() for x in small],
-            "wide": [bool(len(x) and x.max() >= 1 << 32) for x in small], "tokens": 0, "words": 0}))
+            "chunk": g["chunk"], "k": k, "bucket": g["bucket"],
+            "totals": [small(answer[e - c:e]) for e, c in zip(ends, n)], "tokens": 0, "words": 0}))
         if k == 1:
             out[-1].loc[out[-1].index[0], ["tokens", "words"]] = [total.sum(), (total > 0).sum()]
     return pd.concat(out)
@@ -171,8 +192,7 @@ def _walk(order, buckets, tokens, words, strength):
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in chunk.iterrows():
-            got = {(a.k, a.bucket): np.frombuffer(a.totals, np.int64 if a.wide else np.uint32)
-                   for a in answers.itertuples()}
+            got = {(a.k, a.bucket): a.totals for a in answers.itertuples()}
             levels = ngrams(row, order)
             n = np.frombuffer(row["counts"], np.int64)
             first = np.cumsum(n) - n
@@ -183,7 +203,7 @@ def _walk(order, buckets, tokens, words, strength):
                 c = np.zeros(len(keys), np.int64)
                 for x in range(buckets):
                     if bounds[x + 1] > bounds[x]:
-                        c[by[bounds[x]:bounds[x + 1]]] = got[k, x]
+                        c[by[bounds[x]:bounds[x + 1]]] = counts_of(got[k, x], bounds[x + 1] - bounds[x])
                 count.append(c)
             texts = count[0][end]  # training texts: what the start was seen
             at = levels[0][1]
@@ -218,7 +238,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", order=ORDER, streng
     buckets = max(1, -(-int(size) // GROUP))
     asked = chunks.mapInArrow(_requests(order, buckets), "bucket int, chunk long, k int, keys binary, own binary")
     answers = stored(asked.groupBy("bucket").applyInPandas(
-        _totals, "chunk long, k int, bucket int, totals binary, wide boolean, tokens long, words long"), "lm-counts")
+        _totals, "chunk long, k int, bucket int, totals binary, tokens long, words long"), "lm-counts")
     tokens, words = answers.agg(F.sum("tokens"), F.sum("words")).first()
     return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
         _walk(order, buckets, tokens or 0, words or 0, strength),
