@@ -39,30 +39,24 @@ MAX_TRAIN = 5000
 SMOOTH, L2 = 1.0, 1.0
 
 
-def grams(texts):
-    """(place, text number) of every character n-gram, repeats included."""
-    out = []
-    for i, t in enumerate(texts):
-        c = np.frombuffer((" " + t.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-        h = np.zeros(len(c), np.uint64)
-        for k in range(1, max(ORDERS) + 1):
-            if len(c) < k:
-                break
-            h = h[:len(c) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + c[k - 1:] * np.uint64(k)
-            if k in ORDERS:
-                x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
-                out.append(((x >> np.uint64(40)) % np.uint64(PLACES), i))
-    return out
+def grams(text):
+    """The places of a text's character n-grams, one length after the other."""
+    c = np.frombuffer((" " + text.lower() + " ").encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    h = np.zeros(len(c), np.uint64)
+    for k in range(1, min(max(ORDERS), len(c)) + 1):
+        h = h[:len(c) - k + 1] * np.uint64(0x9E3779B97F4A7C15) + c[k - 1:] * np.uint64(k)
+        if k in ORDERS:
+            x = (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+            yield (x >> np.uint64(40)) % np.uint64(PLACES)
 
 
 def features(texts, used=None):
     """(places, number of them) of each text's distinct n-grams; with ``used``,
     only those it marks."""
-    by = [[] for _ in texts]
-    for place, i in grams(texts):
-        place = place.astype(np.int32)
-        by[i].append(place if used is None else place[used[place]])
-    sets = [np.unique(np.concatenate(x)) if x else np.zeros(0, np.int32) for x in by]
+    sets = []
+    for t in texts:
+        own = [p.astype(np.int32) if used is None else p[used[p]].astype(np.int32) for p in grams(t)]
+        sets.append(np.unique(np.concatenate(own)) if own else np.zeros(0, np.int32))
     return (np.concatenate(sets) if sets else np.zeros(0, np.int32)), np.array([len(s) for s in sets], np.int64)
 
 
