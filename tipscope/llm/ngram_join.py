@@ -16,9 +16,10 @@ Jaccard similarity of their sets reaches the threshold. Steps:
    one is common (pigeonhole). Classes are joined on these words.
 4. A second, 1024-bit parity sketch rejects candidate pairs whose Hamming
    distance is over ``d``; the others are verified on the whole sets.
-5. Pairs are not expanded within a group that shares a word: all are compared
-   with the group's smallest class first. Only members of groups that then
-   still span several components are compared across these, in blocks.
+5. Pairs are not expanded within a group that shares a word: its members are
+   compared with one of them, drawn by hash, in a few rounds, and those already
+   in its component are left out. Only members of groups that then still span
+   several components are compared across these, in blocks.
 
 Defined cases: a NULL or empty text, or one without words, has no shingles and
 is linked with nothing (its component is its own id). Fewer words than the
@@ -46,6 +47,8 @@ BLOCK, GROUP = 1 << 19, 1 << 22
 #: Sets smaller than this have every shingle as a piece of its own.
 SMALL = 256
 SKETCH_BITS = 1024
+#: Rounds in which the members of a group are compared with one of them.
+HUB_ROUNDS = 3
 #: Members of one list of a group that shares a word, about.
 CELL = 256
 
@@ -246,25 +249,44 @@ def _linked(share):
 
 def _across(share):
     """Pairs of two lists of a group's members (or of one list with itself)
-    that lie in different components and whose sizes allow a link."""
+    that lie in different components and whose sizes and sketches allow a link."""
     def run(batches):
+        ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
             out = []
-            for x, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                rep, comp, n = np.array(x, np.int64)
-                rep_y, comp_y, n_y = np.array(y if y else x, np.int64)
-                for i in range(len(rep)):
-                    j = (comp_y != comp[i]) & (100 * np.minimum(n[i], n_y) >= share * np.maximum(n[i], n_y))
-                    j &= (rep_y != rep[i]) if y else (rep_y < rep[i])
-                    other = rep_y[j]
-                    if len(other):
-                        out.append((np.maximum(other, rep[i]), np.minimum(other, rep[i])))
+            for members in batch.column(0).to_pylist():
+                side, rep, comp, n = np.array([[m[k] for k in ("side", "rep", "component", "n")] for m in members], np.int64).T
+                bits = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
+                two = side.any()
+                for i in np.flatnonzero(side == 0):
+                    j = np.flatnonzero((comp != comp[i]) & ((side == 1) if two else (rep < rep[i]))
+                                       & (100 * np.minimum(n[i], n) >= share * np.maximum(n[i], n)))
+                    d = (n[j] + n[i]) * (100 - share) // (100 + share)
+                    other = rep[j[ones[bits[j] ^ bits[i]].sum(axis=1, dtype=np.int64) <= d]]
+                    out.append((np.maximum(other, rep[i]), np.minimum(other, rep[i])))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
     return run
 
 
+def _with_component(df: DataFrame, comp: DataFrame | None) -> DataFrame:
+    """Add ``component`` to rows with ``rep``; alone, a class is its own."""
+    if comp is None:
+        return df.withColumn("component", F.col("rep"))
+    return df.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn(
+        "component", F.coalesce("component", "rep"))
+
+
+def _merged(comp: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """Components after more links."""
+    if links.isEmpty():
+        return comp
+    if comp is not None:
+        links = links.unionAll(comp.select(F.col("node").alias("a"), F.col("component").alias("b")))
+    return stored(components(links), "components")
+
+
 def _near_pairs(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
     small = sets.select("rep", "n", "sketch")
     return (pairs.join(small.toDF("a", "na", "sa"), "a").join(small.toDF("b", "nb", "sb"), "b")
@@ -306,36 +328,41 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _whole_sets(k), "rep long, n long, items binary, sketch binary"), "sets")
     keys = stored(sets.select("rep", "items").mapInArrow(_keys(share), "rep long, key long"), "words")
 
-    hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count("*").alias("members")).where("members > 1")
-    pairs = (keys.join(hubs, "key").where("rep <> hub")
-             .select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct())
-    links = stored(_verified(_near_pairs(pairs, sets, share), sets, share), "links")
-    comp = stored(components(links), "components")
+    comp = None
+    for r in range(HUB_ROUNDS):
+        now = _with_component(keys, comp)
+        order = F.xxhash64("rep", F.lit(r))
+        hubs = now.groupBy("key").agg(
+            F.min_by("rep", order).alias("hub"), F.min_by("component", order).alias("hub_component"),
+            F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").drop("c0", "c1")
+        pairs = (now.join(hubs, "key").where("component <> hub_component")
+                 .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
+        comp = _merged(comp, stored(_verified(_near_pairs(pairs, sets, share), sets, share), "links"))
 
     # groups that span several components: compare across these
-    in_comp = keys.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "key", "rep", F.coalesce("component", "rep").alias("component"))
+    in_comp = _with_component(keys, comp)
     open_keys = in_comp.groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")
     ).where("c0 <> c1").select("key", F.ceil(F.col("members") / CELL).cast("int").alias("cells"))
     cell = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("rep"), F.col("cells"))).otherwise(0).cast("int")
-    member = in_comp.join(open_keys, "key").join(sets.select("rep", "n"), "rep").withColumn("cell", cell)
-    lists = member.groupBy("key", "cells", "cell").agg(
-        F.sort_array(F.collect_list(F.struct("rep", "component", "n"))).alias("m"))
-    lists = lists.select("key", "cells", "cell", F.array("m.rep", "m.component", "m.n").alias("x"))
-    whole = lists.select("x", F.lit(None).cast("array<array<bigint>>").alias("y"))
+    lists = (keys.join(open_keys, "key").withColumn("cell", cell).groupBy("key", "cells", "cell")
+             .agg(F.sort_array(F.collect_list("rep")).alias("x")))  # of about CELL members
     split = lists.where("cells > 1")
     parts = split.join(split.select("key", F.col("cell").alias("t"), F.col("x").alias("y")), "key").where("cell < t")
-    across = (whole.unionAll(parts.select("x", "y")).distinct()
+    none = F.array().cast("array<bigint>").alias("y")
+    lists = stored(lists.select("x", none).unionAll(parts.select("x", "y")).distinct()
+                   .withColumn("list", F.monotonically_increasing_id()), "lists")
+    member = lists.select("list", F.lit(0).alias("side"), F.explode("x").alias("rep")).unionAll(
+        lists.select("list", F.lit(1), F.explode("y")))
+    known = _with_component(sets.select("rep", "n", "sketch"), comp)
+    across = (member.join(known, "rep").groupBy("list")
+              .agg(F.collect_list(F.struct("side", "rep", "component", "n", "sketch")).alias("m")).select("m")
               .mapInArrow(_across(share), "a long, b long").distinct())
-    more = stored(_verified(_near_pairs(across, sets, share), sets, share), "links")
-    if not more.isEmpty():
-        links = links.unionAll(more)
-        comp = stored(components(links), "components")
+    more = stored(_verified(across, sets, share), "links")
+    comp = _merged(comp, more)
 
     # the smallest document id of each component's classes
-    named = reps.join(comp.withColumnRenamed("node", "rep"), "rep", "left").select(
-        "cls", "n", "class_id", F.coalesce("component", "rep").alias("component"))
+    named = _with_component(reps, comp).select("cls", "n", "class_id", "component")
     least = named.groupBy("component").agg(F.min("class_id").alias("component_id"))
     named = named.join(least, "component").select("cls", "n", "class_id", "component_id")
     out = prof.join(named, ["cls", "n"], "left")
