@@ -328,24 +328,27 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         _whole_sets(k), "rep long, n long, items binary, sketch binary"), "sets")
     keys = stored(sets.select("rep", "items").mapInArrow(_keys(share), "rep long, key long"), "words")
 
-    comp = None
+    comp, words = None, keys
     for r in range(HUB_ROUNDS):
-        now = _with_component(keys, comp)
+        now = _with_component(words, comp)
         order = F.xxhash64("rep", F.lit(r))
         hubs = now.groupBy("key").agg(
             F.min_by("rep", order).alias("hub"), F.min_by("component", order).alias("hub_component"),
             F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").drop("c0", "c1")
-        pairs = (now.join(hubs, "key").where("component <> hub_component")
+        # only groups that still span several components go on to the next round
+        open_now = stored(now.join(hubs, "key"), "open-words")
+        pairs = (open_now.where("component <> hub_component")
                  .select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct())
         comp = _merged(comp, stored(_verified(_near_pairs(pairs, sets, share), sets, share), "links"))
+        words = open_now.select("rep", "key")
 
     # groups that span several components: compare across these
-    in_comp = _with_component(keys, comp)
+    in_comp = _with_component(words, comp)
     open_keys = in_comp.groupBy("key").agg(
         F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")
     ).where("c0 <> c1").select("key", F.ceil(F.col("members") / CELL).cast("int").alias("cells"))
     cell = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("rep"), F.col("cells"))).otherwise(0).cast("int")
-    lists = (keys.join(open_keys, "key").withColumn("cell", cell).groupBy("key", "cells", "cell")
+    lists = (words.join(open_keys, "key").withColumn("cell", cell).groupBy("key", "cells", "cell")
              .agg(F.sort_array(F.collect_list("rep")).alias("x")))  # of about CELL members
     split = lists.where("cells > 1")
     parts = split.join(split.select("key", F.col("cell").alias("t"), F.col("x").alias("y")), "key").where("cell < t")
