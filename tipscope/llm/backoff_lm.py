@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.base import ship, stored
+from tipscope.llm.base import ship, sliced, stored
 from tipscope.llm.tokens import BASE, Words, mix
 
 ship(__name__)
@@ -233,7 +233,7 @@ def score(docs: DataFrame, id_col="doc_id", text_col="text", order=ORDER, streng
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score and score, log10 probabilities."""
     rows = docs.select(F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`"))
-    chunks = stored(rows.mapInArrow(_blocks, CHUNK), "lm-blocks")
+    chunks = stored(rows.mapInArrow(sliced(_blocks), CHUNK), "lm-blocks")
     size = chunks.agg(F.sum(F.length("codes") / 4 * order)).first()[0] or 0
     buckets = max(1, -(-int(size) // GROUP))
     asked = chunks.mapInArrow(_requests(order, buckets), "bucket int, chunk long, k int, keys binary, own binary")

@@ -23,6 +23,17 @@ def ship(name: str) -> None:
     cloudpickle.register_pickle_by_value(sys.modules[name])
 
 
+ship(__name__)
+
+
+def sliced(run, rows=1000):
+    """``run`` over Arrow batches, given slices of ``rows`` rows, so that a worker
+    holds few texts at a time as Python objects."""
+    def go(batches):
+        return run(b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+    return go
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

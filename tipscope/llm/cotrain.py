@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.base import ship
+from tipscope.llm.base import ship, sliced
 from tipscope.llm.logistic import Dense, fit, sigmoid
 from tipscope.llm.toxicity import fold, training_rows
 
@@ -152,5 +152,5 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
     model = np.frombuffer(row[0], np.float64) if row else np.zeros(CONTENT + META + 9)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"), *meta)
     rows = rows.select("doc_id", "text", (fold("doc_id") == 0).alias("held_out"), *[f"__m_{i}" for i in range(len(meta))])
-    return rows.mapInArrow(_score(model), "doc_id long, held_out boolean, content_score double, "
+    return rows.mapInArrow(sliced(_score(model)), "doc_id long, held_out boolean, content_score double, "
                                           "metadata_score double, score double, predicted int")

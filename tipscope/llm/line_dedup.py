@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tipscope.llm.base import HASH, ID, join_key, keyed, ship, stored
+from tipscope.llm.base import HASH, ID, join_key, keyed, ship, sliced, stored
 
 ship(__name__)
 
@@ -131,7 +131,7 @@ def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_W
     """(row key, gone): the places of the lines to delete, for documents that
     lose any."""
     rows = keyed(docs, id_col, text_col).select(F.col(ID).cast("long").alias(ID), HASH, F.col(f"`{text_col}`").alias("text"))
-    lines = rows.mapInArrow(_lines, f"{ID} long, {HASH} long, lines array<bigint>, words array<int>")
+    lines = rows.mapInArrow(sliced(_lines), f"{ID} long, {HASH} long, lines array<bigint>, words array<int>")
     lines = stored(lines.dropDuplicates([ID, HASH]).withColumn(
         "doc", F.struct(F.col(ID).isNull().alias("no_id"), F.col(ID).alias("i"), F.col(HASH).alias("h"))), "document-lines")
     held = lines.select("doc", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
@@ -176,7 +176,7 @@ def stripped(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WO
     at = [c.lower() for c in docs.columns].index(text_col.lower())
     schema = T.StructType([*docs.schema.fields, T.StructField("__gone", T.ArrayType(T.IntegerType())),
                            T.StructField("__lines", T.LongType()), T.StructField("__left", T.LongType())])
-    return d.mapInArrow(_strip(docs.columns, at), schema)
+    return d.mapInArrow(sliced(_strip(docs.columns, at)), schema)
 
 
 def clean(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_WORDS) -> DataFrame:

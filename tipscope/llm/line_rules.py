@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.base import HASH, ID, join_key, keyed, ship, stored
+from tipscope.llm.base import HASH, ID, join_key, keyed, ship, sliced, stored
 from tipscope.llm.tokens import Words
 
 ship(__name__)
@@ -100,7 +100,7 @@ def measure(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source"
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"),
                        F.col(f"`{host_col}`").cast("string").alias("host"))
-    m = rows.mapInArrow(_measures, FIELDS).withColumn("rid", F.monotonically_increasing_id())
+    m = rows.mapInArrow(sliced(_measures), FIELDS).withColumn("rid", F.monotonically_increasing_id())
     return stored(m, "line-measures")
 
 
@@ -170,4 +170,4 @@ def clean(docs: DataFrame, id_col="doc_id", text_col="text", host_col="source",
           & d[host_col].cast("string").eqNullSafe(r["__v_host"]))
     kept = d.join(r, on).where("__kept").select(*[d[c] for c in docs.columns], "__drop")
     at = [c.lower() for c in docs.columns].index(text_col.lower())
-    return kept.mapInArrow(_strip(docs.columns, at, len(docs.columns)), docs.schema)
+    return kept.mapInArrow(sliced(_strip(docs.columns, at, len(docs.columns))), docs.schema)

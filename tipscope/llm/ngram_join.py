@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.base import ship, stored
+from tipscope.llm.base import ship, sliced, stored
 from tipscope.llm.components import components
 from tipscope.llm.tokens import Words, mix, windows
 
@@ -309,7 +309,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     prof = stored(rows.select("id", "text", "text_hash").mapInArrow(
-        _profiles(k), "id long, text_hash long, n long, cls long"), "profiles")
+        sliced(_profiles(k)), "id long, text_hash long, n long, cls long"), "profiles")
     # classes; the row that stands for one is its smallest (id, text_hash)
     reps = (prof.where("n > 0").groupBy("cls", "n")
             .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.min("id").alias("class_id"))
@@ -319,13 +319,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, -(-total // GROUP))
     # one row stands for a class; the others' shingles would count as held elsewhere
     firsts = _semi(rows, reps.select("rid", "rhash"))
-    held = (firsts.select("text").mapInArrow(_requests(k, buckets), "bucket int, block long, keys binary, counts binary")
+    held = (firsts.select("text").mapInArrow(sliced(_requests(k, buckets)), "bucket int, block long, keys binary, counts binary")
             .groupBy("bucket").applyInPandas(_held_elsewhere, "block long, cls binary, counts binary, held binary"))
     possible = held.groupBy("block").applyInPandas(_possible(share), "cls long").distinct()
     kept = stored(reps.join(possible, "cls", "left_semi"), "possible")
     chosen = _semi(rows, kept.select("rid", "rhash", "rep"), "rep")
     sets = stored(chosen.select("rep", "text").mapInArrow(
-        _whole_sets(k), "rep long, n long, items binary, sketch binary"), "sets")
+        sliced(_whole_sets(k)), "rep long, n long, items binary, sketch binary"), "sets")
     keys = stored(sets.select("rep", "items").mapInArrow(_keys(share), "rep long, key long"), "words")
 
     comp, words = None, keys

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tipscope.llm.base import ship
+from tipscope.llm.base import ship, sliced
 from tipscope.llm.logistic import Rows, fit, sigmoid
 
 ship(__name__)
@@ -132,4 +132,4 @@ def score(docs: DataFrame, labels: DataFrame, id_col="doc_id", text_col="text",
         np.zeros(0, np.int32), np.zeros(0), 0.0)
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     return rows.withColumn("held_out", fold("doc_id") == 0).mapInArrow(
-        _score(place, weight, b, threshold), "doc_id long, held_out boolean, score double, predicted int")
+        sliced(_score(place, weight, b, threshold)), "doc_id long, held_out boolean, score double, predicted int")
