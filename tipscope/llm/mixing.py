@@ -43,16 +43,19 @@ def token_count(text: Column) -> Column:
 
 
 def form_topic(text: Column) -> Column:
-    """A topic by the text's form: tables, marked-up text, shouting, notes of
-    under 400 characters, else prose."""
+    """A topic by the text's form: tables, marked-up text, capitals only, notes
+    of under 400 characters, else prose."""
     t = F.coalesce(text, F.lit(""))
     n = F.greatest(F.length(t), F.lit(1))
 
     def share(characters):
-        return (n - F.length(F.translate(t, characters, ""))) / n
+        rest = t
+        for c in characters:
+            rest = F.replace(rest, F.lit(c), F.lit(""))
+        return (n - F.length(rest)) / n
 
     return (F.when(share("|") > 0.03, "table").when(share("#*$%&") > 0.1, "marked")
-            .when(F.length(F.regexp_replace(t, r"\P{Lu}", "")) / n > 0.4, "shouted").when(n < 400, "note").otherwise("prose"))
+            .when((F.upper(t) == t) & (F.lower(t) != t), "shouted").when(n < 400, "note").otherwise("prose"))
 
 
 def rake(tokens, targets, fraction=FRACTION, rounds=ROUNDS, tolerance=1e-10):
