@@ -44,8 +44,9 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 def checkpoint_dir(spark: SparkSession) -> str:
     """Shared folder for checkpoints and materialised intermediates.
 
-    Uses ``spark.checkpoint.dir`` when the cluster names one; only when it
-    is unset (local tests) a fresh scratch folder is created and recorded.
+    Uses ``spark.checkpoint.dir`` when the cluster names one. Where it is unset
+    a local master (tests) gets a fresh scratch folder; any other is refused,
+    as executors don't share the driver's disk.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -54,6 +55,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         sc = None
     if not d and sc is not None:
         d = sc.getCheckpointDir()
+    if not d and sc is not None and not sc.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not d:
         d = tempfile.mkdtemp(prefix="tipscope-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d) if sc is None else sc.setCheckpointDir(d)
