@@ -41,3 +41,23 @@ def test_exact_quantiles_bracket_matches_map(spark):
     for r in ref:
         for i in range(len(probs)):
             assert abs(got[r.g][f"q{i}"] - r[f"q{i}"]) < 1e-9
+
+
+def test_exact_quantiles_of_tied_values_count_instead_of_gathering(spark):
+    from tipscope.operators.quantiles import exact_quantiles
+    rows = [("t", 1.0)] * 990 + [("t", float(i)) for i in range(10)] + [(None, 5.0), (None, 7.0), ("n", None),
+                                                                        ("t", float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    q = exact_quantiles(df, "x", [0.001, 0.5, 0.9995], ["g"])
+    assert "collect_list" not in q._jdf.queryExecution().optimizedPlan().toString()
+    got = {r.g: (r.q0, r.q1, r.q2) for r in q.collect()}
+    s = sorted(x for g, x in rows if g == "t" and x == x)
+    want = []
+    for p in (0.001, 0.5, 0.9995):
+        h = (len(s) - 1) * p
+        lo = s[int(h)]
+        want.append(lo + (s[min(int(h) + 1, len(s) - 1)] - lo) * (h - int(h)))
+    assert set(got) == {"t", None}
+    assert all(abs(a - b) < 1e-9 for a, b in zip(got["t"], want))
+    assert abs(got[None][1] - 6.0) < 1e-9
+    assert exact_quantiles(df.limit(0), "x", [0.5]).collect() == []

@@ -14,16 +14,10 @@ from pyspark.sql import functions as F
 DEFAULT_MAX_BROADCAST_ROWS = 1_000_000
 
 
-_PROBED: dict[tuple[int, int], bool] = {}
-
-
 def fits(df: DataFrame, max_rows: int) -> bool:
-    """True when ``df`` has at most ``max_rows`` rows; the probe result is
-    remembered per logical plan within the process."""
-    key = (df.semanticHash(), max_rows)
-    if key not in _PROBED:
-        _PROBED[key] = df.limit(max_rows + 1).count() <= max_rows
-    return _PROBED[key]
+    """True when ``df`` has at most ``max_rows`` rows. Probed at every call, as
+    the files behind a plan may have been rewritten since the last one."""
+    return df.limit(max_rows + 1).count() <= max_rows
 
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_BROADCAST_ROWS) -> DataFrame:

@@ -5,113 +5,121 @@ final merge of a group happens in one task: fine for cent-quantised money
 (few distinct values), unbounded for continuous columns such as tip
 percentages, durations or speeds when one group holds a third of the rows.
 
-``exact_quantiles`` instead brackets each wanted order statistic:
-
-1. a mergeable sketch (``percentile_approx``, rank error <= n / accuracy)
-   gives values just below and above the wanted ranks, per group;
-2. one pass counts the rows below the lower bound and gathers only the
-   rows inside the bracket (about 8 n / accuracy values per group);
-3. the two order statistics around rank h = (n - 1) p + 1 are read from
-   the sorted bracket and interpolated.
-
-If a bracket ever misses its ranks (the sketch bound failed), that group
-is recomputed with the full range, so the answer is always exact.
+``exact_quantiles`` works on counts of values instead, never on rows:
+
+1. a mergeable sketch (``percentile_approx``) gives, per group, values a
+   little below and above each wanted rank; they cut the group into ranges;
+2. the rows of each range are counted, and the prefix sums of those counts
+   say exactly which range holds a wanted rank;
+3. the values of those ranges alone are counted by (group, value), with
+   map-side sums, and a running sum of the counts within the range finds the
+   two order statistics around rank h = (n - 1) p + 1.
+
+A value that is tied over most rows is one counted row. The cuts only decide
+how much step 3 reads, never the answer: a range holds about 6 / ACCURACY of
+its group's distinct values, and its running sum spills.
+
+Defined cases: NULL and NaN values are left out; a NULL key is a group of its
+own; a group without values has no row; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tipscope.functions.sizing import broadcast_if_small
+from tipscope.functions.sizing import fits
 
-MAX_BRACKET = 200_000
+#: Of the sketch, at every size of input.
+ACCURACY = 100_000
 MAX_GROUPS_BROADCAST = 1_000_000
 
 
-def _accuracy(n: int) -> int:
-    """Sketch accuracy: brackets of about MAX_BRACKET values, with the sketch
-    itself capped (its size grows with the accuracy); past the cap the
-    bracket grows instead, ~8 n / 1e6 values (64 MB at a trillion rows)."""
-    return int(min(max(8 * n // MAX_BRACKET, 10_000), 1_000_000))
+def _same(left: Sequence[str], right: Sequence[str]) -> Column:
+    on = F.lit(True)
+    for a, b in zip(left, right):
+        on = on & F.col(a).eqNullSafe(F.col(b))
+    return on
 
 
 def exact_quantiles(df: DataFrame, col: str | Column, probs: Sequence[float],
                     keys: Sequence[str] = (), names: Sequence[str] | None = None,
-                    n_hint: int | None = None) -> DataFrame:
-    """keys + one column per probability (default names q0, q1, ...)."""
+                    max_groups: int | None = None) -> DataFrame:
+    """keys + one column per probability (default names q0, q1, ...).
+    ``max_groups``: the number of groups where the caller knows a bound."""
     names = list(names or [f"q{i}" for i in range(len(probs))])
     x = (F.col(col) if isinstance(col, str) else col).cast("double")
     if not keys:  # one global group, carried as a constant key
-        out = exact_quantiles(df.withColumn("_all", F.lit(0)), x, probs, ["_all"], names, n_hint)
+        out = exact_quantiles(df.withColumn("_all", F.lit(0)), x, probs, ["_all"], names, 1)
         return out.drop("_all")
-    keys = list(keys)
-    base = df.select(*keys, x.alias("_x")).where(F.col("_x").isNotNull())
-    n_total = n_hint if n_hint is not None else base.count()
-    acc = _accuracy(n_total)
-    delta = 3.0 / acc
-    lo_p = [max(p - delta, 0.0) for p in probs]
-    hi_p = [min(p + delta, 1.0) for p in probs]
-    st = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"),
-                 F.percentile_approx("_x", F.array(*[F.lit(p) for p in lo_p]), F.lit(acc)).alias("_lo"),
-                 F.percentile_approx("_x", F.array(*[F.lit(p) for p in hi_p]), F.lit(acc)).alias("_hi"))
-    st = broadcast_if_small(st, MAX_GROUPS_BROADCAST)
-    j = base.join(st, keys)
-    out_cols = []
-    for i, p in enumerate(probs):
-        lo, hi = F.col("_lo")[i], F.col("_hi")[i]
-        inside = (F.col("_x") >= lo) & (F.col("_x") <= hi)
-        out_cols += [F.count_if(F.col("_x") < lo).alias(f"_lt{i}"),
-                     F.max(F.when(F.col("_x") < lo, F.col("_x"))).alias(f"_pred{i}"),
-                     F.min(F.when(F.col("_x") > hi, F.col("_x"))).alias(f"_succ{i}"),
-                     F.array_sort(F.collect_list(F.when(inside, F.col("_x")))).alias(f"_b{i}")]
-    g = j.groupBy(*keys, "_n").agg(*out_cols)
-    sel = []
-    for i, p in enumerate(probs):
-        pos = (F.col("_n") - 1) * F.lit(p)          # 0-based fractional rank
-        r1, r2 = (F.floor(pos) + 1).cast("long"), (F.ceil(pos) + 1).cast("long")
-        frac = pos - F.floor(pos)
-        lt, b = F.col(f"_lt{i}"), F.col(f"_b{i}")
-
-        def at(r, lt=lt, b=b, i=i):
-            # order statistic r from the bracket, or its immediate neighbours
-            return (F.when(r == lt, F.col(f"_pred{i}"))
-                     .when(r == lt + F.size(b) + 1, F.col(f"_succ{i}"))
-                     .when((r > lt) & (r <= lt + F.size(b)), F.element_at(b, (r - lt).cast("int"))))
-        x1, x2 = at(r1), at(r2)
-        ok = x1.isNotNull() & x2.isNotNull()
-        sel.append(F.when(ok, x1 + (x2 - x1) * frac).alias(names[i]))
-        sel.append(ok.alias(f"_ok{i}"))
-    res = g.select(*keys, "_n", *sel)
-    missed = " OR ".join(f"NOT _ok{i}" for i in range(len(probs)))
-    # exact fall-back for groups whose bracket missed (not expected; kept for
-    # exactness). Lazy: it only reads rows of such groups, normally none.
-    bad = res.where(F.expr(missed))
-    full = base.join(bad.select(*keys), keys, "left_semi")
-    fix = full.groupBy(*keys).agg(
-        *[F.percentile("_x", F.lit(p)).alias(names[i]) for i, p in enumerate(probs)])
-    good = res.where(~F.expr(missed)).select(*keys, *names)
-    return good.unionByName(fix)
+    g = [f"_g{i}" for i in range(len(keys))]
+    base = df.select(*[F.col(k).alias(a) for k, a in zip(keys, g)], x.alias("_x"))
+    base = base.where(F.col("_x").isNotNull() & ~F.isnan("_x"))
+
+    near = sorted({min(max(p + d, 0.0), 1.0) for p in probs for d in (-3 / ACCURACY, 3 / ACCURACY)})
+    cuts = base.groupBy(*g).agg(F.percentile_approx("_x", F.array(*[F.lit(p) for p in near]), F.lit(ACCURACY)).alias("_cuts"))
+    c = [f"_c{a}" for a in g]
+    small = (max_groups is not None and max_groups <= MAX_GROUPS_BROADCAST) or fits(
+        base.select(*g).distinct(), MAX_GROUPS_BROADCAST)
+
+    def side(t: DataFrame) -> DataFrame:
+        """A table with a bounded number of rows for each group."""
+        return F.broadcast(t) if small else t
+
+    ranged = base.join(side(cuts.withColumnsRenamed(dict(zip(g, c)))), _same(g, c)).select(
+        *g, "_x", F.size(F.filter("_cuts", lambda v: v < F.col("_x"))).alias("_range"))
+
+    per_group = Window.partitionBy(*g)
+    sizes = ranged.groupBy(*g, "_range").agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.withColumns({"_upto": F.sum("_n").over(per_group.orderBy("_range")),
+                               "_total": F.sum("_n").over(per_group)})
+    # 1-based ranks of the order statistics below and above each quantile
+    pos = [(F.col("_total") - 1) * F.lit(p) for p in probs]
+    lower = [(F.floor(p) + 1).cast("long") for p in pos]
+    upper = [(F.ceil(p) + 1).cast("long") for p in pos]
+    wanted = F.exists(F.array(*lower, *upper), lambda r: (r > F.col("_upto") - F.col("_n")) & (r <= F.col("_upto")))
+    need = sizes.where(wanted).select(*[F.col(a).alias(b) for a, b in zip(g, c)], F.col("_range").alias("_r"),
+                                      (F.col("_upto") - F.col("_n")).alias("_before"), "_total")
+
+    values = (ranged.join(side(need), _same([*g, "_range"], [*c, "_r"]))
+              .groupBy(*g, "_range", "_before", "_total", "_x").agg(F.count(F.lit(1)).alias("_n")))
+    along = Window.partitionBy(*g, "_range").orderBy("_x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    values = values.withColumn("_upto", F.col("_before") + F.sum("_n").over(along))
+
+    def at(rank: Column) -> Column:
+        here = (rank > F.col("_upto") - F.col("_n")) & (rank <= F.col("_upto"))
+        return F.max(F.when(here, F.col("_x")))
+
+    found = values.groupBy(*g, "_total").agg(
+        *[at(r).alias(f"_lo{i}") for i, r in enumerate(lower)], *[at(r).alias(f"_hi{i}") for i, r in enumerate(upper)])
+    out = [(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p))).alias(name)
+           for i, (p, name) in enumerate(zip(pos, names))]
+    return found.select(*[F.col(a).alias(k) for k, a in zip(keys, g)], *out)
 
 
 def multi_quantiles(df: DataFrame, cols: Sequence[str | Column], probs: Sequence[float],
                     keys: Sequence[str] = (), var_names: Sequence[str] | None = None,
                     names: Sequence[str] | None = None) -> DataFrame:
     """Exact quantiles of several columns at once: the columns are stacked
-    into (variable, value) rows on the map side and bracketed together, so
-    the cost is one sketch pass and one bracket pass for all of them.
-    Returns keys + ``variable`` + one column per probability."""
+    into (variable, value) rows on the map side and counted together, so
+    the cost is that of one column's passes for all of them.
+    Returns keys + ``variable`` + one column per probability; a variable
+    without any value has a row with NULL quantiles."""
+    keys = list(keys)
+    names = list(names or [f"q{i}" for i in range(len(probs))])
     var_names = list(var_names or [c if isinstance(c, str) else f"v{i}" for i, c in enumerate(cols)])
     exprs = [(F.col(c) if isinstance(c, str) else c).cast("double") for c in cols]
     stacked = df.select(*keys, F.explode(F.array(*[
         F.struct(F.lit(v).alias("variable"), e.alias("_v")) for v, e in zip(var_names, exprs)]))
         .alias("_s")).select(*keys, "_s.variable", "_s._v")
-    q = exact_quantiles(stacked, "_v", probs, [*keys, "variable"], names)
-    # variables (per group) without any value still get a row, with NULL quantiles
-    present = stacked.select(*keys, "variable").distinct()
-    return present.join(q, [*keys, "variable"], "left")
+    by = [*keys, "variable"]
+    q = exact_quantiles(stacked, "_v", probs, by, names, None if keys else len(var_names))
+    mark = [f"_k{i}" for i in range(len(by))]
+    q = q.withColumnsRenamed(dict(zip(by, mark)))
+    present = stacked.select(*by).distinct()
+    return present.join(q, _same(by, mark), "left").select(*by, *names)
 
 
 def quantile_row(df: DataFrame, cols: Sequence[str], probs: Sequence[float]) -> DataFrame:
