@@ -61,3 +61,13 @@ def test_exact_quantiles_of_tied_values_count_instead_of_gathering(spark):
     assert all(abs(a - b) < 1e-9 for a, b in zip(got["t"], want))
     assert abs(got[None][1] - 6.0) < 1e-9
     assert exact_quantiles(df.limit(0), "x", [0.5]).collect() == []
+
+
+def test_null_groups_and_nan_in_boxes_and_density(spark):
+    from tipscope.operators import binning as bn
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), (None, 3.0), (None, 5.0), (None, float("nan"))]
+    df = spark.createDataFrame(rows, "g string, x double")
+    box = {r.g: (r.n, r.median) for r in bn.box_stats(df, "x", "g").collect()}
+    assert box == {"a": (3, 2.0), None: (2, 4.0)}
+    assert {r.g for r in bn.kde(df, "x", "g", n_grid=4).select("g").distinct().collect()} == {"a", None}
+    assert [(r.xmin, r.xmax) for r in bn.hist_equal(df, "x", 1).collect()] == [(1.0, 5.0)]

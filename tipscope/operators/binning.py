@@ -27,11 +27,23 @@ def _groups(group: str | Sequence[str] | None) -> list[str]:
     return [group] if isinstance(group, str) else list(group)
 
 
+def _number(col: str) -> Column:
+    """The column as a double; NaN counts as missing."""
+    x = F.col(col).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def _attach(df: DataFrame, stats: DataFrame, keys: list[str]) -> DataFrame:
-    """Join per-group statistics back to the rows (broadcast after a size check)."""
+    """Join per-group statistics back to the rows (broadcast after a size
+    check); a NULL key is a group of its own."""
     if not keys:
         return df.crossJoin(F.broadcast(stats))
-    return df.join(broadcast_if_small(stats, MAX_GROUPS_BROADCAST), keys)
+    mark = [f"_k{i}" for i in range(len(keys))]
+    stats = broadcast_if_small(stats.withColumnsRenamed(dict(zip(keys, mark))), MAX_GROUPS_BROADCAST)
+    same = F.lit(True)
+    for k, m in zip(keys, mark):
+        same = same & F.col(k).eqNullSafe(F.col(m))
+    return df.join(stats, same).drop(*mark)
 
 
 def hist_equal(df: DataFrame, col: str, bins: int = 30,
@@ -41,7 +53,7 @@ def hist_equal(df: DataFrame, col: str, bins: int = 30,
     Returns (bin, xmin, xmax, n). The last bin is closed on the right. A
     ``view`` range only filters the output bins, as a zoomed chart does.
     """
-    x = F.col(col).cast("double")
+    x = _number(col)
     rng = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"))
     w = (F.col("_hi") - F.col("_lo")) / bins
     b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
@@ -73,7 +85,7 @@ def hist_pretty(df: DataFrame, col: str) -> DataFrame:
     """Base-R style histogram: Sturges class count, rounded breaks, right-closed
     bins with the lowest break included (hist_pretty). Returns
     (bin, break_lo, break_hi, n)."""
-    x = F.col(col).cast("double")
+    x = _number(col)
     st = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_n"))
     k = F.ceil(F.log2(F.col("_n")) + 1)
     cell = F.greatest((F.col("_hi") - F.col("_lo")) / k, F.lit(1e-12))
@@ -112,7 +124,7 @@ def box_stats(df: DataFrame, value: str, group: str | Sequence[str] | None = Non
     memory per group (see operators.quantiles); 'map' uses Spark's exact
     percentile, which holds every distinct value of a group in one task."""
     keys = _groups(group)
-    x = F.col(value).cast("double")
+    x = _number(value)
     base = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
     q = _quartiles(base, keys, [0.25, 0.5, 0.75], ["q1", "median", "q3"], method)
     q = q.withColumn("lower_fence", F.col("q1") - coef * (F.col("q3") - F.col("q1"))) \
@@ -130,7 +142,7 @@ def box_outliers(df: DataFrame, value: str, group: str | Sequence[str] | None =
                  coef: float = 1.5, method: str = "bracket") -> DataFrame:
     """The rows outside the 1.5 IQR fences of their group (box_outliers)."""
     keys = _groups(group)
-    x = F.col(value).cast("double")
+    x = _number(value)
     base = df.where(x.isNotNull()).select(*keys, x.alias("_x"))
     q = _quartiles(base, keys, [0.25, 0.75], ["_q1", "_q3"], method)
     q = q.select(*keys, (F.col("_q1") - coef * (F.col("_q3") - F.col("_q1"))).alias("_lf"),
@@ -150,7 +162,7 @@ def kde(df: DataFrame, value: str, group: str | Sequence[str] | None = None,
     grid first for continuous columns (exact when None).
     """
     keys = _groups(group)
-    x = F.col(value).cast("double")
+    x = _number(value)
     xv = F.round(x / resolution) * resolution if resolution else x
     base = df.where(x.isNotNull()).select(*keys, xv.alias("_x"))
     vc = base.groupBy(*keys, "_x").agg(F.count(F.lit(1)).alias("_c"))
@@ -158,7 +170,7 @@ def kde(df: DataFrame, value: str, group: str | Sequence[str] | None = None,
         F.count(F.lit(1)).alias("_n"), F.stddev_samp("_x").alias("_sd"),
         F.min("_x").alias("_min"), F.max("_x").alias("_max"))
     quart = exact_quantiles(base, "_x", [0.25, 0.75], keys, ["_q1", "_q3"])
-    st = (st.join(quart, keys) if keys else st.crossJoin(quart)).withColumn(
+    st = _attach(st, quart, keys).withColumn(
         "_q", F.array("_q1", "_q3")).drop("_q1", "_q3")
     if bw is None:
         iqr = (F.col("_q")[1] - F.col("_q")[0]) / 1.34
