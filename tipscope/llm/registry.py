@@ -1,5 +1,5 @@
 """Queries of the operators: each over its whole table with production
-parameters. ``ORACLE`` has the DuckDB SQL of those that SQL can express."""
+parameters. ``oracles.ORACLE`` has the DuckDB SQL of those that SQL can express."""
 
 from __future__ import annotations
 
@@ -68,4 +68,5 @@ def queries():
 
 
 def oracle_sql():
-    return {}
+    from tipscope.llm.oracles import ORACLE
+    return dict(ORACLE)
