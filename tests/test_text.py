@@ -71,10 +71,26 @@ def test_truncate_and_letters(spark):
     assert df.select(F.length(tx.truncate("t"))).collect()[1][0] == 4
 
 
-def test_topk_batch_refuses_oversized_query_sets(spark, monkeypatch):
-    import pytest
-    monkeypatch.setattr(rt, "MAX_QUERIES", 2)
-    s = spark.createDataFrame([(1, [1.0, 0.0])], "chunk_id long, embedding array<double>")
-    q = spark.createDataFrame([(i, [1.0, 0.0]) for i in range(3)], "query_id long, query_vec array<double>")
-    with pytest.raises(ValueError):
-        rt.topk_batch(s, q, 1)
+def test_topk_batch_takes_any_number_of_queries(spark, monkeypatch):
+    import numpy as np
+    monkeypatch.setattr(rt, "BLOCK_ROWS", 7)
+    rng = np.random.default_rng(1)
+    store = rng.integers(-2, 3, (40, 3)).astype(float)  # many ties
+    qs = rng.integers(-2, 3, (900, 3)).astype(float)
+    s = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(store)] + [(40, None)],
+                              "chunk_id long, embedding array<double>")
+    q = spark.createDataFrame([(f"q{i}", v.tolist()) for i, v in enumerate(qs)], "query_id string, query_vec array<double>")
+    got = {}
+    for r in rt.topk_batch(s, q, 4).collect():
+        got.setdefault(r.query_id, {})[r["rank"]] = r.chunk_id
+    store = np.vstack([store, np.zeros(3)])
+    norm = np.linalg.norm(qs, axis=1)[:, None] * np.linalg.norm(store, axis=1)
+    sc = np.round(np.where(norm > 0, qs @ store.T / np.where(norm > 0, norm, 1), 0), 9)
+    for i in range(len(qs)):
+        want = sorted(range(41), key=lambda j: (-sc[i, j], j))[:4]
+        assert [got[f"q{i}"][n] for n in (1, 2, 3, 4)] == want
+
+
+def test_chunk_store_keeps_documents_without_text(spark):
+    docs = spark.createDataFrame([(1, "s", None), (2, "s", "a b")], "doc_id long, source string, text string")
+    assert [(r.chunk_id, r.doc_id, r.chunk) for r in rt.chunk_store(docs).orderBy("chunk_id").collect()] == [(1, 1, ""), (2, 2, "a b")]

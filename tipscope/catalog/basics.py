@@ -94,7 +94,7 @@ def _csv_extract(s, d):
 
 
 register("src_csv_extract", _csv_extract, EXTRACT_SQL, ["feat"], FEAT_DOUBLES)
-register("flow_extract", lambda s, d: flows.extract(s, analysis(s, d)), EXTRACT_SQL, ["feat"],
+register("flow_extract", lambda s, d: flows.extract(s, analysis(s, d), _scratch(s, d, "flow_extract_csv")), EXTRACT_SQL, ["feat"],
          FEAT_DOUBLES)
 
 
@@ -201,7 +201,7 @@ FEAT_COLS_SQL = "SELECT * FROM feat"
 register("flt_model_clean", lambda s, d: flt.model_clean(analysis(s, d)),
          "SELECT * FROM mclean", ["mclean"], FEAT_DOUBLES)
 
-BAND = ("fare_amount", "tip_amount", "trip_distance", "total_amount", "trip_minutes")
+BAND = ("fare_amount", "total_amount", "trip_distance", "trip_minutes", "tip_pct")
 register(
     "flt_band_trim", lambda s, d: flt.band_trim(analysis(s, d), BAND),
     "SELECT f.* FROM feat f, (SELECT "

@@ -18,13 +18,17 @@ from tipscope.sources.fixtures import TRIP_KEY
 
 def _hist_sql(col, bins, src="feat"):
     return f"""
-SELECT bin, lo + bin * ((hi - lo) / {bins}) AS xmin, lo + (bin + 1) * ((hi - lo) / {bins}) AS xmax, n
-FROM (SELECT CAST(CASE WHEN r.hi = r.lo THEN 0
+SELECT g.bin, lo + g.bin * ((hi - lo) / {bins}) AS xmin, lo + (g.bin + 1) * ((hi - lo) / {bins}) AS xmax,
+       coalesce(n, 0) AS n
+FROM (SELECT min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi FROM {src}) e,
+     (SELECT CAST(unnest(range({bins})) AS INTEGER) AS bin) g LEFT JOIN
+     (SELECT CAST(CASE WHEN r.hi = r.lo THEN 0
                        ELSE least(floor((x - r.lo) / ((r.hi - r.lo) / {bins})), {bins - 1}) END
-                  AS INTEGER) AS bin, r.lo, r.hi, count(*) AS n
+                  AS INTEGER) AS bin, count(*) AS n
       FROM (SELECT CAST({col} AS DOUBLE) AS x FROM {src} WHERE {col} IS NOT NULL) v,
            (SELECT min(CAST({col} AS DOUBLE)) AS lo, max(CAST({col} AS DOUBLE)) AS hi FROM {src}) r
-      GROUP BY 1, 2, 3) c"""
+      GROUP BY 1) c ON c.bin = g.bin
+WHERE lo IS NOT NULL AND (g.bin = 0 OR hi > lo)"""
 
 
 register("hist_equal", lambda s, d: bn.hist_equal(analysis(s, d), "tip_pct", 100, (0, 150)),
@@ -49,12 +53,14 @@ u2 AS (SELECT *, CASE WHEN 5 * base - cell < 2.75 * (cell - u1) THEN 5 * base EL
        FROM u1),
 u3 AS (SELECT *, CASE WHEN 10 * base - cell < 1.5 * (cell - u2) THEN 10 * base ELSE u2 END AS u
        FROM u2),
-s AS (SELECT u, floor(lo / u) * u AS b0 FROM u3)
-SELECT bin, b0 + (bin - 1) * u AS break_lo, b0 + bin * u AS break_hi, n
-FROM (SELECT CAST(greatest(ceil((x - b0) / u), 1) AS INTEGER) AS bin, b0, u, count(*) AS n
+s AS (SELECT u, floor(lo / u) * u AS b0, hi FROM u3),
+g AS (SELECT b0, u, CAST(unnest(range(1, CAST(greatest(ceil((hi - b0) / u), 1) AS BIGINT) + 1)) AS INTEGER) AS bin FROM s)
+SELECT g.bin, b0 + (g.bin - 1) * u AS break_lo, b0 + g.bin * u AS break_hi, coalesce(n, 0) AS n
+FROM g LEFT JOIN
+     (SELECT CAST(greatest(ceil((x - b0) / u), 1) AS INTEGER) AS bin, count(*) AS n
       FROM (SELECT CAST(trip_speed_mph AS DOUBLE) AS x FROM feat
             WHERE trip_speed_mph IS NOT NULL) v, s
-      GROUP BY 1, 2, 3) q"""
+      GROUP BY 1) q ON q.bin = g.bin"""
 
 register("hist_pretty", lambda s, d: bn.hist_pretty(analysis(s, d), "trip_speed_mph"),
          PRETTY_SQL, ["feat"], ["break_lo", "break_hi"])
@@ -145,7 +151,8 @@ register(
     """SELECT i, lo + i * (hi - lo) / 199 AS x, intercept + slope * (lo + i * (hi - lo) / 199) AS y_hat
        FROM (SELECT regr_slope(tip_amount, fare_amount) AS slope,
                     regr_intercept(tip_amount, fare_amount) AS intercept,
-                    min(fare_amount) AS lo, max(fare_amount) AS hi FROM feat) f,
+                    min(fare_amount) AS lo, max(fare_amount) AS hi
+             FROM feat WHERE fare_amount IS NOT NULL AND tip_amount IS NOT NULL) f,
             (SELECT CAST(unnest(range(0, 200)) AS INTEGER) AS i) g""",
     ["feat"], ["x", "y_hat"])
 

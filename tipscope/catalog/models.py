@@ -138,19 +138,19 @@ register("mod_gram", _gram, _gram_sql(), ["mclean"], ["value"])
 
 
 def _typical(s, d):
-    a = analysis(s, d).where(F.col("tip_amount") > 0)
-    t = flt.band_trim(a, TYPICAL_BAND)
+    t = flt.band_trim(analysis(s, d), TYPICAL_BAND).where(F.col("tip_amount") > 0)
     tot = F.col("total_amount")
     return reg.coef_table(s, reg.fit(t, F.ln("tip_amount"),
                                      [reg.term("total_amount"), reg.term("total_sq", tot * tot),
                                       reg.term("extra")]), "typical").select("term", "estimate")
 
 
-TYPICAL_BAND = ("total_amount", "tip_amount", "extra", "trip_distance", "fare_amount")
-TYPICAL_SRC = {"band": "SELECT f.* FROM (SELECT * FROM feat WHERE tip_amount > 0) f, (SELECT "
+# The columns of the bands, taken over all rows of the table
+TYPICAL_BAND = ("fare_amount", "total_amount", "trip_distance", "trip_minutes", "tip_pct")
+TYPICAL_SRC = {"band": "SELECT f.* FROM feat f, (SELECT "
                + ", ".join(f"quantile_cont({c}, 0.01) AS lo_{c}, quantile_cont({c}, 0.99) AS hi_{c}"
                            for c in TYPICAL_BAND)
-               + " FROM feat WHERE tip_amount > 0) b WHERE "
+               + " FROM feat) b WHERE f.tip_amount > 0 AND "
                + " AND ".join(f"f.{c} BETWEEN b.lo_{c} AND b.hi_{c}" for c in TYPICAL_BAND)}
 register("mod_typical", _typical, "SELECT * FROM typ_coef", ["feat"], ["estimate"],
          {**TYPICAL_SRC, **ols_ctes("typ", "band", "ln(tip_amount)",

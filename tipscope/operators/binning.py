@@ -50,7 +50,8 @@ def hist_equal(df: DataFrame, col: str, bins: int = 30,
                view: tuple[float, float] | None = None) -> DataFrame:
     """Equal-width histogram from min to max (hist_equal).
 
-    Returns (bin, xmin, xmax, n). The last bin is closed on the right. A
+    Returns (bin, xmin, xmax, n) for every bin, empty ones with n = 0; a
+    constant column has one bin. The last bin is closed on the right. A
     ``view`` range only filters the output bins, as a zoomed chart does.
     """
     x = _number(col)
@@ -60,10 +61,12 @@ def hist_equal(df: DataFrame, col: str, bins: int = 30,
         F.least(F.floor((F.col("_x") - F.col("_lo")) / w), F.lit(bins - 1))).cast("int")
     counted = (df.where(x.isNotNull()).select(x.alias("_x"))
                  .crossJoin(F.broadcast(rng))
-                 .groupBy(b.alias("bin"), "_lo", "_hi")
-                 .agg(F.count(F.lit(1)).alias("n")))
-    out = counted.select("bin", (F.col("_lo") + F.col("bin") * w).alias("xmin"),
-                         (F.col("_lo") + (F.col("bin") + 1) * w).alias("xmax"), "n")
+                 .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    last = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(F.lit(bins - 1))
+    every = rng.where(F.col("_lo").isNotNull()).select("_lo", "_hi", F.explode(F.sequence(F.lit(0), last)).alias("bin"))
+    out = every.join(counted, "bin", "left").select(
+        "bin", (F.col("_lo") + F.col("bin") * w).alias("xmin"),
+        (F.col("_lo") + (F.col("bin") + 1) * w).alias("xmax"), F.coalesce("n", F.lit(0).cast("long")).alias("n"))
     if view is not None:
         out = out.where((F.col("xmax") >= view[0]) & (F.col("xmin") <= view[1]))
     return out
@@ -84,7 +87,7 @@ def _pretty_unit(cell: Column) -> Column:
 def hist_pretty(df: DataFrame, col: str) -> DataFrame:
     """Base-R style histogram: Sturges class count, rounded breaks, right-closed
     bins with the lowest break included (hist_pretty). Returns
-    (bin, break_lo, break_hi, n)."""
+    (bin, break_lo, break_hi, n) for every bin up to the maximum's."""
     x = _number(col)
     st = df.agg(F.min(x).alias("_lo"), F.max(x).alias("_hi"), F.count(x).alias("_n"))
     k = F.ceil(F.log2(F.col("_n")) + 1)
@@ -93,10 +96,13 @@ def hist_pretty(df: DataFrame, col: str) -> DataFrame:
     st = st.withColumn("_b0", F.floor(F.col("_lo") / F.col("_u")) * F.col("_u"))
     b = F.greatest(F.ceil((F.col("_x") - F.col("_b0")) / F.col("_u")), F.lit(1)).cast("int")
     counted = (df.where(x.isNotNull()).select(x.alias("_x")).crossJoin(F.broadcast(st))
-                 .groupBy(b.alias("bin"), "_b0", "_u").agg(F.count(F.lit(1)).alias("n")))
-    return counted.select("bin",
-                          (F.col("_b0") + (F.col("bin") - 1) * F.col("_u")).alias("break_lo"),
-                          (F.col("_b0") + F.col("bin") * F.col("_u")).alias("break_hi"), "n")
+                 .groupBy(b.alias("bin")).agg(F.count(F.lit(1)).alias("n")))
+    last = F.greatest(F.ceil((F.col("_hi") - F.col("_b0")) / F.col("_u")), F.lit(1)).cast("int")
+    every = st.where(F.col("_n") > 0).select("_b0", "_u", F.explode(F.sequence(F.lit(1), last)).alias("bin"))
+    return every.join(counted, "bin", "left").select(
+        "bin", (F.col("_b0") + (F.col("bin") - 1) * F.col("_u")).alias("break_lo"),
+        (F.col("_b0") + F.col("bin") * F.col("_u")).alias("break_hi"),
+        F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def hist_median_line(df: DataFrame, col: str, bins: int = 100,

@@ -19,9 +19,15 @@ COR_VARS = ("fare_amount", "trip_distance", "extra", "pickup_hour", "dropoff_hou
             "total_amount")
 
 
+def _number(c: str) -> Column:
+    """The column as a double; NaN counts as missing (trap T6)."""
+    x = F.col(c).cast("double")
+    return F.when(~F.isnan(x), x)
+
+
 def pair_corr(a: str, b: str) -> Column:
     """Pearson r over rows where both are present; NULL for a constant side."""
-    x, y = F.col(a).cast("double"), F.col(b).cast("double")
+    x, y = _number(a), _number(b)
     both = x.isNotNull() & y.isNotNull()
     xs, ys = F.when(both, x), F.when(both, y)
     return F.try_divide(F.covar_pop(xs, ys), F.stddev_pop(xs) * F.stddev_pop(ys))
@@ -38,7 +44,7 @@ def matrix(df: DataFrame, cols: Sequence[str] = COR_VARS, upper: bool = False) -
     generated code stays small however many columns there are."""
     cols = list(cols)
     cells = F.array(*[F.struct(F.lit(a).alias("var_x"), F.lit(b).alias("var_y"),
-                               F.col(a).cast("double").alias("x"), F.col(b).cast("double").alias("y"))
+                               _number(a).alias("x"), _number(b).alias("y"))
                       for i, a in enumerate(cols) for b in cols[i:]])
     e = (df.select(F.explode(cells).alias("c")).select("c.*")
            .where(F.col("x").isNotNull() & F.col("y").isNotNull()))

@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
-from tipscope.functions.distributions import norm_ppf
 from tipscope.operators.regression import OlsFit, Terms, with_fit
-from tipscope.operators.sampling import topk_abs, union_distinct
+from tipscope.operators.sampling import prefix_offsets, topk_abs, union_distinct
 
 
 def influence(df: DataFrame, y: Column, terms: Terms, f: OlsFit,
@@ -57,26 +56,21 @@ def top_influential(infl: DataFrame, key: Sequence[str], k: int = 10) -> DataFra
     return union_distinct(a, b, c)
 
 
-@pandas_udf(DoubleType())
-def _qnorm(p: pd.Series) -> pd.Series:
-    return p.map(norm_ppf)
-
-
-def qq(infl: DataFrame, n_points: int = 1000, col: str = "std_resid",
-       accuracy: int = 100000) -> DataFrame:
-    """Normal Q-Q table: sample quantiles of the standardised residuals at
-    ``n_points`` plotting positions against the normal quantiles (dia_qq).
-
-    One ``percentile_approx`` aggregate gives the sample side, so no global
-    sort of the rows; the inverse normal runs in an Arrow-batched pandas UDF
-    over at most ``n_points`` rows.
-    """
-    a = 0.5
-    probs = [(i - a) / (n_points + 1 - 2 * a) for i in range(1, n_points + 1)]
-    arr = F.array(*[F.lit(p) for p in probs])
-    qs = infl.agg(F.percentile_approx(col, arr, F.lit(accuracy)).alias("_q"))
-    z = qs.select(F.posexplode(F.arrays_zip(arr.alias("p"), F.col("_q").alias("sample")))
-                  .alias("i", "v"))
-    z = z.select((F.col("i") + 1).alias("i"), F.col("v.p").alias("p"),
-                 F.col("v.sample").alias("sample"))
-    return z.withColumn("theoretical", _qnorm(F.col("p")))
+def qq(infl: DataFrame, col: str = "std_resid") -> DataFrame:
+    """Normal Q-Q table, one row per residual: its rank ``i``, plotting position
+    ``p``, value ``sample`` and the normal quantile ``theoretical`` (dia_qq).
+    Ranks come from a prefix count over ranges of the value, not from one
+    sorted task; missing residuals have no row."""
+    @pandas_udf(DoubleType())
+    def normal_quantile(p: pd.Series) -> pd.Series:
+        from statistics import NormalDist
+        return p.map(NormalDist().inv_cdf)
+
+    x = infl.select(F.col(col).cast("double").alias("sample"), F.lit(1).alias("one")).where(
+        F.col("sample").isNotNull() & ~F.isnan("sample"))
+    ranked = prefix_offsets(x, "sample", "one").select((F.col("_offset") + 1).alias("i"), "sample")
+    n = x.agg(F.count("*").alias("n"))
+    a = F.when(F.col("n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
+    p = (F.col("i") - a) / (F.col("n") + 1 - 2 * a)
+    return ranked.crossJoin(F.broadcast(n)).select("i", p.alias("p"), "sample").withColumn(
+        "theoretical", normal_quantile("p"))

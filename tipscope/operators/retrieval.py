@@ -2,10 +2,9 @@
 
 Chunk ids are a global sequence in (document, position) order computed
 with a distributed prefix sum over per-document chunk counts, never a
-single-task window. Retrieval scores every stored chunk against a small,
-size-checked set of query vectors gathered into one row, and keeps the
-top k per query with ``row_number`` (planned as a per-partition group
-limit before the shuffle).
+single-task window. Retrieval scores blocks of stored chunks against blocks
+of query vectors and keeps the top k per query with ``row_number`` (planned
+as a per-partition group limit before the shuffle).
 """
 
 from __future__ import annotations
@@ -14,9 +13,9 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tipscope.functions import text as tx
-from tipscope.functions.sizing import fits
 from tipscope.operators.sampling import prefix_offsets
 
 # Prompt wording of the reference's question-answering step
@@ -25,16 +24,18 @@ PROMPT_HEAD = ("Answer the question only using the context below.\n"
                "Keep the answer short and clear.\n")
 CHUNK_SEPARATOR = "\n\n---\n\n"
 CONTEXT_TITLE = "Current dashboard filters:"
-MAX_QUERIES = 10_000
+# rows of one block of vectors
+BLOCK_ROWS = 512
 
 
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text", size: int = tx.CHUNK_SIZE,
                 overlap: int = tx.CHUNK_OVERLAP) -> DataFrame:
     """(chunk_id, doc_id, source, chunk) for every chunk of every squished
-    document (txt_chunk_store, txt_chunk, win_chunk_id)."""
+    document (txt_chunk_store, txt_chunk, win_chunk_id). A NULL text counts as
+    empty and has one empty chunk."""
     d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                    tx.squish(text_col).alias("_t"))
+                    tx.squish(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
     d = d.withColumn("_nc", tx.n_chunks("_t", size, overlap))
     d = prefix_offsets(d, "doc_id", "_nc")
     ex = d.select("doc_id", "source", "_offset",
@@ -87,11 +88,27 @@ def embed_hashing(df: DataFrame, text_col: str = "chunk", out: str = "embedding"
     return embed_with(hashing_model(df, text_col, num_features), df, out)
 
 
-def _round_half_away(v, places):
-    import numpy as np
-    m = float(10 ** places)
-    x = v * m
-    return np.where(x >= 0, np.floor(x + 0.5), np.ceil(x - 0.5)) / m
+def _packed(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
+    """Rows packed into blocks of at most ``BLOCK_ROWS``: their ids and one
+    float64 matrix. A NULL vector counts as all zeros."""
+    def pack(batches):
+        import numpy as np
+        import pyarrow as pa
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                part = batch.slice(at, rows)
+                vecs = part.column(1).to_pylist()
+                mat = np.zeros((len(vecs), max(len(v) if v else 0 for v in vecs)))
+                for i, v in enumerate(vecs):
+                    if v:
+                        mat[i] = v
+                ids = pa.ListArray.from_arrays(pa.array([0, len(vecs)], pa.int32()), part.column(0))
+                yield pa.RecordBatch.from_arrays([ids, pa.array([mat.tobytes()], pa.binary())], names=names)
+
+    rows, names = BLOCK_ROWS, [f"{prefix}_ids", f"{prefix}_mat"]
+    schema = T.StructType([T.StructField(names[0], T.ArrayType(df.schema[id_col].dataType)),
+                           T.StructField(names[1], T.BinaryType())])
+    return df.select(id_col, vec_col).mapInArrow(pack, schema)
 
 
 def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "chunk_id",
@@ -99,76 +116,52 @@ def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "
                zero: float | None = 0.0, score_places: int | None = 9) -> DataFrame:
     """Top-k stored rows per query by cosine similarity (vec_topk_batch, vec_topk).
 
-    The store is scanned once. The query set is small (size-checked against
-    ``MAX_QUERIES``) and shipped to the tasks as a broadcast matrix; each
-    store partition scores its Arrow batches against all queries with one
-    matrix product and keeps only its own k best rows per query, so at most
-    k x queries rows per partition reach the final shuffle, where
-    ``row_number`` picks the global k. Scores are rounded to
-    ``score_places`` before ranking so float noise cannot reorder ties;
-    ties go to the lower id (T21).
+    Store and queries are packed into blocks of rows, and every pair of a store
+    block and a query block is scored with one matrix product; Spark chooses by
+    size whether the query blocks are broadcast. A pair of blocks yields its k
+    best rows per query, ``row_number`` (a group limit before the shuffle)
+    picks the global k. Any number of queries is taken and none pass through the
+    driver. Scores are rounded to ``score_places`` before ranking so float noise
+    cannot reorder ties; ties go to the lower id (T21).
     """
-    import numpy as np
-    import pandas as pd
-    from pyspark.sql import types as T
-
-    if not fits(queries, MAX_QUERIES):
-        raise ValueError(f"query set exceeds {MAX_QUERIES} rows; split it into batches")
-    qp = queries.select(F.col(q_id).alias("qid"), F.col(q_vec).alias("qv")).toPandas()
-    qids = qp["qid"].to_numpy()
-    qmat = (np.stack([np.asarray(v, dtype="float64") for v in qp["qv"]])
-            if len(qp) else np.zeros((0, 0)))
-    spark = store.sparkSession
-    try:  # ship the (bounded) query matrix once per executor
-        bq = spark.sparkContext.broadcast((qids, qmat))
-        get_q = lambda: bq.value
-    except Exception:  # noqa: BLE001 - no local context: travel with the task closure
-        payload = (qids, qmat)
-        get_q = lambda: payload
-    qid_type = queries.schema[q_id].dataType
-    slim = store.select(id_col, vec_col)      # only ids and vectors travel to Python
-    out_schema = T.StructType([store.schema[id_col], T.StructField(q_id, qid_type),
-                               T.StructField("score", T.DoubleType())])
-
-    def score_partition(batches):
-        ids, Q = get_q()
-        qn = np.sqrt(np.einsum("ij,ij->i", Q, Q)) if len(Q) else np.zeros(0)
-        best = None
-        for pdf in batches:
-            if len(pdf) == 0 or len(ids) == 0:
-                continue
-            X = np.stack([np.zeros(Q.shape[1]) if v is None else np.asarray(v, dtype="float64")
-                          for v in pdf[vec_col]])
-            xn = np.sqrt(np.einsum("ij,ij->i", X, X))
-            dot = X @ Q.T
-            den = np.outer(xn, qn)
-            with np.errstate(divide="ignore", invalid="ignore"):
-                sc = np.where(den > 0, dot / np.where(den > 0, den, 1.0),
-                              np.nan if zero is None else zero)
-            if score_places is not None:
-                sc = _round_half_away(sc, score_places)
-            rows = []
-            rid = pdf[id_col].to_numpy()
-            for j in range(len(ids)):
-                col = np.where(np.isnan(sc[:, j]), -np.inf, sc[:, j])
-                order = np.lexsort((rid, -col))[:k]
-                part = pdf.iloc[order][[id_col]].copy()
-                part[q_id] = ids[j]
-                part["score"] = sc[order, j]
-                rows.append(part)
-            cand = pd.concat(rows + ([best] if best is not None else []), ignore_index=True)
-            key = np.where(np.isnan(cand["score"].to_numpy()), -np.inf, cand["score"].to_numpy())
-            cand = cand.iloc[np.lexsort((cand[id_col].to_numpy(), -key))]
-            best = cand.groupby(q_id, sort=False).head(k).reset_index(drop=True)
-        if best is not None:
-            yield best[[f.name for f in out_schema.fields]]
-
-    scored = slim.mapInPandas(score_partition, out_schema)
+    def best(batches):
+        import numpy as np
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        def matrix(raw, n):
+            return np.frombuffer(raw.as_py()).reshape(n, -1)
+
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sid, qid = batch.column(0)[i].values, batch.column(2)[i].values
+                by_id = pc.sort_indices(sid)
+                sid = sid.take(by_id)
+                X = matrix(batch.column(1)[i], len(sid))[by_id.to_numpy()]
+                Q = matrix(batch.column(3)[i], len(qid))
+                if not X.shape[1] or not Q.shape[1]:
+                    X, Q = np.zeros((len(sid), 1)), np.zeros((len(qid), 1))
+                length = np.outer(np.sqrt((X * X).sum(axis=1)), np.sqrt((Q * Q).sum(axis=1)))
+                score = np.full(length.shape, np.nan if zero is None else zero)
+                np.divide(X @ Q.T, length, out=score, where=length > 0)
+                if score_places is not None:  # halves away from zero
+                    unit = float(10 ** score_places)
+                    score = np.copysign(np.floor(np.abs(score * unit) + 0.5) / unit, score)
+                rank = np.where(np.isnan(score), -np.inf, score)
+                top = np.argsort(-rank, axis=0, kind="stable")[:k]  # ids ascend: ties to the lower id
+                column = np.broadcast_to(np.arange(len(qid)), top.shape)
+                yield pa.RecordBatch.from_arrays(
+                    [sid.take(pa.array(top.ravel())), qid.take(pa.array(column.ravel())),
+                     pa.array(score[top, column].ravel(), pa.float64(), from_pandas=True)],
+                    names=[id_col, q_id, "score"])
+
+    out = T.StructType([T.StructField(id_col, store.schema[id_col].dataType),
+                        T.StructField(q_id, queries.schema[q_id].dataType), T.StructField("score", T.DoubleType())])
+    blocks = _packed(store, id_col, vec_col, "s").crossJoin(_packed(queries, q_id, q_vec, "q"))
     w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    hits = (scored.withColumn("rank", F.row_number().over(w).cast("long"))
+    hits = (blocks.mapInArrow(best, out).withColumn("rank", F.row_number().over(w).cast("long"))
                   .where(F.col("rank") <= k))
-    # at most k rows per query (k x MAX_QUERIES rows at most): attach the stored columns by id
-    return store.join(F.broadcast(hits), id_col)
+    return store.join(hits, id_col)
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", keys: Sequence[str] = ()) -> DataFrame:

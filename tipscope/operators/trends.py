@@ -34,7 +34,9 @@ def lm(df: DataFrame, x: str, y: str, group: str | Sequence[str] | None = None)
 
 def lm_grid(df: DataFrame, x: str, y: str, steps: int = 200) -> DataFrame:
     """Fit y ~ x, then predict at ``steps`` equal steps from min(x) to max(x)
-    (trend_lm_grid). One aggregate; the grid is generated from it."""
+    (trend_lm_grid), over rows with both values. One aggregate; the grid is
+    generated from it."""
+    df = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
     X, Y = F.col(x).cast("double"), F.col(y).cast("double")
     one = df.agg(F.regr_slope(Y, X).alias("slope"), F.regr_intercept(Y, X).alias("intercept"),
                  F.min(X).alias("lo"), F.max(X).alias("hi"))
