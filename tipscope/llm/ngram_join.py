@@ -43,7 +43,7 @@ from tipscope.llm.tokens import Words, mix, windows
 ship(__name__)
 
 #: Shingles of one request block and of one bucket's group, about.
-BLOCK, GROUP = 1 << 19, 1 << 22
+BLOCK, GROUP = 1 << 19, 1 << 21
 #: Sets smaller than this have every shingle as a piece of its own.
 SMALL = 256
 SKETCH_BITS = 1024
@@ -79,28 +79,47 @@ def _profiles(k):
 
 def _requests(k, buckets):
     """Blocks of documents' shingle hashes by bucket: (bucket, block, low halves
-    of the hashes, class and number of hashes of each document)."""
+    of the hashes that one document of the block holds, low halves of those that
+    several hold, gaps between the numbers of the former's documents, their
+    number of hashes). A hash that several hold is known to be shared, so it is
+    sent once and asks for nothing: a shingle of very many documents is one
+    value a block. The block's own row has its documents' classes, set sizes and
+    numbers of hashes known to be shared."""
     def run(batches):
         words = Words()
         sets, total = [], 0
 
+        def parts(values):
+            bucket = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+            order = np.argsort(bucket, kind="stable")
+            return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+
         def flush():
             cls = np.array([mix(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets], np.uint64)
-            owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+            size = np.array([len(s) for s in sets], np.uint32)
+            owner = np.repeat(np.arange(len(sets), dtype=np.uint32), size)
             keys = mix(np.concatenate(sets) ^ np.uint64(0x5BD1E995))
-            bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            bounds = np.searchsorted(bucket[order], np.arange(buckets + 1))
-            low = keys.astype(np.uint32)
+            order = np.argsort(keys, kind="stable")
+            ordered = keys[order]
+            first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
+            alone = first & np.concatenate((first[1:], [True]))
+            known = np.bincount(owner[order[~alone]], minlength=len(sets)).astype(np.uint32)
+            several = ordered[first & ~alone]
+            one = np.sort(order[alone])
+            keys, owner = keys[one], owner[one]
             block = int(mix(cls + np.arange(len(cls), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            out = [(x, block, low[i].tobytes(),
-                    np.bincount(owner[i], minlength=len(sets)).astype(np.uint32).tobytes())
-                   for x in range(buckets) if len(i := order[bounds[x]:bounds[x + 1]])]
-            out.append((-1 - abs(block) % buckets, block, cls.tobytes(), b""))
+            (at1, end1), (at2, end2) = parts(keys), parts(several)
+            out = [(-1 - abs(block) % buckets, block, cls.tobytes(), b"", size.tobytes(), known.tobytes())]
+            for x in range(buckets):
+                i, j = at1[end1[x]:end1[x + 1]], at2[end2[x]:end2[x + 1]]
+                if len(i) or len(j):
+                    who, times = np.unique(owner[i], return_counts=True)
+                    out.append((x, block, keys[i].astype(np.uint32).tobytes(), several[j].astype(np.uint32).tobytes(),
+                                np.diff(who, prepend=np.uint32(0)).tobytes(), times.astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in out], t) for j, t in
-                 enumerate((pa.int32(), pa.int64(), pa.binary(), pa.binary()))],
-                names=["bucket", "block", "keys", "counts"])
+                 enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 4))],
+                names=["bucket", "block", "keys", "several", "gaps", "counts"])
 
         for b in batches:
             for s in _sets(b.column(0).to_pylist(), words, k):
@@ -116,32 +135,44 @@ def _requests(k, buckets):
 
 
 def _held_elsewhere(group: pd.DataFrame) -> pd.DataFrame:
-    """For each block's row of one bucket, how many of each document's shingles
-    occur in another document too."""
+    """For each block's row of one bucket, the documents of which hashes occur in
+    another block too, and how many."""
     if group.bucket.iloc[0] < 0:
-        return group[["block"]].assign(cls=group["keys"], counts=group["counts"], held=group["counts"])
+        return group[["block"]].assign(cls=group["keys"], n=group["gaps"], owners=b"", held=group["counts"])
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
-    _, inverse, times = np.unique(keys, return_inverse=True, return_counts=True)
-    held = (times > 1)[inverse]
-    out, at = [], 0
-    for raw in group["counts"]:
-        counts = np.frombuffer(raw, np.uint32)
-        ends = at + np.cumsum(counts, dtype=np.int64)
-        total = np.concatenate(([0], np.cumsum(held[at:ends[-1]])))
-        got = total[ends - at] - total[ends - at - counts]
-        out.append(got.astype(np.uint32).tobytes())
-        at = ends[-1]
-    return group[["block"]].assign(cls=b"", counts=group["counts"], held=out)
+    every = np.concatenate([keys, *[np.frombuffer(x, np.uint32) for x in group["several"]]])
+    every.sort()
+    twice = np.unique(every[1:][every[1:] == every[:-1]])
+    del every
+    held = (twice[np.minimum(np.searchsorted(twice, keys), len(twice) - 1)] == keys if len(twice)
+            else np.zeros(len(keys), bool))
+    block, owners, counts, at = [], [], [], 0
+    for name, gaps, times in zip(group["block"], group["gaps"], group["counts"]):
+        who = np.cumsum(np.frombuffer(gaps, np.uint32), dtype=np.uint32)
+        times = np.frombuffer(times, np.uint32)
+        ends = np.cumsum(times, dtype=np.int64)
+        size = int(ends[-1]) if len(ends) else 0
+        upto = np.concatenate(([0], np.cumsum(held[at:at + size])))
+        got = (upto[ends] - upto[ends - times]).astype(np.uint32)
+        at += size
+        if got.any():
+            block.append(name)
+            owners.append(who[got > 0].tobytes())
+            counts.append(got[got > 0].tobytes())
+    return pd.DataFrame({"block": np.array(block, np.int64), "cls": b"", "n": b"",
+                         "owners": np.array(owners, object), "held": np.array(counts, object)})
 
 
 def _possible(share):
     """Of one block, the classes of which enough shingles occur elsewhere."""
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        counted = group[group["cls"].str.len() == 0]
-        cls = np.frombuffer(group.loc[group["cls"].str.len() > 0, "cls"].iloc[0], np.int64)
-        n = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in counted["counts"])
-        held = sum(np.frombuffer(x, np.uint32).astype(np.int64) for x in counted["held"])
-        return pd.DataFrame({"cls": cls[100 * held >= share * n]})
+        own = group["cls"].str.len() > 0
+        base = group[own].iloc[0]
+        held = np.frombuffer(base["held"], np.uint32).astype(np.int64)
+        for who, got in zip(group.loc[~own, "owners"], group.loc[~own, "held"]):
+            held[np.frombuffer(who, np.uint32)] += np.frombuffer(got, np.uint32)
+        enough = 100 * held >= share * np.frombuffer(base["n"], np.uint32).astype(np.int64)
+        return pd.DataFrame({"cls": np.frombuffer(base["cls"], np.int64)[enough]})
     return run
 
 
@@ -319,8 +350,8 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, -(-total // GROUP))
     # one row stands for a class; the others' shingles would count as held elsewhere
     firsts = _semi(rows, reps.select("rid", "rhash"))
-    held = (firsts.select("text").mapInArrow(sliced(_requests(k, buckets)), "bucket int, block long, keys binary, counts binary")
-            .groupBy("bucket").applyInPandas(_held_elsewhere, "block long, cls binary, counts binary, held binary"))
+    held = (firsts.select("text").mapInArrow(sliced(_requests(k, buckets)), "bucket int, block long, keys binary, several binary, gaps binary, counts binary")
+            .groupBy("bucket").applyInPandas(_held_elsewhere, "block long, cls binary, n binary, owners binary, held binary"))
     possible = held.groupBy("block").applyInPandas(_possible(share), "cls long").distinct()
     kept = stored(reps.join(possible, "cls", "left_semi"), "possible")
     chosen = _semi(rows, kept.select("rid", "rhash", "rep"), "rep")

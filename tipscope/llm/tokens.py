@@ -14,7 +14,7 @@ from tipscope.llm.base import ship
 ship(__name__)
 
 #: Bytes hashed at a time; longer texts are cut at white space.
-SEGMENT = 1 << 21
+SEGMENT = 1 << 19
 FOLD = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 BASE = 0x9E3779B97F4A7C15 | 1
 
