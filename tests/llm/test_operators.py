@@ -4,6 +4,7 @@ import binascii
 import collections
 import hashlib
 import math
+import random
 import re
 
 import pytest
@@ -178,6 +179,38 @@ def test_patience_alignment(spark):
     assert got[1].removed == [] and got[2].text == "other\nmore" and not got[3].kept and got[4].removed == []
 
 
+def common_runs(a, b, words, least):
+    """Brute force: places in ``b`` of runs that stand anywhere in ``a``."""
+    gone = set()
+    for j in range(len(b)):
+        for i in range(len(a)):
+            n = 0
+            while i + n < len(a) and j + n < len(b) and a[i + n] == b[j + n]:
+                n += 1
+            if sum(words[j:j + n]) >= least:
+                gone |= set(range(j, j + n))
+    return gone
+
+
+def test_repeated_and_swapped_passages_are_common_blocks():
+    P, Q = [1, 2], [3, 4]
+    cases = [([5, *P, 6, *P, 7], [8, *P, 9], [1, 2]), ([5, *P, 6], [7, *P, 8, *P, 9], [1, 2, 4, 5]),
+             ([5, *P, 6, *Q, 7], [8, *Q, 9, *P, 10], [1, 2, 4, 5])]
+    for a, b, gone in cases:
+        assert line_dedup.common_blocks(a, b, [20] * len(b), 30) == gone
+    r = random.Random(2)
+    for kinds in (3, 8, 40) * 400:  # line 0 is blank
+        a = [r.randrange(kinds) for _ in range(r.randrange(20))]
+        b = [r.randrange(kinds) for _ in range(r.randrange(12))]
+        for _ in range(r.randrange(4)):
+            i, j = r.randrange(len(a) + 1), r.randrange(len(b) + 1)
+            b[j:j] = a[i:i + r.randrange(1, 7)]
+        words = [x * 7 % 20 for x in b]
+        got = line_dedup.common_blocks(a, b, words, 30)
+        want = common_runs(a, b, words, 30)
+        assert set(got) <= want and {j for j in want if words[j]} <= set(got) and len(got) == len(set(got))
+
+
 def test_contained_items(spark, docs, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = set()

@@ -9,10 +9,13 @@
    and each shared line is still compared with a document that has it.
 3. A pair is aligned by patience diff: lines unique in both are matched, a
    longest increasing subsequence of them anchors the alignment, equal lines
-   next to anchors extend it, and the gaps are aligned the same way.
-4. Runs of aligned lines of at least ``min_words`` words are common blocks; they
-   are deleted from the later document of the pair. The first holder of a line
-   never loses it, so one copy of each stays.
+   next to anchors extend it, and the gaps are aligned the same way. Equal
+   lines that the alignment leaves over (repeated in either text, or in another
+   order) are matched too and extended to runs, so that the longest run of lines
+   of the later text that the earlier one holds is found at every place.
+4. Runs of matched lines of at least ``min_words`` words are common blocks; they
+   are deleted from the later document of the pair, every copy of them. The
+   first holder of a line never loses it, so one copy of each stays.
 
 Defined cases: a NULL or empty text has no lines; repeated rows (equal id and
 text) are one document with one result; a document of which nothing with a word
@@ -105,8 +108,86 @@ def patience(a, b):
     return sorted(out)
 
 
+def stretches(lines, held):
+    """(start, end) of the longest stretches of lines that are all in ``held``."""
+    start = None
+    for i, x in enumerate([*lines, None]):
+        if x in held:
+            start = i if start is None else start
+        elif start is not None:
+            yield start, i
+            start = None
+
+
+def run_finder(a):
+    """A function that gives, for a list of lines, the length of the longest run
+    ending at each place that ``a`` holds: a suffix automaton of ``a``, built and
+    read in linear time however often a line is repeated."""
+    step, link, length, last = [{}], [-1], [0], 0
+    for x in a:
+        new = len(step)
+        step.append({})
+        link.append(0)
+        length.append(length[last] + 1)
+        p = last
+        while p >= 0 and x not in step[p]:
+            step[p][x] = new
+            p = link[p]
+        if p >= 0:
+            q = step[p][x]
+            if length[q] > length[p] + 1:
+                copy = len(step)
+                step.append(dict(step[q]))
+                link.append(link[q])
+                length.append(length[p] + 1)
+                while p >= 0 and step[p].get(x) == q:
+                    step[p][x] = copy
+                    p = link[p]
+                link[q] = copy
+                q = copy
+            link[new] = q
+        last = new
+
+    def find(lines):
+        out, at, n = [], 0, 0
+        for x in lines:
+            while at and x not in step[at]:
+                at = link[at]
+                n = length[at]
+            if x in step[at]:
+                at, n = step[at][x], n + 1
+            out.append(n)
+        return out
+    return find
+
+
+def left_over_blocks(a, b, words, min_words, gone):
+    """Places in ``b``, not in ``gone``, of runs that ``a`` holds anywhere, with at
+    least ``min_words`` words; a run may reach over places that are gone."""
+    held, gone, out, find = set(a), set(gone), [], None
+    for start, end in stretches(b, held):
+        places = range(start, end)
+        if sum(words[start:end]) < min_words or all(j in gone or not words[j] for j in places):
+            continue
+        if find is None:
+            mine, parts = set(b), []
+            for i0, i1 in stretches(a, mine):
+                parts += [*a[i0:i1], None]  # no line equals None, so no run crosses it
+            find = run_finder(parts)
+        total = [0]
+        for j in places:
+            total.append(total[-1] + words[j])
+        free = end  # the first place that a later run has covered
+        for j, n in reversed([*zip(places, find(b[start:end]))]):
+            first = j - n + 1
+            if first < free and total[j - start + 1] - total[first - start] >= min_words:
+                out += [k for k in range(first, min(j + 1, free)) if k not in gone]
+                free = first
+    return out
+
+
 def common_blocks(a, b, words, min_words):
-    """Places in ``b`` of aligned runs with at least ``min_words`` words."""
+    """Places in ``b`` of aligned or left-over runs with at least ``min_words`` words."""
     gone, run = [], []
     for i, j in [*patience(a, b), (-2, -2)]:
         if run and (i, j) != (run[-1][0] + 1, run[-1][1] + 1):
@@ -114,7 +195,7 @@ def common_blocks(a, b, words, min_words):
                 gone += [y for _, y in run]
             run = []
         run.append((i, j))
-    return gone
+    return sorted(gone + left_over_blocks(a, b, words, min_words, gone))
 
 
 def _aligned(min_words):
