@@ -211,6 +211,32 @@ def test_repeated_and_swapped_passages_are_common_blocks():
         assert set(got) <= want and {j for j in want if words[j]} <= set(got) and len(got) == len(set(got))
 
 
+def test_blocks_whose_lines_have_different_first_holders(spark):
+    line = [" ".join(f"p{j}w{i}" for i in range(20)) for j in range(3)]
+    rows = [(j + 1, f"a{j}\n{line[j]}\nb{j}", "en", "a", 0) for j in range(3)]
+    rows += [(i, "\n".join([f"c{i}", *line, f"d{i}"]), "en", "a", 0) for i in range(4, 9)]
+    got = {r.doc_id: r.removed for r in line_dedup.report(spark.createDataFrame(rows, DOC)).collect()}
+    assert all(got[i] == [] for i in range(1, 5)) and all(got[i] == [1, 2, 3] for i in range(5, 9))
+
+
+def test_every_common_block_goes_from_the_later_document(spark):
+    r = random.Random(5)
+    size = {x: r.randrange(1, 20) for x in range(1, 60)}
+    seqs = []
+    for _ in range(60):
+        s = [r.randrange(1, 60) for _ in range(r.randrange(6))]
+        for _ in range(r.randrange(4)):
+            if seqs and (old := r.choice(seqs)):
+                i, j = r.randrange(len(old)), r.randrange(len(s) + 1)
+                s[j:j] = old[i:i + r.randrange(1, 6)]
+        seqs.append(s)
+    rows = [(i, "\n".join(" ".join(f"l{x}w{k}" for k in range(size[x])) for x in s), "en", "a", 0) for i, s in enumerate(seqs)]
+    got = {x.doc_id: x.removed for x in line_dedup.report(spark.createDataFrame(rows, DOC)).collect()}
+    for i, s in enumerate(seqs):
+        words = [size[x] for x in s]
+        assert set(got[i]) == set().union(*(common_runs(a, s, words, 30) for a in seqs[:i]))
+
+
 def test_contained_items(spark, docs, texts):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()}
     want = set()

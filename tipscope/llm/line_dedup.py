@@ -1,12 +1,14 @@
 """Operator 2, line deduplication by pairwise alignment.
 
 1. Lines are hashed; a line's holders are counted and its first holder found
-   (smallest id, NULL last, then text hash). Lines that one document holds are
-   of no interest; the rarer a shared line, the more it tells, so a document's
-   partner for a shared line is decided by that line's holders alone.
-2. Every document is paired with the first holder of each line it shares: a
-   line held by a thousand documents makes a thousand pairs, not half a million,
-   and each shared line is still compared with a document that has it.
+   (smallest id, NULL last, then text hash). The same is done for windows: the
+   shortest runs of lines from each line on, and up to each line, that reach
+   ``min_words`` words. What one document holds is of no interest.
+2. Every document is paired with the first holder of each line and window it
+   shares: a line held by a thousand documents makes a thousand pairs, not half a
+   million. Each line of a common block stands in one of the block's windows, so
+   whatever block a document shares with any earlier one, all its lines are
+   compared with a document that has them in such a run.
 3. A pair is aligned by patience diff: lines unique in both are matched, a
    longest increasing subsequence of them anchors the alignment, equal lines
    next to anchors extend it, and the gaps are aligned the same way. Equal
@@ -26,6 +28,7 @@ gives an empty result.
 
 from __future__ import annotations
 
+import array
 import bisect
 import hashlib
 
@@ -53,12 +56,33 @@ def line_hashes(text):
     return h, n
 
 
-def _lines(batches):
-    for b in batches:
-        rows = [line_hashes(t) if t else ([], []) for t in b.column(2).to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
-             pa.array([r[1] for r in rows], pa.list_(pa.int32()))], names=[ID, HASH, "lines", "words"])
+def window_keys(h, n, min_words):
+    """Hashes of the shortest runs of two or more lines that reach ``min_words``
+    words, from each line on and up to each line; blank lines lie inside only."""
+    at = [i for i, k in enumerate(n) if k]
+    total = [0]
+    for i in at:
+        total.append(total[-1] + n[i])
+    spans = set()
+    for p in range(len(at)):
+        if (q := bisect.bisect_left(total, total[p] + min_words, p + 1)) < len(total):
+            spans.add((at[p], at[q - 1]))
+        if (q := bisect.bisect_right(total, total[p + 1] - min_words, 0, p + 1)) > 0:
+            spans.add((at[q - 1], at[p]))
+    return sorted({int.from_bytes(hashlib.blake2b(array.array("q", h[i:j + 1]).tobytes(), digest_size=8).digest(),
+                                  "little", signed=True) for i, j in spans if i < j})
+
+
+def _lines(min_words):
+    def run(batches):
+        for b in batches:
+            rows = [line_hashes(t) if t else ([], []) for t in b.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array([r[0] for r in rows], pa.list_(pa.int64())),
+                 pa.array([r[1] for r in rows], pa.list_(pa.int32())),
+                 pa.array([window_keys(*r, min_words) for r in rows], pa.list_(pa.int64()))],
+                names=[ID, HASH, "lines", "words", "windows"])
+    return run
 
 
 def patience(a, b):
@@ -212,12 +236,13 @@ def deletions(docs: DataFrame, id_col="doc_id", text_col="text", min_words=MIN_W
     """(row key, gone): the places of the lines to delete, for documents that
     lose any."""
     rows = keyed(docs, id_col, text_col).select(F.col(ID).cast("long").alias(ID), HASH, F.col(f"`{text_col}`").alias("text"))
-    lines = rows.mapInArrow(sliced(_lines), f"{ID} long, {HASH} long, lines array<bigint>, words array<int>")
+    lines = rows.mapInArrow(sliced(_lines(min_words)), f"{ID} long, {HASH} long, lines array<bigint>, words array<int>, "
+                            "windows array<bigint>")
     lines = stored(lines.dropDuplicates([ID, HASH]).withColumn(
         "doc", F.struct(F.col(ID).isNull().alias("no_id"), F.col(ID).alias("i"), F.col(HASH).alias("h"))), "document-lines")
-    held = lines.select("doc", F.explode(F.array_distinct("lines")).alias("line")).where("line <> 0")
-    shared = held.groupBy("line").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1")
-    pairs = (held.join(shared, "line").where("doc <> first").groupBy("doc", "first").agg(F.min("holders").alias("rarest")))
+    held = lines.select("doc", F.explode(F.array_distinct(F.concat("lines", "windows"))).alias("key")).where("key <> 0")
+    shared = held.groupBy("key").agg(F.min("doc").alias("first"), F.count("*").alias("holders")).where("holders > 1")
+    pairs = held.join(shared, "key").where("doc <> first").select("doc", "first").distinct()
     mine = lines.select("doc", ID, HASH, "lines", "words")
     other = lines.select(F.col("doc").alias("first"), F.col("lines").alias("others"))
     gone = (pairs.join(mine, "doc").join(other, "first").select(ID, HASH, "lines", "words", "others")
