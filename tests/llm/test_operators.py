@@ -131,6 +131,21 @@ def test_toxicity_and_quality_on_held_out_rows(spark):
         assert r.agg(F.avg((F.col("predicted") == F.col(col)).cast("int"))).first()[0] > least
 
 
+def test_co_training_scores_every_unlabelled_document(spark):
+    sizes = ((0, "abc ab", "a"), (1, "xyz zy", "b"))
+    rows = [(i, f"{sizes[i % 2][1]} {i}", "en", sizes[i % 2][2], 9) for i in range(60)]
+    sure = [(i, " ".join([sizes[i % 2][1]] * 30) + f" {i}", "en", sizes[i % 2][2], 9) for i in range(100, 110)]
+    d = spark.createDataFrame(rows + sure, DOC)
+    lab = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(i, None) for i in range(100, 110)], "doc_id long, quality int")
+    meta = cotrain._meta_columns(d, ("source",))
+    _, handed = cotrain.co_train(d, lab, "doc_id", "text", "quality", meta, max_labelled=30)
+    keys = {r.key: r.doc_id for r in d.select("doc_id", F.xxhash64("text").alias("key")).collect()}
+    got = {keys[k]: label for k, label, _ in handed}
+    held = {i for i in range(60) if binascii.crc32(str(i).encode()) % 5 == 0}
+    assert got and all(label == i % 2 for i, label in got.items()) and not held & set(got)
+    assert any(i >= 100 for i in got) and any(i < 60 for i in got)  # a NULL label, and a label beyond the bound
+
+
 def test_main_text_is_the_article(spark):
     pages = spark.read.parquet(f"{SMALL}/pages.parquet")
     for r in html_text.main_text(pages).join(pages.select("page_id", "html"), "page_id").collect():
