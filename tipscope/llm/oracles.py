@@ -1,6 +1,7 @@
 """DuckDB SQL of the operators' queries that SQL can express: secret spans with
 ownership (3), n-gram Jaccard components (6), quality rules with line frequency
-(9) and containment of benchmark items (10)."""
+(9), containment of benchmark items (10), the Merkle manifest (11) and vector
+codes (12)."""
 
 from __future__ import annotations
 
@@ -125,5 +126,83 @@ shared AS (SELECT doc_id, item, item_id, count(*) AS n_shared
 SELECT doc_id, item_id, CAST(n_item AS INTEGER) AS n_item, n_shared, n_shared / n_item AS containment
 FROM shared s JOIN sizes z ON s.item = z.item WHERE 100 * n_shared >= 75 * n_item"""
 
+# ------------------------------------------------------------------ Merkle manifest
+def _field(c):
+    return f"coalesce(octet_length(encode({c})) || ':' || {c}, '-')"
+def _leaf(n):
+    return "sha256(" + " || ".join(_field(c) for c in ("CAST(doc_id AS VARCHAR)","source","lang",n,"text")) + ")"
+_CRC = """xor(4294967295, list_reduce(list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT)),
+    lambda a, b: list_reduce(range(8), lambda c, i: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, xor(a, b)),
+    CAST(4294967295 AS BIGINT)))"""
+def _tree(src, out):
+    """Nodes (g, level, p, h) above the rows (g, p, h) of ``src``."""
+    return f"""{out}(g, level, p, h, n) AS (
+  SELECT g, 0, p, h, count(*) OVER (PARTITION BY g) FROM {src}
+  UNION ALL
+  SELECT g, level + 1, p // 2, sha256(string_agg(h, '' ORDER BY p)), any_value((n + 1) // 2)
+  FROM {out} WHERE n > 1 GROUP BY g, level, p // 2)"""
+MERKLE = f"""
+WITH RECURSIVE docs AS (
+  SELECT row_number() OVER () AS rid, doc_id, coalesce('+' || lang, '') AS g, {_leaf('CAST(n_chars AS VARCHAR)')} AS leaf,
+         CASE WHEN {_CRC} % 7 = 0 THEN {_leaf('CAST(CAST(n_chars AS HUGEINT) + 1 AS VARCHAR)')} ELSE {_leaf('CAST(n_chars AS VARCHAR)')} END AS told
+  FROM documents),
+placed AS (SELECT *, leaf AS h, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p FROM docs),
+{_tree('placed', 'low')},
+subroots AS (SELECT '' AS g, g AS grp, h, row_number() OVER (ORDER BY encode(g)) - 1 AS p FROM low WHERE n = 1),
+{_tree('subroots', 'high')},
+root AS (SELECT h AS root FROM high WHERE n = 1),
+side AS (
+  SELECT g, level, p, n, coalesce(lag(h) OVER w, '') AS prior, coalesce(lead(h) OVER w, '') AS later
+  FROM (SELECT *, p // 2 AS run FROM low) q WHERE n > 1 WINDOW w AS (PARTITION BY g, level, run ORDER BY p)),
+high_side AS (
+  SELECT level, p, coalesce(lag(h) OVER w, '') AS prior, coalesce(lead(h) OVER w, '') AS later
+  FROM (SELECT *, p // 2 AS run FROM high) q WHERE n > 1 WINDOW w AS (PARTITION BY level, run ORDER BY p)),
+steps AS (
+  SELECT rid, level, prior, later FROM placed JOIN side s ON placed.g = s.g AND placed.p >> s.level = s.p
+  UNION ALL
+  SELECT rid, 1000 + level, prior, later FROM placed JOIN subroots u ON placed.g = u.grp JOIN high_side s ON u.p >> s.level = s.p),
+paths AS (SELECT rid, list({{'b': prior, 'a': later}} ORDER BY level) AS path FROM steps GROUP BY rid),
+folded(rid, path, acc) AS (
+  SELECT rid, path, told FROM (SELECT placed.rid, coalesce(path, []) AS path, told FROM placed LEFT JOIN paths ON placed.rid = paths.rid) q
+  UNION ALL
+  SELECT rid, path[2:], sha256(path[1].b || acc || path[1].a) FROM folded WHERE len(path) > 0)
+SELECT doc_id, leaf, u.h AS subroot, root,
+       sha256(coalesce(array_to_string(list_transform(path, lambda x: x.b || x.a), ''), '')) AS proof_sha256,
+       acc AS folded_root, acc = root AS verified
+FROM placed JOIN subroots u ON placed.g = u.grp CROSS JOIN root LEFT JOIN paths ON placed.rid = paths.rid
+JOIN (SELECT rid, acc FROM folded WHERE len(path) = 0) f ON f.rid = placed.rid"""
+
+# ------------------------------------------------------------------ vector codes
+def _assign(book):
+    return f"""
+  SELECT rid, part, v, m // 64 AS dist, m % 64 AS code FROM (
+    SELECT p.rid, p.part, any_value(p.v) AS v,
+           min(64 * list_sum(list_transform(range(1, len(p.v) + 1), lambda i: (p.v[i] - c.v[i]) * (p.v[i] - c.v[i]))) + c.entry) AS m
+    FROM pieces p JOIN {book} c ON p.part = c.part GROUP BY p.rid, p.part) q"""
+def _refit(book, coded):
+    return f"""
+  SELECT c.part, c.entry, coalesce(s.v, c.v) AS v FROM {book} c LEFT JOIN (
+    SELECT part, code, list(CAST(floor(total / n) AS BIGINT) ORDER BY i) AS v FROM (
+      SELECT part, code, i, sum(v[i]) AS total, count(*) AS n FROM {coded}, (SELECT unnest(range(1, 1 + (SELECT max(len(v)) FROM pieces))) AS i) k
+      GROUP BY part, code, i) t GROUP BY part, code) s ON c.part = s.part AND c.entry = s.code"""
+CODES = f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) - 1 AS rid, vec_id, label,
+         list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v
+  FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+pieces AS (
+  SELECT rid, part, v[part * (len(v) // 16) + 1:(part + 1) * (len(v) // 16)] AS v
+  FROM kept, (SELECT unnest(range(16)) AS part) q),
+book0 AS (SELECT part, rid AS entry, v FROM pieces WHERE rid < 64),
+coded0 AS MATERIALIZED ({_assign('book0')}),
+book1 AS MATERIALIZED ({_refit('book0', 'coded0')}),
+coded1 AS MATERIALIZED ({_assign('book1')}),
+book2 AS MATERIALIZED ({_refit('book1', 'coded1')}),
+coded2 AS MATERIALIZED ({_assign('book2')}),
+said AS (SELECT sha256(string_agg(array_to_string(v, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM book2),
+codes AS (SELECT rid, string_agg(lower(printf('%02x', code)), '' ORDER BY part) AS code, CAST(sum(dist) AS BIGINT) AS error FROM coded2 GROUP BY rid)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error, codebooks_sha256
+FROM kept JOIN codes ON kept.rid = codes.rid CROSS JOIN said"""
+
 ORACLE = {"op3_ownership_scan": SECRETS, "op6_ngram_jaccard": JACCARD, "op9_line_frequency": QUALITY,
-          "op10_containment_search": CONTAINED}
+          "op10_containment_search": CONTAINED, "op11_slot_pivot": MERKLE, "op12_hadamard_codes": CODES}

@@ -61,10 +61,26 @@ def op10_containment_search(spark, sf_dir):
         HASH).withColumnRenamed(ID, "doc_id")
 
 
+def op11_slot_pivot(spark, sf_dir):
+    from tipscope.llm.merkle import report
+    return report(table(spark, sf_dir, "documents"))
+
+
+def op12_hadamard_codes(spark, sf_dir):
+    from tipscope.llm.vector_codes import report
+    return report(table(spark, sf_dir, "embeddings"))
+
+
+def op13_signature_rules(spark, sf_dir):
+    from tipscope.llm.license_scan import report
+    return report(table(spark, sf_dir, "documents"))
+
+
 def queries():
     return {f.__name__: f for f in (
         op1_backoff_automaton, op2_patience_alignment, op3_ownership_scan, op4_co_training, op5_raking,
-        op6_ngram_jaccard, op7_nb_ngrams, op8_block_lstm, op9_line_frequency, op10_containment_search)}
+        op6_ngram_jaccard, op7_nb_ngrams, op8_block_lstm, op9_line_frequency, op10_containment_search,
+        op11_slot_pivot, op12_hadamard_codes, op13_signature_rules)}
 
 
 def oracle_sql():
