@@ -6,14 +6,16 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tipscope import oracle
-from tipscope.catalog.base import SELECTED, analysis, register, trips, zones
+from tipscope.catalog import factor_sql as fsql
+from tipscope.catalog.base import SELECTED, all_features, analysis, register, trips, zones
 from tipscope.catalog.basics import FEAT_DOUBLES, KEY, TRIP_DOUBLES
 from tipscope.catalog.ols_sql import influence_ctes, ols_ctes
+from tipscope.functions import distributions as dist
 from tipscope.operators import correlation as cor
 from tipscope.operators import diagnostics as dia
+from tipscope.operators import factors as fac
 from tipscope.operators import filters as flt
 from tipscope.operators import regression as reg
-from tipscope.operators import sampling as smp
 from tipscope.operators import trends
 from tipscope.plans import flows
 from tipscope.plans.features import add_features
@@ -44,18 +46,41 @@ register("cor_matrix", lambda s, d: cor.matrix(analysis(s, d), cor.COR_VARS),
 register("cor_upper", lambda s, d: cor.matrix(analysis(s, d), cor.COR_VARS, upper=True),
          _matrix_sql(cor.COR_VARS, upper=True), ["feat"], ["r"])
 
-DUMMY_NUM = ("tip_amount", "fare_amount", "trip_distance")
-DUMMY_CAT = {"tourist_season": ("0", "1"),
-             "pickup_weekday_name": ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")}
-DUMMY_COLS = DUMMY_NUM + tuple(f"{c}_{lv}" for c, lvs in DUMMY_CAT.items() for lv in lvs)
-DUMMY_CTE = {"dums": "SELECT " + ", ".join(
-    list(DUMMY_NUM) + [f"CASE WHEN {c} IS NULL THEN NULL ELSE CAST({c} = '{lv}' AS DOUBLE) END"
-                       f" AS {c}_{lv}" for c, lvs in DUMMY_CAT.items() for lv in lvs]) + " FROM feat"}
 
-register("cor_dummies",
-         lambda s, d: cor.matrix(cor.with_dummies(analysis(s, d), DUMMY_NUM, DUMMY_CAT),
-                                 DUMMY_COLS, upper=True),
-         _matrix_sql(DUMMY_COLS, "dums", upper=True), ["feat"], ["r"], DUMMY_CTE)
+# The columns of the feature table by family, without the trip key
+FRAME_NUMERIC = ("fare_amount", "tip_amount", "trip_distance", "extra", "payment_type", "passenger_count",
+                 "airport_fee", "total_amount", "PULocationID", "DOLocationID", "month", "pickup_hour",
+                 "dropoff_hour", "pickup_weekday_num", "dropoff_weekday_num", "trip_minutes",
+                 "trip_speed_mph", "tip_pct")
+FRAME_STRING = ("file_month", "tourist_season", "pickup_weekday_name", "dropoff_weekday_name")
+FRAME_TIME = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "pickup_time", "dropoff_time", "pickup_date",
+              "dropoff_date")
+
+
+def _dummies(s, d):
+    df = analysis(s, d).drop(*TRIP_KEY)
+    return cor.with_dummies(df.select(*FRAME_NUMERIC, *FRAME_STRING, *FRAME_TIME))
+
+
+def _dummies_sql():
+    numeric = ", ".join(f"({i}, 0, '{c}', CAST({c} AS DOUBLE))" for i, c in enumerate(FRAME_NUMERIC))
+    lv = " UNION ALL ".join(f"SELECT {100 + i} AS block, '{c}' AS variable, {c} AS lev FROM feat WHERE {c} IS NOT NULL"
+                            for i, c in enumerate(FRAME_STRING))
+    own = " ".join(f"WHEN '{c}' THEN {c}" for c in FRAME_STRING)
+    return {
+        "numbered": "SELECT *, row_number() OVER () AS rid FROM feat",
+        "lev": f"SELECT *, count(*) OVER (PARTITION BY variable) AS size, row_number() OVER (PARTITION BY variable ORDER BY lev) AS r "
+               f"FROM (SELECT DISTINCT * FROM ({lv}) a) b",
+        "cells": f"SELECT rid, block, r, name, v FROM numbered, (VALUES {numeric}) t(block, r, name, v) UNION ALL "
+                 f"SELECT rid, block, r, variable || '_' || lev, CAST(CASE variable {own} END = lev AS DOUBLE) "
+                 f"FROM numbered, lev WHERE size <= 20",
+        "pairs": "SELECT a.name AS var_x, b.name AS var_y, a.v AS x, b.v AS y FROM cells a JOIN cells b ON a.rid = b.rid "
+                 "AND (a.block, a.r) <= (b.block, b.r) WHERE a.v IS NOT NULL AND b.v IS NOT NULL"}
+
+
+register("cor_dummies", _dummies,
+         "SELECT var_x, var_y, covar_pop(x, y) / nullif(stddev_pop(x) * stddev_pop(y), 0) AS r FROM pairs GROUP BY 1, 2",
+         ["feat"], ["r"], _dummies_sql())
 
 RANK_VARS = tuple(c for c in cor.COR_VARS if c != "tip_amount")
 register(
@@ -159,52 +184,122 @@ register("mod_typical", _typical, "SELECT * FROM typ_coef", ["feat"], ["estimate
                                      ("extra", "extra")])})
 
 
+# The predictors of the notebooks' factor models. "draft" is fitted on
+# all trips, "final" on the selected ones, where hour and month are numbers;
+# "final_factors" takes these as factors too
+FACTOR_MODELS = {
+    "draft": (("fare_amount", "trip_distance", "trip_minutes", "pickup_hour", "pickup_weekday_name", "passenger_count",
+               "payment_type", "extra", "file_month"), ("pickup_weekday_name", "payment_type", "file_month")),
+    "final": (("fare_amount", "trip_distance", "trip_minutes", "pickup_hour", "pickup_weekday_name", "extra", "month"),
+              ("pickup_weekday_name",)),
+    "final_factors": (("fare_amount", "trip_distance", "trip_minutes", "pickup_hour", "pickup_weekday_name",
+                       "payment_type", "extra", "month"),
+                      ("pickup_hour", "pickup_weekday_name", "payment_type", "month")),
+}
+WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
+
+
+def _factor_fit(s, d, model):
+    df = all_features(s, d) if model == "draft" else analysis(s, d)
+    predictors, factors = FACTOR_MODELS[model]
+    terms, blocks = fac.terms(df, predictors, factors, {"pickup_weekday_name": WEEKDAYS})
+    return reg.fit(df, F.col("tip_amount"), terms), blocks
+
+
+def _factor_ctes(model):
+    predictors, factors = FACTOR_MODELS[model]
+    order = {c: f"list_position({list(WEEKDAYS)}, lev)" if c == "pickup_weekday_name" else "lev" for c in factors}
+    src = "tfeat" if model == "draft" else "feat"
+    return {**fsql.design_ctes(model, src, "tip_amount", predictors, order), **fsql.sweep_ctes(model)}
+
+
+def _all_factor_ctes():
+    return {k: v for m in FACTOR_MODELS for k, v in _factor_ctes(m).items()}
+
+
+def _union(frames):
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.unionByName(f)
+    return out
+
+
 def _factors(s, d):
-    c = clean(s, d)
-    terms = [reg.term("fare_amount"), reg.term("trip_distance"), reg.term("trip_minutes"),
-             reg.term("extra")]
-    for col, levels in (("pickup_hour", list(range(24))),
-                        ("pickup_weekday_name", ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]),
-                        ("payment_type", [1, 2, 3, 4]), ("month", list(range(1, 13)))):
-        for lv in levels[1:]:  # first level is the reference (treatment contrasts)
-            terms.append(reg.term(f"{col}_{lv}", (F.col(col) == F.lit(lv)).cast("double")))
-    return reg.coef_table(s, reg.fit(c, F.col("tip_amount"), terms), "factors")
+    return _union([reg.coef_table(s, _factor_fit(s, d, m)[0], m) for m in FACTOR_MODELS])
 
 
-register("mod_ols_factors", _factors)
+def _coef_sql(models, where="TRUE"):
+    """Estimates, errors, t and their degrees of freedom as a beta argument."""
+    return "\nUNION ALL ".join(
+        f"""SELECT '{m}' AS model, term, estimate, sqrt(v * rss / (n - rank)) AS std_error,
+       estimate / sqrt(v * rss / (n - rank)) AS t_value, (n - rank) / 2.0 AS a, 0.5 AS b,
+       (n - rank) / ((n - rank) + estimate * estimate / (v * rss / (n - rank))) AS x, rss, syy, n, rank FROM {m}_fit"""
+        for m in models)
 
-FACTOR_LEVELS = (("pickup_hour", list(range(24))),
-                 ("pickup_weekday_name", ["Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun"]),
-                 ("payment_type", [1, 2, 3, 4]), ("month", list(range(1, 13))))
+
+register("mod_ols_factors", _factors, "SELECT model, term, estimate, std_error, t_value, p_value FROM pv",
+         ["feat", "tfeat"], ["estimate", "std_error", "t_value", "p_value"],
+         {**_all_factor_ctes(), "coefs": _coef_sql(FACTOR_MODELS), **fsql.beta_ctes("pv", "coefs")})
 
 
 def _gvif(s, d):
-    c = clean(s, d)
-    terms = [reg.term(n) for n in ("fare_amount", "trip_distance", "trip_minutes", "extra")]
-    blocks = {n: [n] for n in ("fare_amount", "trip_distance", "trip_minutes", "extra")}
-    for col, levels in FACTOR_LEVELS:
-        names = [f"{col}_{lv}" for lv in levels[1:]]
-        terms += [reg.term(nm, (F.col(col) == F.lit(lv)).cast("double"))
-                  for nm, lv in zip(names, levels[1:])]
-        blocks[col] = names
-    return reg.gvif(s, reg.fit(c, F.col("tip_amount"), terms), blocks)
+    out = []
+    for m in FACTOR_MODELS:
+        f, blocks = _factor_fit(s, d, m)
+        out.append(reg.gvif(s, f, blocks).select(F.lit(m).alias("model"), "*"))
+    return _union(out)
+
+
+def _gvif_sql():
+    return "\nUNION ALL ".join(
+        f"SELECT '{m}' AS model, CASE block " + " ".join(f"WHEN {i} THEN '{c}'" for i, c in enumerate(FACTOR_MODELS[m][0], 1))
+        + f" END AS term, gvif, df, gvif_scaled FROM {m}_gv" for m in FACTOR_MODELS)
 
 
-register("mod_gvif", _gvif)
+register("mod_gvif", _gvif, _gvif_sql(), ["feat", "tfeat"], ["gvif", "gvif_scaled"],
+         {**_all_factor_ctes(), **{k: v for m in FACTOR_MODELS for k, v in fsql.determinant_ctes(m).items()}})
+
+# ---------------------------------------------------------------- whole summaries
+SUMMARISED = ("raw", "log_full", "log_final")
+
+
+def _plain_ctes(model):
+    y, terms = SQL_TERMS[model]
+    src = {f"{model}_src": f"SELECT {y} AS _resp, " + ", ".join(f"{e} AS {n}" for n, e in terms) + " FROM mclean"}
+    return {**src, **fsql.design_ctes(model, f"{model}_src", "_resp", [n for n, _ in terms], {}), **fsql.sweep_ctes(model)}
+
+
+def _fits(s, d, models):
+    c = clean(s, d)
+    specs = [flows.MODELS[m] for m in models]
+    return reg.fit_many(c, [(flows.response(sp), sp.terms) for sp in specs])
 
 
 def _summary(s, d):
-    _, f = _fit(s, d, "log_final")
-    return (reg.coef_table(s, f, "log_final").where(F.col("term") != "(Intercept)")
-            .select("term", "std_error", "t_value"))
+    out = []
+    for m, f in zip(SUMMARISED, _fits(s, d, SUMMARISED)):
+        st = reg.stats_table(s, f, m).drop("rss", "n_params")
+        out.append(reg.coef_table(s, f, m).join(F.broadcast(st), "model"))
+    return _union(out)
+
 
+def _ftest_sql(models):
+    return "\nUNION ALL ".join(
+        f"""SELECT '{m}' AS model, n, 1 - rss / syy AS r_squared, 1 - (rss / syy) * (n - 1) / (n - rank) AS adj_r_squared,
+       sqrt(rss / (n - rank)) AS sigma, ((syy - rss) / (rank - 1)) / (rss / (n - rank)) AS f_stat, rank - 1 AS df1,
+       n - rank AS df2, (n - rank) / 2.0 AS a, (rank - 1) / 2.0 AS b,
+       (n - rank) / ((n - rank) + (syy - rss) / (rss / (n - rank))) AS x FROM {m}_fit WHERE k = 1""" for m in models)
 
-SUMMARY_SQL = "\nUNION ALL ".join(
-    f"SELECT '{n}' AS term, sqrt(rss / (n - 4) / sxx_{n}) AS std_error, "
-    f"b_{n} / sqrt(rss / (n - 4) / sxx_{n}) AS t_value FROM log_final_fit"
-    for n, _ in SQL_TERMS["log_final"][1])
-register("mod_summary", _summary, SUMMARY_SQL, ["mclean"], ["std_error", "t_value"],
-         _ctes("log_final"))
+
+SUMMARY_CTES = {**{k: v for m in SUMMARISED for k, v in _plain_ctes(m).items()},
+                "coefs": _coef_sql(SUMMARISED), **fsql.beta_ctes("pv", "coefs"),
+                "ftest": _ftest_sql(SUMMARISED), **fsql.beta_ctes("fv", "ftest")}
+register("mod_summary", _summary,
+         """SELECT p.model, term, estimate, std_error, t_value, p.p_value, CAST(f.n AS BIGINT) AS n, r_squared, adj_r_squared,
+                   sigma, f_stat, CAST(df1 AS BIGINT) AS df1, CAST(df2 AS BIGINT) AS df2, f.p_value AS f_p_value
+            FROM pv p JOIN fv f ON p.model = f.model""",
+         ["mclean"], ["estimate", "std_error", "t_value", "p_value", "r_squared", "adj_r_squared", "sigma", "f_stat",
+                      "f_p_value"], SUMMARY_CTES)
 
 
 def _fit_stats(s, d):
@@ -222,33 +317,36 @@ register(
     ["mclean"], ["r_squared", "adj_r_squared", "sigma", "f_stat"], _ctes("log_final"))
 
 
-def _pvalues(s, d):
-    c, f = _fit(s, d, "log_final")
-    _, g = _fit(s, d, "log_interact")
-    coef = reg.coef_table(s, f, "log_final").select("term", "p_value")
-    st = reg.stats_table(s, f, "log_final").select(F.lit("F").alias("term"),
-                                                   F.col("f_p_value").alias("p_value"))
-    an = reg.anova(s, f, g).select(F.lit("anova").alias("term"), "p_value")
-    return coef.unionByName(st).unionByName(an)
+def _anova(s, d):
+    return reg.anova(s, *_fits(s, d, ("log_final", "log_interact")))
 
 
-register("mod_pvalues", _pvalues)
+ANOVA_CTES = {**_plain_ctes("log_final"), **_plain_ctes("log_interact"),
+              "ftest": """SELECT r.rss AS rss_reduced, f.rss AS rss_full, CAST(r.n - r.rank AS BIGINT) AS df_reduced,
+                                 CAST(f.n - f.rank AS BIGINT) AS df_full,
+                                 ((r.rss - f.rss) / (f.rank - r.rank)) / (f.rss / (f.n - f.rank)) AS f_stat,
+                                 (f.n - f.rank) / 2.0 AS a, (f.rank - r.rank) / 2.0 AS b,
+                                 (f.n - f.rank) / ((f.n - f.rank) + (r.rss - f.rss) / (f.rss / (f.n - f.rank))) AS x
+                          FROM log_final_fit r, log_interact_fit f WHERE r.k = 1 AND f.k = 1""",
+              **fsql.beta_ctes("fv", "ftest")}
+register("mod_anova", _anova, "SELECT rss_reduced, rss_full, df_reduced, df_full, f_stat, p_value FROM fv",
+         ["mclean"], ["rss_reduced", "rss_full", "f_stat", "p_value"], ANOVA_CTES)
 
 
-def _anova(s, d):
-    _, f = _fit(s, d, "log_final")
-    _, g = _fit(s, d, "log_interact")
-    return reg.anova(s, f, g).drop("p_value")
+def _pvalues(s, d):
+    """p-values of the final model's terms, of its F test and of the nested-model test."""
+    f, g = _fits(s, d, ("log_final", "log_interact"))
+    coef = reg.coef_table(s, f, "log_final").select("term", "p_value")
+    st = reg.stats_table(s, f, "log_final").select(F.lit("F").alias("term"), F.col("f_p_value").alias("p_value"))
+    an = reg.anova(s, f, g).select(F.lit("anova").alias("term"), "p_value")
+    return coef.unionByName(st).unionByName(an)
 
 
-register(
-    "mod_anova", _anova,
-    """SELECT r.rss AS rss_reduced, f.rss AS rss_full, CAST(r.n - 4 AS BIGINT) AS df_reduced,
-              CAST(f.n - 5 AS BIGINT) AS df_full,
-              ((r.rss - f.rss) / ((r.n - 4) - (f.n - 5))) / (f.rss / (f.n - 5)) AS f_stat
-       FROM log_final_fit r, log_interact_fit f""",
-    ["mclean"], ["rss_reduced", "rss_full", "f_stat"],
-    {**_ctes("log_final"), **_ctes("log_interact")})
+register("mod_pvalues", _pvalues, "SELECT term, p_value FROM pv", ["mclean"], ["p_value"],
+         {**ANOVA_CTES, "fall": _ftest_sql(("log_final",)),
+          "asked": f"SELECT term, a, b, x FROM ({_coef_sql(('log_final',))}) c UNION ALL "
+                   "SELECT 'F', a, b, x FROM fall UNION ALL SELECT 'anova', a, b, x FROM ftest",
+          **fsql.beta_ctes("pv", "asked")})
 
 
 def _vif(s, d):
@@ -317,9 +415,7 @@ ALL_MODELS = ("raw", "log_full", "log_final", "log_interact")
 
 
 def _rmse(s, d):
-    c = clean(s, d)
-    spec = flows.MODELS["log_final"]
-    return flows.metrics(c, spec, flows.fit_model(c, spec)).select("model", "rmse", "mae")
+    return flows.compare(clean(s, d), ("log_final",)).select("model", "rmse", "mae")
 
 
 register("mod_rmse_mae", _rmse, _metrics_sql(["log_final"]), ["mclean"], ["rmse", "mae"],
@@ -331,8 +427,22 @@ register("mod_threshold",
 register("mod_compare", lambda s, d: flows.compare(clean(s, d), ALL_MODELS),
          "SELECT model, rmse, mae, rmse <= 2 AND mae <= 1.5 AS meets_target FROM ("
          + _metrics_sql(ALL_MODELS) + ") q", ["mclean"], ["rmse", "mae"], _all_ctes(ALL_MODELS))
-register("flow_model", _rmse, _metrics_sql(["log_final"]), ["mclean"], ["rmse", "mae"],
-         _all_ctes(["log_final"]))
+
+
+def _flow_model_sql():
+    parts = []
+    for m in SUMMARISED:
+        pred = _pred_sql(m, exp=SQL_TERMS[m][0].startswith("ln"))
+        parts.append(f"""SELECT '{m}' AS model, count(*) AS n_predicted, sqrt(avg(pow(tip_amount - ({pred}), 2))) AS rmse,
+       avg(abs(tip_amount - ({pred}))) AS mae, avg(tip_amount - ({pred})) AS mean_error,
+       CAST(any_value(f.n) AS BIGINT) AS n_clean, CAST({len(SQL_TERMS[m][1]) + 1} AS BIGINT) AS rank,
+       any_value(1 - f.rss / f.syy) AS r_squared, any_value(sqrt(f.rss / (f.n - {len(SQL_TERMS[m][1]) + 1}))) AS sigma
+FROM mclean, {m}_c c, {m}_fit f""")
+    return ("SELECT *, rmse <= 2 AND mae <= 1.5 AS meets_target FROM (" + "\nUNION ALL ".join(parts) + ") q")
+
+
+register("flow_model", lambda s, d: flows.model(analysis(s, d), SUMMARISED), _flow_model_sql(), ["mclean"],
+         ["rmse", "mae", "mean_error", "r_squared", "sigma"], _all_ctes(SUMMARISED))
 
 # ---------------------------------------------------------------- diagnostics (on the full log model)
 
@@ -386,16 +496,34 @@ def _qq(s, d):
     return dia.qq(infl)
 
 
-register("dia_qq", _qq)
+def _poly_sql(x, terms):
+    out = f"{terms[-1]!r}::DOUBLE"
+    for t in reversed(terms[:-1]):
+        out = f"({out} * ({x}) + {t!r}::DOUBLE)"
+    return out
+
+
+def _quantile_sql(p):
+    def ratio(x, q):
+        return f"{_poly_sql(x, q[0])} / {_poly_sql(x, q[1])}"
+    r = f"sqrt(-ln(least({p}, 1 - {p})))"
+    tail = f"CASE WHEN {r} <= 5 THEN {ratio(f'{r} - 1.6', dist.NORMAL_TAIL)} ELSE {ratio(f'{r} - 5', dist.NORMAL_FAR)} END"
+    return (f"CASE WHEN abs({p} - 0.5) <= 0.425 THEN ({p} - 0.5) * "
+            f"{ratio(f'0.180625 - ({p} - 0.5) * ({p} - 0.5)', dist.NORMAL_MIDDLE)} "
+            f"WHEN {p} < 0.5 THEN -({tail}) ELSE {tail} END")
+
+
+register("dia_qq", _qq,
+         f"""SELECT i, p, sample, {_quantile_sql('p')} AS theoretical FROM (
+  SELECT i, (i - CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END) / CAST(n + 1 - 2 * CASE WHEN n <= 10 THEN 0.375 ELSE 0.5 END AS DOUBLE) AS p,
+         std_resid AS sample
+  FROM (SELECT std_resid, row_number() OVER (ORDER BY std_resid) AS i, count(*) OVER () AS n FROM ({INFL}) q) r) t""",
+         ["mclean"], ["p", "sample", "theoretical"], INFL_CTES)
 
 
 def _topk_abs(s, d):
     infl, _ = _infl(s, d)
-    parts = []
-    for name in ("cooks_d", "rstudent", "leverage"):
-        parts.append(smp.topk_abs(infl, name, 10, TRIP_KEY)
-                     .select(F.lit(name).alias("measure"), *TRIP_KEY, F.col(name).alias("value")))
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return dia.top_by_measure(infl, TRIP_KEY, 10)
 
 
 TOPK_SQL = "\nUNION ALL ".join(

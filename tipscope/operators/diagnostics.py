@@ -9,14 +9,12 @@ from __future__ import annotations
 
 from typing import Sequence
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.functions import pandas_udf
-from pyspark.sql.types import DoubleType
 
+from tipscope.functions.distributions import normal_quantile
 from tipscope.operators.regression import OlsFit, Terms, with_fit
-from tipscope.operators.sampling import prefix_offsets, topk_abs, union_distinct
+from tipscope.operators.sampling import prefix_offsets
 
 
 def influence(df: DataFrame, y: Column, terms: Terms, f: OlsFit,
@@ -47,13 +45,25 @@ def flags(infl: DataFrame, f: OlsFit, resid_cut: float = 3.0, lev_mult: float =
         .where(F.col("flag_rstudent") | F.col("flag_leverage") | F.col("flag_cooks")))
 
 
+def top_by_measure(infl: DataFrame, key: Sequence[str], k: int = 10,
+                   measures: Sequence[str] = ("cooks_d", "rstudent", "leverage")) -> DataFrame:
+    """(measure, key, value): the k rows with the largest |value| of each measure
+    from one pass (srt_topk_abs). A row is unfolded to its key and one value for
+    each measure, and the group limit before the shuffle leaves k rows for each
+    measure and task. Missing values come last; ties go by key."""
+    key = list(key)
+    cells = F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).cast("double").alias("value"))
+                                for m in measures])).alias("c")
+    r = infl.select(*key, cells).select("c.measure", *key, "c.value")
+    size = F.when(~F.isnan("value"), F.abs("value")).desc_nulls_last()
+    nth = F.row_number().over(Window.partitionBy("measure").orderBy(size, *key))
+    return r.withColumn("_nth", nth).where(F.col("_nth") <= k).drop("_nth")
+
+
 def top_influential(infl: DataFrame, key: Sequence[str], k: int = 10) -> DataFrame:
     """Keys of the top-k rows by Cook's D, by |rstudent| and by leverage,
-    de-duplicated (srt_topk_abs + set_union_distinct)."""
-    a = topk_abs(infl, "cooks_d", k, key).select(*key)
-    b = topk_abs(infl, "rstudent", k, key).select(*key)
-    c = topk_abs(infl, "leverage", k, key).select(*key)
-    return union_distinct(a, b, c)
+    de-duplicated (set_union_distinct): at most 3 k rows."""
+    return top_by_measure(infl, key, k).select(*key).distinct()
 
 
 def qq(infl: DataFrame, col: str = "std_resid") -> DataFrame:
@@ -61,11 +71,6 @@ def qq(infl: DataFrame, col: str = "std_resid") -> DataFrame:
     ``p``, value ``sample`` and the normal quantile ``theoretical`` (dia_qq).
     Ranks come from a prefix count over ranges of the value, not from one
     sorted task; missing residuals have no row."""
-    @pandas_udf(DoubleType())
-    def normal_quantile(p: pd.Series) -> pd.Series:
-        from statistics import NormalDist
-        return p.map(NormalDist().inv_cdf)
-
     x = infl.select(F.col(col).cast("double").alias("sample"), F.lit(1).alias("one")).where(
         F.col("sample").isNotNull() & ~F.isnan("sample"))
     ranked = prefix_offsets(x, "sample", "one").select((F.col("_offset") + 1).alias("i"), "sample")
@@ -73,4 +78,4 @@ def qq(infl: DataFrame, col: str = "std_resid") -> DataFrame:
     a = F.when(F.col("n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     p = (F.col("i") - a) / (F.col("n") + 1 - 2 * a)
     return ranked.crossJoin(F.broadcast(n)).select("i", p.alias("p"), "sample").withColumn(
-        "theoretical", normal_quantile("p"))
+        "theoretical", normal_quantile(F.col("p")))

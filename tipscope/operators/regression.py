@@ -1,15 +1,17 @@
 """Least squares through one moment aggregate.
 
-A fit is ONE distributed aggregate: n, means, and the centred
-cross-products (``covar_pop`` pairs, merged map-side, numerically stable)
-of the response and the p predictors. Only that p x p summary reaches the
-driver, where it is solved. Everything per-row afterwards (fitted values,
-residuals, leverage, influence) is a column expression with the solved
-numbers as literals, so it runs inside whole-stage codegen.
+A fit is ONE distributed pass: n, means and the centred cross-products of the
+response and the p predictors (``moments.listwise``, whatever p is). Only that
+p x p summary reaches the driver, where it is solved by a sweep that finds the
+rank: predictors that earlier ones determine are aliased and get no coefficient.
+Everything per-row afterwards (fitted values, residuals, leverage, influence) is
+a column expression with the solved numbers as literals, so it runs inside
+whole-stage codegen.
 """
 
 from __future__ import annotations
 
+import functools
 import math
 from dataclasses import dataclass
 from typing import Sequence
@@ -20,6 +22,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipscope.functions.distributions import f_upper_p, t_two_sided_p
+from tipscope.operators.moments import Moments, listwise
 
 Terms = Sequence[tuple[str, Column]]
 
@@ -48,14 +51,16 @@ class OlsFit:
     sxx: np.ndarray          # centred cross-products of predictors (p x p)
     sxy: np.ndarray
     syy: float
-    beta: np.ndarray         # slopes
+    beta: np.ndarray         # slopes, NaN for aliased terms
     intercept: float
-    sxx_inv: np.ndarray
+    sxx_inv: np.ndarray      # zero for aliased terms
     rss: float
+    live: list[int]          # terms that are not aliased
 
     @property
     def p(self) -> int:
-        return len(self.terms)
+        """Terms that count: the rank without the intercept."""
+        return len(self.live)
 
     @property
     def n_params(self) -> int:
@@ -69,113 +74,105 @@ class OlsFit:
     def sigma2(self) -> float:
         return self.rss / self.df_resid if self.df_resid > 0 else float("nan")
 
-    def coefficients(self) -> list[tuple[str, float, float, float, float]]:
+    def coefficients(self) -> list[tuple]:
+        """(term, estimate, standard error, t, p); None for aliased terms and for
+        what has no value (no residual degrees of freedom, no spread)."""
         s2 = self.sigma2
-        se_b = np.sqrt(np.maximum(np.diag(self.sxx_inv) * s2, 0.0))
-        var0 = s2 * (1.0 / self.n + float(self.xbar @ self.sxx_inv @ self.xbar))
+        var = [1.0 / self.n + float(self.xbar @ self.sxx_inv @ self.xbar) if self.n else float("nan"), *np.diag(self.sxx_inv)]
         rows = []
-        names = ["(Intercept)", *self.terms]
-        ests = [self.intercept, *self.beta.tolist()]
-        ses = [math.sqrt(max(var0, 0.0)), *se_b.tolist()]
-        for nm, b, se in zip(names, ests, ses):
+        for i, (nm, b, v) in enumerate(zip(["(Intercept)", *self.terms], [self.intercept, *self.beta.tolist()], var)):
+            if i and i - 1 not in self.live:
+                rows.append((nm, None, None, None, None))
+                continue
+            se = math.sqrt(max(v * s2, 0.0)) if not math.isnan(v * s2) else float("nan")
             t = b / se if se > 0 else float("nan")
-            rows.append((nm, float(b), float(se), float(t), float(t_two_sided_p(t, self.df_resid))))
+            rows.append((nm, *[None if math.isnan(x) else float(x) for x in (b, se, t, t_two_sided_p(t, self.df_resid))]))
         return rows
 
     def stats(self) -> dict:
         r2 = 1 - self.rss / self.syy if self.syy > 0 else float("nan")
         adj = 1 - (1 - r2) * (self.n - 1) / self.df_resid if self.df_resid > 0 else float("nan")
-        f = ((self.syy - self.rss) / self.p) / self.sigma2 if self.p > 0 else float("nan")
+        f = ((self.syy - self.rss) / self.p) / self.sigma2 if self.p > 0 and self.sigma2 > 0 else float("nan")
         return {"n": self.n, "n_params": self.n_params, "rss": self.rss,
                 "r_squared": r2, "adj_r_squared": adj, "sigma": math.sqrt(self.sigma2),
                 "f_stat": f, "df1": self.p, "df2": self.df_resid,
                 "f_p_value": f_upper_p(f, self.p, self.df_resid)}
 
     # ---- row expressions
-    def predict(self) -> Column:
-        """Fitted value as a column expression over the term columns (mod_predict)."""
+    def predict(self, values: dict[str, Column] | None = None) -> Column:
+        """Fitted value as a column expression over the term columns, or over
+        ``values`` by term (mod_predict); NULL where any term is."""
+        values = values or {t: F.col(t) for t in self.terms}
         e = F.lit(float(self.intercept))
-        for nm, b in zip(self.terms, self.beta):
-            e = e + F.lit(float(b)) * F.col(nm)
-        return e
+        for i in self.live:
+            e = e + F.lit(float(self.beta[i])) * values[self.terms[i]]
+        gone = [values[t].isNull() for i, t in enumerate(self.terms) if i not in self.live]
+        return F.when(~functools.reduce(lambda a, b: a | b, gone), e) if gone else e
 
     def leverage(self) -> Column:
         """Hat value 1/n + (x - xbar)' Sxx^-1 (x - xbar) (dia_leverage)."""
         c = [F.col(nm) - F.lit(float(m)) for nm, m in zip(self.terms, self.xbar)]
         e = F.lit(1.0 / self.n)
-        for i in range(self.p):
-            for j in range(self.p):
+        for i in self.live:
+            for j in self.live:
                 e = e + F.lit(float(self.sxx_inv[i, j])) * c[i] * c[j]
         return e
 
 
-WIDE_DESIGN = 12
-
-
-def _moments_wide(d: DataFrame, names: Sequence[str]) -> dict:
-    """Moments of a wide design (many dummy columns) with Spark ML: one pass
-    for counts, means and variances (Summarizer) and one tree-aggregated
-    correlation matrix over the assembled vectors, instead of p^2 separate
-    SQL aggregates."""
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.stat import Correlation, Summarizer
-
-    cols = ["_y", *names]
-    v = VectorAssembler(inputCols=cols, outputCol="_v").transform(d).select("_v")
-    st = v.select(Summarizer.metrics("count", "mean", "variance").summary(F.col("_v"))
-                  .alias("s")).first()["s"]
-    n = int(st["count"])
-    mean = st["mean"].toArray()
-    var_s = st["variance"].toArray()          # sample variances
-    var_p = var_s * (n - 1) / n if n else var_s
-    corr = Correlation.corr(v, "_v").first()[0].toArray()
-    sd = np.sqrt(var_p)
-    cov = np.nan_to_num(corr) * np.outer(sd, sd)
-    out = {"n": n, "ybar": mean[0], "vyy": var_p[0]}
-    for i in range(len(names)):
-        out[f"m_{i}"] = mean[i + 1]
-        out[f"cy_{i}"] = cov[i + 1, 0]
-        for j in range(i, len(names)):
-            out[f"c_{i}_{j}"] = var_p[i + 1] if i == j else cov[i + 1, j + 1]
-    return out
-
-
-def moments(d: DataFrame, names: Sequence[str]) -> dict:
-    """The single aggregate behind a fit (mod_gram, centred form)."""
-    if len(names) > WIDE_DESIGN:
-        return _moments_wide(d, names)
-    aggs = [F.count(F.lit(1)).alias("n"), F.avg("_y").alias("ybar"),
-            F.var_pop("_y").alias("vyy")]
-    aggs += [F.avg(n).alias(f"m_{i}") for i, n in enumerate(names)]
-    for i, a in enumerate(names):
-        aggs.append(F.covar_pop(a, "_y").alias(f"cy_{i}"))
-        for j in range(i, len(names)):
-            aggs.append(F.covar_pop(a, names[j]).alias(f"c_{i}_{j}"))
-    return d.agg(*aggs).first().asDict()
+# A term is aliased when what the earlier terms leave of it is below ALIASED of
+# its sum of squares, or when its spread is below FLAT of its size
+ALIASED, FLAT = 1e-10, 1e-13
+
+
+def live_terms(sxx: np.ndarray, xbar: np.ndarray, n: int) -> list[int]:
+    """Terms that the earlier ones don't determine, by a sweep over the centred
+    cross-products in the terms' order: each pivot is the part of a term that the
+    terms kept before it leave over. A constant term has none."""
+    ss = np.diag(sxx)
+    scale = np.sqrt(np.where(ss > 0, ss, 1.0))
+    left = sxx / np.outer(scale, scale)
+    kept = []
+    for k in range(len(ss)):
+        if ss[k] <= FLAT * FLAT * n * xbar[k] ** 2 or left[k, k] <= ALIASED:
+            continue
+        kept.append(k)
+        left = left - np.outer(left[:, k], left[k]) / left[k, k]
+    return kept
+
+
+def solve(m: Moments, terms: Sequence[str]) -> OlsFit:
+    """The fit from the moments of (response, terms): aliased terms have no
+    coefficient (NaN) and cost no degree of freedom."""
+    p = len(terms)
+    xbar, ybar = m.mean[1:], float(m.mean[0]) if m.n else float("nan")
+    sxx, sxy, syy = m.sxx[1:, 1:], m.sxx[1:, 0], float(m.sxx[0, 0])
+    live = live_terms(sxx, xbar, m.n)
+    sxx_inv, beta = np.zeros((p, p)), np.full(p, np.nan)
+    used = np.zeros(p)
+    if live:
+        at = np.ix_(live, live)
+        scale = np.sqrt(np.diag(sxx)[live])  # solved at unit diagonal, for conditioning
+        sxx_inv[at] = np.linalg.inv(sxx[at] / np.outer(scale, scale)) / np.outer(scale, scale)
+        used = sxx_inv @ sxy
+        beta[live] = used[live]
+    rss = max(syy - float(used @ sxy), 0.0)
+    return OlsFit(list(terms), m.n, xbar, ybar, sxx, sxy, syy, beta, ybar - float(used @ xbar), sxx_inv, rss, live)
+
+
+def fit_many(df: DataFrame, models: Sequence[tuple[Column, Terms]]) -> list[OlsFit]:
+    """Fits of several models over the same rows from ONE pass: each model's
+    complete rows are taken apart, terms of the same name are the same column."""
+    columns, groups = {}, []
+    for i, (y, terms) in enumerate(models):
+        columns[f"_y{i}"] = y
+        columns.update({n: e for n, e in terms})
+        groups.append([f"_y{i}", *[n for n, _ in terms]])
+    return [solve(m, [n for n, _ in terms]) for m, (_, terms) in zip(listwise(df, columns, groups), models)]
 
 
 def fit(df: DataFrame, y: Column, terms: Terms) -> OlsFit:
     """Ordinary least squares with intercept (mod_ols_*)."""
-    names = [n for n, _ in terms]
-    d = design(df, y, terms)
-    m = moments(d, names)
-    n = int(m["n"])
-    p = len(names)
-    sxx = np.zeros((p, p))
-    for i in range(p):
-        for j in range(i, p):
-            sxx[i, j] = sxx[j, i] = (m[f"c_{i}_{j}"] or 0.0) * n
-    sxy = np.array([(m[f"cy_{i}"] or 0.0) * n for i in range(p)])
-    syy = (m["vyy"] or 0.0) * n
-    xbar = np.array([m[f"m_{i}"] or 0.0 for i in range(p)])
-    # solve on the unit-diagonal (correlation-scaled) matrix for conditioning
-    scale = np.sqrt(np.where(np.diag(sxx) > 0, np.diag(sxx), 1.0)) if p else np.zeros(0)
-    sxx_inv = (np.linalg.pinv(sxx / np.outer(scale, scale)) / np.outer(scale, scale)
-               if p else np.zeros((0, 0)))
-    beta = sxx_inv @ sxy if p else np.zeros(0)
-    rss = max(syy - float(beta @ sxy), 0.0)
-    intercept = float(m["ybar"]) - float(beta @ xbar)
-    return OlsFit(names, n, xbar, float(m["ybar"]), sxx, sxy, syy, beta, intercept, sxx_inv, rss)
+    return fit_many(df, [(y, terms)])[0]
 
 
 def coef_table(spark: SparkSession, f: OlsFit, model: str = "model") -> DataFrame:
@@ -201,24 +198,25 @@ def stats_table(spark: SparkSession, f: OlsFit, model: str = "model") -> DataFra
 def anova(spark: SparkSession, reduced: OlsFit, full: OlsFit) -> DataFrame:
     """Nested-model F test (mod_anova)."""
     ddf = reduced.df_resid - full.df_resid
-    fst = ((reduced.rss - full.rss) / ddf) / (full.rss / full.df_resid)
+    fst = p = None  # the models have the same rank, or the full one has no residual
+    if ddf > 0 and full.df_resid > 0 and full.rss > 0:
+        fst = ((reduced.rss - full.rss) / ddf) / (full.rss / full.df_resid)
+        p = f_upper_p(fst, ddf, full.df_resid)
     schema = T.StructType([T.StructField(k, t) for k, t in (
         ("rss_reduced", T.DoubleType()), ("rss_full", T.DoubleType()),
         ("df_reduced", T.LongType()), ("df_full", T.LongType()),
         ("f_stat", T.DoubleType()), ("p_value", T.DoubleType()))])
     return spark.createDataFrame([(reduced.rss, full.rss, reduced.df_resid, full.df_resid,
-                                   fst, f_upper_p(fst, ddf, full.df_resid))], schema)
+                                   fst, p)], schema)
 
 
 def vif(spark: SparkSession, f: OlsFit) -> DataFrame:
     """Variance inflation: diagonal of the inverse predictor correlation
-    matrix (mod_vif); >= 1 by construction."""
-    d = np.sqrt(np.diag(f.sxx))
-    corr = f.sxx / np.outer(d, d)
-    inv = np.linalg.pinv(corr)
+    matrix (mod_vif); >= 1 by construction, NULL for aliased terms."""
     schema = T.StructType([T.StructField("term", T.StringType()),
                            T.StructField("vif", T.DoubleType())])
-    return spark.createDataFrame([(t, float(inv[i, i])) for i, t in enumerate(f.terms)], schema)
+    return spark.createDataFrame([(t, float(f.sxx_inv[i, i] * f.sxx[i, i]) if i in f.live else None)
+                                  for i, t in enumerate(f.terms)], schema)
 
 
 def with_fit(df: DataFrame, y: Column, terms: Terms, f: OlsFit, keep: Sequence[str] = (),
@@ -232,14 +230,6 @@ def with_fit(df: DataFrame, y: Column, terms: Terms, f: OlsFit, keep: Sequence[s
     return d
 
 
-def error_metrics(pred: DataFrame, actual: Column, predicted: Column) -> DataFrame:
-    """Dollar-scale RMSE and MAE (mod_rmse_mae) and the project's pass rule
-    RMSE <= 2 and MAE <= 1.5 (mod_threshold)."""
-    e = actual - predicted
-    out = pred.agg(F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"))
-    return out.withColumn("meets_target", (F.col("rmse") <= 2) & (F.col("mae") <= 1.5))
-
-
 def signif(c: Column, digits: int = 9) -> Column:
     """Round to significant digits (for comparing large sums across engines)."""
     k = F.floor(F.log10(F.abs(c))) - (digits - 1)
@@ -267,10 +257,10 @@ def gvif(spark: SparkSession, f: OlsFit, blocks: dict[str, Sequence[str]]) -> Da
     """Generalised variance inflation for term blocks (a factor's dummy
     columns form one block): GVIF = det(R11) det(R22) / det(R), with R the
     predictor correlation matrix, R11 the block and R22 the other terms;
-    also GVIF^(1/(2 df)) (mod_vif for factors). Terms that are constant in
-    the data are left out."""
+    also GVIF^(1/(2 df)) (mod_vif for factors). Aliased terms are left out, and
+    so is a block of which nothing is left."""
     d = np.sqrt(np.diag(f.sxx))
-    live = [i for i in range(f.p) if d[i] > 0]
+    live = f.live
     R = f.sxx[np.ix_(live, live)] / np.outer(d[live], d[live])
     names = [f.terms[i] for i in live]
     det_all = np.linalg.det(R)

@@ -114,4 +114,5 @@ def sql(body: str, *ctes: str, extra: dict[str, str] | None = None) -> str:
         parts.append(f"{k} AS ({v}\n)")
     if not parts:
         return body
-    return "WITH " + ",\n".join(parts) + "\n" + body
+    recursive = any("(" in k for k in extra or {})
+    return ("WITH RECURSIVE " if recursive else "WITH ") + ",\n".join(parts) + "\n" + body

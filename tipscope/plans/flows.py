@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from tipscope.operators import diagnostics as dia
 from tipscope.operators import filters as flt
 from tipscope.operators import regression as reg
-from tipscope.operators.sampling import per_stratum, row_lookup, stratified
+from tipscope.operators.sampling import per_stratum, stratified
 from tipscope.plans.features import add_features, extract_columns
 from tipscope.sources import files
 from tipscope.sources.fixtures import TRIP_KEY
@@ -114,24 +114,48 @@ def fit_model(clean: DataFrame, spec: ModelSpec) -> reg.OlsFit:
     return reg.fit(clean, response(spec), spec.terms)
 
 
-def metrics(clean: DataFrame, spec: ModelSpec, f: reg.OlsFit) -> DataFrame:
-    """Dollar-scale RMSE/MAE of one model (mod_rmse_mae, mod_threshold)."""
-    p = reg.with_fit(clean, response(spec), spec.terms, f, keep=["tip_amount"],
-                     log_response=spec.log_response)
-    pred = F.col("pred_dollars") if spec.log_response else F.col("fitted")
-    return reg.error_metrics(p, F.col("tip_amount"), pred).select(
-        F.lit(spec.name).alias("model"), "rmse", "mae", "meets_target")
+def fit_models(clean: DataFrame, names: Sequence[str]) -> list[reg.OlsFit]:
+    """Fits of several models from one pass over the cleaned rows."""
+    return reg.fit_many(clean, [(response(MODELS[n]), MODELS[n].terms) for n in names])
+
+
+def metrics(clean: DataFrame, names: Sequence[str], fits: Sequence[reg.OlsFit]) -> DataFrame:
+    """Dollar-scale errors of several models from one pass: model, rows
+    predicted, RMSE, MAE, mean error and the project's pass rule RMSE <= 2 and
+    MAE <= 1.5 (mod_rmse_mae, mod_threshold). A row without a prediction doesn't
+    count for that model."""
+    aggs = []
+    for i, (n, f) in enumerate(zip(names, fits)):
+        spec = MODELS[n]
+        values = dict(spec.terms)
+        fitted = f.predict({t: values[t].cast("double") for t in f.terms})
+        e = F.col("tip_amount") - (F.exp(fitted) if spec.log_response else fitted)
+        e = F.when(~F.isnan(e), e)
+        aggs += [F.count(e).alias(f"n{i}"), F.sqrt(F.avg(e * e)).alias(f"rmse{i}"), F.avg(F.abs(e)).alias(f"mae{i}"),
+                 F.avg(e).alias(f"bias{i}")]
+    cells = [F.struct(F.lit(n).alias("model"), F.col(f"n{i}").alias("n_predicted"), F.col(f"rmse{i}").alias("rmse"),
+                      F.col(f"mae{i}").alias("mae"), F.col(f"bias{i}").alias("mean_error")) for i, n in enumerate(names)]
+    out = clean.agg(*aggs).select(F.explode(F.array(*cells)).alias("m")).select("m.*")
+    return out.withColumn("meets_target", (F.col("rmse") <= 2) & (F.col("mae") <= 1.5))
 
 
 def compare(clean: DataFrame, names: Sequence[str] = ("raw", "log_full", "log_final",
                                                        "log_interact")) -> DataFrame:
-    """All models' metrics side by side (mod_compare)."""
-    out = None
-    for n in names:
-        spec = MODELS[n]
-        m = metrics(clean, spec, fit_model(clean, spec))
-        out = m if out is None else out.unionByName(m)
-    return out
+    """All models' metrics side by side (mod_compare): one pass fits them all,
+    one more gives all their errors."""
+    return metrics(clean, names, fit_models(clean, names)).select("model", "rmse", "mae", "meets_target")
+
+
+def model(feats: DataFrame, names: Sequence[str] = ("raw", "log_full", "log_final")) -> DataFrame:
+    """flow_model: the feature table is cleaned, the notebook's models are fitted,
+    predictions are taken back to dollars and held against the tips. One row per
+    model: rows cleaned, rank, R², residual standard deviation, and the errors."""
+    clean = flt.model_clean(feats)
+    fits = fit_models(clean, names)
+    st = feats.sparkSession.createDataFrame(
+        [(n, f.n, f.n_params, f.stats()["r_squared"], f.stats()["sigma"]) for n, f in zip(names, fits)],
+        "model string, n_clean long, rank long, r_squared double, sigma double")
+    return metrics(clean, names, fits).join(F.broadcast(st), "model")  # one row per model
 
 
 def outliers(clean: DataFrame, key: Sequence[str] = TRIP_KEY, k: int = 10,
@@ -141,5 +165,6 @@ def outliers(clean: DataFrame, key: Sequence[str] = TRIP_KEY, k: int = 10,
     spec = MODELS[model]
     f = fit_model(clean, spec)
     infl = dia.influence(clean, response(spec), spec.terms, f, keep=list(key))
-    idx = dia.top_influential(infl, list(key), k)
-    return row_lookup(clean, idx, list(key))
+    # at most 3 k keys, so the semi join may broadcast them without a count
+    idx = F.broadcast(dia.top_influential(infl, list(key), k))
+    return clean.join(idx, list(key), "left_semi")
