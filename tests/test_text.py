@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tipscope.functions import text as tx
 from tipscope.operators import retrieval as rt
-from tipscope.operators import sampling as smp
+from tipscope.operators import ranges as rg
 
 
 def _expected_chunks(t, size=700, step=580):
@@ -34,7 +34,7 @@ def test_chunk_ids_are_a_global_sequence(spark):
 def test_prefix_offsets_brute_force(spark):
     rows = [(i, (i * 7919) % 13) for i in range(500)]
     df = spark.createDataFrame(rows, "k long, v long")
-    got = {r.k: r._offset for r in smp.prefix_offsets(df, "k", "v", buckets=7).collect()}
+    got = {r.k: r._offset for r in rg.prefix_offsets(df, "k", "v", range_rows=70).collect()}
     run = 0
     for k, v in rows:
         assert got[k] == run
@@ -94,3 +94,12 @@ def test_topk_batch_takes_any_number_of_queries(spark, monkeypatch):
 def test_chunk_store_keeps_documents_without_text(spark):
     docs = spark.createDataFrame([(1, "s", None), (2, "s", "a b")], "doc_id long, source string, text string")
     assert [(r.chunk_id, r.doc_id, r.chunk) for r in rt.chunk_store(docs).orderBy("chunk_id").collect()] == [(1, 1, ""), (2, 2, "a b")]
+
+
+def test_string_ids_and_equal_ids_get_chunk_ids(spark):
+    docs = spark.createDataFrame([("b", "s", "x " * 800), (None, "s", "n"), ("a", "s", None), ("b", "s", "x " * 800), ("a", "t", "q")],
+                                 "doc_id string, source string, text string")
+    got = [(r.chunk_id, r.doc_id, r.source, len(r.chunk)) for r in rt.chunk_store(docs).orderBy("chunk_id").collect()]
+    assert [g[0] for g in got] == list(range(1, 10)) and [g[1] for g in got] == [None, "a", "a", *["b"] * 6]
+    assert [g[3] for g in got[3:]] == [700, 700, 439] * 2
+    assert sorted((r.chunk_id, r.doc_id) for r in rt.chunk_ids(docs).collect() if r.doc_id) == [g[:2] for g in got[1:]]

@@ -1,7 +1,9 @@
 """Registered source, projection, filter, join and feature queries
 (SURVEY §2.1, §2.2, §2.3, §2.8)."""
 
+import hashlib
 import os
+import uuid
 
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ from tipscope.operators import retrieval as rt
 from tipscope.plans import dashboard as dash
 from tipscope.plans import flows
 from tipscope.plans.features import extract_columns, unit_rates
+from tipscope.plans.store import chunk_table
 from tipscope.sources import files
 from tipscope.sources.fixtures import TRIP_KEY
 
@@ -26,7 +29,9 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
 
 
 def _scratch(spark, sf_dir, name):
-    return files.scratch_path(spark, f"{name}_{os.path.basename(sf_dir.rstrip('/'))}")
+    """A folder of this name for these tables, told apart by their whole path."""
+    mark = hashlib.sha256(sf_dir.rstrip("/").encode()).hexdigest()[:12]
+    return files.scratch_path(spark, f"{name}_{os.path.basename(sf_dir.rstrip('/'))}_{mark}")
 
 
 # ---------------------------------------------------------------- §2.1 sources and sinks
@@ -116,8 +121,8 @@ register(
 
 
 def _sink_chunk_store(s, d):
-    path = _scratch(s, d, "chunk_store")
-    return files.cached_table(s, path, lambda: rt.chunk_store(table(s, d, "documents")))
+    kept = chunk_table(table(s, d, "documents"), _scratch(s, d, "chunk_store"))
+    return kept.select("chunk_id", "doc_id", "source", "chunk")
 
 
 CHUNKS_CTE = {"chunks": """
@@ -458,12 +463,11 @@ register("stream_ingest", _stream_ingest, "SELECT * FROM feat", ["feat"], FEAT_D
 
 
 def _text_docs(s, d):
-    """Documents written one file per document (derived from the table), then
-    read back whole-file; file names are generated, so only the text is kept."""
-    path = _scratch(s, d, "doc_files_" + files._RUN_ID)
-    table(s, d, "documents").select("text").write.option("maxRecordsPerFile", 1) \
-        .mode("overwrite").text(path)
-    return files.text_docs(s, path).select("text")
+    """Documents in container files (written from the table), read back whole
+    with their sources."""
+    path = _scratch(s, d, "doc_pack") + "-" + uuid.uuid4().hex
+    files.write_text_pack(table(s, d, "documents"), path)
+    return files.text_pack(s, path)
 
 
-register("src_text_docs", _text_docs, "SELECT text || chr(10) AS text FROM documents")
+register("src_text_docs", _text_docs, "SELECT source, text FROM documents")

@@ -41,7 +41,7 @@ register("txt_chunk",
          "SELECT doc_id, pos, chunk FROM dchunks", (), (), {"dchunks": DCHUNKS})
 
 register("txt_chunk_store", store, "SELECT * FROM chunks", (), (), CHUNKS_CTE)
-register("win_chunk_id", lambda s, d: store(s, d).select("chunk_id", "doc_id"),
+register("win_chunk_id", lambda s, d: rt.chunk_ids(docs(s, d)),
          "SELECT chunk_id, doc_id FROM chunks", (), (), CHUNKS_CTE)
 
 register(

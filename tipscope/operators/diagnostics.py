@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from tipscope.functions.distributions import normal_quantile
 from tipscope.operators.regression import OlsFit, Terms, with_fit
-from tipscope.operators.sampling import prefix_offsets
+from tipscope.operators.ranges import directory
 
 
 def influence(df: DataFrame, y: Column, terms: Terms, f: OlsFit,
@@ -69,13 +69,13 @@ def top_influential(infl: DataFrame, key: Sequence[str], k: int = 10) -> DataFra
 def qq(infl: DataFrame, col: str = "std_resid") -> DataFrame:
     """Normal Q-Q table, one row per residual: its rank ``i``, plotting position
     ``p``, value ``sample`` and the normal quantile ``theoretical`` (dia_qq).
-    Ranks come from a prefix count over ranges of the value, not from one
-    sorted task; missing residuals have no row."""
-    x = infl.select(F.col(col).cast("double").alias("sample"), F.lit(1).alias("one")).where(
-        F.col("sample").isNotNull() & ~F.isnan("sample"))
-    ranked = prefix_offsets(x, "sample", "one").select((F.col("_offset") + 1).alias("i"), "sample")
-    n = x.agg(F.count("*").alias("n"))
+    Ranks are places in key order, counted over ranges of rows, so neither all
+    values nor all ties of one meet in a task; missing residuals have no row."""
+    x = infl.select(F.col(col).cast("double").alias("sample")).where(F.col("sample").isNotNull() & ~F.isnan("sample"))
+    d = directory(x, ["sample"])
+    n = d.ranges.agg(F.coalesce(F.sum("_rows"), F.lit(0)).alias("n"))
     a = F.when(F.col("n") <= 10, F.lit(0.375)).otherwise(F.lit(0.5))
     p = (F.col("i") - a) / (F.col("n") + 1 - 2 * a)
+    ranked = d.positions().select((F.col("_pos") + 1).alias("i"), "sample")
     return ranked.crossJoin(F.broadcast(n)).select("i", p.alias("p"), "sample").withColumn(
         "theoretical", normal_quantile(F.col("p")))

@@ -1,8 +1,8 @@
 """Documents -> chunk store -> vectors -> top-k -> prompt.
 
 Chunk ids are a global sequence in (document, position) order computed
-with a distributed prefix sum over per-document chunk counts, never a
-single-task window. Retrieval scores blocks of stored chunks against blocks
+with a prefix sum over ranges of (document, number of chunks), without the
+texts. Retrieval scores blocks of stored chunks against blocks
 of query vectors and keeps the top k per query with ``row_number`` (planned
 as a per-partition group limit before the shuffle).
 """
@@ -16,7 +16,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipscope.functions import text as tx
-from tipscope.operators.sampling import prefix_offsets
+from tipscope.operators.ranges import prefix_offsets
+from tipscope.sources import files
 
 # Prompt wording of the reference's question-answering step
 PROMPT_HEAD = ("Answer the question only using the context below.\n"
@@ -28,18 +29,39 @@ CONTEXT_TITLE = "Current dashboard filters:"
 BLOCK_ROWS = 512
 
 
+def _squished(docs: DataFrame, id_col: str, source_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
+    """(row, doc_id, source, text, chunks): squished once and written, so that
+    row numbers and counts are fixed and can be read without the texts. A NULL
+    text counts as empty and has one empty chunk."""
+    d = docs.select(F.monotonically_increasing_id().alias("_row"), F.col(f"`{id_col}`").alias("doc_id"),
+                    F.col(f"`{source_col}`").alias("source"),
+                    tx.squish(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))).alias("_t"))
+    return files.stored(d.withColumn("_nc", tx.n_chunks("_t", size, overlap)), "squished")
+
+
+def chunk_ids(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = tx.CHUNK_SIZE,
+              overlap: int = tx.CHUNK_OVERLAP) -> DataFrame:
+    """(chunk_id, doc_id) of every chunk (win_chunk_id): only ids and numbers of
+    chunks are shuffled, texts are read once to be measured."""
+    text = tx.squish(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+    d = docs.select(F.col(f"`{id_col}`").alias("doc_id"), tx.n_chunks(text, size, overlap).alias("_nc"))
+    o = prefix_offsets(files.stored(d, "chunk-counts"), "doc_id", "_nc")
+    return o.select(F.explode(F.sequence((F.col("_offset") + 1).cast("long"), (F.col("_offset") + F.col("_nc")).cast("long"))).alias("chunk_id"),
+                    "doc_id")
+
+
 def chunk_store(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source",
                 text_col: str = "text", size: int = tx.CHUNK_SIZE,
                 overlap: int = tx.CHUNK_OVERLAP) -> DataFrame:
     """(chunk_id, doc_id, source, chunk) for every chunk of every squished
-    document (txt_chunk_store, txt_chunk, win_chunk_id). A NULL text counts as
-    empty and has one empty chunk."""
-    d = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"),
-                    tx.squish(F.coalesce(F.col(text_col), F.lit(""))).alias("_t"))
-    d = d.withColumn("_nc", tx.n_chunks("_t", size, overlap))
-    d = prefix_offsets(d, "doc_id", "_nc")
-    ex = d.select("doc_id", "source", "_offset",
-                  F.posexplode(tx.chunks("_t", size, overlap)).alias("pos", "chunk"))
+    document, ids in the order of ``id_col`` of any sortable type (txt_chunk_store,
+    txt_chunk). The prefix sum runs over ids and counts; its result is joined to
+    the texts by row number, which no two rows share. A NULL text counts as empty
+    and has one empty chunk; documents of one id follow each other."""
+    d = _squished(docs, id_col, source_col, text_col, size, overlap)
+    o = prefix_offsets(d.select("doc_id", "_row", "_nc"), ["doc_id", "_row"], "_nc").select("_row", "_offset")
+    ex = d.join(o, "_row").select("doc_id", "source", "_offset",
+                                  F.posexplode(tx.chunks("_t", size, overlap)).alias("pos", "chunk"))
     return ex.select((F.col("_offset") + F.col("pos") + 1).cast("long").alias("chunk_id"),
                      "doc_id", "source", "chunk")
 

@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tipscope.functions.sizing import broadcast_if_small
+from tipscope.operators.ranges import directory
 
 DEFAULT_SEED = 123
 
@@ -73,11 +74,11 @@ def head(df: DataFrame, n: int, key: Sequence[str]) -> DataFrame:
 
 
 def page(df: DataFrame, page_no: int, page_size: int | None, key: Sequence[str]) -> DataFrame:
-    """One page (1-based) of a key-ordered table; page_size None = all (lim_page)."""
-    ordered = df.orderBy(*key)
+    """One page (1-based) of a key-ordered table; page_size None = all (lim_page).
+    For many pages of a table keep ``ranges.directory(df, key)`` and slice it."""
     if page_size is None:
-        return ordered
-    return ordered.offset((page_no - 1) * page_size).limit(page_size)
+        return df.orderBy(*key)
+    return directory(df, key).slice((page_no - 1) * page_size, page_size)
 
 
 def row_lookup(df: DataFrame, keys: DataFrame, key_cols: Sequence[str],
@@ -91,39 +92,3 @@ def pct_share(counts: DataFrame, x: str, n: str = "n", name: str = "share") -> D
     """n / sum(n) within each x (win_pct_share). Runs on an aggregated count
     table, so the window partitions hold one row per fill level."""
     return counts.withColumn(name, F.col(n) / F.sum(n).over(Window.partitionBy(x)))
-
-
-def _range_index(x: Column, bounds: list, lo: int, hi: int) -> Column:
-    """Number of bounds <= x, as a balanced tree of comparisons (log2 of the
-    bound count per row, compiled with the rest of the stage)."""
-    if lo >= hi:
-        return F.lit(lo)
-    mid = (lo + hi) // 2
-    return F.when(x >= F.lit(bounds[mid]), _range_index(x, bounds, mid + 1, hi)) \
-            .otherwise(_range_index(x, bounds, lo, mid))
-
-
-def prefix_offsets(df: DataFrame, order_col: str, value_col: str,
-                   buckets: int | None = None) -> DataFrame:
-    """Exclusive running sum of ``value_col`` in ``order_col`` order, computed
-    without a single-task window over the whole table.
-
-    Rows are cut into ordered ranges at approximate quantiles of the order
-    key (a short list on the driver). Range totals (one row per range) get
-    a small prefix sum; each range then runs its own window. Returns the
-    input plus ``_offset`` (sum of ``value_col`` over all earlier rows).
-    """
-    if buckets is None:  # enough ranges to keep every task busy
-        buckets = max(64, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions", "64")))
-    bounds = sorted(set(df.approxQuantile(order_col, [i / buckets for i in range(1, buckets)],
-                                          0.001)))
-    bucket = _range_index(F.col(order_col), bounds, 0, len(bounds))
-    b = df.withColumn("_bucket", bucket)
-    totals = b.groupBy("_bucket").agg(F.sum(value_col).alias("_btotal"))
-    boff = totals.withColumn(
-        "_boff", F.coalesce(F.sum("_btotal").over(
-            Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    w = Window.partitionBy("_bucket").orderBy(order_col).rowsBetween(Window.unboundedPreceding, -1)
-    return (b.join(F.broadcast(boff.select("_bucket", "_boff")), "_bucket")
-             .withColumn("_offset", F.col("_boff") + F.coalesce(F.sum(value_col).over(w), F.lit(0)))
-             .drop("_bucket", "_boff"))

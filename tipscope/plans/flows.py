@@ -20,8 +20,8 @@ from tipscope.operators import filters as flt
 from tipscope.operators import regression as reg
 from tipscope.operators.sampling import per_stratum, stratified
 from tipscope.plans.features import add_features, extract_columns
-from tipscope.sources import files
 from tipscope.sources.fixtures import TRIP_KEY
+from tipscope.sources.versions import VersionedTable
 
 # The notebook's sampling target and selected columns
 TARGET_N = 10_000
@@ -55,12 +55,13 @@ def features(df: DataFrame) -> DataFrame:
 
 
 def extract(spark: SparkSession, feats: DataFrame, path: str | None = None) -> DataFrame:
-    """flow_extract: 20-column extract written as CSV and read back with its schema."""
+    """flow_extract: 20-column extract published as a new version of the CSV table
+    at ``path`` and read back with its schema; readers of earlier versions keep
+    theirs."""
     ex = extract_columns(feats)
     if path is None:
         return ex
-    files.write_csv(ex, path)
-    return files.extract_csv(spark, path, ex.schema)
+    return VersionedTable(spark, path, "csv", header="true").publish(ex)
 
 
 # ---------------------------------------------------------------- models

@@ -8,12 +8,12 @@ schemas instead of inference (no extra pass over the data).
 from __future__ import annotations
 
 import os
+import uuid
 from typing import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.errors import AnalysisException
 
 from tipscope.functions.features import file_month
 
@@ -76,21 +76,52 @@ def text_docs(spark: SparkSession, path: str) -> DataFrame:
                          F.col("value").alias("text")))
 
 
-def exists(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path).schema  # noqa: B018
-        return True
-    except AnalysisException:
-        return False
+# Separators of a container of documents and the escapes of these characters in texts
+RECORD, FIELD, ESCAPE = "\x1e", "\x1f", "\x1b"
+_ESCAPES = ((ESCAPE, "0"), (RECORD, "1"), (FIELD, "2"), ("\r", "3"))
+
+
+def write_text_pack(df: DataFrame, path: str, source_col: str = "source", text_col: str = "text") -> None:
+    """Documents in container files, many in each: source and text of every row
+    between separators that are escaped within them. NULLs are kept."""
+    def cell(c):
+        out = F.col(f"`{c}`").cast("string")
+        for ch, mark in _ESCAPES:
+            out = F.replace(out, F.lit(ch), F.lit(ESCAPE + mark))
+        return F.coalesce(out, F.lit(ESCAPE + "n"))
+    df.select(F.concat(cell(source_col), F.lit(FIELD), cell(text_col)).alias("value")).write.option(
+        "lineSep", RECORD).text(path)
+
+
+def text_pack(spark: SparkSession, path: str) -> DataFrame:
+    """(source, text) of every document in container files (src_text_docs). Large
+    files are read in splits; each document is one row, whole."""
+    cells = F.split("value", FIELD)
+
+    def back(c):
+        out = c
+        for ch, mark in reversed(_ESCAPES):
+            out = F.replace(out, F.lit(ESCAPE + mark), F.lit(ch))
+        return F.when(c != ESCAPE + "n", out)
+    raw = spark.read.option("lineSep", RECORD).text(path)
+    return raw.select(back(cells[0]).alias("source"), back(cells[1]).alias("text"))
+
+
+def compact_text_docs(spark: SparkSession, path: str, target: str, files_per_part: int = 10_000) -> DataFrame:
+    """A folder of small files, read whole once, rewritten as containers: later
+    reads open few files."""
+    docs = text_docs(spark, path)
+    docs = docs.coalesce(max(1, -(-len(docs.inputFiles()) // files_per_part)))
+    write_text_pack(docs, target)
+    return text_pack(spark, target)
 
 
 def cached_table(spark: SparkSession, path: str, build: Callable[[], DataFrame],
                  force_rebuild: bool = False) -> DataFrame:
-    """Reuse a stored table when present, else build, write and re-read it
-    (sink_chunk_store). Re-reading the written files also cuts the lineage."""
-    if force_rebuild or not exists(spark, path):
-        build().write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    """Reuse a stored table when a whole version is present, else build, write and
+    re-read it. Re-reading the written files also cuts the lineage."""
+    from tipscope.sources.versions import VersionedTable
+    return VersionedTable(spark, path).get("stored", lambda _: build(), force_rebuild)
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -99,6 +130,15 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return os.path.join(checkpoint_dir(spark), "tables", name)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to a fresh folder under the shared checkpoint location and read
+    it back: rows and generated numbers are fixed, and a lost executor rereads
+    files."""
+    path = scratch_path(df.sparkSession, f"{name}-{uuid.uuid4().hex}")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 _MATERIALIZED: dict[tuple[str, str], DataFrame] = {}
 _PATHS: dict[tuple[str, str], str] = {}
 _RUN_ID = os.urandom(6).hex()
