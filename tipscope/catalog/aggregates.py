@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tipscope.catalog.base import all_features, analysis, register, trips, zones
+from tipscope.catalog.base import (FRAME, FRAME_DATE, FRAME_KEY, FRAME_NUMERIC, FRAME_STRING, FRAME_TIME, all_features,
+                                   analysis, register, signif_sql, trips, zones)
 from tipscope.functions.features import WEEKDAY_ABBR_MON_FIRST
 from tipscope.operators import aggregates as agg
 from tipscope.operators import filters as flt
 from tipscope.operators import joins
 from tipscope.operators import profile as prof
+from tipscope.operators import regression as reg
+from tipscope.sources import files
 
 register(
     "agg_hourly",
@@ -177,16 +180,16 @@ register(
        FROM trips""", ["trips"], ["max_abs_diff"])
 
 # ---------------------------------------------------------------- profiles
-# The profiled columns of the feature table, by family
-PROFILE_NUMERIC = ("tip_amount", "fare_amount", "trip_distance", "total_amount", "extra",
-                   "passenger_count", "trip_minutes", "trip_speed_mph", "tip_pct")
-PROFILE_STRING = ("pickup_weekday_name", "tourist_season", "file_month")
-PROFILE_TIME = ("pickup_time",)
-PROFILE_COLS = PROFILE_NUMERIC + PROFILE_STRING + PROFILE_TIME
+PROFILE_NUMERIC = FRAME_KEY + FRAME_NUMERIC
 
 
-def _profiled(s, d):
-    return analysis(s, d).select(*PROFILE_COLS)
+def _index(s, d):
+    """The value index of the feature table, made once for all its profiles."""
+    return files.materialized(s, f"value-index:{d}", lambda: prof.value_counts(analysis(s, d)))
+
+
+def _epoch(c):
+    return f"(epoch_us(CAST({c} AS TIMESTAMP)) / 1e6)"
 
 
 def _names(sel):
@@ -203,7 +206,7 @@ def _skim_sql() -> str:
                 f"min({x}) AS {c}__p0", f"quantile_cont({x}, 0.25) AS {c}__p25",
                 f"quantile_cont({x}, 0.5) AS {c}__p50", f"quantile_cont({x}, 0.75) AS {c}__p75",
                 f"max({x}) AS {c}__p100"]
-    for c in PROFILE_STRING:
+    for c in FRAME_STRING:
         sel += [f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS {c}__n_missing",
                 f"count({c}) / count(*) AS {c}__complete_rate",
                 f"CAST(min(length({c})) AS DOUBLE) AS {c}__min",
@@ -212,16 +215,17 @@ def _skim_sql() -> str:
                 f"CAST(count(DISTINCT {c}) AS DOUBLE) AS {c}__n_unique",
                 f"CAST(count(*) FILTER (WHERE regexp_matches({c}, '^\\s+$')) AS DOUBLE)"
                 f" AS {c}__whitespace"]
-    for c in PROFILE_TIME:
-        e = f"(epoch_us({c}) / 1e6)"
+    for c in FRAME_TIME + FRAME_DATE:
+        e = _epoch(c)
         sel += [f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS {c}__n_missing",
                 f"count({c}) / count(*) AS {c}__complete_rate",
                 f"min({e}) AS {c}__min", f"max({e}) AS {c}__max",
                 f"quantile_cont({e}, 0.5) AS {c}__median",
                 f"CAST(count(DISTINCT {c}) AS DOUBLE) AS {c}__n_unique"]
     types = ([f"WHEN '{c}' THEN 'numeric'" for c in PROFILE_NUMERIC]
-             + [f"WHEN '{c}' THEN 'character'" for c in PROFILE_STRING]
-             + [f"WHEN '{c}' THEN 'POSIXct'" for c in PROFILE_TIME])
+             + [f"WHEN '{c}' THEN 'character'" for c in FRAME_STRING]
+             + [f"WHEN '{c}' THEN 'POSIXct'" for c in FRAME_TIME]
+             + [f"WHEN '{c}' THEN 'Date'" for c in FRAME_DATE])
     return f"""
 SELECT regexp_extract(key, '^(.*)__(.*)$', 1) AS skim_variable,
        CASE regexp_extract(key, '^(.*)__(.*)$', 1) {' '.join(types)} END AS skim_type,
@@ -230,7 +234,7 @@ FROM (SELECT {', '.join(sel)} FROM feat) w
      UNPIVOT INCLUDE NULLS (value FOR key IN ({', '.join(_names(sel))}))"""
 
 
-register("prof_skim", lambda s, d: prof.skim(_profiled(s, d)), _skim_sql(), ["feat"], ["value"])
+register("prof_skim", lambda s, d: prof.skim(analysis(s, d), _index(s, d)), _skim_sql(), ["feat"], ["value"])
 
 
 def _skim_hist_sql() -> str:
@@ -238,28 +242,28 @@ def _skim_hist_sql() -> str:
     for c in PROFILE_NUMERIC:
         x = f"CAST({c} AS DOUBLE)"
         parts.append(f"""
-SELECT '{c}' AS variable,
-       CAST(CASE WHEN r.hi = r.lo THEN 0
-                 ELSE least(floor(({x} - r.lo) / ((r.hi - r.lo) / 8)), 7) END AS INTEGER) AS bin,
-       count(*) AS n
-FROM feat, (SELECT min({x}) AS lo, max({x}) AS hi FROM feat) r
-WHERE {c} IS NOT NULL GROUP BY 1, 2""")
+SELECT '{c}' AS variable, CAST(b.bin AS INTEGER) AS bin, count(q.x) AS n
+FROM (SELECT unnest(range(8)) AS bin) b LEFT JOIN (
+  SELECT {x} AS x, CASE WHEN r.hi = r.lo THEN 0 ELSE least(floor(({x} - r.lo) / ((r.hi - r.lo) / 8)), 7) END AS bin
+  FROM feat, (SELECT min({x}) AS lo, max({x}) AS hi FROM feat) r WHERE {c} IS NOT NULL) q ON b.bin = q.bin
+GROUP BY b.bin HAVING (SELECT count({c}) FROM feat) > 0""")
     return "\nUNION ALL".join(parts)
 
 
-register("prof_skim_hist",
-         lambda s, d: prof.skim_hist(_profiled(s, d), list(PROFILE_NUMERIC)),
-         _skim_hist_sql(), ["feat"])
+register("prof_skim_hist", lambda s, d: prof.skim_hist(analysis(s, d), index=_index(s, d)), _skim_hist_sql(), ["feat"])
 
 
 def _summary_sql() -> str:
     sel = []
-    for c in PROFILE_NUMERIC:
-        x = f"CAST({c} AS DOUBLE)"
+    for c in PROFILE_NUMERIC + FRAME_TIME + FRAME_DATE:
+        x = f"CAST({c} AS DOUBLE)" if c in PROFILE_NUMERIC else _epoch(c)
         sel += [f"min({x}) AS {c}__min", f"quantile_cont({x}, 0.25) AS {c}__q1",
                 f"quantile_cont({x}, 0.5) AS {c}__median", f"avg({x}) AS {c}__mean",
                 f"quantile_cont({x}, 0.75) AS {c}__q3", f"max({x}) AS {c}__max",
                 f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS {c}__nas"]
+    for c in FRAME_STRING:
+        sel += [f"CAST(count(*) AS DOUBLE) AS {c}__length",
+                f"CAST(count(*) FILTER (WHERE {c} IS NULL) AS DOUBLE) AS {c}__nas"]
     return f"""
 SELECT regexp_extract(key, '^(.*)__(.*)$', 1) AS variable,
        regexp_extract(key, '^(.*)__(.*)$', 2) AS stat, CAST(value AS DOUBLE) AS value
@@ -267,23 +271,26 @@ FROM (SELECT {', '.join(sel)} FROM feat) w
      UNPIVOT INCLUDE NULLS (value FOR key IN ({', '.join(_names(sel))}))"""
 
 
-register("prof_summary", lambda s, d: prof.summary(_profiled(s, d), list(PROFILE_NUMERIC)),
-         _summary_sql(), ["feat"], ["value"])
+def _signif_value(df):
+    """Means of epoch seconds have more digits than a double's sum keeps."""
+    return df.withColumn("value", reg.signif(F.col("value"), 12))
+
+
+register("prof_summary", lambda s, d: _signif_value(prof.summary(analysis(s, d), _index(s, d))),
+         f"SELECT variable, stat, {signif_sql('value', 12)} AS value FROM ({_summary_sql()}) q", ["feat"], ["value"])
 
-# prof_intro / prof_missing run over every trip column plus the derived
-# features, where passenger_count and speed carry NULLs
-INTRO_COLS = ("tip_amount", "fare_amount", "passenger_count", "trip_minutes", "trip_speed_mph",
-              "tourist_season", "pickup_weekday_name", "tpep_pickup_datetime")
+# prof_intro and prof_missing run over every column of every trip, where
+# passenger_count and speed carry NULLs
 
 
 def _intro_sql() -> str:
-    anynull = " OR ".join(f"{c} IS NULL" for c in INTRO_COLS)
-    miss = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in INTRO_COLS)
-    allm = " + ".join(f"CAST(count({c}) = 0 AS BIGINT)" for c in INTRO_COLS)
-    k = len(INTRO_COLS)
+    anynull = " OR ".join(f"{c} IS NULL" for c in FRAME)
+    miss = " + ".join(f"count(*) FILTER (WHERE {c} IS NULL)" for c in FRAME)
+    allm = " + ".join(f"CAST(count({c}) = 0 AS BIGINT)" for c in FRAME)
+    k, discrete = len(FRAME), len(FRAME_STRING)
     return f"""
 SELECT CAST(count(*) AS BIGINT) AS rows, CAST({k} AS BIGINT) AS columns,
-       CAST(2 AS BIGINT) AS discrete_columns, CAST({k - 2} AS BIGINT) AS continuous_columns,
+       CAST({discrete} AS BIGINT) AS discrete_columns, CAST({k - discrete} AS BIGINT) AS continuous_columns,
        CAST({allm} AS BIGINT) AS all_missing_columns,
        CAST({miss} AS BIGINT) AS total_missing_values,
        CAST(count(*) FILTER (WHERE NOT ({anynull})) AS BIGINT) AS complete_rows,
@@ -291,22 +298,18 @@ SELECT CAST(count(*) AS BIGINT) AS rows, CAST({k} AS BIGINT) AS columns,
 FROM tfeat"""
 
 
-register("prof_intro",
-         lambda s, d: prof.intro(all_features(s, d).select(*INTRO_COLS)),
-         _intro_sql(), ["tfeat"])
+register("prof_intro", lambda s, d: prof.intro(all_features(s, d)), _intro_sql(), ["tfeat"])
 
 
 def _missing_sql() -> str:
-    sel = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in INTRO_COLS)
+    sel = ", ".join(f"count(*) FILTER (WHERE {c} IS NULL) AS {c}" for c in FRAME)
     return f"""
 SELECT variable, CAST(n_missing AS BIGINT) AS n_missing, n_missing / n AS pct_missing
 FROM (UNPIVOT (SELECT count(*) AS n, {sel} FROM tfeat)
-      ON {', '.join(INTRO_COLS)} INTO NAME variable VALUE n_missing)"""
+      ON {', '.join(FRAME)} INTO NAME variable VALUE n_missing)"""
 
 
-register("prof_missing",
-         lambda s, d: prof.missing(all_features(s, d).select(*INTRO_COLS)),
-         _missing_sql(), ["tfeat"], ["pct_missing"])
+register("prof_missing", lambda s, d: prof.missing(all_features(s, d)), _missing_sql(), ["tfeat"], ["pct_missing"])
 
 STRUCT_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 # column -> Spark type name of the trip table

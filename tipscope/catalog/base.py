@@ -22,6 +22,16 @@ from tipscope.sources import files
 from tipscope.sources import fixtures as fx_src
 
 PLACES = 6
+# The columns of the feature table by family
+FRAME_KEY = ("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+FRAME_NUMERIC = ("fare_amount", "tip_amount", "trip_distance", "extra", "payment_type", "passenger_count",
+                 "airport_fee", "total_amount", "PULocationID", "DOLocationID", "month", "pickup_hour",
+                 "dropoff_hour", "pickup_weekday_num", "dropoff_weekday_num", "trip_minutes",
+                 "trip_speed_mph", "tip_pct")
+FRAME_STRING = ("file_month", "tourist_season", "pickup_weekday_name", "dropoff_weekday_name")
+FRAME_TIME = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "pickup_time", "dropoff_time")
+FRAME_DATE = ("pickup_date", "dropoff_date")
+FRAME = FRAME_KEY + FRAME_NUMERIC + FRAME_STRING + FRAME_TIME + FRAME_DATE
 SELECTED = list(oracle.SELECTED_BOROUGHS)
 
 
@@ -83,6 +93,12 @@ def all_features(spark, sf):
     return add_features(trips(spark, sf))
 
 
+def signif_sql(v, digits=10):
+    k = f"(floor(log10(abs({v}))) - {digits - 1})"
+    return (f"CASE WHEN {v} = 0 THEN 0.0 WHEN {k} >= 0 THEN round({v} / pow(10.0, {k})) * pow(10.0, {k})"
+            f" ELSE round({v} * pow(10.0, -{k})) / pow(10.0, -{k}) END")
+
+
 REGISTRY: dict[str, Query] = {}
 
 

@@ -7,7 +7,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from tipscope.catalog.base import (SELECTED, all_features, analysis, register, selected, table,
+from tipscope.catalog.base import (FRAME, SELECTED, all_features, analysis, register, selected, table,
                                    trips, zones)
 from tipscope.functions import features as fx
 from tipscope.functions import text as tx
@@ -167,6 +167,10 @@ register(
                                      exclude=TRIP_KEY),
     "SELECT " + ", ".join(NUMERIC_EXTRACT) + " FROM feat", ["feat"], FEAT_DOUBLES)
 
+register("proj_categorical_cols",
+         lambda s, d: prof.select_by_type(extract_columns(analysis(s, d)), "string"),
+         "SELECT file_month, tourist_season, pickup_weekday_name, dropoff_weekday_name FROM feat", ["feat"])
+
 register(
     "proj_cast_factor",
     lambda s, d: trips(s, d).select(*TRIP_KEY, *[F.col(c).cast("string").alias(c) for c in
@@ -272,13 +276,11 @@ register("flt_log_positive",
          lambda s, d: flt.log_positive(analysis(s, d), "tip_amount", "fare_amount", True, True),
          "SELECT * FROM feat WHERE tip_amount > 0 AND fare_amount > 0", ["feat"], FEAT_DOUBLES)
 
-SEARCH_COLS = ("l_orderkey", "l_linenumber", "file_month", "pickup_weekday_name",
-               "tourist_season")
 register(
     "flt_table_search",
-    lambda s, d: flt.table_search(analysis(s, d).select(*SEARCH_COLS), "1996-0"),
-    "SELECT " + ", ".join(SEARCH_COLS) + " FROM feat WHERE lower(concat_ws(' ', "
-    + ", ".join(f"CAST({c} AS VARCHAR)" for c in SEARCH_COLS) + ")) LIKE '%1996-0%'", ["feat"])
+    lambda s, d: flt.table_search(analysis(s, d), "1996-0"),
+    "SELECT * FROM feat WHERE lower(concat_ws(chr(31), "
+    + ", ".join(f"CAST({c} AS VARCHAR)" for c in FRAME) + ")) LIKE '%1996-0%'", ["feat"], FEAT_DOUBLES)
 
 # ---------------------------------------------------------------- §2.3 joins
 register(

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tipscope import oracle
 from tipscope.catalog import factor_sql as fsql
-from tipscope.catalog.base import SELECTED, all_features, analysis, register, trips, zones
+from tipscope.catalog.base import FRAME_NUMERIC, FRAME_STRING, SELECTED, all_features, analysis, register, signif_sql, trips, zones
 from tipscope.catalog.basics import FEAT_DOUBLES, KEY, TRIP_DOUBLES
 from tipscope.catalog.ols_sql import influence_ctes, ols_ctes
 from tipscope.functions import distributions as dist
@@ -47,19 +47,8 @@ register("cor_upper", lambda s, d: cor.matrix(analysis(s, d), cor.COR_VARS, uppe
          _matrix_sql(cor.COR_VARS, upper=True), ["feat"], ["r"])
 
 
-# The columns of the feature table by family, without the trip key
-FRAME_NUMERIC = ("fare_amount", "tip_amount", "trip_distance", "extra", "payment_type", "passenger_count",
-                 "airport_fee", "total_amount", "PULocationID", "DOLocationID", "month", "pickup_hour",
-                 "dropoff_hour", "pickup_weekday_num", "dropoff_weekday_num", "trip_minutes",
-                 "trip_speed_mph", "tip_pct")
-FRAME_STRING = ("file_month", "tourist_season", "pickup_weekday_name", "dropoff_weekday_name")
-FRAME_TIME = ("tpep_pickup_datetime", "tpep_dropoff_datetime", "pickup_time", "dropoff_time", "pickup_date",
-              "dropoff_date")
-
-
 def _dummies(s, d):
-    df = analysis(s, d).drop(*TRIP_KEY)
-    return cor.with_dummies(df.select(*FRAME_NUMERIC, *FRAME_STRING, *FRAME_TIME))
+    return cor.with_dummies(analysis(s, d), exclude=TRIP_KEY)
 
 
 def _dummies_sql():
@@ -141,12 +130,6 @@ def _gram(s, d):
     return g.withColumn("value", reg.signif(F.col("value"), 10))
 
 
-def _signif_sql(v, digits=10):
-    k = f"(floor(log10(abs({v}))) - {digits - 1})"
-    return (f"CASE WHEN {v} = 0 THEN 0.0 WHEN {k} >= 0 THEN round({v} / pow(10.0, {k})) * pow(10.0, {k})"
-            f" ELSE round({v} * pow(10.0, -{k})) / pow(10.0, -{k}) END")
-
-
 def _gram_sql():
     cols = [("1", "1.0"), ("fare_amount", "fare_amount"), ("fare_sq", "fare_amount * fare_amount"),
             ("extra", "extra"), ("y", "ln(tip_amount)")]
@@ -154,7 +137,7 @@ def _gram_sql():
     for i, (a, ea) in enumerate(cols):
         for b, eb in cols[i:]:
             parts.append(f"SELECT '{a}' AS row_term, '{b}' AS col_term, "
-                         f"{_signif_sql(f'sum(CAST({ea} AS DOUBLE) * CAST({eb} AS DOUBLE))')}"
+                         f"{signif_sql(f'sum(CAST({ea} AS DOUBLE) * CAST({eb} AS DOUBLE))')}"
                          f" AS value FROM mclean")
     return "\nUNION ALL ".join(parts)
 

@@ -145,8 +145,9 @@ def log_positive(df: DataFrame, x: str, y: str, log_x: bool, log_y: bool) -> Dat
 
 
 def table_search(df: DataFrame, term: str) -> DataFrame:
-    """Case-insensitive substring search over all columns rendered as text (flt_table_search)."""
-    hay = F.lower(F.concat_ws(" ", *[F.col(c).cast("string") for c in df.columns]))
+    """Rows with ``term`` in any column's text, case aside (flt_table_search). A
+    match lies within one column."""
+    hay = F.lower(F.concat_ws("\x1f", *[F.col(f"`{c}`").cast("string") for c in df.columns]))
     return df.where(hay.contains(term.lower()))
 
 

@@ -1,31 +1,34 @@
 """Column profiles.
 
-Each profile is ONE wide aggregate over the table (every statistic of
-every column in the same pass, partial aggregation map-side) followed by
-an ``unpivot`` of that single row into long form. No row is collected.
+Distinct values with their counts, of all columns at once, are made by one pass
+over the table (``value_counts``) and serve every profile: moments, quantiles,
+extremes, distinct counts and bins are aggregates of that index. Missing counts
+alone are one wide aggregate. No row is collected.
 """
 
 from __future__ import annotations
 
+import functools
 from typing import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipscope.functions.features import epoch_seconds
-from tipscope.operators.quantiles import multi_quantiles
+from tipscope.functions.shipping import ship
+from tipscope.operators.ranges import directory
+from tipscope.sources import files
+
+ship(__name__)
 
 NUMERIC = (T.ByteType, T.ShortType, T.IntegerType, T.LongType, T.FloatType,
            T.DoubleType, T.DecimalType)
 TIMES = (T.TimestampType, T.TimestampNTZType, T.DateType)
 
-# Statistic names in skim's output order
-SKIM_NUMERIC = ("n_missing", "complete_rate", "mean", "sd", "p0", "p25", "p50", "p75", "p100")
-SKIM_STRING = ("n_missing", "complete_rate", "min", "max", "empty", "n_unique", "whitespace")
-SKIM_TIME = ("n_missing", "complete_rate", "min", "max", "median", "n_unique")
-SUMMARY_STATS = ("min", "q1", "median", "mean", "q3", "max", "nas")
-
 
 def column_types(df: DataFrame, exclude: Sequence[str] = ()) -> dict[str, list[str]]:
     """Columns by family: numeric / string / time / other (proj_numeric_cols)."""
@@ -49,152 +52,193 @@ def select_by_type(df: DataFrame, family: str = "numeric", exclude: Sequence[str
     return df.select(*[F.col(c) for c in column_types(df, exclude)[family]])
 
 
-def _epoch_s(c: Column) -> Column:
-    # unix_micros rejects timestamp_ntz (T19); calendar arithmetic is zone-free
-    return epoch_seconds(c)
+# ------------------------------------------------------------------ value counts
+COUNT_FIELDS = "variable string, num double, text string, n long"
+
+
+def _counted(names: Sequence[str], numbers: int):
+    """Per batch the distinct values of every column with their counts; the first
+    ``numbers`` columns are numbers. Missing is a row without a value."""
+    def run(batches):
+        for b in batches:
+            rows = []
+            for i, c in enumerate(b.columns):
+                if i < numbers:
+                    x = c.to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+                    there = x[~np.isnan(x)]
+                    v, n = np.unique(there, return_counts=True)
+                    num, text = pa.array(v, pa.float64()), pa.nulls(len(v), pa.string())
+                    gone = len(x) - len(there)
+                else:
+                    vc = pc.value_counts(c.drop_null().cast(pa.string()))
+                    text, n = vc.field(0), vc.field(1).to_numpy()
+                    num, gone = pa.nulls(len(text), pa.float64()), c.null_count
+                if gone:
+                    num, text = pa.concat_arrays([num, pa.nulls(1, pa.float64())]), pa.concat_arrays([text, pa.nulls(1, pa.string())])
+                    n = np.append(n, gone)
+                rows.append((pa.array([names[i]] * len(text), pa.string()), num, text, pa.array(n, pa.int64())))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays(a) for a in zip(*rows)], names=["variable", "num", "text", "n"])
+    return run
+
+
+def value_counts(df: DataFrame) -> DataFrame:
+    """The value index of a whole frame, from one pass, written: (variable, num,
+    text, n) for every distinct value of every column. Numbers, and dates and
+    times as epoch seconds, are in ``num``, other types as text. NULL and NaN are
+    missing: a row with neither. Batches are counted in the scan, then by value
+    over all tasks."""
+    fam = column_types(df)
+    numbers = fam["numeric"] + fam["time"]
+    others = fam["string"] + fam["other"]
+    cells = [F.col(f"`{c}`").cast("double") for c in fam["numeric"]]
+    cells += [epoch_seconds(F.col(f"`{c}`")).cast("double") for c in fam["time"]]
+    cells += [F.col(f"`{c}`").cast("string") for c in others]
+    values = df.select(*[c.alias(f"c{i}") for i, c in enumerate(cells)])
+    counted = values.mapInArrow(_counted(numbers + others, len(numbers)), COUNT_FIELDS)
+    return files.stored(counted.groupBy("variable", "num", "text").agg(F.sum("n").alias("n")), "value-counts")
+
+
+def _rows(index: DataFrame, names: Sequence[str]) -> DataFrame:
+    return index.where(F.col("variable").isin(list(names)))
+
+
+def _map(pairs: dict) -> Column:
+    return F.create_map(*[F.lit(x) for kv in pairs.items() for x in kv])
+
+
+def _moments(index: DataFrame, names: Sequence[str]) -> DataFrame:
+    """(variable, rows, there, lo, hi, mean, sd) of number columns. Squares are
+    taken about the mean in a second pass over the index."""
+    x = _rows(index, names)
+    some = F.col("num").isNotNull()
+    m = x.groupBy("variable").agg(F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(some, F.col("n"))), F.lit(0)).alias("there"),
+                                  F.min("num").alias("lo"), F.max("num").alias("hi"),
+                                  F.sum(F.col("num") * F.col("n")).alias("total"))
+    m = m.withColumn("mean", F.when(F.col("there") > 0, F.col("total") / F.col("there"))).drop("total")
+    mean = m.select(F.col("variable").alias("_v"), F.col("mean").alias("_mean"))
+    d = F.col("num") - F.col("_mean")
+    # one row per column, so the broadcast is bounded by the schema
+    sd = (x.join(F.broadcast(mean), F.col("variable") == F.col("_v")).groupBy(F.col("variable").alias("_w"))
+          .agg(F.sum(d * d * F.col("n")).alias("_ss")))
+    return (m.join(F.broadcast(sd), F.col("variable") == F.col("_w"), "left")
+            .withColumn("sd", F.when(F.col("there") > 1, F.sqrt(F.col("_ss") / (F.col("there") - 1)))).drop("_w", "_ss"))
 
 
-def _long(wide: DataFrame, ids: list[tuple[str, str]], type_of: dict[str, str]) -> DataFrame:
-    """Unpivot the one-row aggregate ``wide`` (columns ``var__stat``)."""
-    cols = [f"{v}__{s}" for v, s in ids]
-    lg = wide.unpivot([], cols, "key", "value")
-    var = F.regexp_extract("key", r"^(.*)__", 1)
-    stat = F.substring_index("key", "__", -1)
-    tmap = F.create_map(*[x for k, t in type_of.items() for x in (F.lit(k), F.lit(t))])
-    return lg.select(var.alias("skim_variable"),
-                     F.element_at(tmap, var).alias("skim_type"),
-                     stat.alias("stat"), F.col("value").cast("double").alias("value"))
+def _index_quantiles(index: DataFrame, names: Sequence[str], probs: Sequence[float]) -> DataFrame:
+    """(variable, q0, q1, ...): exact quantiles (linear interpolation) by running
+    sums of the counts, over ranges of the index."""
+    x = _rows(index, names).where(F.col("num").isNotNull()).select("variable", "num", "n")
+    total = x.groupBy(F.col("variable").alias("_v")).agg(F.sum("n").alias("_all"))
+    base = F.coalesce(F.sum("_all").over(Window.orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    total = total.withColumn("_base", base)  # one row per column
+    r = directory(x, ["variable", "num"], "n").running("n").join(F.broadcast(total), F.col("variable") == F.col("_v"))
+    first = F.col("_offset") - F.col("_base")
 
+    def at(rank: Column) -> Column:
+        return F.max(F.when((first <= rank) & (rank < first + F.col("n")), F.col("num")))
 
-def skim(df: DataFrame, exact: bool = True) -> DataFrame:
-    """skim-like profile: (skim_variable, skim_type, stat, value) (prof_skim).
+    pos = [(F.col("_all") - 1) * F.lit(float(p)) for p in probs]
+    found = r.groupBy("variable", "_all").agg(*[at(F.floor(p)).alias(f"_lo{i}") for i, p in enumerate(pos)],
+                                              *[at(F.ceil(p)).alias(f"_hi{i}") for i, p in enumerate(pos)])
+    return found.select("variable", *[(F.col(f"_lo{i}") + (F.col(f"_hi{i}") - F.col(f"_lo{i}")) * (p - F.floor(p))).alias(f"q{i}")
+                                      for i, p in enumerate(pos)])
 
-    One wide aggregate holds every per-column statistic except the distinct
-    counts; each distinct count is its own small aggregation (distinct
-    values shuffled once, pre-aggregated map-side), so the wide pass is not
-    expanded once per distinct column."""
+
+def _cells(wide: DataFrame, kinds: dict[str, str], stats: dict[str, Column]) -> DataFrame:
+    """(skim_variable, skim_type, stat, value) from one row per column."""
+    cells = F.explode(F.array(*[F.struct(F.lit(k).alias("stat"), v.cast("double").alias("value")) for k, v in stats.items()]))
+    return wide.select(F.col("variable").alias("skim_variable"), F.element_at(_map(kinds), F.col("variable")).alias("skim_type"),
+                       cells.alias("c")).select("skim_variable", "skim_type", "c.*")
+
+
+def skim(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """skim-like profile of every column: (skim_variable, skim_type, stat, value)
+    (prof_skim), all from the value index (``value_counts(df)``, made here if not
+    given). Columns that are no numbers, texts, dates or times have missing
+    counts and distinct values only. A column without values has NULL statistics;
+    an empty table gives no rows."""
     fam = column_types(df)
-    n = F.count(F.lit(1))
-    aggs, ids, type_of = [], [], {}
-
-    def qs(c, ps):
-        arr = F.array(*[F.lit(p) for p in ps])
-        return F.percentile_approx(c, arr, F.lit(10000)).cast("array<double>")
-
-    post = []  # (alias, expression over the wide row)
-    for c in fam["numeric"]:
-        x = F.col(c).cast("double")
-        type_of[c] = "numeric"
-        aggs += [F.count_if(x.isNull()).alias(f"{c}__n_missing"),
-                 (F.count(x) / n).alias(f"{c}__complete_rate"),
-                 F.avg(x).alias(f"{c}__mean"), F.stddev_samp(x).alias(f"{c}__sd"),
-                 F.min(x).alias(f"{c}__p0"), qs(x, [0.25, 0.5, 0.75]).alias(f"_{c}_q"),
-                 F.max(x).alias(f"{c}__p100")]
-        post += [(f"{c}__p25", F.col(f"_{c}_q")[0]), (f"{c}__p50", F.col(f"_{c}_q")[1]),
-                 (f"{c}__p75", F.col(f"_{c}_q")[2])]
-        ids += [(c, st) for st in SKIM_NUMERIC]
-    distinct_cols = []
-    for c in fam["string"]:
-        x = F.col(c)
-        type_of[c] = "character"
-        aggs += [F.count_if(x.isNull()).alias(f"{c}__n_missing"),
-                 (F.count(x) / n).alias(f"{c}__complete_rate"),
-                 F.min(F.length(x)).alias(f"{c}__min"), F.max(F.length(x)).alias(f"{c}__max"),
-                 F.count_if(F.length(x) == 0).alias(f"{c}__empty"),
-                 F.count_if(F.regexp_like(x, F.lit(r"^\s+$"))).alias(f"{c}__whitespace")]
-        distinct_cols.append(c)
-        ids += [(c, st) for st in SKIM_STRING]
-    for c in fam["time"]:
-        x = _epoch_s(F.col(c))
-        type_of[c] = "POSIXct"
-        aggs += [F.count_if(F.col(c).isNull()).alias(f"{c}__n_missing"),
-                 (F.count(F.col(c)) / n).alias(f"{c}__complete_rate"),
-                 F.min(x).alias(f"{c}__min"), F.max(x).alias(f"{c}__max"),
-                 qs(x, [0.5]).alias(f"_{c}_q")]
-        post.append((f"{c}__median", F.col(f"_{c}_q")[0]))
-        distinct_cols.append(c)
-        ids += [(c, st) for st in SKIM_TIME]
-    wide = df.agg(*aggs)
-    for c in distinct_cols:
-        nu = df.select(c).where(F.col(c).isNotNull()).distinct().agg(
-            F.count(F.lit(1)).alias(f"{c}__n_unique"))
-        wide = wide.crossJoin(nu)
-    qnames = fam["numeric"] + fam["time"]
-    if exact and qnames:
-        # exact quantiles with bounded memory: all columns stacked, one bracket job
-        qstats = {a for a, _ in post}
-        ids_w = [(v, st) for v, st in ids if f"{v}__{st}" not in qstats]
-        cols = [F.col(f"{v}__{st}").cast("double").alias(f"{v}__{st}") for v, st in ids_w]
-        base = _long(wide.select(*cols), ids_w, type_of)
-        exprs = ([F.col(c).cast("double") for c in fam["numeric"]]
-                 + [_epoch_s(F.col(c)) for c in fam["time"]])
-        q = multi_quantiles(df, exprs, [0.25, 0.5, 0.75], var_names=qnames)
-        is_time = F.col("variable").isin(fam["time"]) if fam["time"] else F.lit(False)
-        cells = F.when(is_time, F.array(F.struct(F.lit("median").alias("stat"),
-                                                 F.col("q1").alias("value"))))
-        cells = cells.otherwise(F.array(*[F.struct(F.lit(st).alias("stat"),
-                                                   F.col(f"q{i}").alias("value"))
-                                          for i, st in enumerate(["p25", "p50", "p75"])]))
-        tmap = F.create_map(*[x for k, t in type_of.items() for x in (F.lit(k), F.lit(t))])
-        qrows = (q.select("variable", F.explode(cells).alias("c"))
-                  .select(F.col("variable").alias("skim_variable"),
-                          F.element_at(tmap, F.col("variable")).alias("skim_type"),
-                          "c.stat", F.col("c.value").cast("double").alias("value")))
-        return base.unionByName(qrows)
-    wide = wide.select("*", *[e.alias(a) for a, e in post])
-    cols = [F.col(f"{v}__{st}").cast("double").alias(f"{v}__{st}") for v, st in ids]
-    return _long(wide.select(*cols), ids, type_of)
-
-
-def skim_hist(df: DataFrame, cols: Sequence[str] | None = None, bins: int = 8) -> DataFrame:
-    """skim's inline histogram: ``bins`` equal-width bins per numeric column
-    between its min and max (prof_skim_hist). One scalar aggregate for the
-    ranges, one grouped count over (variable, bin)."""
-    cols = list(cols or column_types(df)["numeric"])
-    rng = df.agg(*[F.min(F.col(c).cast("double")).alias(f"{c}__lo") for c in cols],
-                 *[F.max(F.col(c).cast("double")).alias(f"{c}__hi") for c in cols])
-    j = df.select(*cols).crossJoin(F.broadcast(rng))
-    stacked = F.explode(F.array(*[
-        F.struct(F.lit(c).alias("variable"), F.col(c).cast("double").alias("x"),
-                 F.col(f"{c}__lo").alias("lo"), F.col(f"{c}__hi").alias("hi")) for c in cols]))
-    s = j.select(stacked.alias("v")).select("v.*").where(F.col("x").isNotNull())
-    width = (F.col("hi") - F.col("lo")) / bins
-    b = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("x") - F.col("lo")) / width), F.lit(bins - 1))).cast("int")
-    return s.groupBy("variable", b.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-
-
-def summary(df: DataFrame, cols: Sequence[str] | None = None, exact: bool = True) -> DataFrame:
-    """Min, Q1, median, mean, Q3, max, NA count per numeric column (prof_summary).
-
-    Quartiles are exact with bounded memory (all columns in one bracket job);
-    ``exact=False`` uses sketches."""
-    cols = list(cols or column_types(df)["numeric"])
-    aggs = []
-    for c in cols:
-        x = F.col(c).cast("double")
-        aggs += [F.min(x).alias(f"{c}__min"), F.avg(x).alias(f"{c}__mean"),
-                 F.max(x).alias(f"{c}__max"), F.count_if(x.isNull()).cast("double").alias(f"{c}__nas")]
-        if not exact:
-            aggs.append(F.percentile_approx(x, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)),
-                                            F.lit(10000)).alias(f"_{c}_q"))
-    wide = df.agg(*aggs)
-    plain = [(c, st) for c in cols for st in ("min", "mean", "max", "nas")]
-    out = _long(wide.select(*[F.col(f"{c}__{st}") for c, st in plain]), plain,
-                {c: "numeric" for c in cols}).select(F.col("skim_variable").alias("variable"),
-                                                     "stat", "value")
-    names = ["q1", "median", "q3"]
-    if exact:
-        q = multi_quantiles(df, [F.col(c) for c in cols], [0.25, 0.5, 0.75], var_names=cols)
-        qrows = q.select("variable", F.explode(F.array(*[
-            F.struct(F.lit(n).alias("stat"), F.col(f"q{i}").alias("value"))
-            for i, n in enumerate(names)])).alias("c")).select("variable", "c.stat", "c.value")
-    else:
-        qrows = wide.select(F.explode(F.array(*[
-            F.struct(F.lit(c).alias("variable"), F.lit(n).alias("stat"),
-                     F.col(f"_{c}_q")[i].cast("double").alias("value"))
-            for c in cols for i, n in enumerate(names)])).alias("c")).select("c.*")
-    return out.unionByName(qrows)
+    index = value_counts(df) if index is None else index
+    out = []
+    rate = {"n_missing": F.col("rows") - F.col("there"), "complete_rate": F.col("there") / F.col("rows")}
+    if fam["numeric"] or fam["time"]:
+        names = fam["numeric"] + fam["time"]
+        m = _moments(index, names)
+        q = _index_quantiles(index, names, [0.25, 0.5, 0.75])
+        unique = _rows(index, fam["time"]).groupBy(F.col("variable").alias("_u")).agg(F.count("num").alias("n_unique"))
+        q = q.withColumnRenamed("variable", "_q")
+        w = (m.join(F.broadcast(q), F.col("variable") == F.col("_q"), "left")
+             .join(F.broadcast(unique), F.col("variable") == F.col("_u"), "left"))
+        if fam["numeric"]:
+            out.append(_cells(_rows(w, fam["numeric"]), dict.fromkeys(fam["numeric"], "numeric"), rate | {
+                "mean": F.col("mean"), "sd": F.col("sd"), "p0": F.col("lo"), "p25": F.col("q0"), "p50": F.col("q1"),
+                "p75": F.col("q2"), "p100": F.col("hi")}))
+        if fam["time"]:
+            kinds = {f.name: "Date" if isinstance(f.dataType, T.DateType) else "POSIXct" for f in df.schema.fields}
+            out.append(_cells(_rows(w, fam["time"]), {c: kinds[c] for c in fam["time"]}, rate | {
+                "min": F.col("lo"), "max": F.col("hi"), "median": F.col("q1"), "n_unique": F.col("n_unique")}))
+    texts = fam["string"] + fam["other"]
+    if texts:
+        x, t = _rows(index, texts), F.col("text")
+        size = F.length(t)
+        w = x.groupBy("variable").agg(
+            F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(t.isNotNull(), F.col("n"))), F.lit(0)).alias("there"),
+            F.min(size).alias("lo"), F.max(size).alias("hi"), F.count(t).alias("n_unique"),
+            F.coalesce(F.sum(F.when(size == 0, F.col("n"))), F.lit(0)).alias("empty"),
+            F.coalesce(F.sum(F.when(t.rlike(r"^\s+$"), F.col("n"))), F.lit(0)).alias("whitespace"))
+        if fam["string"]:
+            out.append(_cells(_rows(w, fam["string"]), dict.fromkeys(fam["string"], "character"), rate | {
+                "min": F.col("lo"), "max": F.col("hi"), "empty": F.col("empty"), "n_unique": F.col("n_unique"),
+                "whitespace": F.col("whitespace")}))
+        if fam["other"]:
+            out.append(_cells(_rows(w, fam["other"]), dict.fromkeys(fam["other"], "other"), rate | {"n_unique": F.col("n_unique")}))
+    return functools.reduce(DataFrame.unionByName, out)
+
+
+def skim_hist(df: DataFrame, bins: int = 8, index: DataFrame | None = None) -> DataFrame:
+    """skim's inline histogram: ``bins`` equal-width bins of every numeric column
+    between its min and max, empty bins included (prof_skim_hist), from the value
+    index. A constant column has all its values in bin 0; a column without values,
+    or with an infinite one, has no bins."""
+    names = column_types(df)["numeric"]
+    index = value_counts(df) if index is None else index
+    x = _rows(index, names).where(F.col("num").isNotNull())
+    rng = x.groupBy(F.col("variable").alias("_v")).agg(F.min("num").alias("_lo"), F.max("num").alias("_hi"))
+    rng = rng.where((F.abs("_lo") < float("inf")) & (F.abs("_hi") < float("inf")))
+    width = (F.col("_hi") - F.col("_lo")) / bins
+    b = F.when(F.col("_hi") == F.col("_lo"), F.lit(0)).otherwise(
+        F.least(F.floor((F.col("num") - F.col("_lo")) / width), F.lit(bins - 1))).cast("int")
+    # one row per column, and one per column and bin: bounded by the schema
+    n = x.join(F.broadcast(rng), F.col("variable") == F.col("_v")).groupBy("variable", b.alias("bin")).agg(F.sum("n").alias("n"))
+    every = rng.select(F.col("_v").alias("variable"), F.explode(F.sequence(F.lit(0), F.lit(bins - 1))).alias("bin"))
+    return every.join(F.broadcast(n), ["variable", "bin"], "left").select("variable", "bin", F.coalesce("n", F.lit(0)).alias("n"))
+
+
+def summary(df: DataFrame, index: DataFrame | None = None) -> DataFrame:
+    """Of every column (variable, stat, value) (prof_summary): min, Q1, median,
+    mean, Q3, max and NA count of numbers, dates and times (as epoch seconds),
+    length and NA count of the others, from the value index."""
+    fam = column_types(df)
+    names, texts = fam["numeric"] + fam["time"], fam["string"] + fam["other"]
+    index = value_counts(df) if index is None else index
+    out = []
+    if names:
+        q = _index_quantiles(index, names, [0.25, 0.5, 0.75]).withColumnRenamed("variable", "_q")
+        w = _moments(index, names).join(F.broadcast(q), F.col("variable") == F.col("_q"), "left")
+        out.append(_cells(w, dict.fromkeys(names, ""), {
+            "min": F.col("lo"), "q1": F.col("q0"), "median": F.col("q1"), "mean": F.col("mean"), "q3": F.col("q2"),
+            "max": F.col("hi"), "nas": F.col("rows") - F.col("there")}))
+    if texts:
+        w = _rows(index, texts).groupBy("variable").agg(
+            F.sum("n").alias("rows"), F.coalesce(F.sum(F.when(F.col("text").isNull(), F.col("n"))), F.lit(0)).alias("nas"))
+        out.append(_cells(w, dict.fromkeys(texts, ""), {"length": F.col("rows"), "nas": F.col("nas")}))
+    return functools.reduce(DataFrame.unionByName, out).select(F.col("skim_variable").alias("variable"), "stat", "value")
+
+
+def _gone(df: DataFrame, c: str) -> Column:
+    """Whether a value is missing: NULL, or NaN in a floating column."""
+    x = F.col(f"`{c}`")
+    return x.isNull() | F.isnan(x) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else x.isNull()
 
 
 def intro(df: DataFrame) -> DataFrame:
@@ -202,10 +246,10 @@ def intro(df: DataFrame) -> DataFrame:
     complete rows, total observations (prof_intro). One pass."""
     fam = column_types(df)
     cols = df.columns
-    nulls = [F.count_if(F.col(c).isNull()).alias(f"_m_{c}") for c in cols]
+    nulls = [F.count_if(_gone(df, c)).alias(f"_m_{c}") for c in cols]
     any_null = F.lit(False)
     for c in cols:
-        any_null = any_null | F.col(c).isNull()
+        any_null = any_null | _gone(df, c)
     w = df.agg(F.count(F.lit(1)).alias("rows"), *nulls,
                F.count_if(~any_null).alias("complete_rows"))
     missing_cells = sum((F.col(f"_m_{c}") for c in cols), F.lit(0))
@@ -225,7 +269,7 @@ def missing(df: DataFrame) -> DataFrame:
     """Missing count and share per column, most missing first (prof_missing)."""
     cols = df.columns
     w = df.agg(F.count(F.lit(1)).alias("_n"),
-               *[F.count_if(F.col(c).isNull()).alias(c) for c in cols])
+               *[F.count_if(_gone(df, c)).alias(c) for c in cols])
     lg = w.unpivot(["_n"], cols, "variable", "n_missing")
     return (lg.select("variable", F.col("n_missing").cast("long").alias("n_missing"),
                       (F.col("n_missing") / F.col("_n")).alias("pct_missing"))
