@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tipscope.functions import text as tx
 from tipscope.operators import retrieval as rt
+from tipscope.operators import vector_search as vs
 from tipscope.operators import ranges as rg
 
 
@@ -73,7 +74,7 @@ def test_truncate_and_letters(spark):
 
 def test_topk_batch_takes_any_number_of_queries(spark, monkeypatch):
     import numpy as np
-    monkeypatch.setattr(rt, "BLOCK_ROWS", 7)
+    monkeypatch.setattr(vs, "BLOCK_ROWS", 7)
     rng = np.random.default_rng(1)
     store = rng.integers(-2, 3, (40, 3)).astype(float)  # many ties
     qs = rng.integers(-2, 3, (900, 3)).astype(float)

@@ -2,9 +2,7 @@
 
 Chunk ids are a global sequence in (document, position) order computed
 with a prefix sum over ranges of (document, number of chunks), without the
-texts. Retrieval scores blocks of stored chunks against blocks
-of query vectors and keeps the top k per query with ``row_number`` (planned
-as a per-partition group limit before the shuffle).
+texts. Retrieval is an exact pruned search (``vector_search``).
 """
 
 from __future__ import annotations
@@ -13,10 +11,11 @@ from typing import Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tipscope.functions import text as tx
+from tipscope.functions.sizing import broadcast_if_small
 from tipscope.operators.ranges import prefix_offsets
+from tipscope.operators.vector_search import VectorIndex, build_index, search
 from tipscope.sources import files
 
 # Prompt wording of the reference's question-answering step
@@ -25,8 +24,7 @@ PROMPT_HEAD = ("Answer the question only using the context below.\n"
                "Keep the answer short and clear.\n")
 CHUNK_SEPARATOR = "\n\n---\n\n"
 CONTEXT_TITLE = "Current dashboard filters:"
-# rows of one block of vectors
-BLOCK_ROWS = 512
+DASHBOARD_HEAD = "Dashboard context:\n "
 
 
 def _squished(docs: DataFrame, id_col: str, source_col: str, text_col: str, size: int, overlap: int) -> DataFrame:
@@ -110,80 +108,17 @@ def embed_hashing(df: DataFrame, text_col: str = "chunk", out: str = "embedding"
     return embed_with(hashing_model(df, text_col, num_features), df, out)
 
 
-def _packed(df: DataFrame, id_col: str, vec_col: str, prefix: str) -> DataFrame:
-    """Rows packed into blocks of at most ``BLOCK_ROWS``: their ids and one
-    float64 matrix. A NULL vector counts as all zeros."""
-    def pack(batches):
-        import numpy as np
-        import pyarrow as pa
-        for batch in batches:
-            for at in range(0, batch.num_rows, rows):
-                part = batch.slice(at, rows)
-                vecs = part.column(1).to_pylist()
-                mat = np.zeros((len(vecs), max(len(v) if v else 0 for v in vecs)))
-                for i, v in enumerate(vecs):
-                    if v:
-                        mat[i] = v
-                ids = pa.ListArray.from_arrays(pa.array([0, len(vecs)], pa.int32()), part.column(0))
-                yield pa.RecordBatch.from_arrays([ids, pa.array([mat.tobytes()], pa.binary())], names=names)
-
-    rows, names = BLOCK_ROWS, [f"{prefix}_ids", f"{prefix}_mat"]
-    schema = T.StructType([T.StructField(names[0], T.ArrayType(df.schema[id_col].dataType)),
-                           T.StructField(names[1], T.BinaryType())])
-    return df.select(id_col, vec_col).mapInArrow(pack, schema)
-
-
 def topk_batch(store: DataFrame, queries: DataFrame, k: int = 3, id_col: str = "chunk_id",
                vec_col: str = "embedding", q_id: str = "query_id", q_vec: str = "query_vec",
-               zero: float | None = 0.0, score_places: int | None = 9) -> DataFrame:
-    """Top-k stored rows per query by cosine similarity (vec_topk_batch, vec_topk).
-
-    Store and queries are packed into blocks of rows, and every pair of a store
-    block and a query block is scored with one matrix product; Spark chooses by
-    size whether the query blocks are broadcast. A pair of blocks yields its k
-    best rows per query, ``row_number`` (a group limit before the shuffle)
-    picks the global k. Any number of queries is taken and none pass through the
-    driver. Scores are rounded to ``score_places`` before ranking so float noise
-    cannot reorder ties; ties go to the lower id (T21).
-    """
-    def best(batches):
-        import numpy as np
-        import pyarrow as pa
-        import pyarrow.compute as pc
-
-        def matrix(raw, n):
-            return np.frombuffer(raw.as_py()).reshape(n, -1)
-
-        for batch in batches:
-            for i in range(batch.num_rows):
-                sid, qid = batch.column(0)[i].values, batch.column(2)[i].values
-                by_id = pc.sort_indices(sid)
-                sid = sid.take(by_id)
-                X = matrix(batch.column(1)[i], len(sid))[by_id.to_numpy()]
-                Q = matrix(batch.column(3)[i], len(qid))
-                if not X.shape[1] or not Q.shape[1]:
-                    X, Q = np.zeros((len(sid), 1)), np.zeros((len(qid), 1))
-                length = np.outer(np.sqrt((X * X).sum(axis=1)), np.sqrt((Q * Q).sum(axis=1)))
-                score = np.full(length.shape, np.nan if zero is None else zero)
-                np.divide(X @ Q.T, length, out=score, where=length > 0)
-                if score_places is not None:  # halves away from zero
-                    unit = float(10 ** score_places)
-                    score = np.copysign(np.floor(np.abs(score * unit) + 0.5) / unit, score)
-                rank = np.where(np.isnan(score), -np.inf, score)
-                top = np.argsort(-rank, axis=0, kind="stable")[:k]  # ids ascend: ties to the lower id
-                column = np.broadcast_to(np.arange(len(qid)), top.shape)
-                yield pa.RecordBatch.from_arrays(
-                    [sid.take(pa.array(top.ravel())), qid.take(pa.array(column.ravel())),
-                     pa.array(score[top, column].ravel(), pa.float64(), from_pandas=True)],
-                    names=[id_col, q_id, "score"])
-
-    out = T.StructType([T.StructField(id_col, store.schema[id_col].dataType),
-                        T.StructField(q_id, queries.schema[q_id].dataType), T.StructField("score", T.DoubleType())])
-    blocks = _packed(store, id_col, vec_col, "s").crossJoin(_packed(queries, q_id, q_vec, "q"))
-    w = Window.partitionBy(q_id).orderBy(F.col("score").desc_nulls_last(), F.col(id_col))
-    hits = (blocks.mapInArrow(best, out).withColumn("rank", F.row_number().over(w).cast("long"))
-                  .where(F.col("rank") <= k))
-    return store.join(hits, id_col)
+               zero: float | None = 0.0, score_places: int | None = 9, index: VectorIndex | None = None) -> DataFrame:
+    """Top-k stored rows per query by cosine similarity (vec_topk_batch, vec_topk),
+    exact, by a search that skips what cannot win (``vector_search``). ``index`` is
+    that of the store where it is kept. The store's columns are joined to the
+    hits."""
+    index = index or build_index(store, id_col, vec_col)
+    hits, _ = search(index, queries, k, q_id, q_vec, zero, score_places)
+    hits = hits.withColumnsRenamed({"id": id_col, "q_id": q_id})
+    return store.join(broadcast_if_small(hits), id_col)
 
 
 def centroids(df: DataFrame, vec_col: str = "embedding", keys: Sequence[str] = ()) -> DataFrame:
@@ -241,7 +176,7 @@ def prompts(hits: DataFrame, questions: DataFrame, q_id: str = "query_id",
     j = q.join(g, q_id, "left")
     if context is not None:
         j = j.crossJoin(F.broadcast(context.select(
-            F.concat(F.lit("Dashboard context:\n "), F.col("context")).alias("_dash"))))
+            F.concat(F.lit(DASHBOARD_HEAD), F.col("context")).alias("_dash"))))
     else:
         j = j.withColumn("_dash", F.lit(""))
     prompt = F.concat_ws("\n", F.lit(PROMPT_HEAD), F.col("_dash"), F.lit(""), F.lit("Context:"),
