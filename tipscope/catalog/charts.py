@@ -92,19 +92,22 @@ register(
        WHERE tip_amount < q1 - 1.5 * (q3 - q1) OR tip_amount > q3 + 1.5 * (q3 - q1)""",
     ["feat"], FEAT_DOUBLES)
 
-KDE_SQL = """
+KDE_CELLS = 511 * 33  # the multiple of the output's 511 steps that reaches KDE_BINS
+KDE_SQL = f"""
 WITH base AS (SELECT tourist_season, CAST(tip_amount AS DOUBLE) AS x FROM feat
               WHERE tip_amount IS NOT NULL),
-vc AS (SELECT tourist_season, x, count(*) AS c FROM base GROUP BY 1, 2),
 st AS (SELECT tourist_season, count(*) AS n, stddev_samp(x) AS sd,
               quantile_cont(x, 0.25) AS q1, quantile_cont(x, 0.75) AS q3,
               min(x) AS mn, max(x) AS mx FROM base GROUP BY 1),
 bw AS (SELECT *, 0.9 * least(sd, (q3 - q1) / 1.34) * pow(CAST(n AS DOUBLE), -0.2) AS bw FROM st),
 g AS (SELECT *, mn - 3.0 * bw AS glo, mx + 3.0 * bw AS ghi FROM bw),
-k AS (SELECT vc.tourist_season, i, g.glo, g.ghi, g.n, g.bw,
-             sum(vc.c * exp(-0.5 * ((g.glo + i * (g.ghi - g.glo) / 511 - vc.x) / g.bw)
-                                  * ((g.glo + i * (g.ghi - g.glo) / 511 - vc.x) / g.bw))) AS s
-      FROM vc JOIN g ON vc.tourist_season = g.tourist_season,
+placed AS (SELECT g.*, (x - glo) / ((ghi - glo) / {KDE_CELLS}) AS place FROM base JOIN g ON base.tourist_season = g.tourist_season),
+nodes AS (SELECT tourist_season, node, sum(w) AS w FROM (
+            SELECT tourist_season, floor(place) AS node, 1 - (place - floor(place)) AS w FROM placed
+            UNION ALL SELECT tourist_season, floor(place) + 1, place - floor(place) FROM placed) q GROUP BY 1, 2),
+k AS (SELECT g.tourist_season, i, g.glo, g.ghi, g.n, g.bw,
+             sum(w * exp(-0.5 * pow((i * {KDE_CELLS // 511} - node) * ((g.ghi - g.glo) / {KDE_CELLS}) / g.bw, 2))) AS s
+      FROM nodes JOIN g ON nodes.tourist_season = g.tourist_season,
            (SELECT CAST(unnest(range(0, 512)) AS INTEGER) AS i) r
       GROUP BY 1, 2, 3, 4, 5, 6)
 SELECT tourist_season, i, glo + i * (ghi - glo) / 511 AS x,
