@@ -117,6 +117,36 @@ def test_jaccard_at_the_threshold_and_across_a_hot_group(spark):
     assert all(got[i] == 0 for i in range(300)) and all(got[1000 + i] == 1000 + i for i in range(40))
 
 
+def test_jaccard_of_documents_built_of_stock_passages(spark, monkeypatch):
+    """Brute force where words are shared widely, over many blocks and buckets."""
+    monkeypatch.setattr(ngram_join, "BLOCK", 700)
+    monkeypatch.setattr(ngram_join, "GROUP", 900)
+    r = random.Random(8)
+    stock = [" ".join(f"p{j}w{i}" for i in range(30)) for j in range(12)]
+    common = " ".join(f"c{i}" for i in range(40))
+    rows = []
+    for i in range(160):
+        w = " ".join([common, *r.sample(stock, 3)]).split()
+        if rows and i % 3 == 0:
+            w = r.choice(rows)[1].split()
+        for _ in range(r.randrange(5)):
+            w[r.randrange(len(w))] = f"x{r.randrange(10**6)}"
+        rows.append((i, " ".join(w), "en", "a", 0))
+    rows += [(500, " ".join(f"long{i}" for i in range(3000)), "en", "a", 0), (501, " ".join(f"long{i}" for i in range(2900)), "en", "a", 0)]
+    sets = {x[0]: shingles(x[1]) for x in rows}
+    up = {d: d for d in sets}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+    for a in sets:
+        for b in sets:
+            if b < a and 100 * len(i := sets[a] & sets[b]) >= 75 * (len(sets[a]) + len(sets[b]) - len(i)):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    got = {x.id: (x.n_shingles, x.component_id) for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {d: (len(sets[d]), top(d)) for d in sets} and len({top(d) for d in sets}) > 20
+
+
 def test_components_ignore_loops_nulls_and_repeats(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (9, 9), (None, 4), (7, 8), (20, 8)], "a long, b long")
     got = {r.node: r.component for r in components.components(e).collect()}

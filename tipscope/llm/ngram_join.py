@@ -13,7 +13,10 @@ Jaccard similarity of their sets reaches the threshold. Steps:
    of differing words (their Hamming distance) is a lower bound of the
    symmetric difference. At the threshold this is at most ``d``; so of the
    first ``d + 1`` non-empty words of either set, in one fixed order, at least
-   one is common (pigeonhole). Classes are joined on these words.
+   one is common (pigeonhole). The order is by the number of classes that hold
+   a word's shingles, the rarest first, so passages that very many share come
+   last. Classes are joined on these words; of words that the same classes
+   have, one is kept.
 4. A second, 1024-bit parity sketch rejects candidate pairs whose Hamming
    distance is over ``d``; the others are verified on the whole sets.
 5. Pairs are not expanded within a group that shares a word: its members are
@@ -42,13 +45,14 @@ from tipscope.llm.tokens import Words, mix, windows
 
 ship(__name__)
 
-#: Shingles of one request block and of one bucket's group, about.
-BLOCK, GROUP = 1 << 19, 1 << 21
+#: Shingles of one request block (more where there are many buckets, up to MOST)
+#: and of one bucket's group, about.
+BLOCK, MOST, GROUP = 1 << 19, 1 << 22, 1 << 21
 #: Sets smaller than this have every shingle as a piece of its own.
 SMALL = 256
 SKETCH_BITS = 1024
 #: Rounds in which the members of a group are compared with one of them.
-HUB_ROUNDS = 3
+HUB_ROUNDS = 2
 #: Members of one list of a group that shares a word, about.
 CELL = 256
 
@@ -90,9 +94,11 @@ def _requests(k, buckets):
         sets, total = [], 0
 
         def parts(values):
+            """The places of each bucket's values, for the buckets that have any."""
             bucket = ((values >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
-            return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+            found, start = np.unique(bucket[order], return_index=True)
+            return dict(zip(found.tolist(), np.split(order, start[1:]))) if len(found) else {}
 
         def flush():
             cls = np.array([mix(s + np.uint64(7)).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -108,14 +114,14 @@ def _requests(k, buckets):
             one = np.sort(order[alone])
             keys, owner = keys[one], owner[one]
             block = int(mix(cls + np.arange(len(cls), dtype=np.uint64)).sum(dtype=np.uint64).view(np.int64))
-            (at1, end1), (at2, end2) = parts(keys), parts(several)
+            at1, at2 = parts(keys), parts(several)
+            none = np.zeros(0, np.int64)
             out = [(-1 - abs(block) % buckets, block, cls.tobytes(), b"", size.tobytes(), known.tobytes())]
-            for x in range(buckets):
-                i, j = at1[end1[x]:end1[x + 1]], at2[end2[x]:end2[x + 1]]
-                if len(i) or len(j):
-                    who, times = np.unique(owner[i], return_counts=True)
-                    out.append((x, block, keys[i].astype(np.uint32).tobytes(), several[j].astype(np.uint32).tobytes(),
-                                np.diff(who, prepend=np.uint32(0)).tobytes(), times.astype(np.uint32).tobytes()))
+            for x in sorted({*at1, *at2}):
+                i, j = at1.get(x, none), at2.get(x, none)
+                who, times = np.unique(owner[i], return_counts=True)
+                out.append((x, block, keys[i].astype(np.uint32).tobytes(), several[j].astype(np.uint32).tobytes(),
+                            np.diff(who, prepend=np.uint32(0)).tobytes(), times.astype(np.uint32).tobytes()))
             return pa.RecordBatch.from_arrays(
                 [pa.array([r[j] for r in out], t) for j, t in
                  enumerate((pa.int32(), pa.int64(), *[pa.binary()] * 4))],
@@ -205,9 +211,12 @@ def band_floors(n, share):
     return floors
 
 
-def sketch_words(s, share):
+def sketch_words(s, rank, share):
     """(band, words) for the band that the set is in and the one below: the
-    first ``d + 1`` words of its parity sketch there, by hash order."""
+    first ``d + 1`` words of its parity sketch there, the rarest first, without
+    those that only this set has. ``rank``: of each shingle, how many sets hold
+    it (1: this one alone). A word's rank is the least of its shingles' ranks, so
+    sets with the same word give it the same place."""
     n = len(s)
     floors = band_floors(n, share)
     own = len(floors) - 2
@@ -218,7 +227,7 @@ def sketch_words(s, share):
         other = n * 100 // share if band == own else floors[band + 1] - 1
         d = (n + other) * (100 - share) // (100 + share)
         if floors[band] < SMALL:
-            word = mix(s + np.uint64(band + 1))
+            word, held = mix(s + np.uint64(band + 1)), rank
         else:
             pieces = np.uint64(2 * floors[band])
             piece = mix(s + np.uint64(band + 1)) % pieces
@@ -226,25 +235,112 @@ def sketch_words(s, share):
             piece = piece[order]
             first = np.flatnonzero(np.concatenate(([True], piece[1:] != piece[:-1])))
             word = mix(np.bitwise_xor.reduceat(s[order], first) + mix(piece[first] + np.uint64(band + 1)))
+            held = np.minimum.reduceat(rank[order], first)
         if len(word) <= d:
             raise ValueError(f"a sketch of {len(word)} words can't tell sets that differ in {d}")
-        yield band, (np.partition(word, d)[:d + 1] if d + 1 < len(word) else word)
+        first = np.lexsort((word, held))[:d + 1]
+        yield band, word[first[held[first] > 1]]
 
 
-def _keys(share):
+def _shingle_keys(items, buckets):
+    """A block's distinct shingles as (bucket, key), in that order, and the place
+    of each item's shingle among them."""
+    keys, place = np.unique(mix(items ^ np.uint64(0x1B873593)), return_inverse=True)
+    bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
+    order = np.argsort(bucket, kind="stable")
+    back = np.empty(len(order), np.int64)
+    back[order] = np.arange(len(order))
+    return bucket[order], keys[order].astype(np.uint32), back[place]
+
+
+def _holders(buckets):
+    """Blocks of sets: their distinct shingles by bucket, each once with the number
+    of the block's sets that hold it, and the block's own row (bucket -1)."""
     def run(batches):
+        names = ["bucket", "block", "keys", "counts", "reps", "sizes", "items"]
+        reps, sets, total = [], [], 0
+
+        def flush():
+            items = np.concatenate(sets)
+            bucket, keys, place = _shingle_keys(items, buckets)
+            count = np.bincount(place, minlength=len(keys)).astype(np.uint32)
+            found, start = np.unique(bucket, return_index=True)
+            name = reps[0]  # a set is in one block
+            out = [(-1, name, b"", b"", np.array(reps, np.int64).tobytes(), np.array([len(x) for x in sets], np.int64).tobytes(), items.tobytes())]
+            out += [(int(x), name, k.tobytes(), c.tobytes(), b"", b"", b"") for x, k, c in
+                    zip(found, np.split(keys, start[1:]), np.split(count, start[1:]))]
+            return pa.RecordBatch.from_arrays([pa.array([r[j] for r in out], t) for j, t in enumerate(
+                (pa.int32(), pa.int64(), *[pa.binary()] * 5))], names=names)
+
         for b in batches:
-            rep, key = [], []
-            for r, items in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                for _, words in sketch_words(np.frombuffer(items, np.uint64), share):
-                    rep.append(np.full(len(words), r, np.int64))
-                    key.append(words.view(np.int64))
-            if rep:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(rep)), pa.array(np.concatenate(key))], names=["rep", "key"])
+            for rep, raw in zip(b.column(0).to_pylist(), b.column(1)):
+                x = np.frombuffer(raw.as_py(), np.uint64)
+                reps.append(rep)
+                sets.append(x)
+                total += len(x)
+                if total >= max(BLOCK, min(64 * buckets, MOST)):
+                    yield flush()
+                    reps, sets, total = [], [], 0
+        if sets:
+            yield flush()
     return run
 
 
+def _ranks(group: pd.DataFrame) -> pd.DataFrame:
+    """For each block's row of one bucket, how many sets hold each key: the number
+    up to 200, then steps of its logarithm."""
+    keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
+    counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
+    _, place = np.unique(keys, return_inverse=True)
+    held = np.bincount(place, weights=counts)[place]
+    rank = np.minimum(np.where(held <= 200, held, 200 + 2 * np.log2(np.maximum(held, 200) / 200)), 255).astype(np.uint8)
+    ends = np.cumsum([len(x) // 4 for x in group["keys"]])
+    return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "reps": b"", "sizes": b"", "items": b"",
+                         "ranks": [x.tobytes() for x in np.split(rank, ends[:-1])]})
+
+
+def _rare_words(buckets, share):
+    """Of one block, the words of its sets."""
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("bucket")
+        own = group.iloc[0]  # its bucket is -1
+        items = np.frombuffer(own["items"], np.uint64)
+        ranks = np.frombuffer(b"".join(group["ranks"].iloc[1:]), np.uint8)
+        _, _, place = _shingle_keys(items, buckets)
+        rank, at = ranks[place], 0
+        rep, key = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for r, n in zip(np.frombuffer(own["reps"], np.int64), np.frombuffer(own["sizes"], np.int64)):
+            for _, words in sketch_words(items[at:at + n], rank[at:at + n], share):
+                rep.append(np.full(len(words), r, np.int64))
+                key.append(words.view(np.int64))
+            at += n
+        return pd.DataFrame({"rep": np.concatenate(rep), "key": np.concatenate(key)})
+    return run
+
+
+def _words(sets: DataFrame, share: int) -> DataFrame:
+    """(rep, key): the rarest words of each class's sketches. Shingles are counted
+    by bucket over blocks of classes, in which each is sent once, so one that most
+    classes hold is one value a block."""
+    total = sets.agg(F.sum("n")).first()[0] or 0
+    buckets = max(1, -(-total // GROUP))
+    asked = stored(sets.select("rep", "items").mapInArrow(
+        _holders(buckets), "bucket int, block long, keys binary, counts binary, reps binary, sizes binary, items binary"), "holders")
+    fields = "bucket int, block long, reps binary, sizes binary, items binary, ranks binary"
+    told = (asked.where("bucket >= 0").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInPandas(_ranks, fields)
+            .unionByName(asked.where("bucket < 0").select("bucket", "block", "reps", "sizes", "items", F.lit(b"").alias("ranks"))))
+    return told.groupBy("block").applyInPandas(_rare_words(buckets, share), "rep long, key long")
+
+
+def _groups(words: DataFrame) -> DataFrame:
+    """(key, rep) of the words that several classes have, one word for each set of
+    classes: words of the same classes say the same. Sets are told apart by their
+    number and two hashes, added up map-side."""
+    g = words.groupBy("key").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("rep")).alias("x"),
+                                 F.bit_xor(F.xxhash64("rep", F.lit(1))).alias("y")).where("n > 1")
+    return words.join(g.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key"), "key").select("rep", "key")
+
+
 def _near(share):
     """Keep pairs whose sizes and sketches allow a link."""
     def run(batches):
@@ -357,9 +453,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     chosen = _semi(rows, kept.select("rid", "rhash", "rep"), "rep")
     sets = stored(chosen.select("rep", "text").mapInArrow(
         sliced(_whole_sets(k)), "rep long, n long, items binary, sketch binary"), "sets")
-    keys = stored(sets.select("rep", "items").mapInArrow(_keys(share), "rep long, key long"), "words")
-
-    comp, words = None, keys
+    comp, words = None, stored(_groups(stored(_words(sets, share), "words")), "groups")
     for r in range(HUB_ROUNDS):
         now = _with_component(words, comp)
         order = F.xxhash64("rep", F.lit(r))
