@@ -7,6 +7,7 @@ import math
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,12 +305,106 @@ def test_short_items_are_found_whole(spark):
     assert [r.doc_id for r in decontaminate.clean(d, items).collect()] == [2]
 
 
-def test_raking_meets_the_targets(docs):
-    p = mixing.rake([[80, 10], [5, 5]], [[0.5, 0.5], [0.5, 0.5]], fraction=0.2)
-    got = p * [[80, 10], [5, 5]]
-    assert got.sum(0) == pytest.approx([10, 10], rel=1e-6) and got.sum(1) == pytest.approx([10, 10], rel=1e-6)
-    r = mixing.report(docs).toPandas()
-    assert r.probability.between(0, 1).all() and 0 < r.sampled.mean() < 1
+def margins_of(p, tokens):
+    return [(p * tokens).sum(axis=tuple(i for i in range(tokens.ndim) if i != axis)) for axis in range(tokens.ndim)]
+
+
+def test_raking_meets_the_targets():
+    t = np.array([[80.0, 10], [5, 5]])
+    p, eased = mixing.rake(t, [[0.5, 0.5], [0.5, 0.5]], fraction=0.2)
+    assert eased == 0 and all(m == pytest.approx([10, 10], rel=1e-6) for m in margins_of(p, t))
+    t = np.array([[90.0, 1], [8, 1]])  # the second row and column have too few
+    p, eased = mixing.rake(t, [[0.5, 0.5], [0.5, 0.5]], fraction=0.5)
+    rows, cols = margins_of(p, t)
+    assert p.max() <= 1 and rows.sum() == pytest.approx(49.5 + 0.5) and rows == pytest.approx([41, 9], abs=0.01)
+    assert cols == pytest.approx([48, 2], abs=0.01) and eased < 0.01
+
+
+def test_targets_that_clash_are_eased():
+    t = np.array([[100.0, 0], [0, 100]])  # rows and columns are the same tokens
+    p, eased = mixing.rake(t, [[0.8, 0.2], [0.2, 0.8]], fraction=0.5)
+    rows, cols = margins_of(p, t)
+    assert 0.9 < eased <= 1 and rows == pytest.approx([50, 50], abs=1) and cols == pytest.approx(rows)
+    assert mixing.rake(t * 0, [[1, 0], [1, 0]])[0].shape == (2, 2)
+    assert (mixing.rake(t, [[0.8, 0.2], [0.2, 0.8]], fraction=1.0)[0] == 1).all()
+
+
+def test_the_mixture_against_plain_loops(spark):
+    """Brute force: cells counted and raked with loops, one probability a cell."""
+    d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    got = mixing.report(d).collect()
+    text = {r.doc_id: r for r in d.collect()}
+
+    def topic(t):
+        n = max(len(t), 1)
+        if t.count("|") / n > 0.03:
+            return "table"
+        if sum(t.count(c) for c in "#*$%&") / n > 0.1:
+            return "marked"
+        return "shouted" if t.upper() == t != t.lower() else "note" if len(t) < 400 else "prose"
+
+    cells = {}
+    for r in got:
+        x = text[r.doc_id]
+        want = (x.source if x.source in mixing.TARGETS["source"] else "other", x.lang, topic(x.text or ""))
+        assert (r.source_level, r.lang_level, r.topic_level) == want and r.n_tokens == len(WORD.findall(x.text or ""))
+        c = cells.setdefault(want, [0, r.probability])
+        c[0] += r.n_tokens
+        assert c[1] == r.probability
+    total = sum(n for n, _ in cells.values())
+    assert sum(n * p for n, p in cells.values()) == pytest.approx(total / 2, rel=1e-6)
+    weight = {c: 0.5 for c in cells}
+    aims = []
+    for axis, name in enumerate(mixing.TARGETS):
+        own = {}
+        for c, (n, _) in cells.items():
+            own[c[axis]] = own.get(c[axis], 0) + n
+        share = {k: mixing.TARGETS[name].get(k, max(0.0, 1 - sum(mixing.TARGETS[name].values()))) for k in own}
+        aim = {k: 0 for k in own}
+        free = set(own)
+        while free:
+            left = total / 2 - sum(aim[k] for k in own if k not in free)
+            rate = left / sum(share[k] for k in free)
+            full = {k for k in free if share[k] * rate > own[k]}
+            aim |= {k: own[k] if k in full else share[k] * rate for k in free}
+            free = free - full if full else set()
+        aims.append(aim)
+    for _ in range(400):
+        for axis, aim in enumerate(aims):
+            for k, w in aim.items():
+                has = sum(min(weight[c], 1) * n for c, (n, _) in cells.items() if c[axis] == k)
+                for c in cells:
+                    if c[axis] == k and has > 0:
+                        weight[c] *= w / has
+    if got[0].eased == 0:
+        assert all(p == pytest.approx(min(weight[c], 1), abs=1e-4) for c, (_, p) in cells.items())
+    s = {(r.margin, r.level): r for r in mixing.shares(d).collect()}
+    assert all(abs(r.expected - r.sampled) < 0.1 for r in s.values())
+    kept = sum(r.n_tokens for r in got if r.sampled)
+    assert abs(kept - total / 2) < 0.1 * total
+    assert {r.doc_id for r in mixing.sample(d).collect()} == {r.doc_id for r in got if r.sampled}
+
+
+def test_copies_within_one_owner_are_an_example(spark):
+    key, two = "Ab1" * 10, "Cd2" * 10
+    rows = [(i, f"x {key} {i}", "en", "same", 0) for i in range(12)] + [(50, f"y {two}", "en", "a", 0), (51, f"z {two}", "en", "b", 0)]
+    got = {r.doc_id: r for r in secrets.digest(secrets.scan(spark.createDataFrame(rows, DOC))).collect()}
+    assert all(got[i].spans == "" for i in range(12)) and got[50].spans == "owned:2:32" and got[50].n_shared == 1
+
+
+def test_training_pages_are_chosen_by_id(spark):
+    rows = spark.createDataFrame([(i % 50 if i % 9 else None, f"<p>{i}") for i in range(400)], "page_id long, html string")
+    got = html_text.training_pages(rows, 20).collect()
+    assert len(got) == 20 and len({r.order for r in got}) == 20
+    plan = html_text.training_pages(rows, 20)._jdf.queryExecution().optimizedPlan().toString()
+    assert "html" not in plan[plan.index("GlobalLimit"):].split("LogicalRDD")[0]
+
+
+def test_lines_of_small_hosts_are_removed():
+    d = entry.queries()["op9_line_frequency"]
+    from pyspark.sql import SparkSession
+    r = d(SparkSession.getActiveSession(), "/root/testdata/sf0.01").agg(F.sum("n_removed_words").alias("n")).first()
+    assert r.n > 0
 
 
 def test_odd_inputs_have_a_result(spark, odd):

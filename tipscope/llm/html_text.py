@@ -317,10 +317,18 @@ def _extract(raw):
     return run
 
 
+def training_pages(rows: DataFrame, bound: int) -> DataFrame:
+    """(order, html) of at most ``bound`` pages. They are chosen by their ids alone;
+    the chosen ids, bounded, are broadcast to read their pages, one for each id."""
+    ids = (rows.select(F.col("page_id").alias("__id")).distinct().withColumn("order", F.xxhash64("__id", F.lit(3)))
+           .orderBy("order", "__id").limit(bound))
+    return (rows.join(F.broadcast(ids), F.col("page_id").eqNullSafe(F.col("__id")))
+            .groupBy("order", "__id").agg(F.min("html").alias("html")).select("order", "html"))
+
+
 def main_text(pages: DataFrame, id_col="page_id", url_col="url", html_col="html", max_train=MAX_TRAIN) -> DataFrame:
     """One row per input row: page_id, url, text and n_chars."""
     rows = pages.select(F.col(f"`{id_col}`").cast("long").alias("page_id"), F.col(f"`{url_col}`").cast("string").alias("url"),
                         F.col(f"`{html_col}`").alias("html"))
-    some = rows.select("html", F.xxhash64("page_id", F.lit(3)).alias("order")).orderBy("order", "html").limit(max_train)
-    row = some.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, "model binary").first()
+    row = training_pages(rows, max_train).withColumn("one", F.lit(0)).groupBy("one").applyInPandas(_fit, "model binary").first()
     return rows.mapInArrow(_extract(row[0] if row else b""), "page_id long, url string, text string, n_chars long")

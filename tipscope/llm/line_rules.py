@@ -33,7 +33,7 @@ ship(__name__)
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 SYMBOLS = b"#*$%&|<>"
 #: Limits of the line rule.
-MIN_DOCS, MAX_SHARE, MIN_LEFT = 100, 0.01, 0.5
+MIN_DOCS, MAX_SHARE, MIN_LEFT = 3, 0.01, 0.5
 NORMAL = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", b"abcdefghijklmnopqrstuvwxyz0000000000")
 LINE = "array<struct<h:bigint,w:int>>"
 FIELDS = ("id long, text_hash long, host string, n_words long, word_chars long, n_symbols long, "

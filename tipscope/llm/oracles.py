@@ -37,10 +37,12 @@ def _matches(nth, kind, pattern, group, least):
 SECRETS = f"""
 WITH docs AS (SELECT row_number() OVER () AS rid, doc_id, source, lang, coalesce(text, '') AS t FROM documents),
 spans AS ({" UNION ALL ".join(_matches(i, *k) for i, k in enumerate(_KINDS))}),
-owners AS (SELECT value, count(*) AS owners FROM (SELECT DISTINCT value, source FROM spans) q GROUP BY value),
+owners AS (SELECT value, count(DISTINCT coalesce('+' || source, '')) AS owners, count(*) AS repos
+           FROM (SELECT DISTINCT value, s.source, doc_id FROM spans s JOIN docs d ON s.rid = d.rid) q GROUP BY value),
 judged AS (
-  SELECT s.*, CASE WHEN owners = 1 THEN 'live' WHEN owners >= 3 THEN 'example' ELSE 'shared' END AS verdict
-  FROM spans s JOIN owners o ON s.value = o.value WHERE nth < 3 OR owners = 1),
+  SELECT * FROM (
+    SELECT s.*, CASE WHEN owners >= 3 OR repos >= 10 THEN 'example' WHEN owners = 1 THEN 'live' ELSE 'shared' END AS verdict
+    FROM spans s JOIN owners o ON s.value = o.value) q WHERE nth < 3 OR verdict <> 'example'),
 kept AS (
   SELECT * FROM judged j WHERE nth < 3 OR NOT EXISTS (
     SELECT 1 FROM judged b WHERE b.rid = j.rid AND b.nth < 3 AND b.start < j.stop AND j.start < b.stop)),

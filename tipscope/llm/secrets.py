@@ -4,9 +4,11 @@ DataFrame functions.
 Base kinds are three patterns. Beside them, runs of 20 or more key characters
 that mix capitals, small letters and digits are candidates. All candidates'
 values are hashed and counted over the corpus by distinct repositories and
-owners: a value that many owners hold is an example that was copied around; one
-that a single owner holds looks live. A candidate outside the base kinds is
-reported (kind ``owned``) where it looks live and overlaps no base span.
+owners: a value that many owners hold, or that stands in many repositories, is
+an example that was copied around; one that a single owner holds in few
+repositories looks live, what lies between is shared. A candidate outside the
+base kinds is reported (kind ``owned``) unless it is an example or overlaps a
+base span. Where the table names no repositories, a document is one.
 
 A pattern's positions come from the text's gaps between matches: the lengths of
 gaps and matches, summed up in order, give code-point offsets. ``access`` and
@@ -36,8 +38,8 @@ KINDS = {
     "owned": (r"[A-Za-z0-9+/_-]{20,}", 0, 20),
 }
 BASE_KINDS = ("assign", "access", "hex")
-#: From so many owners on, a value is a copied example.
-EXAMPLE_OWNERS = 3
+#: From so many owners, or so many repositories, on, a value is a copied example.
+EXAMPLE_OWNERS, EXAMPLE_REPOS = 3, 10
 
 
 def _matches(text: Column, kind: str) -> Column:
@@ -76,8 +78,8 @@ def _joined(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
 
-def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_cols=("source", "lang"),
-         example_owners=EXAMPLE_OWNERS) -> DataFrame:
+def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source", repo_cols=("source", "doc_id"),
+         example_owners=EXAMPLE_OWNERS, example_repos=EXAMPLE_REPOS) -> DataFrame:
     """One row per input row: doc_id, and ``spans``: all spans by start and
     kind, each with kind, start, end, the owners and repositories of its value,
     and a verdict (live, shared or example)."""
@@ -92,8 +94,9 @@ def scan(docs: DataFrame, id_col="doc_id", text_col="text", owner_col="source",
         spans = s if spans is None else spans.unionAll(s)
     spans = stored(spans, "secret-spans")
     judged = spans.join(ownership(spans), "value").withColumn(
-        "verdict", F.when(F.col("owners") == 1, "live").when(F.col("owners") >= example_owners, "example").otherwise("shared"))
-    judged = judged.where(F.col("kind").isin(*BASE_KINDS) | (F.col("verdict") == "live"))
+        "verdict", F.when((F.col("owners") >= example_owners) | (F.col("repos") >= example_repos), "example")
+        .when(F.col("owners") == 1, "live").otherwise("shared"))
+    judged = judged.where(F.col("kind").isin(*BASE_KINDS) | (F.col("verdict") != "example"))
     one = F.struct("start", "nth", "kind", "end", "owners", "repos", "verdict")
     per_row = judged.groupBy("rid").agg(F.sort_array(F.collect_list(one)).alias("all"))
     base = F.filter("all", lambda s: s["nth"] < len(BASE_KINDS))
