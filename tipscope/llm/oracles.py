@@ -96,7 +96,7 @@ held AS (SELECT rid, doc_id, source, array_to_string(lw, ' ') AS x, sum(len(lw))
 hosts AS (SELECT source, count(*) AS docs FROM docs GROUP BY source),
 frequent AS (
   SELECT h.source, h.x, min(h.doc_id) AS first_id FROM held h JOIN hosts s ON h.source IS NOT DISTINCT FROM s.source
-  GROUP BY h.source, h.x, s.docs HAVING count(*) > 100 AND count(*) > s.docs * 0.01),
+  GROUP BY h.source, h.x, s.docs HAVING count(*) > 3 AND count(*) > s.docs * 0.01),
 removed AS (
   SELECT h.rid, CAST(sum(h.n) AS BIGINT) AS n_removed_words
   FROM held h JOIN frequent f ON h.source IS NOT DISTINCT FROM f.source AND h.x = f.x
