@@ -8,6 +8,7 @@ import random
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -57,25 +58,48 @@ def test_every_dealt_query_is_registered():
     assert all(any(n.startswith(f"op{i}_") for n in names) for i in range(1, 11)) and "pipeline" in names
 
 
-def test_backoff_lm_is_the_smoothed_bigram_model(docs, texts):
+@pytest.mark.parametrize("order,span", [(1, 256), (2, 256), (3, 7), (4, 3)])
+def test_backoff_lm_is_the_smoothed_model(docs, texts, monkeypatch, order, span):
+    """Brute force over dictionaries of n-grams; pieces far shorter than texts."""
+    monkeypatch.setattr(backoff_lm, "SPAN", span)
     held = {d: binascii.crc32(str(d).encode()) % 7 == 2 for d in texts}
     seq = {d: [*words(t), "</s>"] for d, t in texts.items()}
-    one, two = collections.Counter(), collections.Counter()
+    grams, begun = collections.Counter(), 0
     for d, w in seq.items():
         if not held[d]:
-            one.update(w)
-            two.update(zip(["<s>", *w], w))
+            begun += 1
+            for i in range(len(w)):
+                for k in range(1, order + 1):
+                    if i - k + 1 >= -1:  # one start token stands for all before
+                        grams[tuple(w[i - k + 1:i + 1]) if i - k + 1 >= 0 else ("<s>", *w[:i + 1])] += 1
+    one = {g[0]: c for g, c in grams.items() if len(g) == 1}
     total, kinds, s = sum(one.values()), len(one), backoff_lm.STRENGTH
-    for r in backoff_lm.score(docs).collect():
+    grams["<s>",] = begun
+
+    def p(h, x):
+        if not h:
+            return (one.get(x, 0) + 1) / (total + kinds + 1)
+        return (grams[(*h, x)] + s * p(h[1:], x)) / (grams[h] + s)
+    for r in backoff_lm.score(docs, order=order).collect():
         w = seq[r.doc_id]
-        p1 = [(one[x] + 1) / (total + kinds + 1) for x in w]
-        base = sum(map(math.log10, p1))
-        score = sum(math.log10((two[h, x] + s * p) / ((one["</s>"] if h == "<s>" else one[h]) + s))
-                    for h, x, p in zip(["<s>", *w], w, p1))
-        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(one[x] > 0 for x in w), total)
+        base = sum(math.log10(p((), x)) for x in w)
+        past = ["<s>", *w]
+        score = sum(math.log10(p(tuple(past[max(0, i + 2 - order):i + 1]) if order > 1 else (), x)) for i, x in enumerate(w))
+        assert (r.held_out, r.n_tokens, r.n_known, r.train_tokens) == (held[r.doc_id], len(w), sum(x in one for x in w), total)
         assert r.base_score == pytest.approx(base) and r.score == pytest.approx(score)
 
 
+def test_failure_arcs_lead_to_the_shorter_history(docs):
+    row = next(iter(backoff_lm._blocks(iter([pa.RecordBatch.from_arrays([pa.array([0, 1]), pa.array(["a b a b c", "b a b"])], names=["i", "t"])])))).to_pylist()[0]
+    levels = backoff_lm.ngrams(row, 3)
+    n = np.frombuffer(row["counts"], np.int64)
+    counts = [np.bincount(at, minlength=len(keys)) for keys, at, _ in levels]
+    m = backoff_lm.Automaton(levels, counts, 2, int(n.sum()), len(levels[0][0]), 5.0)
+    one, two = levels[0][1], levels[1][1]
+    assert all(m.fail[2][two[i] + 1] == one[i] + 1 for i in range(len(one))) and not m.fail[1].any()
+    assert len(m.arcs[1][0]) == len(levels[1][0]) and len(m.arcs[2][0]) == len(levels[2][0])
+
+
 def test_secret_spans(docs, texts):
     kinds = [("assign", r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 12),
              ("access", "AKIA[A-Z0-9]+", 0, 18), ("hex", "[0-9a-f]+", 0, 16)]

@@ -19,7 +19,8 @@ documents can reach is brought to it:
    answers each block in the order of its request. Buckets are as many as keep
    a group within a fixed size, and an n-gram, however frequent, is one entry
    of a block.
-3. Answers meet their block, which builds its arcs and walks its texts.
+3. Answers meet their block, which builds its states, arcs and failure arcs and
+   walks its texts, many side by side, each carrying its state.
 
 Training rows are those whose crc32 of the id's decimal text, mod 7, is not 2.
 
@@ -49,6 +50,8 @@ ship(__name__)
 BLOCK, GROUP = 1 << 19, 1 << 21
 FOLDS, HELD_OUT = 7, 2
 ORDER, STRENGTH = 2, 300.0
+#: Tokens that one piece of a text reads in a row.
+SPAN = 256
 #: Codes of the start of a text (a history only) and of its end.
 START, END = 0x243F6A8885A308D3, 0x13198A2E03707344
 CHUNK = "chunk long, ids binary, known_id binary, counts binary, held binary, codes binary, vocab binary"
@@ -139,11 +142,12 @@ def ngrams(row, order):
 
 
 def _by_bucket(keys, buckets):
-    """Order of the keys by bucket, and where each bucket begins in it. Within a
-    bucket a key is told by its low 48 bits."""
+    """(bucket, places of its keys) of the buckets that have any. Within a bucket a
+    key is told by its low 48 bits."""
     bucket = ((keys >> np.uint64(32)) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1))
+    found, start = np.unique(bucket[order], return_index=True)
+    return list(zip(found.tolist(), np.split(order, start[1:])))
 
 
 def _requests(order, buckets):
@@ -156,10 +160,8 @@ def _requests(order, buckets):
                 for k, (keys, at, _) in enumerate(ngrams(row, order), 1):
                     own = np.bincount(at[learn], minlength=len(keys))
                     low, high = keys.astype(np.uint32), (keys >> np.uint64(32)).astype(np.uint16)
-                    by, bounds = _by_bucket(keys, buckets)
-                    for x in range(buckets):
-                        if len(i := by[bounds[x]:bounds[x + 1]]):
-                            out.append((x, row["chunk"], k, low[i].tobytes() + high[i].tobytes(), small(own[i])))
+                    for x, i in _by_bucket(keys, buckets):
+                        out.append((x, row["chunk"], k, low[i].tobytes() + high[i].tobytes(), small(own[i])))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([r[j] for r in out], t) for j, t in enumerate(
                         (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))],
@@ -187,8 +189,97 @@ def _totals(group: pd.DataFrame) -> pd.DataFrame:
     return pd.concat(out)
 
 
+class Automaton:
+    """What a block's texts can reach of the model. A state is a level (words of
+    history) and a number: 0 the start of a text, i + 1 the block's i-th distinct
+    history of that level; level 0 has the empty history alone. ``arcs[k]`` lists the
+    arcs from level k, sorted by state and word, with their weights and where they
+    lead; ``fail[k]`` and ``fail_weight[k]`` are the failure arcs of level k."""
+
+    def __init__(self, levels, counts, texts, tokens, words, strength):
+        order, self.kinds = len(levels), len(levels[0][0])
+        self.word_weight = np.log10((counts[0] + 1) / (tokens + words + 1))
+        self.arcs, self.fail, self.fail_weight = [None], [None], [None]
+        weight = self.word_weight
+        for k in range(1, order):  # histories of k words, n-grams of k + 1
+            _, at, history = levels[k]
+            size = len(levels[k][0])
+            gram, first = np.unique(at, return_index=True)  # a place where each n-gram stands
+            state, word, below = history[first] + 1, levels[0][1][first], levels[k - 1][1][first]
+            seen = np.concatenate(([texts], counts[k - 1]))[state]
+            c = counts[k]
+            p = np.log10((c + strength * 10.0 ** weight[below]) / (seen + strength))
+            has = np.flatnonzero(c > 0)
+            key = state[has] * self.kinds + word[has]
+            order_ = np.argsort(key, kind="stable")
+            # an n-gram that is a history leads to its own state, the longest to its suffix's
+            to = has[order_] + 1 if k + 1 < order else below[has[order_]] + 1
+            self.arcs.append((key[order_], p[has[order_]], to))
+            held = np.concatenate(([texts], counts[k - 1]))
+            self.fail_weight.append(np.log10(strength / (held + strength)))
+            shorter = np.zeros(len(held), np.int64)  # the start fails to the empty history
+            if k > 1:
+                g, f = np.unique(levels[k - 1][1], return_index=True)
+                shorter[g + 1] = levels[k - 2][1][f] + 1
+            self.fail.append(shorter)
+            weight = np.where(c > 0, p, np.log10(strength / (seen + strength)) + weight[below])
+            assert len(gram) == size
+
+    def step(self, level, state, word):
+        """Read one word in each of several states: new levels, states, weights."""
+        total = np.zeros(len(word))
+        to_level, to_state = np.zeros(len(word), np.int64), np.zeros(len(word), np.int64)
+        level, state, left = level.copy(), state.copy(), np.ones(len(word), bool)
+        top = len(self.arcs) - 1
+        for k in range(top, 0, -1):
+            i = np.flatnonzero(left & (level == k))
+            if not len(i):
+                continue
+            keys, weights, to = self.arcs[k]
+            want = state[i] * self.kinds + word[i]
+            at = np.searchsorted(keys, want)
+            hit = at < len(keys)
+            hit[hit] = keys[at[hit]] == want[hit]
+            j, a = i[hit], at[hit]
+            total[j] += weights[a]
+            to_level[j], to_state[j] = min(k + 1, top), to[a]
+            left[j] = False
+            j = i[~hit]  # the failure arc
+            total[j] += self.fail_weight[k][state[j]]
+            level[j], state[j] = k - 1, self.fail[k][state[j]]
+        i = np.flatnonzero(left)  # at the empty history every word has an arc
+        total[i] += self.word_weight[word[i]]
+        to_level[i], to_state[i] = min(1, top), word[i] + 1
+        return to_level, to_state, total
+
+
+def traverse(machine, codes, first, n, order):
+    """Weight of each token, from left to right with the state carried along. Long
+    texts are read in pieces of SPAN tokens side by side; a piece begins order - 1
+    tokens early, without their weights, which is all that a state remembers."""
+    pieces = -(-n // SPAN)
+    text = np.repeat(np.arange(len(n)), pieces)
+    nth = np.arange(len(text)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+    begin = first[text] + nth * SPAN
+    stop = np.minimum(begin + SPAN, first[text] + n[text])
+    at = np.maximum(begin - (order - 1), first[text])
+    top = min(1, order - 1)
+    level = np.where(at == first[text], top, 0)  # the start of a text is a state
+    state = np.zeros(len(text), np.int64)
+    out = np.zeros(len(codes))
+    alive = np.arange(len(text))
+    while len(alive):
+        level_, state_, weight = machine.step(level[alive], state[alive], codes[at[alive]])
+        level[alive], state[alive] = level_, state_
+        own = at[alive] >= begin[alive]
+        out[at[alive][own]] = weight[own]
+        at[alive] += 1
+        alive = alive[at[alive] < stop[alive]]
+    return out
+
+
 def _walk(order, buckets, tokens, words, strength):
-    """Build a block's arcs from the answers and walk its texts."""
+    """Build a block's automaton from the answers and walk its texts."""
     def run(chunk: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, row in chunk.iterrows():
@@ -199,30 +290,19 @@ def _walk(order, buckets, tokens, words, strength):
             end = int(np.searchsorted(levels[0][0], np.uint64(END)))
             count = []
             for k, (keys, _, _) in enumerate(levels, 1):
-                by, bounds = _by_bucket(keys, buckets)
                 c = np.zeros(len(keys), np.int64)
-                for x in range(buckets):
-                    if bounds[x + 1] > bounds[x]:
-                        c[by[bounds[x]:bounds[x + 1]]] = counts_of(got[k, x], bounds[x + 1] - bounds[x])
+                for x, i in _by_bucket(keys, buckets):
+                    c[i] = counts_of(got[k, x], len(i))
                 count.append(c)
-            texts = count[0][end]  # training texts: what the start was seen
-            at = levels[0][1]
-            arc = np.log10((count[0] + 1) / (tokens + words + 1))  # at the empty history
-            base = weight = arc[at]
-            for k in range(2, order + 1):
-                _, at, history = levels[k - 1]
-                # c(h): a history at the end of a text is followed by nothing, so its
-                # count is that of its n-gram
-                seen_h = np.where(history >= 0, count[k - 2][history], texts)
-                c = count[k - 1][at]
-                fail = np.log10(strength / (seen_h + strength))
-                arc = np.log10((c + strength * 10.0 ** weight) / (seen_h + strength))
-                weight = np.where(c > 0, arc, fail + weight)
+            codes = levels[0][1]
+            # training texts: as often as their end, the start was seen
+            machine = Automaton(levels, count, count[0][end], tokens, words, strength)
+            weight = traverse(machine, codes, first, n, order)
             out.append(pd.DataFrame({
                 "doc_id": pd.array(np.frombuffer(row["ids"], np.int64), "Int64"),
                 "held_out": np.frombuffer(row["held"], bool), "n_tokens": n,
-                "n_known": np.add.reduceat((count[0][levels[0][1]] > 0).astype(np.int64), first),
-                "train_tokens": tokens, "base_score": np.add.reduceat(base, first),
+                "n_known": np.add.reduceat((count[0][codes] > 0).astype(np.int64), first),
+                "train_tokens": tokens, "base_score": np.add.reduceat(machine.word_weight[codes], first),
                 "score": np.add.reduceat(weight, first)}))
             out[-1].loc[~np.frombuffer(row["known_id"], bool), "doc_id"] = pd.NA
         return pd.concat(out)
