@@ -333,6 +333,43 @@ def margins_of(p, tokens):
     return [(p * tokens).sum(axis=tuple(i for i in range(tokens.ndim) if i != axis)) for axis in range(tokens.ndim)]
 
 
+def test_no_items_give_an_empty_result_of_the_same_schema(spark, docs):
+    items = spark.createDataFrame([(1, "alpha beta gamma delta epsilon")], "item_id long, text string")
+    some, none = decontaminate.contained(docs, items), decontaminate.contained(docs, items.where("item_id < 0"))
+    assert none.dtypes == some.dtypes and none.count() == 0
+    assert decontaminate.clean(docs, items.where("item_id < 0")).count() == docs.count()
+
+
+def test_learning_without_labels_or_of_one_class(spark, docs):
+    schema = "doc_id long, quality int, toxic int"
+    n = docs.count()
+    for rows in ([], [(i, 1, 1) for i in range(40)], [(i, None, None) for i in range(40)]):
+        lab = spark.createDataFrame(rows, schema)
+        t, q = toxicity.score(docs, lab).collect(), cotrain.score(docs, lab).collect()
+        assert len(t) == len(q) == n and all(0 <= r.score <= 1 for r in [*t, *q])
+
+
+def test_the_pipeline_on_odd_rows(spark, odd, tmp_path):
+    """Every stage, with NULLs, empty and long texts and repeated rows; an empty
+    table; each stage's rows are some of its input's, by columns of documents."""
+    items = spark.createDataFrame([(0, "a b c d e"), (None, None)], "item_id long, text string")
+    items.write.parquet(f"{tmp_path}/benchmark.parquet")
+    import corpus_pipeline
+    body = " ".join(f"w{i}" for i in range(80))
+    good = spark.createDataFrame([(100 + i, f"{body} {i}", "en", "a", 9) for i in range(4)], DOC)
+    plain = odd.select("doc_id", "text", "lang", "source", "n_chars").unionByName(good)
+    for first in (plain, plain.where("doc_id < 0")):
+        at = first
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, at, str(tmp_path))
+            assert out.columns == plain.columns
+            ids = [r.doc_id for r in out.collect()]
+            assert len(ids) <= at.count() and set(ids) <= {r.doc_id for r in at.collect()}
+            at = out
+    kept = corpus_pipeline.near_duplicates(spark, good, "").collect()
+    assert [r.doc_id for r in kept] == [100]
+
+
 def test_raking_meets_the_targets():
     t = np.array([[80.0, 10], [5, 5]])
     p, eased = mixing.rake(t, [[0.5, 0.5], [0.5, 0.5]], fraction=0.2)

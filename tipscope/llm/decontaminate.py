@@ -94,7 +94,8 @@ def contained(docs: DataFrame, items: DataFrame, id_col="doc_id", text_col="text
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias(ID), F.xxhash64(F.col(f"`{text_col}`")).alias(HASH),
                        F.col(f"`{text_col}`").alias("__text"))
     if not lengths:
-        return spark.createDataFrame([], "__llm_id long, __llm_hash long, item_id string, n_item int, n_shared long, containment double")
+        kind = items.schema[item_id_col].dataType.simpleString()
+        return spark.createDataFrame([], f"__llm_id long, __llm_hash long, item_id {kind}, n_item int, n_shared long, containment double")
     side = maybe_broadcast(stored(sketch(shingles, threshold), "item-sketches"), BROADCAST_ROWS)
     pairs = stored(_probe(rows, side, lengths).select(ID, HASH, "item").distinct(), "contained-candidates")
     whole = rows.join(maybe_broadcast(_key(pairs.select(ID, HASH).distinct()), BROADCAST_ROWS),
