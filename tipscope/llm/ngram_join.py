@@ -22,7 +22,7 @@ Jaccard similarity of their sets reaches the threshold. Steps:
 5. Pairs are not expanded within a group that shares a word: its members are
    compared with one of them, drawn by hash, in a few rounds, and those already
    in its component are left out. Only members of groups that then still span
-   several components are compared across these, in blocks.
+   several components are compared across these, in blocks, the nearest first.
 
 Defined cases: a NULL or empty text, or one without words, has no shingles and
 is linked with nothing (its component is its own id). Fewer words than the
@@ -33,6 +33,8 @@ not read. An empty table gives an empty result.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -47,7 +49,7 @@ ship(__name__)
 
 #: Shingles of one request block (more where there are many buckets, up to MOST)
 #: and of one bucket's group, about.
-BLOCK, MOST, GROUP = 1 << 19, 1 << 22, 1 << 21
+BLOCK, MOST, GROUP = 1 << 19, 1 << 22, 1 << 20
 #: Sets smaller than this have every shingle as a piece of its own.
 SMALL = 256
 SKETCH_BITS = 1024
@@ -57,6 +59,26 @@ HUB_ROUNDS = 2
 CELL = 256
 
 
+def trim():
+    """Give back what the allocators keep of freed memory: workers outlive tasks."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def trimmed(run):
+    """``run``, with freed memory given back after each batch that it yields and at
+    its end."""
+    def go(batches):
+        for b in run(batches):
+            yield b
+            trim()
+        trim()
+    return go
+
+
 def _sets(text_list, words, k):
     """The sorted distinct shingle hashes of each text."""
     h, n = words.hashes(text_list)
@@ -132,7 +154,7 @@ def _requests(k, buckets):
                 if len(s):
                     sets.append(s)
                     total += len(s)
-                    if total >= BLOCK:
+                    if total >= max(BLOCK, min(64 * buckets, MOST)):
                         yield flush()
                         sets, total = [], 0
         if sets:
@@ -165,6 +187,8 @@ def _held_elsewhere(group: pd.DataFrame) -> pd.DataFrame:
             block.append(name)
             owners.append(who[got > 0].tobytes())
             counts.append(got[got > 0].tobytes())
+    del keys, held
+    trim()
     return pd.DataFrame({"block": np.array(block, np.int64), "cls": b"", "n": b"",
                          "owners": np.array(owners, object), "held": np.array(counts, object)})
 
@@ -291,9 +315,15 @@ def _ranks(group: pd.DataFrame) -> pd.DataFrame:
     up to 200, then steps of its logarithm."""
     keys = np.concatenate([np.frombuffer(x, np.uint32) for x in group["keys"]])
     counts = np.concatenate([np.frombuffer(x, np.uint32) for x in group["counts"]])
-    _, place = np.unique(keys, return_inverse=True)
-    held = np.bincount(place, weights=counts)[place]
-    rank = np.minimum(np.where(held <= 200, held, 200 + 2 * np.log2(np.maximum(held, 200) / 200)), 255).astype(np.uint8)
+    order = np.argsort(keys)
+    keys = keys[order]
+    start = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    held = np.add.reduceat(counts[order], start, dtype=np.int64)
+    step = np.minimum(np.where(held <= 200, held, 200 + 2 * np.log2(np.maximum(held, 200) / 200)), 255).astype(np.uint8)
+    rank = np.empty(len(keys), np.uint8)
+    rank[order] = np.repeat(step, np.diff(np.append(start, len(keys))))
+    del keys, counts, order, start, held
+    trim()
     ends = np.cumsum([len(x) // 4 for x in group["keys"]])
     return pd.DataFrame({"bucket": group["bucket"], "block": group["block"], "reps": b"", "sizes": b"", "items": b"",
                          "ranks": [x.tobytes() for x in np.split(rank, ends[:-1])]})
@@ -325,7 +355,7 @@ def _words(sets: DataFrame, share: int) -> DataFrame:
     total = sets.agg(F.sum("n")).first()[0] or 0
     buckets = max(1, -(-total // GROUP))
     asked = stored(sets.select("rep", "items").mapInArrow(
-        _holders(buckets), "bucket int, block long, keys binary, counts binary, reps binary, sizes binary, items binary"), "holders")
+        trimmed(_holders(buckets)), "bucket int, block long, keys binary, counts binary, reps binary, sizes binary, items binary"), "holders")
     fields = "bucket int, block long, reps binary, sizes binary, items binary, ranks binary"
     told = (asked.where("bucket >= 0").select("bucket", "block", "keys", "counts").groupBy("bucket").applyInPandas(_ranks, fields)
             .unionByName(asked.where("bucket < 0").select("bucket", "block", "reps", "sizes", "items", F.lit(b"").alias("ranks"))))
@@ -374,9 +404,11 @@ def _linked(share):
     return run
 
 
-def _across(share):
+def _across(share, nearest):
     """Pairs of two lists of a group's members (or of one list with itself)
-    that lie in different components and whose sizes and sketches allow a link."""
+    that lie in different components and whose sizes and sketches allow a link;
+    ``nearest``: of each two components only the pair whose sketches differ
+    least. A pair is given once a batch."""
     def run(batches):
         ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
@@ -384,16 +416,29 @@ def _across(share):
             for members in batch.column(0).to_pylist():
                 side, rep, comp, n = np.array([[m[k] for k in ("side", "rep", "component", "n")] for m in members], np.int64).T
                 bits = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                two = side.any()
+                two, found = side.any(), []
                 for i in np.flatnonzero(side == 0):
                     j = np.flatnonzero((comp != comp[i]) & ((side == 1) if two else (rep < rep[i]))
                                        & (100 * np.minimum(n[i], n) >= share * np.maximum(n[i], n)))
-                    d = (n[j] + n[i]) * (100 - share) // (100 + share)
-                    other = rep[j[ones[bits[j] ^ bits[i]].sum(axis=1, dtype=np.int64) <= d]]
-                    out.append((np.maximum(other, rep[i]), np.minimum(other, rep[i])))
+                    apart = ones[bits[j] ^ bits[i]].sum(axis=1, dtype=np.int64)
+                    near = apart <= (n[j] + n[i]) * (100 - share) // (100 + share)
+                    j, apart = j[near], apart[near]
+                    if len(j):
+                        found.append((np.full(len(j), i), j, apart))
+                if found:
+                    i, j, apart = map(np.concatenate, zip(*found))
+                    if nearest:
+                        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                        order = np.lexsort((apart, high, low))
+                        first = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
+                        i, j = i[order[first]], j[order[first]]
+                    out.append((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
             if out:
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(z)) for z in zip(*out)], names=["a", "b"])
+                x, y = map(np.concatenate, zip(*out))
+                order = np.lexsort((y, x))
+                x, y = x[order], y[order]
+                once = np.concatenate(([True], (np.diff(x) != 0) | (np.diff(y) != 0)))
+                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once])], names=["a", "b"])
     return run
 
 
@@ -436,7 +481,7 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").alias("text"),
                        F.xxhash64(F.col(f"`{text_col}`")).alias("text_hash"))
     prof = stored(rows.select("id", "text", "text_hash").mapInArrow(
-        sliced(_profiles(k)), "id long, text_hash long, n long, cls long"), "profiles")
+        trimmed(sliced(_profiles(k))), "id long, text_hash long, n long, cls long"), "profiles")
     # classes; the row that stands for one is its smallest (id, text_hash)
     reps = (prof.where("n > 0").groupBy("cls", "n")
             .agg(F.min(F.struct("id", "text_hash")).alias("r"), F.min("id").alias("class_id"))
@@ -446,13 +491,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = max(1, -(-total // GROUP))
     # one row stands for a class; the others' shingles would count as held elsewhere
     firsts = _semi(rows, reps.select("rid", "rhash"))
-    held = (firsts.select("text").mapInArrow(sliced(_requests(k, buckets)), "bucket int, block long, keys binary, several binary, gaps binary, counts binary")
+    held = (firsts.select("text").mapInArrow(trimmed(sliced(_requests(k, buckets))), "bucket int, block long, keys binary, several binary, gaps binary, counts binary")
             .groupBy("bucket").applyInPandas(_held_elsewhere, "block long, cls binary, n binary, owners binary, held binary"))
     possible = held.groupBy("block").applyInPandas(_possible(share), "cls long").distinct()
     kept = stored(reps.join(possible, "cls", "left_semi"), "possible")
     chosen = _semi(rows, kept.select("rid", "rhash", "rep"), "rep")
     sets = stored(chosen.select("rep", "text").mapInArrow(
-        sliced(_whole_sets(k)), "rep long, n long, items binary, sketch binary"), "sets")
+        trimmed(sliced(_whole_sets(k))), "rep long, n long, items binary, sketch binary"), "sets")
     comp, words = None, stored(_groups(stored(_words(sets, share), "words")), "groups")
     for r in range(HUB_ROUNDS):
         now = _with_component(words, comp)
@@ -482,12 +527,13 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                    .withColumn("list", F.monotonically_increasing_id()), "lists")
     member = lists.select("list", F.lit(0).alias("side"), F.explode("x").alias("rep")).unionAll(
         lists.select("list", F.lit(1), F.explode("y")))
-    known = _with_component(sets.select("rep", "n", "sketch"), comp)
-    across = (member.join(known, "rep").groupBy("list")
-              .agg(F.collect_list(F.struct("side", "rep", "component", "n", "sketch")).alias("m")).select("m")
-              .mapInArrow(_across(share), "a long, b long").distinct())
-    more = stored(_verified(across, sets, share), "links")
-    comp = _merged(comp, more)
+    # first the nearest pair of each two components, which joins most that can be; then all that are left
+    for nearest in (True, False):
+        known = _with_component(sets.select("rep", "n", "sketch"), comp)
+        across = (member.join(known, "rep").groupBy("list")
+                  .agg(F.collect_list(F.struct("side", "rep", "component", "n", "sketch")).alias("m")).select("m")
+                  .mapInArrow(_across(share, nearest), "a long, b long"))
+        comp = _merged(comp, stored(_verified(across.distinct(), sets, share), "links"))
 
     # the smallest document id of each component's classes
     named = _with_component(reps, comp).select("cls", "n", "class_id", "component")
