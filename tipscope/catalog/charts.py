@@ -8,6 +8,7 @@ from tipscope.catalog.basics import (FEAT_DOUBLES, GCENT_CTE, KEY, QV_SQL, RECOD
                                      TRIP_DOUBLES, _recoded)
 from tipscope.operators import binning as bn
 from tipscope.operators import sampling as smp
+from tipscope.operators import smooth
 from tipscope.operators import trends
 from tipscope.operators.aggregates import count_by
 from tipscope.plans import dashboard as dash
@@ -163,7 +164,7 @@ register(
 def _loess(s, d):
     pts = (analysis(s, d).groupBy("tourist_season", "pickup_hour")
            .agg(F.percentile("tip_amount", F.lit(0.5)).alias("median_tip")))
-    return trends.loess(pts, "pickup_hour", "median_tip", "tourist_season")
+    return smooth.loess(pts, "pickup_hour", "median_tip", "tourist_season")
 
 
 LOESS_SQL = """
@@ -190,6 +191,35 @@ FROM s"""
 
 register("trend_loess", _loess, LOESS_SQL, ["feat"], ["x", "fitted"])
 
+LOESS_POINTS_SQL = """
+WITH p AS (SELECT tourist_season, CAST(fare_amount AS DOUBLE) AS x, CAST(tip_amount AS DOUBLE) AS y
+           FROM feat WHERE fare_amount IS NOT NULL AND tip_amount IS NOT NULL),
+g AS (SELECT DISTINCT tourist_season, lo + i * (hi - lo) / 19 AS x0
+      FROM (SELECT tourist_season, min(x) AS lo, max(x) AS hi FROM p GROUP BY 1) e,
+           (SELECT unnest(range(0, 20)) AS i) n),
+j AS (SELECT g.tourist_season, x0, y, x - x0 AS t, abs(x - x0) AS d,
+             count(*) OVER (PARTITION BY g.tourist_season, x0) AS n,
+             row_number() OVER (PARTITION BY g.tourist_season, x0 ORDER BY abs(x - x0)) AS rk
+      FROM g JOIN p ON g.tourist_season = p.tourist_season),
+h AS (SELECT *, max(CASE WHEN rk = greatest(floor(n * 0.75), 1) THEN d END)
+                  OVER (PARTITION BY tourist_season, x0) AS h FROM j),
+w AS (SELECT tourist_season, x0, y, t / h AS t, pow(1 - pow(d / h, 3), 3) AS w FROM h WHERE d < h),
+s AS (SELECT tourist_season, x0, sum(w) AS s0, sum(w * t) AS s1, sum(w * t * t) AS s2,
+             sum(w * t * t * t) AS s3, sum(w * t * t * t * t) AS s4, sum(w * y) AS r0,
+             sum(w * t * y) AS r1, sum(w * t * t * y) AS r2 FROM w GROUP BY 1, 2)
+SELECT g.tourist_season, g.x0 AS x,
+       (r0 * (s2 * s4 - s3 * s3) - s1 * (r1 * s4 - s3 * r2) + s2 * (r1 * s3 - s2 * r2))
+       / nullif(s0 * (s2 * s4 - s3 * s3) - s1 * (s1 * s4 - s3 * s2) + s2 * (s1 * s3 - s2 * s2), 0)
+         AS fitted
+FROM g LEFT JOIN s ON s.tourist_season = g.tourist_season AND s.x0 = g.x0"""
+
+register("trend_loess_points",
+         lambda s, d: smooth.loess(analysis(s, d), "fare_amount", "tip_amount", "tourist_season", steps=20),
+         LOESS_POINTS_SQL, ["feat"], ["x", "fitted"])
+
+# no SQL: the weight of the penalty is searched for; tests compare with the row-wise solution
+register("trend_spline", lambda s, d: smooth.spline(analysis(s, d), "fare_amount", "tip_pct"))
+
 # ---------------------------------------------------------------- §2.6 sampling, ordering, paging
 STRAT_SQL = f"""SELECT * EXCLUDE (rn) FROM (
     SELECT *, row_number() OVER (PARTITION BY file_month

@@ -47,11 +47,15 @@ class Directory:
         return (self._joined().withColumn("_pos", F.col("_before") + F.col("_at") - F.col("_first"))
                 .drop(*_OWN, "_sum_before"))
 
-    def running(self, value: str) -> DataFrame:
-        """The rows with ``_offset``, the sum of ``value`` over all earlier rows."""
+    def running(self, value: str, place: bool = False) -> DataFrame:
+        """The rows with ``_offset``, the sum of ``value`` over all earlier rows;
+        ``place``: with ``_pos`` too."""
         earlier = Window.partitionBy("_range").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
         own = F.coalesce(F.sum(value).over(earlier), F.lit(0))
-        return self._joined().withColumn("_offset", F.col("_sum_before") + own).drop(*_OWN, "_sum_before")
+        out = self._joined().withColumn("_offset", F.col("_sum_before") + own)
+        if place:
+            out = out.withColumn("_pos", F.col("_before") + F.col("_at") - F.col("_first"))
+        return out.drop(*_OWN, "_sum_before")
 
     def count(self) -> int:
         return self.ranges.agg(F.sum("_rows")).first()[0] or 0

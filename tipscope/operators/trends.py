@@ -1,17 +1,14 @@
 """Trend lines behind the scatter charts.
 
 Straight-line fits are SQL regression aggregates (``regr_slope`` &c.), so
-a fit per group is one grouped aggregate. The local-quadratic smoother
-works on an already aggregated series (e.g. 24 hourly medians per
-series): its self join is series-size squared per series, independent
-of the number of trips.
+a fit per group is one grouped aggregate. Smoothers are in ``smooth.py``.
 """
 
 from __future__ import annotations
 
 from typing import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tipscope.operators.regression import fit, term
@@ -50,47 +47,3 @@ def cubic(df: DataFrame, x: str, y: str):
     with 3 degrees of freedom and no interior knots spans the same space)."""
     X = F.col(x).cast("double")
     return fit(df, F.col(y), [term("x1", X), term("x2", X * X), term("x3", X * X * X)])
-
-
-def loess(points: DataFrame, x: str, y: str, group: str | Sequence[str] | None = None,
-          span: float = 0.75) -> DataFrame:
-    """Local quadratic fit at every point of each series (trend_loess).
-
-    For each target x0 the q = floor(span * n) nearest points (by |x - x0|)
-    get tricube weights (1 - (d/h)^3)^3 with h the q-th smallest distance;
-    the weighted quadratic's value at x0 is solved in closed form from the
-    weighted moment sums (Cramer's rule on the 3x3 normal equations).
-
-    Every fit uses ``span`` of its series, so the work per series is its
-    point count squared: pass an aggregated series (one point per distinct
-    x, e.g. 24 hourly medians per zone), whose length does not grow with
-    the number of trips; the number of series may be large.
-    """
-    keys = _keys(group)
-    p = points.select(*keys, F.col(x).cast("double").alias("_x"), F.col(y).cast("double").alias("_y"))
-    a = p.select(*keys, F.col("_x").alias("x0")).distinct()
-    j = a.join(p, keys) if keys else a.crossJoin(p)
-    j = j.withColumn("_d", F.abs(F.col("_x") - F.col("x0")))
-    n_w = Window.partitionBy(*keys, "x0")
-    j = j.withColumn("_n", F.count(F.lit(1)).over(n_w))
-    j = j.withColumn("_rk", F.row_number().over(n_w.orderBy("_d", "_x")))
-    q = F.greatest(F.floor(F.col("_n") * span), F.lit(1))
-    h = F.max(F.when(F.col("_rk") == q, F.col("_d"))).over(n_w)
-    j = j.withColumn("_h", h)
-    u = F.col("_d") / F.col("_h")
-    w = F.when((F.col("_h") > 0) & (u < 1), F.pow(1 - F.pow(u, 3), 3)).otherwise(
-        F.when(F.col("_h") == 0, F.when(F.col("_d") == 0, 1.0).otherwise(0.0)).otherwise(0.0))
-    t = F.col("_x") - F.col("x0")
-    s = j.groupBy(*keys, "x0").agg(
-        F.sum(w).alias("s0"), F.sum(w * t).alias("s1"), F.sum(w * t * t).alias("s2"),
-        F.sum(w * t * t * t).alias("s3"), F.sum(w * t * t * t * t).alias("s4"),
-        F.sum(w * F.col("_y")).alias("r0"), F.sum(w * t * F.col("_y")).alias("r1"),
-        F.sum(w * t * t * F.col("_y")).alias("r2"))
-    c = {k: F.col(k) for k in ("s0", "s1", "s2", "s3", "s4", "r0", "r1", "r2")}
-    det = (c["s0"] * (c["s2"] * c["s4"] - c["s3"] * c["s3"])
-           - c["s1"] * (c["s1"] * c["s4"] - c["s3"] * c["s2"])
-           + c["s2"] * (c["s1"] * c["s3"] - c["s2"] * c["s2"]))
-    det0 = (c["r0"] * (c["s2"] * c["s4"] - c["s3"] * c["s3"])
-            - c["s1"] * (c["r1"] * c["s4"] - c["s3"] * c["r2"])
-            + c["s2"] * (c["r1"] * c["s3"] - c["s2"] * c["r2"]))
-    return s.select(*keys, F.col("x0").alias("x"), F.try_divide(det0, det).alias("fitted"))
