@@ -83,7 +83,7 @@ def loess(points: DataFrame, x: str, y: str, group: str | Sequence[str] | None =
     counted = stored(p.groupBy("_k", "_x").agg(F.count(F.lit(1)).alias("_n"), F.sum("_y").alias("_sy")), "points")
     sizes = counted.groupBy("_k").agg(
         F.count(F.lit(1)).alias("_points"), F.sum("_n").alias("_total"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi"))
-    sizes = stored(sizes.withColumn("_q", F.greatest(F.floor(F.col("_total") * span), F.lit(1).cast("long"))), "series")
+    sizes = sizes.withColumn("_q", F.greatest(F.floor(F.col("_total") * span), F.lit(1).cast("long")))
     longest = sizes.agg(F.max("_points")).first()[0] or 0
     if longest <= short:
         fits = _joined_fits(counted, sizes, steps)
