@@ -36,6 +36,21 @@ def test_error_is_within_the_bound(spark, bins):
         assert mass == pytest.approx(1, abs=5e-3)
 
 
+def test_the_default_is_the_sum_over_all_values(spark):
+    r = np.random.default_rng(8)
+    rows = [("a", 1, float(v)) for v in np.r_[r.normal(size=900), np.repeat(40.0, 20), -1e3]]
+    rows += [(None, None, float(v)) for v in r.gamma(2, 3, 700)] + [(None, 2, float(v)) for v in r.normal(size=30)] + [("b", 1, None)]
+    got = {}
+    for d in bn.kde(spark.createDataFrame(rows, "g string, h int, x double"), "x", ["g", "h"]).collect():
+        got.setdefault((d.g, d.h), []).append(d)
+    assert set(got) == {("a", 1), (None, None), (None, 2)}
+    for key, points in got.items():
+        points.sort(key=lambda d: d.i)
+        grid, want, _ = exact(np.array([v for g, h, v in rows if (g, h) == key]), 512)
+        assert [d.x for d in points] == pytest.approx(list(grid))
+        assert np.abs(np.array([d.density for d in points]) - want).max() < 1e-12
+
+
 def test_shuffled_rows_are_bounded_by_the_grid(spark):
     df = spark.range(200_000).selectExpr("sqrt(id) AS x")
     out = bn.kde(df, "x", bins=2000)
