@@ -82,3 +82,20 @@ def test_dashboard_load_recodes_once(spark):
     assert set(r.month for r in df.select("month").distinct().collect()) <= set(dash.MONTH_LEVELS)
     page = dash.table_page(df, ["l_orderkey", "l_linenumber", "l_partkey", "l_suppkey"], None, 1, 5)
     assert page.count() == min(5, ex.count())
+
+
+def test_selected_trips_are_filtered_before_they_are_joined(spark, monkeypatch):
+    from tipscope.catalog import base
+    from tipscope.operators import filters as flt
+    from tipscope.sources import fixtures
+
+    want = flt.trip_quality(flt.borough(fixtures.trips(spark, SMALL), base.zones(spark, SMALL), base.SELECTED), "final")
+    monkeypatch.setattr(files, "_MATERIALIZED", {})
+    got = base.selected(spark, SMALL)
+    assert not files._MATERIALIZED  # the whole trip table is not stored for them
+    assert got.schema == want.schema and got.count() > 0
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    plan = got._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    depth = {k: min(len(x) - len(x.lstrip(" :+-")) for x in plan if k in x) for k in ("Join Inner", "Filter")}
+    scan = next(i for i, x in enumerate(plan) if "l_linenumber" in x and "Relation" in x)
+    assert "Filter" in plan[scan - 1] + plan[scan - 2] and depth["Join Inner"] < depth["Filter"]
