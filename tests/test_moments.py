@@ -121,6 +121,23 @@ def test_a_whole_set_of_dummies_loses_one(spark):
     assert [n for n, _ in terms] == ["g_a", "g_c"] and blocks == {"g": ["g_a", "g_c"], "h": []}
 
 
+def test_a_factor_is_one_column_of_the_pass(spark, monkeypatch):
+    r = np.random.default_rng(4)
+    rows = [(float(r.normal()), float(i % 9), "abc"[i % 3], None if i % 31 == 0 else i % 4) for i in range(400)]
+    rows += [(1.0, 2.0, None, 1), (None, 1.0, "a", 1)]
+    df = spark.createDataFrame(rows, "y double, x double, g string, h int").repartition(3)
+    terms, _ = fac.terms(df, ["x", "g", "h"], ["g", "h"], {"g": ["b", "a"]})
+    width, reduce = [], mo.tree_reduce
+    monkeypatch.setattr(mo, "tree_reduce", lambda d, *a: width.append(len(d.columns)) or reduce(d, *a))
+    monkeypatch.setattr(mo, "BLOCK", 50)
+    fits = reg.fit_many(df, [(F.col("y"), terms), (F.col("y"), terms[:2])])
+    assert width == [5]  # twice y, x, g, h
+    plain = reg.fit_many(df, [(F.col("y"), [reg.term(*t) for t in terms]), (F.col("y"), [reg.term(*t) for t in terms[:2]])])
+    assert width == [5, 2 + len(terms)] and len(terms) == 6
+    for a, b in zip(fits, plain):
+        assert a.n == b.n and a.live == b.live and np.allclose(a.sxx, b.sxx) and np.allclose(a.beta, b.beta, equal_nan=True)
+
+
 def test_a_fit_of_no_rows(spark):
     df = spark.createDataFrame([(1.0, None)], "y double, x double")
     f = reg.fit(df, F.col("y"), [reg.term("x")])

@@ -182,11 +182,15 @@ FACTOR_MODELS = {
 WEEKDAYS = ("Mon", "Tue", "Wed", "Thu", "Fri", "Sat", "Sun")
 
 
-def _factor_fit(s, d, model):
-    df = all_features(s, d) if model == "draft" else analysis(s, d)
-    predictors, factors = FACTOR_MODELS[model]
-    terms, blocks = fac.terms(df, predictors, factors, {"pickup_weekday_name": WEEKDAYS})
-    return reg.fit(df, F.col("tip_amount"), terms), blocks
+def _factor_fits(s, d):
+    """(model, fit, blocks) of each: one pass over all trips, one over the selected
+    ones."""
+    out = []
+    for df, models in ((all_features(s, d), ["draft"]), (analysis(s, d), ["final", "final_factors"])):
+        made = [fac.terms(df, *FACTOR_MODELS[m], {"pickup_weekday_name": WEEKDAYS}) for m in models]
+        fits = reg.fit_many(df, [(F.col("tip_amount"), terms) for terms, _ in made])
+        out += zip(models, fits, [blocks for _, blocks in made])
+    return out
 
 
 def _factor_ctes(model):
@@ -208,7 +212,7 @@ def _union(frames):
 
 
 def _factors(s, d):
-    return _union([reg.coef_table(s, _factor_fit(s, d, m)[0], m) for m in FACTOR_MODELS])
+    return _union([reg.coef_table(s, f, m) for m, f, _ in _factor_fits(s, d)])
 
 
 def _coef_sql(models, where="TRUE"):
@@ -226,11 +230,7 @@ register("mod_ols_factors", _factors, "SELECT model, term, estimate, std_error,
 
 
 def _gvif(s, d):
-    out = []
-    for m in FACTOR_MODELS:
-        f, blocks = _factor_fit(s, d, m)
-        out.append(reg.gvif(s, f, blocks).select(F.lit(m).alias("model"), "*"))
-    return _union(out)
+    return _union([reg.gvif(s, f, blocks).select(F.lit(m).alias("model"), "*") for m, f, blocks in _factor_fits(s, d)])
 
 
 def _gvif_sql():

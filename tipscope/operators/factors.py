@@ -7,6 +7,8 @@ from typing import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tipscope.operators.moments import Indicator
+
 # A factor with more levels is refused: a fit solves a matrix of that size on the driver
 MAX_FACTOR_LEVELS = 1000
 
@@ -37,7 +39,8 @@ def terms(df: DataFrame, predictors: Sequence[str], factors: Sequence[str],
     """(terms, blocks): a numeric predictor is one term; a factor has an indicator
     ``name_level`` for every level in the data but the first (treatment contrasts).
     Levels are sorted as text, or as ``orders`` lists them. A NULL stays NULL, so
-    the row is not complete."""
+    the row is not complete. Indicators name their factor, so that a fit can read
+    one column for all of them."""
     found = levels(df, [c for c in predictors if c in factors], MAX_FACTOR_LEVELS)
     out, blocks = [], {}
     for c in predictors:
@@ -50,5 +53,5 @@ def terms(df: DataFrame, predictors: Sequence[str], factors: Sequence[str],
         order = list((orders or {}).get(c, []))
         own = sorted(found[c], key=lambda lv: (order.index(lv) if lv in order else len(order), lv))
         blocks[c] = [f"{c}_{lv}" for lv in own[1:]]
-        out += [(f"{c}_{lv}", (F.col(c).cast("string") == F.lit(lv)).cast("double")) for lv in own[1:]]
+        out += [Indicator(f"{c}_{lv}", c, lv) for lv in own[1:]]
     return out, blocks
