@@ -172,6 +172,29 @@ def test_jaccard_of_documents_built_of_stock_passages(spark, monkeypatch):
     assert got == {d: (len(sets[d]), top(d)) for d in sets} and len({top(d) for d in sets}) > 20
 
 
+def test_jaccard_cells_hold_every_pair_of_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 8)
+    big, other = range(400), range(1000, 1090)
+    rows = [(1, i, 0) for i in big] + [(k, i, i) for k in (1, 2) for i in other] + [(3, i, 7) for i in big]
+    cells, pairs = ngram_join._cells(spark.createDataFrame(rows, "key long, rep long, component long"))
+    held = {tuple(c.id): c.x for c in cells.collect()}
+    seen = {frozenset((x, y)) for p in pairs.collect() for x in held[tuple(p.a)] for y in held[tuple(p.b)]}
+    assert all(frozenset((x, y)) in seen for x in other for y in [*big, *other] if x != y)
+    assert not any(frozenset((x, x + 1)) in seen for x in range(399))  # one component
+    # a member once a cell that holds it: the two groups of key 1 and 2 share theirs
+    assert sum(map(len, held.values())) <= len(big) + 2 * len(other)
+
+
+def test_jaccard_with_all_pairs_across_cells(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "CELL", 4)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", 0)
+    base = [f"b{i}" for i in range(60)]
+    rows = [(i, " ".join([*base, *[f"t{i % 30}_{j}" for j in range(6)]]) + f" e{i}", "en", "a", 0) for i in range(60)]
+    rows += [(200 + i, " ".join([*base[:30], *[f"u{i % 6}_{j}" for j in range(30)], f"e{i}"]), "en", "a", 0) for i in range(24)]
+    got = {r.id: r.component_id for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {**{i: 0 for i in range(60)}, **{200 + i: 200 + i % 6 for i in range(24)}}
+
+
 def test_components_ignore_loops_nulls_and_repeats(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (9, 9), (None, 4), (7, 8), (20, 8)], "a long, b long")
     got = {r.node: r.component for r in components.components(e).collect()}

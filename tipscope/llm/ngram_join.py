@@ -22,7 +22,8 @@ Jaccard similarity of their sets reaches the threshold. Steps:
 5. Pairs are not expanded within a group that shares a word: its members are
    compared with one of them, drawn by hash, in a few rounds, and those already
    in its component are left out. Only members of groups that then still span
-   several components are compared across these, in blocks, the nearest first.
+   several components are compared across these, in cells of members, the nearest
+   first; cells of one component are not compared with each other.
 
 Defined cases: a NULL or empty text, or one without words, has no shingles and
 is linked with nothing (its component is its own id). Fewer words than the
@@ -55,7 +56,7 @@ SMALL = 256
 SKETCH_BITS = 1024
 #: Rounds in which the members of a group are compared with one of them.
 HUB_ROUNDS = 2
-#: Members of one list of a group that shares a word, about.
+#: Members of one cell of a group that shares a word, about.
 CELL = 256
 
 
@@ -404,35 +405,44 @@ def _linked(share):
     return run
 
 
+def _members(column, i):
+    """Of one row's list of members the ids, components, set sizes and sketches."""
+    m = column[i].values
+    rep, comp, n = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
+    return rep, comp, n, np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+
+
 def _across(share, nearest):
-    """Pairs of two lists of a group's members (or of one list with itself)
-    that lie in different components and whose sizes and sketches allow a link;
-    ``nearest``: of each two components only the pair whose sketches differ
-    least. A pair is given once a batch."""
+    """Pairs of two cells of a group (or of one cell with itself) that lie in
+    different components and whose sizes and sketches allow a link; ``nearest``: of
+    each two components only the pair whose sketches differ least. A pair is given
+    once a batch."""
     def run(batches):
         ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
             out = []
-            for members in batch.column(0).to_pylist():
-                side, rep, comp, n = np.array([[m[k] for k in ("side", "rep", "component", "n")] for m in members], np.int64).T
-                bits = np.frombuffer(b"".join(m["sketch"] for m in members), np.uint8).reshape(len(members), -1)
-                two, found = side.any(), []
-                for i in np.flatnonzero(side == 0):
-                    j = np.flatnonzero((comp != comp[i]) & ((side == 1) if two else (rep < rep[i]))
-                                       & (100 * np.minimum(n[i], n) >= share * np.maximum(n[i], n)))
-                    apart = ones[bits[j] ^ bits[i]].sum(axis=1, dtype=np.int64)
-                    near = apart <= (n[j] + n[i]) * (100 - share) // (100 + share)
+            for row in range(batch.num_rows):
+                rep, comp, n, bits = _members(batch.column(1), row)
+                own = batch.column(0)[row].as_py()
+                rep2, comp2, n2, bits2 = (rep, comp, n, bits) if own else _members(batch.column(2), row)
+                found = []
+                for i in range(len(rep)):
+                    j = np.flatnonzero((comp2 != comp[i]) & (100 * np.minimum(n[i], n2) >= share * np.maximum(n[i], n2)))
+                    if own:
+                        j = j[rep2[j] < rep[i]]
+                    apart = ones[bits2[j] ^ bits[i]].sum(axis=1, dtype=np.int64)
+                    near = apart <= (n2[j] + n[i]) * (100 - share) // (100 + share)
                     j, apart = j[near], apart[near]
                     if len(j):
                         found.append((np.full(len(j), i), j, apart))
                 if found:
                     i, j, apart = map(np.concatenate, zip(*found))
                     if nearest:
-                        low, high = np.minimum(comp[i], comp[j]), np.maximum(comp[i], comp[j])
+                        low, high = np.minimum(comp[i], comp2[j]), np.maximum(comp[i], comp2[j])
                         order = np.lexsort((apart, high, low))
                         first = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
                         i, j = i[order[first]], j[order[first]]
-                    out.append((np.maximum(rep[i], rep[j]), np.minimum(rep[i], rep[j])))
+                    out.append((np.maximum(rep[i], rep2[j]), np.minimum(rep[i], rep2[j])))
             if out:
                 x, y = map(np.concatenate, zip(*out))
                 order = np.lexsort((y, x))
@@ -442,6 +452,30 @@ def _across(share, nearest):
     return run
 
 
+def _cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of groups' members (key, rep, component) the cells (id, x: its members) and
+    the pairs of cells (a, b) to compare; a = b: a cell with itself. A component of
+    over ``CELL`` members of a group has cells of its own, which are not compared
+    with each other; the others stay whole in cells of several components. Equal
+    cells of several groups are one."""
+    sizes = members.groupBy("key", "component").agg(F.count("*").alias("own"))
+    several = sizes.groupBy("key").agg(F.count("*").alias("components"), F.sum(F.when(F.col("own") <= CELL, F.col("own"))).alias("rest"))
+    several = several.where("components > 1").select("key", F.ceil(F.col("rest") / CELL).cast("int").alias("mixed"))
+    large = sizes.where(F.col("own") > CELL).select("key", "component", F.ceil(F.col("own") / CELL).cast("int").alias("parts"))
+    placed = members.join(several, "key").join(large, ["key", "component"], "left")
+    alone = F.col("parts").isNotNull()
+    placed = placed.select("key", "rep", F.when(alone, F.col("component")).otherwise(-1).alias("home"),
+                           F.when(alone, F.pmod(F.xxhash64("rep"), F.col("parts")))
+                           .otherwise(F.pmod(F.xxhash64("component"), F.col("mixed"))).alias("cell"))
+    lists = placed.groupBy("key", "home", "cell").agg(F.sort_array(F.collect_list("rep")).alias("x"))  # of about CELL members
+    lists = stored(lists.withColumn("id", F.struct(F.size("x").alias("n"), F.xxhash64("x").alias("h0"), F.xxhash64("x", F.lit(1)).alias("h1"))), "lists")
+    a = lists.select("key", F.col("home").alias("p"), F.col("cell").alias("s"), F.col("id").alias("a"))
+    b = lists.select("key", F.col("home").alias("q"), F.col("cell").alias("t"), F.col("id").alias("b"))
+    two = a.join(b, "key").where("(p < q) OR (p = q AND p = -1 AND s < t)").select("a", "b")
+    own = lists.where("home = -1").select(F.col("id").alias("a"), F.col("id").alias("b"))
+    return lists.select("id", "x").dropDuplicates(["id"]), stored(two.unionAll(own).distinct(), "cell-pairs")
+
+
 def _with_component(df: DataFrame, comp: DataFrame | None) -> DataFrame:
     """Add ``component`` to rows with ``rep``; alone, a class is its own."""
     if comp is None:
@@ -513,26 +547,20 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = open_now.select("rep", "key")
 
     # groups that span several components: compare across these
-    in_comp = _with_component(words, comp)
-    open_keys = in_comp.groupBy("key").agg(
-        F.min("component").alias("c0"), F.max("component").alias("c1"), F.count("*").alias("members")
-    ).where("c0 <> c1").select("key", F.ceil(F.col("members") / CELL).cast("int").alias("cells"))
-    cell = F.when(F.col("cells") > 1, F.pmod(F.xxhash64("rep"), F.col("cells"))).otherwise(0).cast("int")
-    lists = (words.join(open_keys, "key").withColumn("cell", cell).groupBy("key", "cells", "cell")
-             .agg(F.sort_array(F.collect_list("rep")).alias("x")))  # of about CELL members
-    split = lists.where("cells > 1")
-    parts = split.join(split.select("key", F.col("cell").alias("t"), F.col("x").alias("y")), "key").where("cell < t")
-    none = F.array().cast("array<bigint>").alias("y")
-    lists = stored(lists.select("x", none).unionAll(parts.select("x", "y")).distinct()
-                   .withColumn("list", F.monotonically_increasing_id()), "lists")
-    member = lists.select("list", F.lit(0).alias("side"), F.explode("x").alias("rep")).unionAll(
-        lists.select("list", F.lit(1), F.explode("y")))
+    cells, pairs = _cells(_with_component(words, comp))
     # first the nearest pair of each two components, which joins most that can be; then all that are left
     for nearest in (True, False):
         known = _with_component(sets.select("rep", "n", "sketch"), comp)
-        across = (member.join(known, "rep").groupBy("list")
-                  .agg(F.collect_list(F.struct("side", "rep", "component", "n", "sketch")).alias("m")).select("m")
-                  .mapInArrow(_across(share, nearest), "a long, b long"))
+        # a member is joined once for each cell that has it, not for each pair of cells
+        held = stored(cells.select("id", F.explode("x").alias("rep")).join(known, "rep").groupBy("id").agg(
+            F.min("component").alias("c0"), F.max("component").alias("c1"),
+            F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("m")), "cells")
+        spans = held.select("id", "c0", "c1")
+        left = (pairs.join(spans.toDF("a", "a0", "a1"), "a").join(spans.toDF("b", "b0", "b1"), "b")
+                .where("NOT (a0 = a1 AND b0 = b1 AND a0 = b0)").select("a", "b"))
+        across = (left.join(held.select(F.col("id").alias("a"), F.col("m").alias("x")), "a")
+                  .join(held.select(F.col("id").alias("b"), F.col("m").alias("y")), "b")
+                  .select((F.col("a") == F.col("b")).alias("own"), "x", "y").mapInArrow(_across(share, nearest), "a long, b long"))
         comp = _merged(comp, stored(_verified(across.distinct(), sets, share), "links"))
 
     # the smallest document id of each component's classes
