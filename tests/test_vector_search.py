@@ -79,3 +79,19 @@ def test_empty_sides(spark):
     assert vs.search(vs.build_index(s.where("chunk_id < 0")), a, 3)[0].count() == 0
     assert vs.search(vs.build_index(s), a.where("query_id < 0"), 3)[0].count() == 0
     assert vs.search(vs.build_index(s), a, 3)[0].count() == 4  # fewer rows than k
+
+
+def test_the_sample_of_the_index_stays_off_the_driver(spark, monkeypatch):
+    from pyspark.sql.classic.dataframe import DataFrame
+
+    def refused(*a):
+        raise AssertionError("rows were sent to the driver")
+    for name in ("toArrow", "toPandas"):
+        monkeypatch.setattr(DataFrame, name, refused)
+    r = np.random.default_rng(3)
+    x = r.normal(size=(300, 6))
+    df = spark.createDataFrame([(i, [float(v) for v in row]) for i, row in enumerate(x)], "chunk_id long, embedding array<double>")
+    index = vs.build_index(df, partitions=5)
+    assert index.rows == 300 and index.centroids.shape == (5, 6)
+    assert np.allclose((index.centroids ** 2).sum(1), 1)
+    assert vs.build_index(df.where("chunk_id < 0")).rows == 0

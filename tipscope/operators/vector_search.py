@@ -84,6 +84,20 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray
     return c
 
 
+def _fitted(k: int, width: int):
+    """The centroids of a sample, fitted on its unit rows; none for no rows."""
+    def run(batches):
+        parts = [np.zeros((0, width))]
+        for b in batches:
+            x = _unit(_matrix(b.column(0), width))
+            parts.append(x[(x * x).sum(1) > 0])
+        x = np.concatenate(parts)
+        del parts
+        if len(x):
+            yield pa.RecordBatch.from_arrays([pa.array([fit_centroids(x, k).tobytes()], pa.binary())], names=["centroids"])
+    return run
+
+
 @dataclass
 class VectorIndex:
     blocks: DataFrame          # part, ids, mat, angle
@@ -108,10 +122,9 @@ def build_index(store: DataFrame, id_col: str = "chunk_id", vec_col: str = "embe
     k = partitions or max(1, min(MAX_PARTITIONS, math.ceil(2 * math.sqrt(n))))
     # a share of the ids by hash: about SAMPLE * k rows, cut at that number
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, 1.2 * SAMPLE * k / max(n, 1))))
-    sample = v.where(share).limit(SAMPLE * k).toArrow()
-    x = _unit(_matrix(sample.column("v").combine_chunks() if n else pa.array([], pa.list_(pa.float64())), width))
-    x = x[(x * x).sum(1) > 0]
-    centroids = fit_centroids(x, k) if len(x) else np.zeros((1, width))
+    # the sample is fitted in a task; the driver gets the centroids alone
+    fitted = v.where(share).select("v").limit(SAMPLE * k).coalesce(1).mapInArrow(_fitted(k, width), "centroids binary").first()
+    centroids = np.frombuffer(fitted[0]).reshape(-1, width) if fitted else np.zeros((1, width))
     rows = BLOCK_ROWS
 
     def assign(batches):
