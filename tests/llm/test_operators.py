@@ -195,6 +195,55 @@ def test_jaccard_with_all_pairs_across_cells(spark, monkeypatch):
     assert got == {**{i: 0 for i in range(60)}, **{200 + i: 200 + i % 6 for i in range(24)}}
 
 
+def test_jaccard_candidates_that_do_not_link_stay_in_proportion(spark, monkeypatch):
+    """All documents share words and every pair passes the sketch, but few link:
+    candidates are no more than the cells' members, and no link is lost."""
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 64)
+    monkeypatch.setattr(ngram_join, "PART", 700, raising=False)
+    base = [f"b{i}" for i in range(85)]
+    rows = [(i, " ".join([*base, *[f"t{i}_{j}" for j in range(15)]]), "en", "a", 0) for i in range(90)]
+    rows += [(200 + i, " ".join([*base, *[f"t{i}_{j}" for j in range(14)], f"y{i}"]), "en", "a", 0) for i in range(0, 90, 9)]
+    seen, verified = [], ngram_join._verified
+    monkeypatch.setattr(ngram_join, "_verified", lambda pairs, *x: seen.append(pairs.count()) or verified(pairs, *x))
+    got = {r.id: r.component_id for r in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {**{i: i for i in range(90)}, **{200 + i: i for i in range(0, 90, 9)}}
+    assert sum(seen) < 1000  # over 4,005 pairs pass the sketch
+
+
+@pytest.mark.parametrize("rounds", [0, 1])
+def test_jaccard_links_are_found_within_dense_cells(spark, monkeypatch, rounds):
+    """Brute force where borderline pairs and links mix in many groups of the same
+    members, and the nearest pairs join little."""
+    monkeypatch.setattr(ngram_join, "CELL", 16)
+    monkeypatch.setattr(ngram_join, "LARGEST", 3)
+    monkeypatch.setattr(ngram_join, "PART", 700)
+    monkeypatch.setattr(ngram_join, "SKETCH_BITS", 64)
+    monkeypatch.setattr(ngram_join, "HUB_ROUNDS", rounds)
+    monkeypatch.setattr(ngram_join, "_forest", lambda x, y, holds=None, old=ngram_join._forest: old(x, y, holds) if holds else old(x[:1], y[:1]))
+    dense, within = [], ngram_join._within
+    monkeypatch.setattr(ngram_join, "_within", lambda *x: dense.append(within(*x).count()) or within(*x))
+    r = random.Random(5)
+    base, tails, rows = [f"b{i}" for i in range(85)], [], []
+    for i in range(90):  # up to 13 other words at the end are a link
+        own = r.randrange(11, 16) if tails else 15
+        tails.append([*(r.choice(tails)[:15 - own] if own < 15 else []), *[f"t{i}_{j}" for j in range(own)]])
+        rows.append((i, " ".join([*base, *tails[-1]]), "en", "a", 0))
+    sets = {x[0]: shingles(x[1]) for x in rows}
+    up = {d: d for d in sets}
+
+    def top(x):
+        return x if up[x] == x else top(up[x])
+    for a in sets:
+        for b in sets:
+            if b < a and 100 * len(i := sets[a] & sets[b]) >= 75 * (len(sets[a]) + len(sets[b]) - len(i)):
+                x, y = sorted((top(a), top(b)))
+                up[y] = x
+    got = {x.id: x.component_id for x in ngram_join.jaccard_classes(spark.createDataFrame(rows, DOC)).collect()}
+    assert got == {d: top(d) for d in sets} and 10 < len({top(d) for d in sets}) < 80
+    assert dense and (rounds or sum(dense))  # links that only whole sets in one task gave
+
+
 def test_components_ignore_loops_nulls_and_repeats(spark):
     e = spark.createDataFrame([(1, 2), (2, 3), (3, 2), (9, 9), (None, 4), (7, 8), (20, 8)], "a long, b long")
     got = {r.node: r.component for r in components.components(e).collect()}

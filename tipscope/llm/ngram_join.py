@@ -23,7 +23,10 @@ Jaccard similarity of their sets reaches the threshold. Steps:
    compared with one of them, drawn by hash, in a few rounds, and those already
    in its component are left out. Only members of groups that then still span
    several components are compared across these, in cells of members, the nearest
-   first; cells of one component are not compared with each other.
+   first; cells of one component are not compared with each other. Members of
+   several large groups are compared in the largest of these alone. Two cells of
+   a large group give at most one candidate a member: where they have more, their
+   whole sets are sent to one task, which gives the links that join components.
 
 Defined cases: a NULL or empty text, or one without words, has no shingles and
 is linked with nothing (its component is its own id). Fewer words than the
@@ -56,8 +59,14 @@ SMALL = 256
 SKETCH_BITS = 1024
 #: Rounds in which the members of a group are compared with one of them.
 HUB_ROUNDS = 2
-#: Members of one cell of a group that shares a word, about.
+#: Members of one cell of a group that shares a word, about; groups of more are large.
 CELL = 256
+#: Large groups that a member is known by: its largest. Fewer only repeat candidates.
+LARGEST = 64
+#: Shingles of one part of a cell whose whole sets are sent, about.
+PART = 1 << 19
+#: Stands for the number of a group that is not large.
+LAST = (1 << 63) - 1
 
 
 def trim():
@@ -390,71 +399,139 @@ def _near(share):
     return run
 
 
+def _reaches(x, y, share):
+    """Whether two sorted sets reach the threshold."""
+    at = np.minimum(np.searchsorted(y, x), len(y) - 1)
+    both = int((y[at] == x).sum())
+    return 100 * both >= share * (len(x) + len(y) - both)
+
+
 def _linked(share):
     """Keep pairs whose whole sets reach the threshold."""
     def run(batches):
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                at = np.minimum(np.searchsorted(y, x), len(y) - 1)
-                both = int((y[at] == x).sum())
-                keep.append(100 * both >= share * (len(x) + len(y) - both))
-            ok = pa.array(keep, pa.bool_())
+            ok = pa.array([_reaches(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), share)
+                           for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_())
             yield pa.RecordBatch.from_arrays([b.column(0).filter(ok), b.column(1).filter(ok)], names=["a", "b"])
     return run
 
 
-def _members(column, i):
-    """Of one row's list of members the ids, components, set sizes and sketches."""
-    m = column[i].values
+def _members(m):
+    """Of one list of members the ids, components, set sizes and sketches, and the
+    places of members beside the large groups that hold them."""
     rep, comp, n = (m.field(k).to_numpy(zero_copy_only=False) for k in ("rep", "component", "n"))
-    return rep, comp, n, np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(rep), -1)
+    large = m.field("large")
+    who = np.repeat(np.arange(len(rep)), large.value_lengths().to_numpy(zero_copy_only=False))
+    return (rep, comp, n, np.frombuffer(b"".join(m.field("sketch").to_pylist()), np.uint8).reshape(len(rep), -1),
+            who, large.flatten().to_numpy(zero_copy_only=False))
+
+
+def _larger(one, two, number):
+    """For each member of two cells of a group, bits of the groups before it that
+    hold members of both cells: pairs with a common bit are compared there."""
+    before = [(who[large < number], large[large < number]) for *_, who, large in (one, two)]
+    both = np.intersect1d(before[0][1], before[1][1])
+    out = []
+    for cell, (who, large) in zip((one, two), before):
+        has = np.zeros((len(cell[0]), len(both)), bool)
+        if len(both):
+            at = np.minimum(np.searchsorted(both, large), len(both) - 1)
+            known = both[at] == large
+            has[who[known], at[known]] = True
+        out.append(np.packbits(has, axis=1))
+    return out
+
+
+def _close(one, two, own, number, share):
+    """Places (i, j) of the pairs of two cells' members (``own``: of one cell's with
+    each other) that lie in different components and whose sizes and sketches allow
+    a link, the nearest first; without those that an earlier group has."""
+    ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
+    (rep, comp, n, bits, *_), (rep2, comp2, n2, bits2, *_) = one, two
+    larger, larger2 = _larger(one, two, number)
+    found = [(np.zeros(0, np.int64),) * 3]
+    for i in range(len(rep)):
+        j = np.flatnonzero((comp2 != comp[i]) & (100 * np.minimum(n[i], n2) >= share * np.maximum(n[i], n2)))
+        if own:
+            j = j[rep2[j] < rep[i]]
+        j = j[~(larger2[j] & larger[i]).any(axis=1)]
+        apart = ones[bits2[j] ^ bits[i]].sum(axis=1, dtype=np.int64)
+        near = apart <= (n2[j] + n[i]) * (100 - share) // (100 + share)
+        found.append((np.full(int(near.sum()), i), j[near], apart[near]))
+    i, j, apart = map(np.concatenate, zip(*found))
+    order = np.argsort(apart, kind="stable")
+    return i[order], j[order]
+
+
+def _forest(x, y, holds=None):
+    """Places of the pairs of components that are not joined by the pairs taken
+    before them; ``holds``: whether the pair at a place may be taken."""
+    up, taken = {}, []
+
+    def top(c):
+        while (d := up.get(c, c)) != c:
+            up[c] = up.get(d, d)
+            c = d
+        return c
+    for k, (p, q) in enumerate(zip(x.tolist(), y.tolist())):
+        p, q = top(p), top(q)
+        if p != q and (holds is None or holds(k)):
+            up[p] = q
+            taken.append(k)
+    return np.array(taken, np.int64)
 
 
 def _across(share, nearest):
-    """Pairs of two cells of a group (or of one cell with itself) that lie in
-    different components and whose sizes and sketches allow a link; ``nearest``: of
-    each two components only the pair whose sketches differ least. A pair is given
-    once a batch."""
+    """Candidate pairs of two cells of a group (or of one cell with itself):
+    ``nearest``: the nearest that join components; else all, or, if the group is
+    large and they are more than the cells' members, only the number of the pair of
+    cells. A pair is given once a batch."""
     def run(batches):
-        ones = np.array([bin(i).count("1") for i in range(256)], np.uint8)
         for batch in batches:
-            out = []
+            out, dense = [(np.zeros(0, np.int64),) * 2], []
+            pair, own, number, x, y = batch.columns
             for row in range(batch.num_rows):
-                rep, comp, n, bits = _members(batch.column(1), row)
-                own = batch.column(0)[row].as_py()
-                rep2, comp2, n2, bits2 = (rep, comp, n, bits) if own else _members(batch.column(2), row)
-                found = []
-                for i in range(len(rep)):
-                    j = np.flatnonzero((comp2 != comp[i]) & (100 * np.minimum(n[i], n2) >= share * np.maximum(n[i], n2)))
-                    if own:
-                        j = j[rep2[j] < rep[i]]
-                    apart = ones[bits2[j] ^ bits[i]].sum(axis=1, dtype=np.int64)
-                    near = apart <= (n2[j] + n[i]) * (100 - share) // (100 + share)
-                    j, apart = j[near], apart[near]
-                    if len(j):
-                        found.append((np.full(len(j), i), j, apart))
-                if found:
-                    i, j, apart = map(np.concatenate, zip(*found))
-                    if nearest:
-                        low, high = np.minimum(comp[i], comp2[j]), np.maximum(comp[i], comp2[j])
-                        order = np.lexsort((apart, high, low))
-                        first = np.concatenate(([True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)))
-                        i, j = i[order[first]], j[order[first]]
-                    out.append((np.maximum(rep[i], rep2[j]), np.minimum(rep[i], rep2[j])))
-            if out:
-                x, y = map(np.concatenate, zip(*out))
-                order = np.lexsort((y, x))
-                x, y = x[order], y[order]
-                once = np.concatenate(([True], (np.diff(x) != 0) | (np.diff(y) != 0)))
-                yield pa.RecordBatch.from_arrays([pa.array(x[once]), pa.array(y[once])], names=["a", "b"])
+                one = _members(x[row].values)
+                two = one if own[row].as_py() else _members(y[row].values)
+                i, j = _close(one, two, own[row].as_py(), number[row].as_py(), share)
+                if nearest:
+                    first = _forest(one[1][i], two[1][j])
+                    i, j = i[first], j[first]
+                elif number[row].as_py() != LAST and len(i) > len(one[0]) + len(two[0]) * (not own[row].as_py()):
+                    dense.append(pair[row].as_py())
+                    continue
+                out.append((np.maximum(one[0][i], two[0][j]), np.minimum(one[0][i], two[0][j])))
+            a, b = np.unique(np.stack([np.concatenate(z) for z in zip(*out)]), axis=1)
+            yield pa.RecordBatch.from_arrays([pa.array([*a.tolist(), *[None] * len(dense)], pa.int64()),
+                                              pa.array([*b.tolist(), *[None] * len(dense)], pa.int64()),
+                                              pa.array([*[None] * len(a), *dense], pa.int64())], names=["a", "b", "pair"])
+    return run
+
+
+def _joining(share):
+    """Of two parts of cells (one row: a part with itself), the links that join
+    components, verified on the whole sets."""
+    def run(group: pa.Table) -> pa.Table:
+        sides = [m.values for m in group.sort_by("side").column("m")]
+        one, two = _members(sides[0]), _members(sides[-1])
+        i, j = _close(one, two, len(sides) == 1, group.column("number")[0].as_py(), share)
+        items, items2 = ([np.frombuffer(v, np.uint64) for v in m.field("items").to_pylist()] for m in (sides[0], sides[-1]))
+        take = _forest(one[1][i], two[1][j], lambda k: _reaches(items[i[k]], items2[j[k]], share))
+        a, b = one[0][i[take]], two[0][j[take]]
+        return pa.table({"a": pa.array(np.maximum(a, b), pa.int64()), "b": pa.array(np.minimum(a, b), pa.int64())})
     return run
 
 
-def _cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _large_groups(members: DataFrame) -> DataFrame:
+    """(key, number) of the groups of over ``CELL`` members, the largest first."""
+    large = members.groupBy("key").agg(F.count("*").alias("size")).where(F.col("size") > CELL)
+    return stored(large.orderBy(F.desc("size"), "key").select("key", F.monotonically_increasing_id().alias("number")), "large-groups")
+
+
+def _cells(members: DataFrame, large_groups: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Of groups' members (key, rep, component) the cells (id, x: its members) and
-    the pairs of cells (a, b) to compare; a = b: a cell with itself. A component of
+    the pairs of cells (a, b) to compare; a = b: a cell with itself; with the number
+    of the first large group that has them (others: LAST). A component of
     over ``CELL`` members of a group has cells of its own, which are not compared
     with each other; the others stay whole in cells of several components. Equal
     cells of several groups are one."""
@@ -469,11 +546,15 @@ def _cells(members: DataFrame) -> tuple[DataFrame, DataFrame]:
                            .otherwise(F.pmod(F.xxhash64("component"), F.col("mixed"))).alias("cell"))
     lists = placed.groupBy("key", "home", "cell").agg(F.sort_array(F.collect_list("rep")).alias("x"))  # of about CELL members
     lists = stored(lists.withColumn("id", F.struct(F.size("x").alias("n"), F.xxhash64("x").alias("h0"), F.xxhash64("x", F.lit(1)).alias("h1"))), "lists")
-    a = lists.select("key", F.col("home").alias("p"), F.col("cell").alias("s"), F.col("id").alias("a"))
+    numbered = lists.withColumn("number", F.lit(LAST))
+    if large_groups is not None:
+        numbered = lists.join(large_groups, "key", "left").withColumn("number", F.coalesce("number", F.lit(LAST)))
+    a = numbered.select("key", "number", F.col("home").alias("p"), F.col("cell").alias("s"), F.col("id").alias("a"))
     b = lists.select("key", F.col("home").alias("q"), F.col("cell").alias("t"), F.col("id").alias("b"))
-    two = a.join(b, "key").where("(p < q) OR (p = q AND p = -1 AND s < t)").select("a", "b")
-    own = lists.where("home = -1").select(F.col("id").alias("a"), F.col("id").alias("b"))
-    return lists.select("id", "x").dropDuplicates(["id"]), stored(two.unionAll(own).distinct(), "cell-pairs")
+    two = a.join(b, "key").where("(p < q) OR (p = q AND p = -1 AND s < t)").select("a", "b", "number")
+    own = numbered.where("home = -1").select(F.col("id").alias("a"), F.col("id").alias("b"), "number")
+    pairs = two.unionAll(own).groupBy("a", "b").agg(F.min("number").alias("number"))
+    return lists.select("id", "x").dropDuplicates(["id"]), stored(pairs.withColumn("pair", F.monotonically_increasing_id()), "cell-pairs")
 
 
 def _with_component(df: DataFrame, comp: DataFrame | None) -> DataFrame:
@@ -506,6 +587,26 @@ def _verified(pairs: DataFrame, sets: DataFrame, share: int) -> DataFrame:
         _linked(share), "a long, b long")
 
 
+def _within(pairs: DataFrame, cells: DataFrame, known: DataFrame, share: int) -> DataFrame:
+    """Links that join components across pairs of cells, verified where the cells
+    meet: a task has two parts of cells with their whole sets at a time."""
+    pairs = stored(pairs.select("a", "b", "number"), "dense-pairs")
+    ids = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
+    m = stored(cells.join(ids, "id", "left_semi").select("id", F.explode("x").alias("rep")), "dense-members").join(known, "rep")
+    parts = m.groupBy("id").agg(F.ceil(F.sum("n") / PART).cast("int").alias("parts"))
+    m = m.join(parts, "id").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("parts")).cast("int"))
+    packed = stored(m.groupBy("id", "part").agg(
+        F.collect_list(F.struct("rep", "component", "n", "sketch", "large", "items")).alias("m")), "dense-cells")
+    at = packed.select("id", "part")
+    two = (pairs.join(at.toDF("a", "p"), "a").join(at.toDF("b", "q"), "b").where("a <> b OR p <= q")
+           .withColumn("pair", F.monotonically_increasing_id()))
+    two = stored(two, "dense-parts")
+    sides = two.select("pair", "number", F.lit(0).alias("side"), F.col("a").alias("id"), F.col("p").alias("part")).unionAll(
+        two.where("a <> b OR p < q").select("pair", "number", F.lit(1).alias("side"), F.col("b").alias("id"), F.col("q").alias("part")))
+    return (sides.join(packed, ["id", "part"]).select("pair", "number", "side", "m")
+            .groupBy("pair").applyInArrow(_joining(share), "a long, b long"))
+
+
 def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
                     k: int = 5, share: int = 75) -> DataFrame:
     """One row per input row: id, text_hash, n_shingles, class_id (smallest id
@@ -547,21 +648,31 @@ def jaccard_classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         words = open_now.select("rep", "key")
 
     # groups that span several components: compare across these
-    cells, pairs = _cells(_with_component(words, comp))
-    # first the nearest pair of each two components, which joins most that can be; then all that are left
+    members = stored(_with_component(words, comp), "open-members")
+    large = _large_groups(members)
+    cells, pairs = _cells(members, large)
+    by_rep = members.join(large, "key").groupBy("rep").agg(F.slice(F.sort_array(F.collect_list("number")), 1, LARGEST).alias("large"))
+    sketches = stored(sets.select("rep", "n", "sketch").join(by_rep, "rep", "left").withColumn(
+        "large", F.coalesce("large", F.expr("cast(array() as array<bigint>)"))), "sketches")
+    # first the nearest pairs that join components, which joins most that can be; then all that are left
     for nearest in (True, False):
-        known = _with_component(sets.select("rep", "n", "sketch"), comp)
+        known = _with_component(sketches, comp)
         # a member is joined once for each cell that has it, not for each pair of cells
         held = stored(cells.select("id", F.explode("x").alias("rep")).join(known, "rep").groupBy("id").agg(
             F.min("component").alias("c0"), F.max("component").alias("c1"),
-            F.collect_list(F.struct("rep", "component", "n", "sketch")).alias("m")), "cells")
+            F.collect_list(F.struct("rep", "component", "n", "sketch", "large")).alias("m")), "cells")
         spans = held.select("id", "c0", "c1")
         left = (pairs.join(spans.toDF("a", "a0", "a1"), "a").join(spans.toDF("b", "b0", "b1"), "b")
-                .where("NOT (a0 = a1 AND b0 = b1 AND a0 = b0)").select("a", "b"))
-        across = (left.join(held.select(F.col("id").alias("a"), F.col("m").alias("x")), "a")
-                  .join(held.select(F.col("id").alias("b"), F.col("m").alias("y")), "b")
-                  .select((F.col("a") == F.col("b")).alias("own"), "x", "y").mapInArrow(_across(share, nearest), "a long, b long"))
-        comp = _merged(comp, stored(_verified(across.distinct(), sets, share), "links"))
+                .where("NOT (a0 = a1 AND b0 = b1 AND a0 = b0)").select("a", "b", "number", "pair"))
+        across = stored(left.join(held.select(F.col("id").alias("a"), F.col("m").alias("x")), "a")
+                        .join(held.select(F.col("id").alias("b"), F.col("m").alias("y")), "b")
+                        .select("pair", (F.col("a") == F.col("b")).alias("own"), "number", "x", "y")
+                        .mapInArrow(_across(share, nearest), "a long, b long, pair long"), "across")
+        links = _verified(across.where("pair IS NULL").select("a", "b").distinct(), sets, share)
+        dense = across.where("pair IS NOT NULL").select("pair")
+        if not dense.isEmpty():
+            links = links.unionAll(_within(pairs.join(dense, "pair"), cells, known.join(sets.select("rep", "items"), "rep"), share))
+        comp = _merged(comp, stored(links, "links"))
 
     # the smallest document id of each component's classes
     named = _with_component(reps, comp).select("cls", "n", "class_id", "component")
