@@ -1,7 +1,9 @@
 """The pruned search against a full scan, and what it skips."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import types as T
 
 from tipscope.operators import vector_search as vs
 
@@ -95,3 +97,31 @@ def test_the_sample_of_the_index_stays_off_the_driver(spark, monkeypatch):
     assert index.rows == 300 and index.centroids.shape == (5, 6)
     assert np.allclose((index.centroids ** 2).sum(1), 1)
     assert vs.build_index(df.where("chunk_id < 0")).rows == 0
+
+
+def test_pairs_leave_a_worker_in_pieces(spark):
+    r = np.random.default_rng(6)
+    s, _ = frames(spark, r.normal(size=(600, 32)), np.ones((1, 32)))
+    index = vs.build_index(s, partitions=300)
+
+    class Queries:
+        schema = T.StructType.fromDDL("q_id long, q_vec array<double>, floor double")
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    q = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array([list(v) for v in r.normal(size=(100, 32))], pa.list_(pa.float64())),
+                                    pa.array([-np.inf] * 100)], names=["q_id", "q_vec", "floor"])
+    sent = list(vs._asked(index, Queries(), 3, 0.0, False)([q])) + list(vs._asked(index, Queries(), 3, 0.0, True)([q]))
+    assert sum(b.num_rows for b in sent) == 100 * len(index.counts)
+    assert max(b.nbytes for b in sent) < 1 << 19 and len(index.counts) * 100 * 32 * 8 > 1 << 21
+
+
+def test_blocks_of_sparse_vectors_are_compressed(spark):
+    r = np.random.default_rng(7)
+    x = np.where(r.random((400, 64)) < 0.2, r.integers(1, 5, (400, 64)) * 0.37, 0)
+    s, a = frames(spark, x, x[:4])
+    index = vs.build_index(s, partitions=2)
+    assert index.blocks.selectExpr("sum(length(mat)) AS n").first().n < x.nbytes / 4
+    hits, _ = vs.search(index, a, 3)
+    assert {(h.q_id, h["rank"]): h.id for h in hits.collect()} == {(q, n): i for (q, n), (i, _) in full(x, x[:4], 3).items()}

@@ -12,6 +12,11 @@ what is skipped: results equal those of a full scan, ties included.
 Pairs of partition and query come from the centroids; blocks and queries meet by
 an equi-join on the partition, packed, so a pair of packs is one matrix product.
 
+Matrices of blocks and packs, and the vector of each pair of partition and query,
+are compressed where they leave a Python worker, and Arrow batches are read and
+written in pieces: neither a worker nor the JVM holds the pairs of a batch of
+queries, or the blocks of a file, at full width.
+
 Defined cases: a NULL vector counts as zeros; a vector of zeros, stored or asked,
 has the score ``zero`` with all others (a query of zeros visits every
 partition). Shorter vectors are padded with zeros, stored ones to
@@ -42,6 +47,8 @@ ship(__name__)
 BLOCK_ROWS = 512
 #: Partitions: twice the root of the rows, at most so many; each is fitted on SAMPLE vectors.
 MAX_PARTITIONS, SAMPLE, FIT_ROUNDS = 4096, 8, 3
+#: Rows of an Arrow batch that a worker handles at once; pairs of part and query bounded at once, or sent at once.
+PIECE_ROWS, PIECE_CELLS, PIECE_PAIRS = 1024, 1 << 18, 1024
 #: Slack of angles, for the rounding of cosines near 1.
 SLACK = 1e-6
 ZERO_PART = -1
@@ -58,6 +65,19 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _pieces(batches, rows: int = PIECE_ROWS):
+    return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Rows by column, as the numbers of a column are alike, compressed."""
+    return pa.compress(np.ascontiguousarray(x.T), codec="zstd", asbytes=True)
+
+
+def _unpacked(blob: pa.Scalar, rows: int, width: int) -> np.ndarray:
+    return np.frombuffer(pa.decompress(blob.as_buffer(), rows * width * 8, codec="zstd")).reshape(width, rows).T
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     length = np.sqrt((x * x).sum(1, keepdims=True))
     return np.divide(x, length, out=np.zeros_like(x), where=length > 0)
@@ -84,23 +104,29 @@ def fit_centroids(x: np.ndarray, k: int, rounds: int = FIT_ROUNDS) -> np.ndarray
     return c
 
 
-def _fitted(k: int, width: int):
-    """The centroids of a sample, fitted on its unit rows; none for no rows."""
+def _fitted(k: int, most: int):
+    """The centroids of a sample of at most ``most`` rows, fitted on its unit rows,
+    and their width; none for no rows."""
     def run(batches):
-        parts = [np.zeros((0, width))]
-        for b in batches:
-            x = _unit(_matrix(b.column(0), width))
-            parts.append(x[(x * x).sum(1) > 0])
-        x = np.concatenate(parts)
-        del parts
-        if len(x):
-            yield pa.RecordBatch.from_arrays([pa.array([fit_centroids(x, k).tobytes()], pa.binary())], names=["centroids"])
+        x, n = np.zeros((most, 1)), 0
+        for b in _pieces(batches):
+            u = _unit(_matrix(b.column(0), x.shape[1]))
+            if u.shape[1] > x.shape[1]:
+                wider = np.zeros((most, u.shape[1]))
+                wider[:n, :x.shape[1]] = x[:n]
+                x = wider
+            u = u[(u * u).sum(1) > 0]
+            x[n:n + len(u)] = u
+            n += len(u)
+        if n:
+            yield pa.RecordBatch.from_arrays([pa.array([x.shape[1]], pa.int32()), pa.array([fit_centroids(x[:n], k).tobytes()], pa.binary())],
+                                             names=["width", "centroids"])
     return run
 
 
 @dataclass
 class VectorIndex:
-    blocks: DataFrame          # part, ids, mat, angle
+    blocks: DataFrame          # part, ids, mat (compressed), angle
     centroids: np.ndarray      # unit rows; the part is the row number
     counts: dict[int, int]     # rows of each part
     angles: dict[int, float]   # widest angle of each part
@@ -117,23 +143,31 @@ def build_index(store: DataFrame, id_col: str = "chunk_id", vec_col: str = "embe
     """Partition the vectors and write them as blocks. Centroids are fitted on a
     sample of at most ``SAMPLE`` rows for each; every row is indexed."""
     v = store.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vec_col}`").cast("array<double>").alias("v"))
-    n, width = v.agg(F.count(F.lit(1)), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
-    width = max(1, width)
+    n = v.count()  # of rows alone: vectors that are made by a plan are not made for it
     k = partitions or max(1, min(MAX_PARTITIONS, math.ceil(2 * math.sqrt(n))))
     # a share of the ids by hash: about SAMPLE * k rows, cut at that number
     share = F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < F.lit(math.ceil((1 << 20) * min(1.0, 1.2 * SAMPLE * k / max(n, 1))))
     # the sample is fitted in a task; the driver gets the centroids alone
-    fitted = v.where(share).select("v").limit(SAMPLE * k).coalesce(1).mapInArrow(_fitted(k, width), "centroids binary").first()
-    centroids = np.frombuffer(fitted[0]).reshape(-1, width) if fitted else np.zeros((1, width))
+    fitted = (v.where(share).select("v").limit(SAMPLE * k).coalesce(1)
+              .mapInArrow(_fitted(k, SAMPLE * k), "width int, centroids binary").first())
+    near = np.frombuffer(fitted.centroids).reshape(-1, fitted.width) if fitted else np.zeros((1, 1))
     rows = BLOCK_ROWS
 
     def assign(batches):
-        for b in batches:
-            x = _unit(_matrix(b.column(1), width))
-            part, cos = _nearest(x, centroids)
+        for b in _pieces(batches):
+            x = _unit(_matrix(b.column(1), near.shape[1]))
+            part, cos = _nearest(x[:, :near.shape[1]], near)
             part[(x * x).sum(1) == 0] = ZERO_PART
+            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).cast(pa.int32())
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int32()),
-                                              pa.array(np.arccos(np.clip(cos, -1, 1)))], names=["id", "v", "part", "angle"])
+                                              pa.array(np.arccos(np.clip(cos, -1, 1))), size], names=["id", "v", "part", "angle", "size"])
+
+    kind = v.schema["id"].dataType
+    assigned = files.stored(v.mapInArrow(assign, T.StructType([
+        T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("part", T.IntegerType()),
+        T.StructField("angle", T.DoubleType()), T.StructField("size", T.IntegerType())])), "vectors")
+    width = max(near.shape[1], assigned.agg(F.max("size")).first()[0] or 0)
+    centroids = np.pad(near, ((0, 0), (0, width - near.shape[1])))
 
     def pack(batches):
         for b in batches:  # sorted by part
@@ -146,14 +180,11 @@ def build_index(store: DataFrame, id_col: str = "chunk_id", vec_col: str = "embe
                     x = _matrix(s.column(1).take(order), width)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(part[a])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), s.column(0).take(order)),
-                         pa.array([x.tobytes()], pa.binary()), pa.array([float(s.column(3).to_numpy().max())])],
+                         pa.array([_packed(x)], pa.binary()), pa.array([float(s.column(3).to_numpy().max())])],
                         names=["part", "ids", "mat", "angle"])
 
-    kind = v.schema["id"].dataType
-    assigned = v.mapInArrow(assign, T.StructType([T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())),
-                                                  T.StructField("part", T.IntegerType()), T.StructField("angle", T.DoubleType())]))
     # cut by part and id, so a part with most of the rows is spread over tasks
-    cut = files.stored(assigned, "vectors").repartitionByRange("part", "id").sortWithinPartitions("part", "id")
+    cut = assigned.drop("size").repartitionByRange("part", "id").sortWithinPartitions("part", "id")
     blocks = files.stored(cut.mapInArrow(pack, T.StructType([
         T.StructField("part", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("mat", T.BinaryType()),
         T.StructField("angle", T.DoubleType())])), "vector-blocks")
@@ -181,29 +212,35 @@ def _bounds(index: VectorIndex, zero: float):
 
 
 def _asked(index: VectorIndex, queries: DataFrame, k: int, zero: float, seeds: bool) -> DataFrame:
-    """(part, q_id, q_vec, floor): the pairs to score. ``seeds``: the parts of the
-    highest bounds that hold k rows; else all others whose bound reaches the
-    query's floor."""
+    """(part, q_id, q_vec, q_width, floor): the pairs to score, with the vector's
+    numbers compressed. ``seeds``: the parts of the highest bounds that hold k rows;
+    else all others whose bound reaches the query's floor."""
     parts, counts, bounds = _bounds(index, zero)
     width = index.width
 
+    at_once = max(1, PIECE_CELLS // max(1, len(parts)))
+
     def run(batches):
-        for b in batches:
-            best = bounds(_matrix(b.column(1), width))
-            if not len(parts) or not b.num_rows:
-                continue
+        for b in _pieces(batches, at_once) if len(parts) else ():
+            x = _matrix(b.column(1), width)
+            best = bounds(x)
             order = np.argsort(-best, axis=1, kind="stable")
             before = np.cumsum(counts[order], axis=1) - counts[order]
             first = np.zeros(best.shape, bool)
             np.put_along_axis(first, order, before < k, axis=1)
             floor = b.column(2).to_numpy(zero_copy_only=False)
-            take = first if seeds else ~first & (best >= floor[:, None] - SLACK)
-            q, p = np.nonzero(take)
-            at = pa.array(q)
-            yield pa.RecordBatch.from_arrays([pa.array(parts[p]), b.column(0).take(at), b.column(1).take(at), b.column(2).take(at)],
-                                             names=["part", "q_id", "q_vec", "floor"])
+            q, p = np.nonzero(first if seeds else ~first & (best >= floor[:, None] - SLACK))
+            vec = pa.array([_packed(row[None]) for row in x], pa.binary())
+            for at in range(0, len(q), PIECE_PAIRS):
+                some = pa.array(q[at:at + PIECE_PAIRS])
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(parts[p[at:at + PIECE_PAIRS]]), b.column(0).take(some), vec.take(some),
+                     pa.array(np.full(len(some), x.shape[1], np.int32)), b.column(2).take(some)],
+                    names=["part", "q_id", "q_vec", "q_width", "floor"])
 
-    return queries.mapInArrow(run, T.StructType([T.StructField("part", T.IntegerType()), *queries.schema.fields]))
+    return queries.mapInArrow(run, T.StructType([
+        T.StructField("part", T.IntegerType()), queries.schema["q_id"], T.StructField("q_vec", T.BinaryType()),
+        T.StructField("q_width", T.IntegerType()), queries.schema["floor"]]))
 
 
 def _scored(index: VectorIndex, pairs: DataFrame, k: int, zero: float, places: int | None) -> DataFrame:
@@ -218,19 +255,23 @@ def _scored(index: VectorIndex, pairs: DataFrame, k: int, zero: float, places: i
             for at, stop in zip([0, *edges], [*edges, len(part)]):
                 for a in range(at, stop, rows) if stop > at else ():
                     s = b.slice(a, min(rows, stop - a))
+                    wide = s.column(3).to_numpy()
+                    q = np.zeros((s.num_rows, wide.max()))
+                    for i, w in enumerate(wide.tolist()):
+                        q[i, :w] = _unpacked(s.column(2)[i], 1, w)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(part[a])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, s.num_rows], pa.int32()), s.column(1)),
-                         pa.array([_matrix(s.column(2), width).tobytes()], pa.binary()),
-                         pa.array([s.column(3).to_numpy(zero_copy_only=False).tobytes()], pa.binary())],
-                        names=["q_part", "q_ids", "q_mat", "floors"])
+                         pa.array([_packed(q)], pa.binary()), pa.array([q.shape[1]], pa.int32()),
+                         pa.array([s.column(4).to_numpy(zero_copy_only=False).tobytes()], pa.binary())],
+                        names=["q_part", "q_ids", "q_mat", "q_width", "floors"])
 
     def score(batches):
         for b in batches:
             for i in range(b.num_rows):
                 part, sid, qid = b.column(0)[i].as_py(), b.column(1)[i].values, b.column(5)[i].values
-                x = np.frombuffer(b.column(2)[i].as_py()).reshape(-1, width)
-                q = np.frombuffer(b.column(6)[i].as_py()).reshape(len(qid), -1)
-                floor = np.frombuffer(b.column(7)[i].as_py())
+                x = _unpacked(b.column(2)[i], len(sid), width)
+                q = _unpacked(b.column(6)[i], len(qid), b.column(7)[i].as_py())
+                floor = np.frombuffer(b.column(8)[i].as_py())
                 if part != ZERO_PART:  # the block's own bound
                     u = _unit(q)
                     gap = np.arccos(np.clip(u[:, :width] @ centroids[part], -1, 1)) - b.column(3)[i].as_py() - SLACK
@@ -260,7 +301,7 @@ def _scored(index: VectorIndex, pairs: DataFrame, k: int, zero: float, places: i
 
     packs = pairs.repartitionByRange("part", "q_id").sortWithinPartitions("part").mapInArrow(pack, T.StructType([
         T.StructField("q_part", T.IntegerType()), T.StructField("q_ids", T.ArrayType(q_type)), T.StructField("q_mat", T.BinaryType()),
-        T.StructField("floors", T.BinaryType())]))
+        T.StructField("q_width", T.IntegerType()), T.StructField("floors", T.BinaryType())]))
     met = index.blocks.join(packs, F.col("part") == F.col("q_part"))
     return met.mapInArrow(score, T.StructType([T.StructField("id", index.id_type), T.StructField("q_id", q_type),
                                                T.StructField("score", T.DoubleType())]))
