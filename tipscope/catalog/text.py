@@ -239,8 +239,9 @@ register(
 
 
 def _hashed(s, d):
-    """The chunk store with hashing/IDF vectors, and the fitted model."""
-    st = files.materialized(s, f"chunks:{d}", lambda: store(s, d))
+    """The chunk store with hashing/IDF vectors, and the fitted model. The store
+    keeps the hashed tokens' counts."""
+    st = files.materialized(s, f"hashed_chunks:{d}", lambda: rt.term_counts(store(s, d)))
     model = rt.hashing_model(st, "chunk")
     return rt.embed_with(model, st), model
 

@@ -12,7 +12,7 @@ what is skipped: results equal those of a full scan, ties included.
 Pairs of partition and query come from the centroids; blocks and queries meet by
 an equi-join on the partition, packed, so a pair of packs is one matrix product.
 
-Matrices of blocks and packs, and the vector of each pair of partition and query,
+Stored vectors reach their blocks without their zeros. Matrices of blocks and packs, and the vector of each pair of partition and query,
 are compressed where they leave a Python worker, and Arrow batches are read and
 written in pieces: neither a worker nor the JVM holds the pairs of a batch of
 queries, or the blocks of a file, at full width.
@@ -65,6 +65,33 @@ def _matrix(column: pa.Array, width: int) -> np.ndarray:
     return out
 
 
+def _dropped(x: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """A row's numbers without its zeros, and a bit for each place that has one."""
+    held = x.view(np.int64) != 0
+    bits = np.packbits(held, axis=1)
+
+    def binary(ends, data):
+        return pa.BinaryArray.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(np.concatenate(([0], ends)).astype(np.int32)), pa.py_buffer(data)])
+    return binary(np.arange(1, len(x) + 1) * bits.shape[1], bits), binary(held.sum(1).cumsum() * 8, x[held])
+
+
+def _bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all rows, and how many each has."""
+    column = column.cast(pa.binary())
+    ends = np.frombuffer(column.buffers()[1], np.int32)[column.offset:column.offset + len(column) + 1]
+    data = column.buffers()[2]
+    return np.frombuffer(data, np.uint8)[ends[0]:ends[-1]] if data else np.zeros(0, np.uint8), np.diff(ends)
+
+
+def _restored(bits: pa.Array, numbers: pa.Array, width: int) -> np.ndarray:
+    flat, n = _bytes(bits)
+    held = np.zeros((len(n), -(-width // 8)), np.uint8)
+    held[np.arange(held.shape[1]) < n[:, None]] = flat
+    x = np.zeros((len(n), width))
+    x[np.unpackbits(held, axis=1, count=width).astype(bool)] = np.frombuffer(_bytes(numbers)[0].tobytes())
+    return x
+
+
 def _pieces(batches, rows: int = PIECE_ROWS):
     return (b.slice(at, rows) for b in batches for at in range(0, b.num_rows, rows))
 
@@ -155,32 +182,33 @@ def build_index(store: DataFrame, id_col: str = "chunk_id", vec_col: str = "embe
 
     def assign(batches):
         for b in _pieces(batches):
-            x = _unit(_matrix(b.column(1), near.shape[1]))
+            v = _matrix(b.column(1), near.shape[1])
+            x = _unit(v)
             part, cos = _nearest(x[:, :near.shape[1]], near)
             part[(x * x).sum(1) == 0] = ZERO_PART
-            size = pc.fill_null(pc.list_value_length(b.column(1)), 0).cast(pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(part, pa.int32()),
-                                              pa.array(np.arccos(np.clip(cos, -1, 1))), size], names=["id", "v", "part", "angle", "size"])
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), *_dropped(v), pa.array(part, pa.int32()), pa.array(np.arccos(np.clip(cos, -1, 1))),
+                 pa.array(np.full(len(v), v.shape[1], np.int32))], names=["id", "bits", "numbers", "part", "angle", "size"])
 
     kind = v.schema["id"].dataType
     assigned = files.stored(v.mapInArrow(assign, T.StructType([
-        T.StructField("id", kind), T.StructField("v", T.ArrayType(T.DoubleType())), T.StructField("part", T.IntegerType()),
-        T.StructField("angle", T.DoubleType()), T.StructField("size", T.IntegerType())])), "vectors")
+        T.StructField("id", kind), T.StructField("bits", T.BinaryType()), T.StructField("numbers", T.BinaryType()),
+        T.StructField("part", T.IntegerType()), T.StructField("angle", T.DoubleType()), T.StructField("size", T.IntegerType())])), "vectors")
     width = max(near.shape[1], assigned.agg(F.max("size")).first()[0] or 0)
     centroids = np.pad(near, ((0, 0), (0, width - near.shape[1])))
 
     def pack(batches):
         for b in batches:  # sorted by part
-            part = b.column(2).to_numpy()
+            part = b.column(3).to_numpy()
             edges = np.flatnonzero(np.diff(part)) + 1
             for at, stop in zip([0, *edges], [*edges, len(part)]):
                 for a in range(at, stop, rows) if stop > at else ():
                     s = b.slice(a, min(rows, stop - a))
                     order = pc.sort_indices(s.column(0))
-                    x = _matrix(s.column(1).take(order), width)
+                    x = _restored(s.column(1).take(order), s.column(2).take(order), width)
                     yield pa.RecordBatch.from_arrays(
                         [pa.array([int(part[a])], pa.int32()), pa.ListArray.from_arrays(pa.array([0, len(x)], pa.int32()), s.column(0).take(order)),
-                         pa.array([_packed(x)], pa.binary()), pa.array([float(s.column(3).to_numpy().max())])],
+                         pa.array([_packed(x)], pa.binary()), pa.array([float(s.column(4).to_numpy().max())])],
                         names=["part", "ids", "mat", "angle"])
 
     # cut by part and id, so a part with most of the rows is spread over tasks
