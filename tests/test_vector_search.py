@@ -125,3 +125,17 @@ def test_blocks_of_sparse_vectors_are_compressed(spark):
     assert index.blocks.selectExpr("sum(length(mat)) AS n").first().n < x.nbytes / 4
     hits, _ = vs.search(index, a, 3)
     assert {(h.q_id, h["rank"]): h.id for h in hits.collect()} == {(q, n): i for (q, n), (i, _) in full(x, x[:4], 3).items()}
+
+
+def test_many_pairs_are_not_broadcast(spark, monkeypatch):
+    """Whatever the size of the files they are stored in."""
+    r = np.random.default_rng(8)
+    s, a = frames(spark, r.normal(size=(200, 4)), r.normal(size=(5, 4)))
+    index = vs.build_index(s)
+    pairs = vs.files.stored(vs._asked(index, a.selectExpr("query_id AS q_id", "query_vec AS q_vec", "double('-Infinity') AS floor"), 3, 0.0, False), "asked")
+
+    def plan():
+        return vs._scored(index, pairs, 3, 0.0, 9)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan()
+    monkeypatch.setattr(vs, "BROADCAST_PAIRS", 10)
+    assert "SortMergeJoin" in plan() and "BroadcastHashJoin" not in plan()

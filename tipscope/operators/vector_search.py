@@ -38,7 +38,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tipscope.functions.shipping import ship
-from tipscope.functions.sizing import broadcast_if_small
+from tipscope.functions.sizing import broadcast_if_small, fits
 from tipscope.sources import files
 
 ship(__name__)
@@ -49,6 +49,8 @@ BLOCK_ROWS = 512
 MAX_PARTITIONS, SAMPLE, FIT_ROUNDS = 4096, 8, 3
 #: Rows of an Arrow batch that a worker handles at once; pairs of part and query bounded at once, or sent at once.
 PIECE_ROWS, PIECE_CELLS, PIECE_PAIRS = 1024, 1 << 18, 1024
+#: Pairs up to this many (counted) are broadcast to the blocks.
+BROADCAST_PAIRS = 2048
 #: Slack of angles, for the rounding of cosines near 1.
 SLACK = 1e-6
 ZERO_PART = -1
@@ -330,6 +332,8 @@ def _scored(index: VectorIndex, pairs: DataFrame, k: int, zero: float, places: i
     packs = pairs.repartitionByRange("part", "q_id").sortWithinPartitions("part").mapInArrow(pack, T.StructType([
         T.StructField("q_part", T.IntegerType()), T.StructField("q_ids", T.ArrayType(q_type)), T.StructField("q_mat", T.BinaryType()),
         T.StructField("q_width", T.IntegerType()), T.StructField("floors", T.BinaryType())]))
+    # by their number: a stored table of pairs is far smaller than its packs, so the size of its files says little
+    packs = F.broadcast(packs) if fits(pairs, BROADCAST_PAIRS) else packs.hint("merge")
     met = index.blocks.join(packs, F.col("part") == F.col("q_part"))
     return met.mapInArrow(score, T.StructType([T.StructField("id", index.id_type), T.StructField("q_id", q_type),
                                                T.StructField("score", T.DoubleType())]))
